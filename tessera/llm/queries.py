@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing
+from . import exact_dedup, line_dedup, mixing, piece_bpe, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,8 +117,33 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+# --- op4: SentencePiece --------------------------------------------------------
+def piece_model_file() -> str:
+    """Where the public tokenizer's model file lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = piece_bpe.encode_documents(table(spark, sf_dir, "documents"), piece_model_file())
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+# --- op8: SimHash --------------------------------------------------------------
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"), width=3, radius=3, segments=2)
+
+
 QUERIES = {
     "op3_mixing": op3_mixing,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }

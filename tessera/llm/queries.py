@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, piece_bpe, simhash
+from . import exact_dedup, imatch, line_dedup, mixing, pii, piece_bpe, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- op1: I-Match --------------------------------------------------------------
+def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = imatch.fingerprint_documents(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+# --- op2: personal data --------------------------------------------------------
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of_kind = lambda *kinds: F.filter("found", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return docs.select("doc_id", *counts, F.sha2(written(of_kind(*pii.BASE_KINDS)), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
+
+
 # --- op3: mixing ---------------------------------------------------------------
 #: Fixed values of the production mixture: domain by the source's number, and
 #: the weights of the tree's nodes.
@@ -141,6 +156,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_imatch": op1_imatch,
+    "op2_personal_data": op2_personal_data,
     "op3_mixing": op3_mixing,
     "op4_sentencepiece": op4_sentencepiece,
     "op8_simhash": op8_simhash,

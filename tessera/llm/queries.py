@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, imatch, line_dedup, mixing, pii, piece_bpe, simhash
+from . import exact_dedup, imatch, line_dedup, mixing, pii, piece_bpe, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -150,6 +150,11 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- op7: toxicity -------------------------------------------------------------
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 # --- op8: SimHash --------------------------------------------------------------
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), width=3, radius=3, segments=2)
@@ -160,6 +165,7 @@ QUERIES = {
     "op2_personal_data": op2_personal_data,
     "op3_mixing": op3_mixing,
     "op4_sentencepiece": op4_sentencepiece,
+    "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, imatch, line_dedup, mixing, pii, piece_bpe, simhash, toxicity
+from . import exact_dedup, html_main, imatch, line_dedup, mixing, pii, piece_bpe, simhash, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -150,6 +150,27 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- op5: main text of pages ---------------------------------------------------
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_main.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+# --- op6: url filter -----------------------------------------------------------
+#: The contract's rules, and host words that label a url as bad.
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+BAD_HOST_WORDS = ("adult", "ads", "bets", "casino", "farm", "pills", "porn", "spam", "track", "warez", "xxx")
+
+
+def url_label() -> Column:
+    """1 for hosts with a bad word as a whole part, 0 for other named hosts."""
+    return F.when(F.col("host") == "", None).when(F.col("host").rlike(rf"(^|[.-])({'|'.join(BAD_HOST_WORDS)})([.-]|$)"), 1).otherwise(0)
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, url_label())
+
+
 # --- op7: toxicity -------------------------------------------------------------
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -165,6 +186,8 @@ QUERIES = {
     "op2_personal_data": op2_personal_data,
     "op3_mixing": op3_mixing,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_main_text": op5_main_text,
+    "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,

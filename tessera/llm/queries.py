@@ -44,18 +44,19 @@ def _choose(c: Column, of: dict[str, int], other: int) -> Column:
     return out
 
 
-def mix_tree(docs: DataFrame) -> tuple[Column, tuple[Column, Column, Column]]:
+def mix_tree() -> tuple[Column, tuple[Column, Column, Column]]:
     """Domain column and node weights of the production mixture."""
-    number = F.regexp_extract(F.coalesce(docs["source"], F.lit("")), r"^src(\d{1,6})$", 1).try_cast("int")
+    lang, source = F.col("lang"), F.col("source")
+    number = F.regexp_extract(F.coalesce(source, F.lit("")), r"^src(\d{1,6})$", 1).try_cast("int")
     domain = F.lit("other")
     for name, low, high in DOMAINS:
         domain = F.when(number.between(low, high), name).otherwise(domain)
-    return domain, (_choose(domain, DOMAIN_WEIGHTS, 1), _choose(docs["lang"], LANG_WEIGHTS, 1), _choose(docs["source"], SOURCE_WEIGHTS, 1))
+    return domain, (_choose(domain, DOMAIN_WEIGHTS, 1), _choose(lang, LANG_WEIGHTS, 1), _choose(source, SOURCE_WEIGHTS, 1))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    domain, weights = mix_tree(docs)
+    domain, weights = mix_tree()
     return mixing.mix_report(docs, domain, weights, **MIX)
 
 

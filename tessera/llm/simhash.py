@@ -13,8 +13,9 @@ hold a single component are done.  In the others only fingerprints of different
 components are compared, all of them, so that no link is lost.  Equal
 fingerprints are one node from the start.
 
-With ``radius`` <= 2 * segments - 1 every link is found.  Beyond that (wide
-fingerprints for a similarity) candidates are found with high probability.
+With ``radius`` <= 2 * segments - 1 every link is found.  For a similarity of
+shingle sets a longer fingerprint is used: its first 64-bit parts are indexed,
+so that candidates are found with high probability, and all its parts verify.
 
 Defined cases: a null text is the empty text; a text without words has the
 fingerprint zero and is linked like any other; fewer words than a shingle make
@@ -109,11 +110,12 @@ def _apart(a: list[Column], b: list[Column]) -> Column:
     return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a[1:], b[1:], strict=True)), F.bit_count(a[0].bitwiseXOR(b[0])))
 
 
-def labelled(rows: DataFrame, fp: list[str], segments: int, radius: int, ident: str = "id") -> DataFrame:
+def labelled(rows: DataFrame, fp: list[str], segments: int, radius: int, indexed: int, ident: str = "id") -> DataFrame:
     """``rows`` (a written table) with ``component``: the smallest ``ident``
-    reachable over fingerprints that differ in ``radius`` bits at most."""
+    reachable over fingerprints that differ in ``radius`` bits at most.  The
+    first ``indexed`` of the parts ``fp`` are cut into segments."""
     nodes = materialize(rows.groupBy(*fp).agg(F.min(ident).alias("node")), "nodes")
-    variants = _variants(nodes, fp, segments)
+    variants = _variants(nodes, fp[:indexed], segments)
     shared = variants.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
     buckets = materialize(variants.join(shared, "key").select("key", "node", "hub"), "buckets")
 
@@ -145,7 +147,7 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 3, segments: int
     """doc_id, fingerprint (16 hex digits), component_id for every row."""
     base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LEAST)).alias("id"), F.col(text).alias("text"))
     rows = materialize(with_fingerprint(base, ["f0"], width).select("id", "f0"), "fingerprints")
-    out = labelled(rows, ["f0"], segments, radius)
+    out = labelled(rows, ["f0"], segments, radius, 1)
     back = lambda c: F.nullif(F.col(c), F.lit(_LEAST))
     return out.select(back("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), back("component").alias("component_id"))
 
@@ -158,7 +160,7 @@ def radius_for(similarity: float, bits: int, slack: float = 0.0) -> int:
     return math.floor(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
-def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, parts: int = 4, segments: int = 3, slack: float = 1.0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, parts: int = 16, indexed: int = 4, segments: int = 3, slack: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document, the smallest doc_id, of each group of texts
     whose fingerprints of 64 * ``parts`` bits show the similarity.
 
@@ -170,7 +172,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, p
     given = lambda df: {ident: F.coalesce(df[doc_id].cast("long"), F.lit(_LEAST)), mark: F.xxhash64(text_of(df, text))}
     base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LEAST)).alias("id"), F.xxhash64(text_of(docs, text)).alias("mark"), text_of(docs, text).alias("text"))
     rows = materialize(with_fingerprint(base, fp, width).select("id", "mark", *fp), "fingerprints")
-    out = materialize(labelled(rows, fp, segments, radius_for(similarity, 64 * parts, slack)).select("id", "mark", "component"), "near")
+    out = materialize(labelled(rows, fp, segments, radius_for(similarity, 64 * parts, slack), indexed).select("id", "mark", "component"), "near")
     # Of rows with the component's id (repeated ids) the smallest mark stays.
     stays = out.groupBy("component").agg(F.min(F.struct("id", "mark")).alias("s"))
     lost = out.join(stays, "component").where((F.col("id") != F.col("s.id")) | (F.col("mark") != F.col("s.mark"))).select(F.col("id").alias(ident), F.col("mark").alias(mark)).distinct()

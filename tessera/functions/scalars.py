@@ -156,12 +156,12 @@ def literal_mean(c: Column) -> Column:
 
 def clean_items(a: Column) -> Column:
     """Trimmed items without blanks (SCL-25)."""
-    return F.filter(F.transform(a, F.trim), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
 def related_codes(c: Column) -> Column:
     """Distinct upper-case codes of a literal list, in first-seen order (SCL-26)."""
-    return F.array_distinct(F.transform(clean_items(literal_list(c)), F.upper))
+    return F.array_distinct(F.transform(clean_items(literal_list(c)), lambda x: F.upper(x)))
 
 
 def excerpt(c: Column, limit: int = 160) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import regions as G
 from ..functions import rules as D
 from ..functions import scalars as S
+from ..operators import aggregates as A
 from ..sources.readers import table
 from .registry import registry
 from .text_to_sql import Schema, answer
@@ -251,3 +252,46 @@ def text2sql(spark, d):
     table(spark, d, "lineitem").select(F.col("l_partkey").alias("partkey"), F.col("l_quantity").alias("quantity")).createOrReplaceTempView("line_view")
     schema = Schema(_TABLES, ["partkey"], ["size"], ["brand"])
     return answer(spark, _ASK, schema)[1]
+
+
+# --- composite records ---------------------------------------------------------
+@query("""
+WITH c AS (SELECT o_orderkey, o_custkey % 3 AS n, CASE WHEN o_orderkey % 5 = 0 THEN 'rejected' END AS r FROM orders)
+SELECT o_orderkey::VARCHAR AS entity, o_custkey % 3 <> o_custkey % 2 AS disagreement_count, o_orderpriority LIKE '1%' AS disagreement_group, coalesce(r, '-') AS review,
+  CASE WHEN r IS NOT NULL THEN 'excluded' WHEN o_orderpriority LIKE '1%' OR o_custkey % 3 <> o_custkey % 2 THEN
+    CASE WHEN o_orderpriority LIKE '1%' OR o_custkey % 3 <> o_custkey % 2 THEN 'included_with_caution' ELSE 'high_confidence' END ELSE 'excluded' END AS status
+FROM orders JOIN c USING (o_orderkey)
+""")
+def discrepancy_candidates(spark, d):
+    """E2, DOM-6..10, DOM-18."""
+    from ..operators.records import candidates
+
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey").cast("string")
+    records = o.select(
+        k.alias("entity"), F.lit("Bitopic").alias("expert"), F.when(F.col("o_orderpriority").startswith("1"), "beta barrel").otherwise("alpha helical").alias("seen"),
+        (F.col("o_custkey") % 3).alias("expert_n"), (F.col("o_custkey") % 2).alias("seen_n"), F.lit("plain protein").alias("words"), F.lit(False).alias("replaced"), F.lit(None).cast("boolean").alias("boundary"),
+    )
+    reviews = o.where("o_orderkey % 5 = 0").select(k.alias("entity"), F.lit("rejected").alias("review_status"))
+    notes = A.note_summary(table(spark, d, "conversations").withColumn("entity", F.col("conv_id").cast("string")), "entity", "turn", "turn", "text", "role")
+    out = candidates(records, reviews, notes, "entity", ["expert", "seen"], ["expert_n", "seen_n"], "words", "replaced", "boundary")
+    return out.select("entity", F.col("disagreement.count").alias("disagreement_count"), F.col("disagreement.group").alias("disagreement_group"), F.coalesce("review_status", F.lit("-")).alias("review"), "status")
+
+
+@query("SELECT p_partkey::VARCHAR AS id, m AS method, CASE m WHEN 'upper' THEN upper(p_name) ELSE reverse(p_name) END AS topology FROM part, (VALUES ('upper'), ('reversed')) v(m)")
+def predictor_fan_out(spark, d):
+    """UDF-6, UDF-7."""
+    from ..operators.records import predicted
+
+    return predicted(table(spark, d, "part"), "p_partkey", "p_name", {"upper": lambda xs: [x.upper() for x in xs], "reversed": lambda xs: [x[::-1] for x in xs]})
+
+
+@query("SELECT n_nationkey AS k, 2::BIGINT AS tm_count, 'inside' AS n_side, 'outside' AS c_side, 'polytopic' AS kind, (n_nationkey >= 10)::INT::BIGINT AS long_loops FROM nation")
+def topology_summary(spark, d):
+    """DOM-14, RNG-5, RNG-6."""
+    from ..operators.records import topology_summary as summary
+
+    region = lambda a, b, l: F.struct(F.lit(a).cast("int").alias("start"), b.cast("int").alias("end"), F.lit(l).alias("label"))
+    n = F.col("n_nationkey")
+    r = F.array(region(1, F.lit(9), "Inside"), region(10, F.lit(30), "Membrane"), region(31, n + 100, "loop"), region(200, F.lit(220), "TMhelix"), region(221, F.lit(230), "Outside"))
+    return table(spark, d, "nation").select(n.alias("k"), summary(r).alias("s")).select("k", F.col("s.tm_count").cast("long").alias("tm_count"), "s.n_side", "s.c_side", "s.kind", F.col("s.long_loops").cast("long").alias("long_loops"))

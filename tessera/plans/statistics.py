@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import learning as M
+from ..operators import neighbours as N
 from ..operators import statistics as T
 from ..sources.readers import table
 from .registry import registry
@@ -155,3 +156,43 @@ def classifier_cmp(spark, d):
 def stratified_folds(spark, d):
     """ML-39: sizes of the folds by class."""
     return M.folds(table(spark, d, "embeddings", ["vec_id", "label"]), "vec_id", "label", 5, 1).groupBy("label", "fold").agg(F.count("*").alias("n"))
+
+
+# --- neighbours ----------------------------------------------------------------
+@query("""
+WITH p AS (SELECT s_suppkey AS k, s_acctbal / 100 AS x, s_nationkey::DOUBLE AS y FROM supplier), b AS (SELECT a.k AS a, c.k AS b FROM p a JOIN p c ON a.k <> c.k AND (a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y) <= 25.0),
+  core AS (SELECT a AS k FROM b GROUP BY 1 HAVING count(*) + 1 >= 4)
+SELECT k AS s_suppkey, CASE WHEN k IN (SELECT k FROM core) OR k IN (SELECT a FROM b WHERE b IN (SELECT k FROM core)) THEN 'Inlier' ELSE 'Outlier' END AS kind FROM p
+""")
+def density_outliers(spark, d):
+    """ML-25, ML-32."""
+    rows = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 100).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+    return N.density_outliers(rows, "s_suppkey", ["x", "y"], 5.0, 4).select("s_suppkey", "kind")
+
+
+@query(None)
+def knn_imputation(spark, d):
+    """ML-2, ML-4."""
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), F.when(F.col("p_partkey") % 10 != 0, F.col("p_retailprice")).alias("p_retailprice"))
+    return N.knn_imputed(rows, ["p_size", "p_retailprice"], "p_partkey")
+
+
+@query(None)
+def imputer_comparison(spark, d):
+    """ML-5."""
+    return N.imputer_scores(table(spark, d, "part"), "p_retailprice", ["p_size"], "p_partkey")
+
+
+@query(None)
+def knn_classes(spark, d):
+    """ML-37 (kNN)."""
+    rows = table(spark, d, "embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(8)])
+    return N.knn_classified(rows, rows.where("vec_id % 2 = 0"), [f"e{i}" for i in range(8)], "label", "vec_id").select("vec_id", "label", "predicted")
+
+
+@query(None)
+def gaussian_projection(spark, d):
+    """ML-18."""
+    rows = table(spark, d, "embeddings")
+    size = rows.select(F.max(F.size("embedding"))).first()[0]
+    return N.random_projection(rows, "embedding", 8, size).select("vec_id", "projected")

@@ -20,7 +20,7 @@ def ambiguous(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def drift(current: DataFrame, previous: DataFrame, limit: float) -> DataFrame:
     """AGG-32: rows now and before, and whether the change exceeds the share."""
-    both = current.agg(F.count("*").alias("n_now")).join(previous.agg(F.count("*").alias("n_before")))
+    both = current.agg(F.count("*").alias("n_now")).withColumn("n_before", previous.agg(F.count("*").alias("n")).scalar())
     change = F.try_divide(F.abs(F.col("n_now") - F.col("n_before")).cast("double"), F.col("n_before"))
     return both.withColumn("change", change).withColumn("drifted", F.coalesce(F.col("change") > limit, F.lit(False)))
 

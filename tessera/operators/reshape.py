@@ -11,10 +11,11 @@ from .ranking import keep_first, running_total
 
 
 def grid(df: DataFrame, row: str, column: str, values: DataFrame | None = None) -> DataFrame:
-    """Every row value with every column value; both are small distinct sets,
-    joined on a constant so that neither side is gathered in one place."""
-    rows = (values if values is not None else df.select(row)).dropna().distinct().withColumn("__one", F.lit(1))
-    return rows.join(df.select(column).dropna().distinct().withColumn("__one", F.lit(1)), "__one").drop("__one")
+    """Every row value with every column value: the distinct categories of
+    ``column``, which must be few, are exploded on each row value."""
+    rows = (values if values is not None else df.select(row)).dropna().distinct()
+    levels = df.agg(F.sort_array(F.collect_set(column)).alias("v")).scalar()
+    return rows.withColumn(column, F.explode(levels))
 
 
 def crosstab(df: DataFrame, row: str, column: str, value: Column | None = None, to: str = "n") -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def with_stats(df: DataFrame, aggs: dict[str, Column]) -> DataFrame:
-    """``df`` with one-row aggregates on every row; the one row is a checked size."""
-    return df.join(F.broadcast(df.agg(*[c.alias(n) for n, c in aggs.items()])))
+def one_row(df: DataFrame, aggs: dict[str, Column]) -> Column:
+    """A struct of aggregates over all of ``df``, as a scalar subquery."""
+    return df.agg(F.struct(*[c.alias(n) for n, c in aggs.items()]).alias("s")).scalar()
 
 
 def scaled(df: DataFrame, column: str, how: str, to: str) -> DataFrame:
@@ -26,8 +26,8 @@ def scaled(df: DataFrame, column: str, how: str, to: str) -> DataFrame:
         "maxabs": {"a": F.lit(0.0), "b": F.max(F.abs(c))},
         "standard": {"a": F.avg(c), "b": F.stddev_pop(c)},
     }[how]
-    named = {f"__{k}": v for k, v in stats.items()}
-    return with_stats(df, named).withColumn(to, F.try_divide(c - F.col("__a"), F.col("__b"))).drop(*named)
+    s = one_row(df, stats)
+    return df.withColumn(to, F.try_divide(c - s["a"], s["b"]))
 
 
 def unit_vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -39,8 +39,8 @@ def unit_vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def imputed(df: DataFrame, columns: Sequence[str], how: str = "mean") -> DataFrame:
     """ML-1, 6, 45: nulls become the column's mean or median, 0 if it has none."""
     f = F.avg if how == "mean" else F.median
-    out = with_stats(df, {f"__{c}": f(c) for c in columns})
-    return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__{c}"), F.lit(0.0)) for c in columns}).drop(*[f"__{c}" for c in columns])
+    s = one_row(df, {f"s{i}": f(c) for i, c in enumerate(columns)})
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), s[f"s{i}"], F.lit(0.0)) for i, c in enumerate(columns)})
 
 
 def varying(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -52,9 +52,14 @@ def varying(df: DataFrame, columns: Sequence[str]) -> list[str]:
 def iqr_outliers(df: DataFrame, column: str, by: Sequence[str] = (), factor: float = 1.5) -> DataFrame:
     """ML-31: bounds from exact quartiles; Outlier beyond them."""
     c = F.col(column)
-    q = df.groupBy(*by).agg(F.percentile(c, F.lit(0.25)).alias("q1"), F.percentile(c, F.lit(0.75)).alias("q3"))
-    q = q.withColumn("lower", F.col("q1") - factor * (F.col("q3") - F.col("q1"))).withColumn("upper", F.col("q3") + factor * (F.col("q3") - F.col("q1")))
-    joined = df.join(q, list(by)) if by else df.join(F.broadcast(q))
+    quartiles = {"q1": F.percentile(c, F.lit(0.25)), "q3": F.percentile(c, F.lit(0.75))}
+    if by:
+        joined = df.join(df.groupBy(*by).agg(*[q.alias(n) for n, q in quartiles.items()]), list(by))
+    else:
+        q = one_row(df, quartiles)
+        joined = df.withColumns({n: q[n] for n in quartiles})
+    wide = factor * (F.col("q3") - F.col("q1"))
+    joined = joined.withColumns({"lower": F.col("q1") - wide, "upper": F.col("q3") + wide})
     return joined.withColumn("kind", F.when((c < F.col("lower")) | (c > F.col("upper")), "Outlier").otherwise("Inlier"))
 
 
@@ -80,12 +85,12 @@ def power_transform(df: DataFrame, column: str, kind: str, steps: int = 81) -> t
 def quantile_ranks(df: DataFrame, column: str, n: int = 100) -> DataFrame:
     """ML-14: position among n quantiles, 0..1, interpolated between them."""
     points = [i / (n - 1) for i in range(n)]
-    row = df.agg(F.percentile(column, F.array(*[F.lit(p) for p in points])).alias("__q"))
+    row = df.agg(F.percentile(column, F.array(*[F.lit(p) for p in points])).alias("q")).scalar()
     q, x = F.col("__q"), F.col(column)
     below = F.size(F.filter(q, lambda v: v <= x))
     lo, hi = F.get(q, below - 1), F.get(q, below)
     at = F.when(below == 0, 0.0).when(below >= n, 1.0).otherwise((below - 1 + F.coalesce(F.try_divide(x - lo, hi - lo), F.lit(0.0))) / (n - 1))
-    return df.join(F.broadcast(row)).withColumn(f"{column}_rank", at).drop("__q")
+    return df.withColumn("__q", row).withColumn(f"{column}_rank", at).drop("__q")
 
 
 def moments(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:

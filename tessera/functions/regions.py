@@ -164,3 +164,8 @@ def around(a: Column) -> Column:
 def large(a: Column, least: int = LARGE) -> Column:
     """Regions of at least that length (RNG-6)."""
     return F.filter(a, lambda r: r["end"] - r["start"] + 1 >= least)
+
+
+def stated_count(count: Column, a: Column) -> Column:
+    """SCL-51: the stated number, else the number of regions."""
+    return F.coalesce(F.trim(count.cast("string")).try_cast("int"), F.when(a.isNotNull(), F.size(a)))

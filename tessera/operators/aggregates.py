@@ -156,3 +156,8 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     at = {p: i for i, p in enumerate(pairs)}
     each = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{at[min(a, b), max(a, b)]}").alias("r")) for a, b in pairs])
     return row.select(F.inline(each))
+
+
+def run_means(df: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """AGG-48: mean and sample deviation of each metric over runs."""
+    return df.groupBy(*by).agg(*[f(m).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg), ("std", F.stddev_samp))])

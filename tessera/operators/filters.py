@@ -165,3 +165,24 @@ def done_codes(store: DataFrame, provider: str, method: str, statuses: Sequence[
     own = (F.col("provider") == provider) & (F.col("method") == method)
     ends = F.col("status").isin(*statuses) | ((F.col("status") == "error") & F.coalesce(F.col("error").rlike(permanent), F.lit(False)))
     return store.where(own & ends).select(F.upper("pdb_code").alias("pdb_code")).distinct()
+
+
+def complete(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """FLT-13: rows without a null in the columns, or in any."""
+    return df.dropna(subset=list(columns) if columns is not None else None)
+
+
+#: FLT-19: words in the names of the columns kept for each experimental method.
+METHOD_COLUMNS = {"X-ray": ("resolution", "r_free", "matthews", "crystal"), "EM": ("resolution", "em_", "emd"), "NMR": ("nmr", "weight"), "multi": ("resolution", "weight")}
+
+
+def method_columns(df: DataFrame, method: str) -> list[str]:
+    """FLT-19: the method's numeric columns; unknown methods get those that all have in common."""
+    numeric, _ = split_by_type(df)
+    of = {m: {c for c in numeric if any(w in c.lower() for w in words)} for m, words in METHOD_COLUMNS.items()}
+    return sorted(of.get(method, set.intersection(*of.values())))
+
+
+def cleaned(df: DataFrame, clean) -> DataFrame:
+    """UDF-3: a Column function on every text column."""
+    return df.withColumns({f.name: clean(F.col(f"`{f.name}`")) for f in df.schema.fields if isinstance(f.dataType, T.StringType)})

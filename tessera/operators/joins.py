@@ -146,3 +146,25 @@ def lookup(requests: DataFrame, key: str, sources: Sequence[tuple[str, DataFrame
     found = F.coalesce(*[F.col(f"v_{n}") for n, _ in sources])
     origin = F.coalesce(*[F.when(F.col(f"v_{n}").isNotNull(), F.lit(n)) for n, _ in sources])
     return out.select(*requests.columns, found.alias(value), origin.alias("origin"))
+
+
+def zipped(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """JOIN-17: columns of two frames side by side.  Rows are matched by a key
+    they carry; a row's position is no property of a distributed frame."""
+    return a.join(_prune(a, b, [key]), key)
+
+
+def with_features(df: DataFrame, features: DataFrame, key: str, order: str, suffix: str = "_features") -> DataFrame:
+    """JOIN-29: left join with the first row of each entity; clashing names get the suffix."""
+    return left_chain(df, [(features, suffix)], key, order)
+
+
+def pending(entities: DataFrame, store: DataFrame, key: str, canonical: Column, methods: Sequence[str], done: Column, limit: int | None = None) -> DataFrame:
+    """JOIN-32, STR-5: (canonical code, method) still to be predicted, in order.
+
+    Entities are first resolved to their canonical codes; ``done`` tells the
+    stored rows that count as complete.
+    """
+    codes = entities.select(canonical.alias(key)).where(F.col(key) != "").distinct()
+    out = missing_pairs(codes, methods, store.where(F.coalesce(done, F.lit(False))).select(F.upper(F.trim(key)).alias(key), "method"), key, "method")
+    return out.orderBy(key, "method").limit(limit) if limit is not None else out

@@ -117,3 +117,9 @@ def zscore(value: Column, by: Sequence[str]) -> Column:
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """SORT-19: a sample that depends on the keys and the seed only."""
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)).limit(n)
+
+
+def ranked(order: Order, by: Sequence[str] = ()) -> Column:
+    """WIN-8: rank with gaps, for small results if ``by`` is empty."""
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    return F.rank().over(w.orderBy(*order))

@@ -71,3 +71,22 @@ def audit(spark: SparkSession, folder: str, **event: str) -> None:
 def fasta_lines(df: DataFrame, ident: str, sequence: str) -> DataFrame:
     """SRC-26: a text column of FASTA records, to be written with ``write.text``."""
     return df.select(F.concat(F.lit(">"), F.col(ident).cast("string"), F.lit("\n"), F.col(sequence)).alias("value"))
+
+
+def batched(df: DataFrame, key: str, batches: int, folder: str) -> DataFrame:
+    """SRC-16: a costly frame written in batches by hashed key; a batch that was
+    written in full is reused when the job runs again."""
+    spark = df.sparkSession
+    part = F.pmod(F.xxhash64(key), F.lit(batches))
+    for b in range(batches):
+        at = f"{folder}/batch={b}"
+        if not exists(spark, f"{at}/_SUCCESS"):
+            df.where(part == b).write.mode("overwrite").parquet(at)
+    return spark.read.schema(df.schema).parquet(*[f"{folder}/batch={b}" for b in range(batches)])
+
+
+def progress(spark: SparkSession, folder: str, task: str, state: str, detail: str = "") -> None:
+    """STR-12: one event of a task's life: started, progress, succeeded, failed or skipped."""
+    if state not in ("started", "progress", "succeeded", "failed", "skipped"):
+        raise ValueError(f"unknown state {state!r}")
+    audit(spark, folder, task=task, state=state, detail=detail)

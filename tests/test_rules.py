@@ -172,3 +172,14 @@ def test_text_to_sql_binds_values_and_refuses_commands(spark):
     assert args == {"n0": 2.5, "v1": "1ABC", "v2": "2DEF"}
     with pytest.raises(Exception):
         run(spark, "DROP TABLE prot", {})
+
+
+def test_small_helpers(spark):
+    a = spark.createDataFrame([(1, "x", 2.0), (2, None, 3.0)], "k int, v string, resolution double")
+    assert J.zipped(a, a.withColumn("w", F.lit(1)), "k").columns == ["k", "v", "resolution", "w"]
+    assert L.complete(a).count() == 1 and L.method_columns(a, "X-ray") == ["resolution"] and L.method_columns(a, "none") == []
+    assert L.cleaned(a, lambda c: F.upper(c)).first().v == "X"
+    assert [r.n for r in spark.createDataFrame([("2", None), (None, [(1, 5, "M")]), ("x", None)], f"c string, r array<{G.REGION}>").select(G.stated_count(F.col("c"), F.col("r")).alias("n")).collect()] == [2, 1, None]
+    assert L.short_name("rcsb_primary_citation_journal_abbrev") == "rcs_pri_citation_journal_abbrev"
+    with pytest.raises(ValueError):
+        L.with_short_names(spark.createDataFrame([(1, 2)], "`a-b` int, `a_b` int"))

@@ -88,3 +88,17 @@ def test_stream_counts_as_batch(spark, tmp_path, sf_dir):
     assert spark.table("limits").count() == E.over_limit(rows, "ts", ["user_id"], 3600, 0).count()
     with pytest.raises(ValueError):
         E.run_stages({}, rows, ["none"])
+
+
+def test_batches_are_reused(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    df = spark.range(100).withColumn("v", F.col("id") * 2)
+    assert W.batched(df, "id", 3, f"{tmp_path}/b").count() == 100
+    again = W.batched(df.withColumn("v", F.raise_error(F.lit("read again")).cast("long")), "id", 3, f"{tmp_path}/b")
+    assert again.agg(F.sum("v")).first()[0] == 9900
+    W.progress(spark, f"{tmp_path}/log", "t", "started")
+    W.progress(spark, f"{tmp_path}/log", "t", "succeeded", "3 batches")
+    assert spark.read.json(f"{tmp_path}/log").count() == 2
+    with pytest.raises(ValueError):
+        W.progress(spark, f"{tmp_path}/log", "t", "oops")

@@ -127,3 +127,71 @@ def davies_bouldin(df: DataFrame, label: str, columns: Sequence[str]) -> float:
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = np.where(apart > 0, (s[:, None] + s[None]) / apart, -np.inf)
     return float(ratio.max(axis=1).mean())
+
+
+def isolation_scores(df: DataFrame, columns: Sequence[str], key: str, trees: int = 50, sample: int = 256, seed: int = 1, to: str = "isolation") -> DataFrame:
+    """ML-32, 33: isolation forest score, 0..1, high for rows that few random cuts
+    set apart.  Each tree is grown from at most ``sample`` rows of a bounded donor set."""
+    rng, known = np.random.default_rng(seed), _donors(df, columns, key, trees * sample).to_numpy(float)
+    if len(known) < 2:
+        return df.withColumn(to, F.lit(0.0))
+    size = min(sample, len(known))
+    deepest = int(np.ceil(np.log2(size)))
+
+    def rest(n: int) -> float:
+        """Mean depth of an unsuccessful search among n rows."""
+        return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+    def grow(x: np.ndarray, depth: int):
+        spread = np.flatnonzero(x.min(axis=0) < x.max(axis=0)) if len(x) else []
+        if depth >= deepest or len(x) < 2 or len(spread) == 0:
+            return depth + rest(len(x))
+        c = rng.choice(spread)
+        cut = rng.uniform(x[:, c].min(), x[:, c].max())
+        return int(c), float(cut), grow(x[x[:, c] <= cut], depth + 1), grow(x[x[:, c] > cut], depth + 1)
+
+    forest = [grow(known[rng.choice(len(known), size, replace=False)], 0) for _ in range(trees)]
+
+    def depths(node, x: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
+        if not isinstance(node, tuple):
+            out[rows] += node
+            return
+        left = x[rows, node[0]] <= node[1]
+        depths(node[2], x, rows[left], out)
+        depths(node[3], x, rows[~left], out)
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for parts in batches:
+            x = np.nan_to_num(np.column_stack([p.to_numpy(float) for p in parts]))
+            out = np.zeros(len(x))
+            for tree in forest:
+                depths(tree, x, np.arange(len(x)), out)
+            yield pd.Series(2.0 ** (-out / trees / max(rest(size), 1e-9)))
+
+    return df.withColumn(to, score(*[F.col(c).cast("double") for c in columns]))
+
+
+def labels_spread(df: DataFrame, key: str, columns: Sequence[str], label: str, eps: float, rounds: int = 5, keep: float = 0.8) -> DataFrame:
+    """ML-51: known labels spread over rows at most ``eps`` apart; in each round a
+    row's weights are its neighbours' mean, mixed with what it knew at first."""
+    pairs = close_pairs(df, key, columns, eps)
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = df.where(F.col(label).isNotNull()).select(F.col(key).alias("a"), F.col(label).alias("l"), F.lit(1.0).alias("w"))
+    degree = both.groupBy("a").agg(F.count("*").alias("n"))
+    now = first
+    for _ in range(rounds):
+        came = both.join(now.select(F.col("a").alias("b"), "l", "w"), "b").groupBy("a", "l").agg(F.sum("w").alias("w")).join(degree, "a").select("a", "l", (keep * F.col("w") / F.col("n")).alias("w"))
+        now = came.unionByName(first.withColumn("w", F.col("w") * (1 - keep))).groupBy("a", "l").agg(F.sum("w").alias("w"))
+    best = now.groupBy("a").agg(F.max_by("l", F.struct("w", "l")).alias("spread"))
+    return df.join(best.withColumnRenamed("a", key), key, "left").withColumn("spread", F.coalesce(F.col(label), F.col("spread")))
+
+
+def graph_clusters(df: DataFrame, key: str, columns: Sequence[str], eps: float, k: int) -> DataFrame:
+    """ML-49: power iteration clustering on the graph of close rows, in place of
+    spectral clustering.  ``key`` is a whole number; rows without neighbours get none."""
+    from pyspark.ml.clustering import PowerIterationClustering
+
+    edges = close_pairs(df, key, columns, eps).select(F.col("a").cast("long").alias("src"), F.col("b").cast("long").alias("dst"), F.lit(1.0).alias("weight"))
+    found = PowerIterationClustering(k=k, maxIter=15, weightCol="weight").assignClusters(edges)
+    return df.join(found.select(F.col("id").alias(key), "cluster"), key, "left")

@@ -91,3 +91,36 @@ def predicted(df: DataFrame, ident: str, sequence: str, predictors: dict[str, Ca
                     yield pd.DataFrame({"id": part["id"], "method": name, "topology": predict(part["seq"].tolist())})
 
     return df.select(F.col(ident).cast("string").alias("id"), F.col(sequence).alias("seq")).where("seq is not null").mapInPandas(run, "id string, method string, topology string")
+
+
+#: Residues counted as hydrophobic, and the charged atoms of salt bridges.
+HYDROPHOBIC = ("ALA", "VAL", "LEU", "ILE", "MET", "PHE", "TRP", "PRO")
+POSITIVE = (("LYS", "NZ"), ("ARG", "NH1"), ("ARG", "NH2"), ("HIS", "ND1"), ("HIS", "NE2"))
+NEGATIVE = (("ASP", "OD1"), ("ASP", "OD2"), ("GLU", "OE1"), ("GLU", "OE2"))
+
+
+def atoms(lines: DataFrame, entity: str, value: str = "value") -> DataFrame:
+    """Atom records of fixed-width structure lines: entity, atom, residue, number, x, y, z."""
+    at = lambda a, n: F.trim(F.substring(value, a, n))
+    rows = lines.where(F.substring(value, 1, 6) == "ATOM  ")
+    return rows.select(entity, at(13, 4).alias("atom"), at(18, 3).alias("residue"), F.concat(at(22, 1), at(23, 4)).alias("number"), *[at(31 + 8 * i, 8).try_cast("double").alias(c) for i, c in enumerate("xyz")])
+
+
+def geometry(rows: DataFrame, entity: str) -> DataFrame:
+    """ML-44: radius of gyration, extent, hydrophobic share and salt bridges of
+    each structure.  Extent is the diagonal of the bounding box; bridges come
+    from an equality join on grid cells of 4 length units."""
+    side = lambda c: F.pow(F.max(c) - F.min(c), F.lit(2))
+    ca = F.col("atom") == "CA"
+    shape = rows.groupBy(entity).agg(
+        F.count("*").alias("atoms"), F.sqrt(F.var_pop("x") + F.var_pop("y") + F.var_pop("z")).alias("gyration"), F.sqrt(side("x") + side("y") + side("z")).alias("extent"),
+        F.coalesce(F.try_divide(F.count_if(ca & F.col("residue").isin(*HYDROPHOBIC)).cast("double"), F.count_if(ca)), F.lit(0.0)).alias("hydrophobic"),
+    )
+    cell = F.array(*[F.floor(F.col(c) / 4).cast("long") for c in "xyz"])
+    charged = lambda which: rows.where(F.struct("residue", "atom").isin(*[F.struct(F.lit(a), F.lit(b)) for a, b in which]))
+    shifts = F.array(*[F.array(*[F.lit(s).cast("long") for s in (i, j, k)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    p = charged(POSITIVE).select(entity, cell.alias("cell"), F.col("number").alias("p"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
+    n = charged(NEGATIVE).select(entity, F.explode(F.transform(shifts, lambda s: F.zip_with(cell, s, lambda a, b: a + b))).alias("cell"), F.col("number").alias("n"), *[F.col(c).alias(f"n{c}") for c in "xyz"])
+    d = sum((F.pow(F.col(f"p{c}") - F.col(f"n{c}"), F.lit(2)) for c in "yz"), F.pow(F.col("px") - F.col("nx"), F.lit(2)))
+    bridges = p.join(n, [entity, "cell"]).where(d <= 16.0).groupBy(entity).agg(F.count_distinct("p", "n").alias("salt_bridges"))
+    return shape.join(bridges, entity, "left").withColumn("salt_bridges", F.coalesce("salt_bridges", F.lit(0)))

@@ -196,3 +196,26 @@ def gaussian_projection(spark, d):
     rows = table(spark, d, "embeddings")
     size = rows.select(F.max(F.size("embedding"))).first()[0]
     return N.random_projection(rows, "embedding", 8, size).select("vec_id", "projected")
+
+
+def _supplier_points(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 100).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+
+
+@query(None)
+def isolation_scores(spark, d):
+    """ML-32, ML-33."""
+    return N.isolation_scores(_supplier_points(spark, d), ["x", "y"], "s_suppkey").select("s_suppkey", "isolation")
+
+
+@query(None)
+def spread_labels(spark, d):
+    """ML-51."""
+    rows = _supplier_points(spark, d).withColumn("c", F.when(F.col("s_suppkey") % 5 == 0, F.when(F.col("x") > 50, "high").otherwise("low")))
+    return N.labels_spread(rows, "s_suppkey", ["x", "y"], "c", 8.0).select("s_suppkey", "spread")
+
+
+@query(None)
+def graph_clusters(spark, d):
+    """ML-49."""
+    return N.graph_clusters(_supplier_points(spark, d), "s_suppkey", ["x", "y"], 10.0, 3).select("s_suppkey", "cluster")

@@ -80,3 +80,28 @@ def test_scans_are_pruned_and_filters_pushed(spark, sf_dir):
     for name in ("missing_methods", "crosstab_cumsum", "alias_join", "upsert_keep_meaningful"):
         if name in relational.QUERIES:
             assert "CartesianProduct" not in plan(relational.QUERIES[name](spark, sf_dir)), name
+
+
+def test_isolation_finds_the_far_point(spark):
+    rows, _ = points(spark)
+    df = spark.createDataFrame(rows + [(99, 100.0, -100.0)], "k long, x double, y double")
+    got = {r.k: r.isolation for r in N.isolation_scores(df, ["x", "y"], "k").collect()}
+    assert max(got, key=got.get) == 99 and all(0 < v <= 1 for v in got.values())
+
+
+def test_labels_spread_within_groups(spark):
+    _, df = points(spark)
+    few = df.withColumn("c", F.when(F.col("k") == 0, "a").when(F.col("k") == 59, "b"))
+    got = N.labels_spread(few, "k", ["x", "y"], "c", 3.0).collect()
+    assert sum(r.spread == ("a" if r.k < 30 else "b") for r in got) >= 55
+    found = N.graph_clusters(df, "k", ["x", "y"], 3.0, 2).where("cluster is not null").collect()
+    assert len({r.cluster for r in found if r.k < 30}) == 1 and len({r.cluster for r in found}) == 2
+
+
+def test_geometry_of_a_small_structure(spark):
+    line = lambda i, atom, res, num, x, y, z: f"ATOM  {i:5d} {atom:<4s} {res:3s} A{num:4d}    {x:8.3f}{y:8.3f}{z:8.3f}  1.00  0.00"
+    text = [line(1, " CA", "ALA", 1, 0, 0, 0), line(2, " CA", "LYS", 2, 3, 0, 0), line(3, " NZ", "LYS", 2, 3, 3, 0), line(4, " OD1", "ASP", 3, 3, 6.5, 0), "HETATM junk"]
+    lines = spark.createDataFrame([("e", t) for t in text], "entity string, value string")
+    r = C.geometry(C.atoms(lines, "entity"), "entity").first()
+    xyz = np.array([[0, 0, 0], [3, 0, 0], [3, 3, 0], [3, 6.5, 0]])
+    assert r.atoms == 4 and r.salt_bridges == 1 and r.hydrophobic == 0.5 and abs(r.gyration - np.sqrt(xyz.var(axis=0).sum())) < 1e-9 and abs(r.extent - np.sqrt(9 + 6.5**2)) < 1e-9

@@ -105,7 +105,9 @@ def _groups(rows: DataFrame, doc_id: str) -> DataFrame:
     """Rows ``__uid, doc_id, identity…, keep, n`` of a written narrow table."""
     key = ["__n", "__name", "__rank"]
     best = rows.groupBy(*key).agg(F.max(F.struct(F.col(doc_id).alias("d"), F.col("__uid").alias("u"))).alias("__best"), F.count("*").alias("__size"))
-    return rows.join(best, key)
+    # Written first: with a plain shuffle on both sides the join of a large
+    # group can be split at run time.
+    return rows.join(materialize(best, "groups"), key)
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, mask: int = -1) -> DataFrame:

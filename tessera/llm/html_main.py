@@ -224,7 +224,7 @@ def template_hashes(pages: DataFrame, host: Column, html: str = "html", min_page
             yield pd.DataFrame({"host": [r[0] for r in rows], "hash": pd.array([r[1] for r in rows], "Int64"), "body": [r[2] for r in rows]})
 
     seen = pages.select(host.alias("host"), text_of(pages, html).alias("html")).mapInPandas(run, "host string, hash bigint, body bigint").distinct()
-    counts = seen.groupBy("host", "hash").agg(F.count("*").alias("n"))
+    counts = materialize(seen.groupBy("host", "hash").agg(F.count("*").alias("n")), "subtrees")
     total = counts.where("hash is null").select("host", F.col("n").alias("pages"))
     often = counts.where("hash is not null").join(total, "host").where((F.col("n") >= min_pages) & (F.col("n") >= F.col("pages") * min_share))
     return often.groupBy("host").agg(F.collect_set("hash").alias("hashes"))

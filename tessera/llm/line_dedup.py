@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, shared_dir, text_of
+from .common import SPACES, ascii_lower, materialize, shared_dir, text_of
 
 
 def line_key(line: Column) -> Column:
@@ -94,7 +94,10 @@ class LineRuns:
         the runs hold in ``min_docs`` documents at least."""
         base = docs.select(F.col(doc_id).alias("doc_id"), text_of(docs, text).alias("body"))
         mine = base.select("doc_id", F.explode(line_hashes(F.col("body"))).alias("h"))
-        hot = mine.join(self.seen(min_docs).hint("merge"), "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("hot")).withColumnRenamed("doc_id", "hot_id")
+        # Written first: with a plain shuffle on both sides the rows of a very
+        # common line can be split at run time.
+        often = materialize(self.seen(min_docs), "often").hint("merge")
+        hot = mine.join(often, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("hot")).withColumnRenamed("doc_id", "hot_id")
         both = base.join(hot, base["doc_id"].eqNullSafe(hot["hot_id"]), "left")
         lines = lines_of(F.col("body"))
         kept = F.when(F.col("hot").isNull(), lines).otherwise(

@@ -115,7 +115,8 @@ def labelled(rows: DataFrame, fp: list[str], segments: int, radius: int, indexed
     reachable over fingerprints that differ in ``radius`` bits at most.  The
     first ``indexed`` of the parts ``fp`` are cut into segments."""
     nodes = materialize(rows.groupBy(*fp).agg(F.min(ident).alias("node")), "nodes")
-    variants = _variants(nodes, fp[:indexed], segments)
+    # Dealt by key once; the grouping and the join read the same shuffle.
+    variants = _variants(nodes, fp[:indexed], segments).repartition("key")
     shared = variants.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
     buckets = materialize(variants.join(shared, "key").select("key", "node", "hub"), "buckets")
 

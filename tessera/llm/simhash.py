@@ -11,7 +11,8 @@ fingerprint is compared with its bucket's smallest one, which joins dense
 groups in linear work; the components so far are computed, and buckets that
 hold a single component are done.  In the others only fingerprints of different
 components are compared, all of them, so that no link is lost.  Equal
-fingerprints are one node from the start.
+fingerprints are one node from the start, and each has a number of its own:
+doc_ids may be null or repeated, and only name a component at the end.
 
 With ``radius`` <= 2 * segments - 1 every link is found.  For a similarity of
 shingle sets a longer fingerprint is used: its first 64-bit parts are indexed,
@@ -19,8 +20,9 @@ so that candidates are found with high probability, and all its parts verify.
 
 Defined cases: a null text is the empty text; a text without words has the
 fingerprint zero and is linked like any other; fewer words than a shingle make
-one shingle; a null doc_id counts as the smallest id and comes back as null;
-an empty table gives an empty table.
+one shingle; a null doc_id links nothing, and a component is named by the
+smallest doc_id it has (null if it has none); an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -112,9 +114,10 @@ def _apart(a: list[Column], b: list[Column]) -> Column:
 
 def labelled(rows: DataFrame, fp: list[str], segments: int, radius: int, indexed: int, ident: str = "id") -> DataFrame:
     """``rows`` (a written table) with ``component``: the smallest ``ident``
-    reachable over fingerprints that differ in ``radius`` bits at most.  The
+    reachable over fingerprints that differ in ``radius`` bits at most, and
+    ``group``: a number of the component's own, whatever ``ident`` holds.  The
     first ``indexed`` of the parts ``fp`` are cut into segments."""
-    nodes = materialize(rows.groupBy(*fp).agg(F.min(ident).alias("node")), "nodes")
+    nodes = materialize(rows.groupBy(*fp).agg(F.min(ident).alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     # Dealt by key once; the grouping and the join read the same shuffle.
     variants = _variants(nodes, fp[:indexed], segments).repartition("key")
     shared = variants.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
@@ -140,17 +143,17 @@ def labelled(rows: DataFrame, fp: list[str], segments: int, radius: int, indexed
     ).select(F.col("l.label").alias("a"), F.col("r.label").alias("b"))
     links = first.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(cross.distinct())
     last = components(links)
-    of_node = nodes.join(last, "node", "left").select(*fp, F.coalesce("label", "node").alias("component"))
-    return rows.join(of_node, fp)
+    of_node = materialize(nodes.join(last, "node", "left").select(*fp, "least", F.coalesce("label", "node").alias("group")), "groups")
+    named = of_node.groupBy("group").agg(F.min("least").alias("component"))
+    return rows.join(of_node.join(named, "group").select(*fp, "group", "component"), fp)
 
 
 def near_groups(docs: DataFrame, width: int = 3, radius: int = 3, segments: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row."""
-    base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LEAST)).alias("id"), F.col(text).alias("text"))
+    base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     rows = materialize(with_fingerprint(base, ["f0"], width).select("id", "f0"), "fingerprints")
     out = labelled(rows, ["f0"], segments, radius, 1)
-    back = lambda c: F.nullif(F.col(c), F.lit(_LEAST))
-    return out.select(back("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), back("component").alias("component_id"))
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def radius_for(similarity: float, bits: int, slack: float = 0.0) -> int:
@@ -173,8 +176,8 @@ def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, p
     given = lambda df: {ident: F.coalesce(df[doc_id].cast("long"), F.lit(_LEAST)), mark: F.xxhash64(text_of(df, text))}
     base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LEAST)).alias("id"), F.xxhash64(text_of(docs, text)).alias("mark"), text_of(docs, text).alias("text"))
     rows = materialize(with_fingerprint(base, fp, width).select("id", "mark", *fp), "fingerprints")
-    out = materialize(labelled(rows, fp, segments, radius_for(similarity, 64 * parts, slack), indexed).select("id", "mark", "component"), "near")
+    out = materialize(labelled(rows, fp, segments, radius_for(similarity, 64 * parts, slack), indexed).select("id", "mark", "group"), "near")
     # Of rows with the component's id (repeated ids) the smallest mark stays.
-    stays = out.groupBy("component").agg(F.min(F.struct("id", "mark")).alias("s"))
-    lost = out.join(stays, "component").where((F.col("id") != F.col("s.id")) | (F.col("mark") != F.col("s.mark"))).select(F.col("id").alias(ident), F.col("mark").alias(mark)).distinct()
+    stays = out.groupBy("group").agg(F.min(F.struct("id", "mark")).alias("s"))
+    lost = out.join(stays, "group").where((F.col("id") != F.col("s.id")) | (F.col("mark") != F.col("s.mark"))).select(F.col("id").alias(ident), F.col("mark").alias(mark)).distinct()
     return docs.withColumns(given(docs)).join(lost, [ident, mark], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

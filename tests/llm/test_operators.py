@@ -344,6 +344,19 @@ def test_simhash_odd_rows(odd):
     assert simhash.near_groups(empty(odd)).count() == 0
 
 
+def test_simhash_null_and_repeated_ids(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    lone, repeated, shared = [text() for _ in range(6)], [text() for _ in range(6)], text()
+    docs = spark.createDataFrame([(None, t) for t in lone] + [(7, t) for t in repeated] + [(None, shared), (9, shared), (8, shared)], "doc_id long, text string")
+    got = simhash.near_groups(docs).collect()
+    assert len({r.fingerprint for r in got}) == 13
+    of = {f"{plain_fingerprint(t):016x}": t for t in [*lone, *repeated, shared]}
+    assert all(r.component_id == (None if of[r.fingerprint] in lone else 7 if of[r.fingerprint] in repeated else 8) for r in got)
+    kept = sorted(((r.doc_id, r.text) for r in simhash.drop_near_copies(docs).collect()), key=str)
+    assert kept == sorted([(None, t) for t in [*lone, shared]] + [(7, t) for t in repeated], key=str)
+
+
 def test_near_copies_go(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))

@@ -14,9 +14,15 @@ components are compared, all of them, so that no link is lost.  Equal
 fingerprints are one node from the start, and each has a number of its own:
 doc_ids may be null or repeated, and only name a component at the end.
 
-With ``radius`` <= 2 * segments - 1 every link is found.  For a similarity of
-shingle sets a longer fingerprint is used: its first 64-bit parts are indexed,
-so that candidates are found with high probability, and all its parts verify.
+With ``radius`` <= 2 * segments - 1 every link is found.  A similarity of
+shingle sets is not decided by bits at all: at 0.8 about 15 % of them differ,
+so no radius keeps the pairs above apart from those below.  The fingerprints
+there only propose candidates among close copies, and a second index proposes
+the rest: ordered in one way for all texts, a set of n shingles shares one of
+its first n - ceil(0.8 n) + 1 with every set alike at 0.8 (prefix filter), so no
+pair is missed.  Candidates are first held against what two sets must differ in
+at least (bit maps of the parity of their hashes differ in no more bits than the
+sets in shingles), then decided by their exact Jaccard similarity.
 
 Defined cases: a null text is the empty text; a text without words has the
 fingerprint zero and is linked like any other; fewer words than a shingle make
@@ -44,6 +50,9 @@ SEED = 42
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _LEAST = -(1 << 63)
+#: Shingles frequent in every SAMPLE-th document are ordered last; at most
+#: MAX_FREQUENT of them.  Any order finds every pair, this one keeps buckets small.
+SAMPLE, FREQUENT, MAX_FREQUENT = 16, 8, 1 << 16
 
 
 def shingles(text: str, width: int) -> list[bytes]:
@@ -93,8 +102,8 @@ def with_fingerprint(docs: DataFrame, to: list[str], width: int, text: str = "te
     return df.withColumns({c: F.get(F.col(at), F.lit(i)) for i, c in enumerate(to)}).drop(at)
 
 
-def _variants(nodes: DataFrame, fp: list[str], segments: int) -> DataFrame:
-    """(key, node) for each bit: the bit's segment without the bit.
+def _variants(nodes: DataFrame, fp: list[str], segments: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, node, *also) for each bit: the bit's segment without the bit.
 
     ``segments`` per 64-bit part; a segment's borders are 64 * i / segments.
     """
@@ -102,10 +111,10 @@ def _variants(nodes: DataFrame, fp: list[str], segments: int) -> DataFrame:
     masks = [((1 << edges[s + 1]) - (1 << edges[s])) & ~(1 << b) for s in range(segments) for b in range(edges[s], edges[s + 1])]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     bits = F.explode(F.sequence(F.lit(0), F.lit(64 * len(fp) - 1))).alias("bit")
-    df = nodes.select("node", *fp, bits)
+    df = nodes.select("node", *also, *fp, bits)
     part = F.get(F.array(*fp), F.floor(F.col("bit") / 64).cast("int"))
     mask = F.get(F.array(*[F.lit(m).cast("long") for m in masks]), F.col("bit") % 64)
-    return df.select(F.xxhash64("bit", part.bitwiseAND(mask)).alias("key"), "node")
+    return df.select(F.xxhash64("bit", part.bitwiseAND(mask)).alias("key"), "node", *also)
 
 
 def _apart(a: list[Column], b: list[Column]) -> Column:
@@ -156,27 +165,107 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 3, segments: int
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def radius_for(similarity: float, bits: int, slack: float = 0.0) -> int:
-    """Differing bits expected at a Jaccard similarity of shingle sets: sets of
-    similarity s have cosine 2s / (1 + s), and a bit differs with probability
-    angle / pi.  ``slack`` standard deviations are added, for the estimate's noise."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """The sorted 64-bit hashes of the different shingles; a text without words
+    has the hash of the empty text."""
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(p, SEED) for p in shingles(text, width) or [b""]], np.uint64).view(np.int64))
+
+
+def prefix_size(n: int, similarity: float) -> int:
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def parity_map(h: np.ndarray) -> np.ndarray:
+    """1024 bits as 16 signed numbers: whether an odd number of hashes has the bit."""
+    odd = np.bincount(h & 1023, minlength=1024).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
+def _frequent(base: DataFrame, width: int) -> np.ndarray:
+    """Sorted hashes of shingles that many sampled documents hold."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def all_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, width) for t in texts], dtype=object)
+
+    seen = base.where(F.pmod("mark", F.lit(SAMPLE)) == 0).select(F.explode(all_of("text")).alias("h")).groupBy("h").count()
+    top = seen.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).toPandas()  # at most MAX_FREQUENT rows
+    return np.sort(top["h"].to_numpy(np.int64))
 
 
-def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, parts: int = 16, indexed: int = 4, segments: int = 3, slack: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _prefixes(base: DataFrame, width: int, similarity: float, late: np.ndarray) -> DataFrame:
+    """(id, mark, node, n, f0, prefix, parity) of every row, written."""
+
+    @F.pandas_udf("n int, f0 long, prefix array<long>, parity array<long>")
+    def index(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for t in texts:
+                h = shingle_set(t, width)
+                last = np.isin(h, late) if len(late) else np.zeros(len(h), bool)
+                rows.append((len(h), fingerprint(t, width)[0], np.concatenate([h[~last], h[last]])[: prefix_size(len(h), similarity)], parity_map(h)))
+            yield pd.DataFrame({"n": np.array([r[0] for r in rows], np.int32), "f0": np.array([r[1] for r in rows], np.int64), "prefix": pd.Series([r[2] for r in rows], dtype=object), "parity": pd.Series([r[3] for r in rows], dtype=object)})
+
+    return materialize(base.withColumn("x", index("text")).select("id", "mark", F.monotonically_increasing_id().alias("node"), "x.*"), "prefixes")
+
+
+def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document, the smallest doc_id, of each group of texts
-    whose fingerprints of 64 * ``parts`` bits show the similarity.
+    linked by shingle sets with at least the Jaccard ``similarity``.
 
     Rows with equal doc_id and text count as one document and stay or go
     together; drop exact copies first.
     """
-    fp = [f"f{i}" for i in range(parts)]
     ident, mark = fresh(docs, "id", "mark")
     given = lambda df: {ident: F.coalesce(df[doc_id].cast("long"), F.lit(_LEAST)), mark: F.xxhash64(text_of(df, text))}
     base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LEAST)).alias("id"), F.xxhash64(text_of(docs, text)).alias("mark"), text_of(docs, text).alias("text"))
-    rows = materialize(with_fingerprint(base, fp, width).select("id", "mark", *fp), "fingerprints")
-    out = materialize(labelled(rows, fp, segments, radius_for(similarity, 64 * parts, slack), indexed).select("id", "mark", "group"), "near")
+    nodes = _prefixes(base, width, similarity, _frequent(base, width))
+    at = lambda c: F.struct("node", "n", "place").alias(c)
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, width) for t in texts], dtype=object)
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, ...) of nodes with the similarity; shingles are only made of texts in a pair that the bit maps let through."""
+        maps = [nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"m{c}")) for c in "ab"]
+        words = [[F.get(f"m{c}", F.lit(i)) for i in range(16)] for c in "ab"]
+        least = _apart(*words) <= (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        pairs = materialize(pairs.join(maps[0], "a").join(maps[1], "b").where(least).select(*pairs.columns), "pairs")
+        need = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id", "mark"), "node"), "need")
+        sets = materialize(base.join(need, ["id", "mark"]).dropDuplicates(["node"]).select("node", hashes("text").alias("s")), "sets")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select(*pairs.columns)
+
+    def possible(a: str, b: str) -> Column:
+        """Whether sets of these sizes can be alike, and, if this is the first shingle that they share, what follows it can still make the overlap."""
+        n, m = F.col(f"{a}n"), F.col(f"{b}n")
+        follow = F.least(n - F.col(f"{a}place"), m - F.col(f"{b}place"))
+        return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6) & (follow >= (n + m) * (similarity / (1 + similarity)) - 1e-6)
+
+    def bucketed(keys: DataFrame) -> DataFrame:
+        """The rows of keys with two nodes or more, and the bucket's hub."""
+        dealt = keys.repartition("key")
+        shared = dealt.groupBy("key").agg(F.min(at("hub")).alias("hub"), F.max("node").alias("last")).where("hub.node < last").select("key", "hub")
+        return materialize(dealt.join(shared, "key").select("key", "node", "n", "place", "hub"), "buckets")
+
+    close = bucketed(_variants(nodes, ["f0"], 2, ("n",)).withColumn("place", F.lit(0)))
+    buckets = bucketed(nodes.select(F.posexplode("prefix").alias("place", "key"), "node", "n"))
+    hubs = close.unionByName(buckets).where((F.col("node") != F.col("hub.node")) & possible("", "hub."))
+    stars = materialize(alike(hubs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()), "stars")
+    first = materialize(components(stars), "first")
+    # Prefix buckets that still hold more than one component: compare across them.
+    mine = buckets.join(first, "node", "left").select("key", "node", "n", "place", F.coalesce("label", "node").alias("label"))
+    mixed = mine.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    rest = materialize(mine.join(mixed, "key", "left_semi"), "rest")
+    l, r = rest.alias("l"), rest.alias("r")
+    cross = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.label") < F.col("r.label")) & possible("l.", "r."))
+    pairs = cross.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.col("l.label").alias("c"), F.col("r.label").alias("d")).distinct()
+    links = alike(pairs).select(F.col("c").alias("a"), F.col("d").alias("b")).distinct()
+    last = components(first.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))
+    out = materialize(nodes.select("id", "mark", "node").join(last, "node", "left").select("id", "mark", F.coalesce("label", "node").alias("group")), "near")
     # Of rows with the component's id (repeated ids) the smallest mark stays.
     stays = out.groupBy("group").agg(F.min(F.struct("id", "mark")).alias("s"))
     lost = out.join(stays, "group").where((F.col("id") != F.col("s.id")) | (F.col("mark") != F.col("s.mark"))).select(F.col("id").alias(ident), F.col("mark").alias(mark)).distinct()

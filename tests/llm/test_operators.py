@@ -373,6 +373,34 @@ def test_near_copies_go(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(x for g in range(12) for x in (10 * g, 10 * g + 2))
 
 
+def test_near_copies_equal_brute_force_around_the_similarity(spark):
+    rng, texts = random.Random(11), []
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(40)]  # in many texts, makes none alike
+    for g in range(60):
+        base = [word() for _ in range(rng.choice((10, 40, 120, 300)))]
+        base = base + passage if g % 3 == 0 else base
+        texts.append(" ".join(base))
+        for _ in range(3):
+            near = list(base)
+            for i in rng.sample(range(len(near)), max(1, round(len(near) * rng.uniform(0.01, 0.05)))):
+                near[i] = word()
+            texts.append(" ".join(near))
+        texts.append(" ".join(base[:-1] + [word()]))  # of 10 words: 5 of 7 shingles
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    root, at = list(range(len(texts))), []
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            at += [j] if 0.7 <= j < 0.9 else []
+            if j >= 0.8:
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    assert sum(j >= 0.8 for j in at) > 20 and sum(j < 0.8 for j in at) > 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == sorted(set(root))
+
+
 # --- op9, op10 -----------------------------------------------------------------
 def test_line_dedup(spark, sf_dir, texts, odd):
     key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))

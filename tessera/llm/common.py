@@ -6,6 +6,7 @@ library imports this subpackage.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -16,17 +17,22 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LEAST = -(1 << 63)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees, as the session names it.
 
-    ``spark.checkpoint.dir`` comes from the cluster.  Where it is unset, as in
-    tests, a temporary folder takes its place.
+    ``spark.checkpoint.dir`` comes from the cluster.  Only a session on a local
+    master, whose executor is the driver, may do without it and gets a
+    temporary folder; elsewhere a folder of one machine would lose rows, so it
+    is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
@@ -36,10 +42,50 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, row
     ids and sampled bounds are fixed, and the planner knows the true size."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).write(df, tag)
+
+
+class Scratch:
+    """Tables written on the way to a result.
+
+    Used as a context, it deletes them at the end, but for those that ``keep``
+    has named because the lazy result still reads them; ``drop`` deletes one
+    early.  Only what was written under this object is ever deleted.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, tag: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.paths.pop(id(df), None)
+        return df
+
+    def keep_tagged(self, tag: str) -> None:
+        self.paths = {k: x for k, x in self.paths.items() if f"/{tag}-" not in x[1]}
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables, and let Spark clean up the shuffles behind them, which
+        it does once the driver has collected its garbage."""
+        jvm = self.spark.sparkContext._jvm
+        for df in tables:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df))[1])
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if tables:
+            gc.collect()
+            jvm.System.gc()
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop(*[df for df, _ in self.paths.values()])
 
 
 def text_of(df: DataFrame, column: str = "text") -> Column:

@@ -1,17 +1,24 @@
 """Exact deduplication by deterministic block naming.
 
-Every text is cut into blocks of a fixed number of code points and each block
-gets an integer name.  Adjacent names are then named in pairs, level by level,
-until one name is left per document; with the number of code points it is the
-document's identity.  Names are two 64-bit integers computed from the content,
-so equal contents have equal names everywhere without moving a text, and each
-distinct (level, name, content) is compared in Spark: a name that stands for
-two contents is found, and the documents that hold it are told apart by
-sorting their texts.  The identity is therefore free of collisions.
-
-Defined cases: a null text is the empty text; rows repeated with the same
+Every text is cut into blocks of a fixed number of code points.  The distinct
+blocks are sorted by range partitioning and a block's name is its place in that
+order: an integer.  Then adjacent names are named in pairs in the same way,
+level by level (an odd last name is paired with none), until one name is left
+for each document.  With the number of code points, which fixes the number of
+blocks, it is the document's identity: equal identities mean equal texts.
+
+A block enters the sort as a key of two 64-bit hashes of its content, so the
+contents themselves are shuffled once only, with copies combined before the
+shuffle, to prove that no key stands for two contents.  Where one does, its
+contents are sorted and their place is part of the key.  Names are thus free of
+collisions, the same for any partitioning, and all further shuffles carry
+numbers only.
+
+Defined cases: a null text is the empty text; the empty text has no block and
+its own identity; a very long text has more levels; rows repeated with the same
 doc_id are members of one group and exactly one of them is kept; a null doc_id
-is lower than any other; an empty table gives an empty table.
+is lower than any other; columns of any name are carried along; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,117 +26,127 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, text_of
+from .common import Scratch, text_of
 
 BLOCK = 4096
+_ROW = (1 << 33) - 1  # monotonically_increasing_id: row within the partition
 
 
-def _name(mask: int, *parts: Column) -> Column:
+def _key(content: Column, mask: int) -> Column:
     """Two independent 64-bit integers; ``mask`` shortens them in tests."""
-    a, b = F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)
+    a, b = F.xxhash64(content), F.xxhash64(F.lit(1), content)
     if mask != -1:
         a, b = a.bitwiseAND(F.lit(mask).cast("long")), F.lit(0).cast("long")
     return F.struct(a.alias("a"), b.alias("b"))
 
 
-def _level_up(df: DataFrame, names: str, to: str, pairs: str, mask: int) -> DataFrame:
-    """One round: names of adjacent pairs, an odd last name moves up as it is."""
-    n = F.size(names)
-    pair = F.transform(
-        F.when(n > 1, F.sequence(F.lit(0), F.floor(n / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.get(names, i * 2).alias("l"), F.get(names, i * 2 + 1).alias("r")),
-    )
-    df = df.withColumn(pairs, pair)
-    up = F.transform(pairs, lambda p: _name(mask, p["l"]["a"], p["l"]["b"], p["r"]["a"], p["r"]["b"]))
-    last = F.when(n % 2 == 1, F.slice(F.col(names), F.lit(-1), F.lit(1))).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
-    return df.withColumn(to, F.concat(up, last))
+def _blocks(text: Column, block: int) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
 
 
-def named(docs: DataFrame, text: str = "text", block: int = BLOCK, mask: int = -1) -> DataFrame:
-    """``docs`` with ``__n`` (code points), ``__name`` (struct of two longs),
-    ``__uid`` (row number of this written copy) and ``__rank`` (0, but for
-    texts whose names collide).  The result is written to the shared folder.
+def sorted_names(keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """The distinct rows of ``keys`` with ``name``: their place in sorted order.
 
-    Columns of ``docs`` that begin with ``__`` are not allowed.
+    Range partitions are sorted and numbered each on its own; a partition's
+    first number is the size of those before it (one row a partition).
     """
-    body = text_of(docs, text)
-    longest = docs.agg(F.max(F.length(body))).first()[0] or 0
-    levels = max(0, (max(1, -(-longest // block)) - 1).bit_length())
-    rows = materialize(docs.withColumn("__uid", F.monotonically_increasing_id()), "named")
-    df = rows.withColumn("__text", text_of(rows, text))
-    df = df.withColumn("__blocks", F.regexp_extract_all("__text", F.lit(f"(?s).{{1,{block}}}"), F.lit(0)))
-    df = df.withColumn("__names0", F.transform("__blocks", lambda b: _name(mask, b)))
-    for k in range(levels):
-        df = _level_up(df, f"__names{k}", f"__names{k + 1}", f"__pairs{k}", mask)
-
-    def entry(level: int, name: Column, content: Column) -> Column:
-        return F.struct(F.lit(level).alias("level"), name.alias("name"), content.alias("content"))
-
-    entries = [F.transform("__blocks", lambda b: entry(0, _name(mask, b), b))]
-    for k in range(levels):
-        entries.append(
-            F.transform(
-                f"__pairs{k}",
-                lambda p, k=k: entry(
-                    k + 1,
-                    _name(mask, p["l"]["a"], p["l"]["b"], p["r"]["a"], p["r"]["b"]),
-                    F.concat_ws(",", p["l"]["a"].cast("string"), p["l"]["b"].cast("string"), p["r"]["a"].cast("string"), p["r"]["b"].cast("string")),
-                ),
-            )
-        )
-    said = df.select(F.explode(F.array_distinct(F.concat(*entries))).alias("e")).select("e.level", "e.name", "e.content")
-    clash = materialize(
-        said.groupBy("level", "name", "content").agg(F.lit(1).alias("one")).groupBy("level", "name").agg(F.count("*").alias("n")).where("n > 1").select("level", "name"),
-        "clash",
-    )
-    zero = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
-    one = F.coalesce(F.get(f"__names{levels}", F.lit(0)), zero)
-    keep = [F.col(f"`{c}`") for c in rows.columns]
-    out = df.select(*keep, F.length("__text").cast("long").alias("__n"), one.alias("__name"))
-    if clash.isEmpty():
-        return out.withColumn("__rank", F.lit(0))
-    every = df.select(
-        "__uid",
-        F.explode(F.array_distinct(F.concat(*[F.transform(f"__names{k}", lambda x, k=k: F.struct(F.lit(k).alias("level"), x.alias("name"))) for k in range(levels + 1)]))).alias("e"),
-    ).select("__uid", "e.level", "e.name")
-    hit = every.join(clash, ["level", "name"], "left_semi").select("__uid").distinct().withColumn("__hit", F.lit(True))
-    out = out.join(hit, "__uid", "left")
-    told = (
-        out.where("__hit")
-        .withColumn("__rank", F.dense_rank().over(Window.partitionBy("__n", "__name").orderBy(text_of(out, text))))
-    )
-    return out.where("__hit is null").withColumn("__rank", F.lit(0)).unionByName(told).drop("__hit")
-
-
-def _groups(rows: DataFrame, doc_id: str) -> DataFrame:
-    """Rows ``__uid, doc_id, identity…, keep, n`` of a written narrow table."""
-    key = ["__n", "__name", "__rank"]
-    best = rows.groupBy(*key).agg(F.max(F.struct(F.col(doc_id).alias("d"), F.col("__uid").alias("u"))).alias("__best"), F.count("*").alias("__size"))
+    by = keys.columns
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = keys.distinct().repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id())
+    rows = scratch.write(rows, "names").withColumn("part", F.shiftright("at", 33))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(F.broadcast(sizes.select("part", before.alias("before"))), "part").select(*by, (F.col("before") + F.col("at").bitwiseAND(F.lit(_ROW))).alias("name"))
+
+
+def identities(docs: DataFrame, doc_id: str, text: str, block: int, mask: int, scratch: Scratch) -> DataFrame:
+    """(uid, d, n, sha, name) for every row: a row number, its doc_id, the
+    number of code points, the text's SHA-256 and the last name (null for the
+    empty text).  A written table without texts."""
+    base = docs.select(docs[doc_id].alias("d"), text_of(docs, text).alias("text"))
+    keys = F.transform(_blocks(F.col("text"), block), lambda b: _key(b, mask))
+    rows = scratch.write(base.select(F.monotonically_increasing_id().alias("uid"), "d", F.length("text").cast("long").alias("n"), F.unhex(F.sha2("text", 256)).alias("sha"), keys.alias("keys")), "rows")
+    cells = rows.select("uid", "sha", F.size("keys").alias("left"), F.posexplode("keys").alias("pos", "key")).select("uid", "sha", "left", "pos", "key.a", "key.b")
+    if _clash(base, block, mask):
+        cells = cells.join(_clashes(base, block, mask), ["sha", "pos"])
+    else:
+        cells = cells.withColumn("tie", F.lit(0))
+    names = sorted_names(cells.select("a", "b", "tie"), scratch)
+    cells = scratch.write(cells.join(names, ["a", "b", "tie"]).select("uid", "left", "pos", "name"), "cells")
+    done = [cells.where("left = 1").select("uid", "name")]
+    longest = rows.agg(F.max(F.size("keys"))).first()[0] or 0
+    while longest > 1:
+        longest = -(-longest // 2)
+        half = F.when(F.col("pos") % 2 == 0, F.col("name")), F.when(F.col("pos") % 2 == 1, F.col("name"))
+        pairs = cells.where("left > 1").groupBy("uid", F.floor(F.col("left") / 2 + 0.5).cast("int").alias("left"), F.floor(F.col("pos") / 2).cast("int").alias("pos"))
+        pairs = scratch.write(pairs.agg(F.max(half[0]).alias("l"), F.coalesce(F.max(half[1]), F.lit(-1)).alias("r")), "pairs")
+        names = sorted_names(pairs.select("l", "r"), scratch)
+        cells = scratch.write(pairs.join(names, ["l", "r"]).select("uid", "left", "pos", "name"), "cells")
+        done.append(cells.where("left = 1").select("uid", "name"))
+    last = done[0]
+    for more in done[1:]:
+        last = last.unionByName(more)
+    return scratch.write(rows.drop("keys").join(last, "uid", "left"), "identity")
+
+
+def _clash(base: DataFrame, block: int, mask: int) -> bool:
+    """Whether any key stands for two contents; the only shuffle of contents."""
+    said = base.select(F.explode(_blocks(F.col("text"), block)).alias("content")).select(_key(F.col("content"), mask).alias("key"), "content").select("key.a", "key.b", "content")
+    twice = said.groupBy("a", "b", "content").agg(F.lit(1).alias("one")).groupBy("a", "b").agg(F.count("*").alias("k")).where("k > 1")
+    return not twice.limit(1).isEmpty()
+
+
+def _clashes(base: DataFrame, block: int, mask: int) -> DataFrame:
+    """(sha, pos, tie): the place of a block among the sorted contents of its key."""
+    cells = base.select(F.unhex(F.sha2("text", 256)).alias("sha"), F.posexplode(_blocks(F.col("text"), block)).alias("pos", "content")).distinct()
+    cells = cells.withColumn("key", _key(F.col("content"), mask))
+    ranks = cells.select("key", "content").distinct().withColumn("tie", F.row_number().over(Window.partitionBy("key").orderBy("content")))
+    return cells.join(ranks, ["key", "content"]).select("sha", "pos", "tie")
+
+
+def _grouped(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rows`` with ``best`` (d and uid of the row that stays) and ``size``."""
+    best = rows.groupBy("n", "name").agg(F.max(F.struct("d", "uid")).alias("best"), F.count("*").alias("size"))
     # Written first: with a plain shuffle on both sides the join of a large
     # group can be split at run time.
-    return rows.join(materialize(best, "groups"), key)
+    best = scratch.write(best.withColumnRenamed("n", "m"), "groups")
+    return rows.join(best.withColumnRenamed("name", "last"), (F.col("n") == F.col("m")) & F.col("name").eqNullSafe(F.col("last")))
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, mask: int = -1) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    base = docs.select(F.col(doc_id), F.col(text))
-    full = named(base, text, block, mask)
-    rows = materialize(full.select("__uid", doc_id, "__n", "__name", "__rank", F.sha2(text_of(full, text), 256).alias("__sha")), "identity")
-    return _groups(rows, doc_id).select(
-        F.col(doc_id).alias("doc_id"),
-        F.col("__best.d").alias("keep_id"),
-        F.col("__size").cast("long").alias("group_size"),
-        (F.col("__best.u") == F.col("__uid")).alias("kept"),
-        F.col("__sha").alias("text_sha256"),
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.keep(identities(docs, doc_id, text, block, mask, scratch))
+        out = _grouped(rows, scratch)
+        scratch.keep_tagged("groups")
+    return out.select(
+        F.col("d").alias("doc_id"),
+        F.col("best.d").alias("keep_id"),
+        F.col("size").cast("long").alias("group_size"),
+        (F.col("best.uid") == F.col("uid")).alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
 def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """``docs`` without all but one row (the largest doc_id) of equal texts."""
-    mine = fresh(docs, "c")[0]
-    back = [F.col(f"`{mine}{i}`").alias(c) for i, c in enumerate(docs.columns)]
-    at = {c: f"{mine}{i}" for i, c in enumerate(docs.columns)}
-    full = named(docs.toDF(*at.values()), at[text], block)
-    narrow = materialize(full.select("__uid", at[doc_id], "__n", "__name", "__rank"), "identity")
-    lost = _groups(narrow, at[doc_id]).where(F.col("__best.u") != F.col("__uid")).select("__uid")
-    return full.join(lost, "__uid", "left_anti").select(*back)
+    """``docs`` without all but one row (the largest doc_id) of equal texts.
+
+    Of rows with that doc_id and text the one whose hash is least stays.
+    """
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    back = [F.col(n).alias(c) for c, n in at.items()]
+    ident = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    with Scratch(docs.sparkSession) as scratch:
+        rows = _grouped(identities(docs, doc_id, text, block, -1, scratch), scratch)
+        rows = scratch.write(rows.where("size > 1").select(ident(F.col("d")).alias("i"), "sha", ident(F.col("best.d")).alias("j"), (F.col("best.uid") == F.col("uid")).alias("stays")), "copies")
+        lost = scratch.keep(scratch.write(rows.where("i <> j").select("i", "sha").distinct(), "lost"))
+        again = scratch.keep(scratch.write(rows.where("i = j and not stays").select("i", "sha").distinct(), "again"))
+    held = docs.toDF(*at.values())
+    key = {"i": ident(F.col(at[doc_id])), "sha": F.unhex(F.sha2(text_of(held, at[text]), 256))}
+    kept = held.withColumns(key).join(lost, ["i", "sha"], "left_anti")
+    if again.isEmpty():
+        return kept.select(*back)
+    hashed = F.xxhash64(*[n for n, kind in held.dtypes if "map<" not in kind])
+    once = kept.join(again, ["i", "sha"], "left_anti").select(*at.values())
+    some = kept.join(again, ["i", "sha"], "left_semi").groupBy("i", "sha").agg(F.min_by(F.struct(*at.values()), hashed).alias("row")).select("row.*")
+    return once.unionByName(some).select(*back)

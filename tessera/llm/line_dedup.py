@@ -1,28 +1,40 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
-A run is a Parquet table of (line hash, number of documents), sorted by hash.
-Each batch of documents adds one run at level 0.  When a level holds
-``fanout`` runs they are merged into one run of the next level, so the number
-of runs stays logarithmic in the number of batches and every hash is rewritten
-a logarithmic number of times.  A batch's lines are merge-joined against the
-runs: a line whose hash occurs in the runs often enough is dropped.
+A run is a table of (a, b, n): a line's hash as two 64-bit integers and the
+number of documents that hold it, bucketed by hash and sorted within its
+buckets.  A batch of documents is counted, merge-anti-joined with each run, so
+that lines which a run already knows as frequent drop out, and what is left is
+added as a run of level 0.  When a level holds ``fanout`` runs they are merged
+into one run of the next level, so the number of runs stays logarithmic in the
+number of batches and every hash is rewritten a logarithmic number of times.
 
-Only DataFrame functions are used.  A hash is two independent 64-bit integers.
+All runs have the same buckets, one sorted file each.  Joining a batch with a
+run and merging two runs are therefore merge joins in which no run is shuffled
+or sorted again.  A line that drops out of a batch is frequent whatever else is
+counted, so the set of frequent lines is exact.
+
+Only DataFrame functions are used.
 
 Defined cases: a null text is one empty line; a key without code points is
 never dropped; a line repeated in one document counts once for it; every input
-row counts as one document, repeated ids too; an empty table adds no run.
+row counts as one document, repeated and null ids too; a very long text only
+has more lines; columns besides id and text are not read, whatever their names;
+an empty table adds an empty run and gives an empty table.
 """
 
 from __future__ import annotations
 
 import functools
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, materialize, shared_dir, text_of
+from .common import SPACES, Scratch, ascii_lower, text_of
+
+KEY = ["a", "b"]
 
 
 def line_key(line: Column) -> Column:
@@ -40,77 +52,115 @@ def lines_of(body: Column) -> Column:
 
 def line_hashes(body: Column) -> Column:
     """Hashes of the distinct keys of a text that have a code point at least."""
-    keys = F.filter(F.transform(lines_of(body), line_key), lambda k: k != "")
+    keys = F.filter(F.transform(lines_of(ascii_lower(body)), lambda x: F.btrim(x, F.lit(SPACES))), lambda k: k != "")
     return F.transform(F.array_distinct(keys), _hash)
 
 
 class LineRuns:
-    """Sorted runs of (h, n) in a shared folder, levelled."""
+    """Levelled runs; ``min_docs`` is when a line counts as frequent.
+
+    Runs are tables of the session's catalog in the warehouse, dropped when
+    they are merged or by ``close``.
+    """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 4):
-        self.spark, self.fanout = spark, fanout
-        self.path = path or f"{shared_dir(spark)}/line-runs-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, min_docs: int = 10, fanout: int = 4, buckets: int | None = None):
+        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name, self._made = f"line_runs_{uuid.uuid4().hex}", 0
         self.levels: list[list[str]] = [[]]
-        self._made = 0
+
+    @contextmanager
+    def _sorted_scans(self) -> Iterator[None]:
+        """Plans made inside know that a bucket's one file is sorted."""
+        conf, key = self.spark.conf, "spark.sql.legacy.bucketedTableScan.outputOrdering"
+        before = conf.get(key)
+        conf.set(key, "true")
+        try:
+            yield
+        finally:
+            conf.set(key, before)
 
     def _write(self, counts: DataFrame, level: int) -> None:
         self._made += 1
-        at = f"{self.path}/level={level}/run={self._made}"
-        counts.sortWithinPartitions("h").write.parquet(at)
+        name = f"{self.name}_{self._made}"
+        with self._sorted_scans():
+            counts.repartition(self.buckets, *KEY).write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(at)
+        self.levels[level].append(name)
 
-    def _read(self, paths: list[str]) -> DataFrame | None:
-        parts = [self.spark.read.schema("h struct<a:bigint,b:bigint>, n bigint").parquet(p) for p in paths]
-        return functools.reduce(DataFrame.unionByName, parts) if parts else None
+    def _runs(self) -> list[DataFrame]:
+        return [self.spark.table(name) for level in self.levels for name in level]
 
     @staticmethod
-    def _merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("h").agg(F.sum("n").alias("n"))
-
-    def add(self, docs: DataFrame, text: str = "text") -> None:
-        """Count the documents of each line of this batch and keep them as a run."""
-        hashes = docs.select(F.explode(line_hashes(text_of(docs, text))).alias("h"))
-        self._write(hashes.groupBy("h").agg(F.count("*").alias("n")), 0)
+    def merged(runs: list[DataFrame]) -> DataFrame:
+        """The sum of sorted runs, two at a time."""
+
+        def two(x: DataFrame, y: DataFrame) -> DataFrame:
+            zero = F.lit(0).cast("long")
+            both = x.hint("merge").join(y.withColumnRenamed("n", "m"), KEY, "full_outer")
+            return both.select(*KEY, (F.coalesce("n", zero) + F.coalesce("m", zero)).alias("n"))
+
+        return functools.reduce(two, runs)
+
+    def unknown(self, counts: DataFrame) -> DataFrame:
+        """``counts`` without the lines that a run knows as frequent.
+
+        The anti-join is written as an outer join whose hits are dropped: Spark
+        would move a plain one below the count, in front of its combining.
+        """
+        for run in self._runs():
+            known = run.where(F.col("n") >= self.min_docs).select(*KEY, F.lit(True).alias("known"))
+            counts = counts.join(known.hint("merge"), KEY, "left").where("known is null").drop("known")
+        return counts
+
+    def add(self, hashes: DataFrame) -> None:
+        """Add a batch: rows (a, b), one for each document and distinct line."""
+        self._write(self.unknown(hashes.groupBy(*KEY).agg(F.count("*").alias("n"))), 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._write(self._merged(self._read(full)), level + 1)
+            self._write(self.merged([self.spark.table(name) for name in full]), level + 1)
+            self._drop(full)
             level += 1
 
     def counts(self) -> DataFrame:
-        """Number of documents of each hash over all runs."""
-        runs = self._read([p for level in self.levels for p in level])
-        if runs is None:
-            return self.spark.createDataFrame([], "h struct<a:bigint,b:bigint>, n bigint")
-        return self._merged(runs)
-
-    def seen(self, min_docs: int = 1) -> DataFrame:
-        return self.counts().where(F.col("n") >= min_docs).select("h")
-
-    def strip(self, docs: DataFrame, min_docs: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """doc_id, n_lines, n_dropped, kept_text: ``docs`` without the lines that
-        the runs hold in ``min_docs`` documents at least."""
-        base = docs.select(F.col(doc_id).alias("doc_id"), text_of(docs, text).alias("body"))
-        mine = base.select("doc_id", F.explode(line_hashes(F.col("body"))).alias("h"))
-        # Written first: with a plain shuffle on both sides the rows of a very
-        # common line can be split at run time.
-        often = materialize(self.seen(min_docs), "often").hint("merge")
-        hot = mine.join(often, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("hot")).withColumnRenamed("doc_id", "hot_id")
-        both = base.join(hot, base["doc_id"].eqNullSafe(hot["hot_id"]), "left")
-        lines = lines_of(F.col("body"))
-        kept = F.when(F.col("hot").isNull(), lines).otherwise(
-            F.filter(lines, lambda x: (line_key(x) == "") | ~F.array_contains(F.col("hot"), _hash(line_key(x))))
-        )
-        out = both.select("doc_id", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
-        return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text"))
+        """(a, b, n): documents of each line over all runs; of a line that was
+        frequent in one run, of the batches until then."""
+        return self.merged(self._runs()) if any(self.levels) else self.spark.createDataFrame([], "a bigint, b bigint, n bigint")
+
+    def frequent(self) -> DataFrame:
+        return self.counts().where(F.col("n") >= self.min_docs).select(*KEY)
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def close(self) -> None:
+        self._drop([name for level in self.levels for name in level])
+        self.levels = [[]]
 
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 3, fanout: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All of ``docs`` in ``batches`` batches through the runs, then stripped."""
-    runs = LineRuns(docs.sparkSession, fanout=fanout)
-    part = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(batches))
-    for b in range(batches):
-        runs.add(docs.where(part == b), text)
-    return runs.strip(docs, min_docs, doc_id, text)
+    """doc_id, n_lines, n_dropped, kept_text: all of ``docs`` in ``batches``
+    batches through the runs, then without the frequent lines."""
+    base = docs.select(docs[doc_id].alias("doc_id"), text_of(docs, text).alias("body"))
+    with Scratch(docs.sparkSession) as scratch:
+        part = F.pmod(F.xxhash64("doc_id", "body"), F.lit(batches)).cast("int").alias("part")
+        rows = scratch.write(base.select("doc_id", part, line_hashes(F.col("body")).alias("h")), "hashes")
+        runs = LineRuns(docs.sparkSession, min_docs, fanout)
+        for i in range(batches):
+            runs.add(rows.where(F.col("part") == i).select(F.explode("h").alias("h")).select("h.a", "h.b"))
+        # Written first: with a plain shuffle on both sides the rows of a very
+        # common line can be split at run time.
+        with runs._sorted_scans():
+            often = scratch.write(runs.frequent(), "often")
+        runs.close()
+        mine = rows.select("doc_id", F.explode("h").alias("h")).select("doc_id", "h.a", "h.b")
+        hot = mine.join(often.hint("merge"), KEY, "left_semi").groupBy(F.col("doc_id").alias("hot_id")).agg(F.collect_set(F.struct(*KEY)).alias("hot"))
+        hot = scratch.keep(scratch.write(hot, "hot"))
+    both = base.join(hot, base["doc_id"].eqNullSafe(hot["hot_id"]), "left")
+    lines = lines_of(F.col("body"))
+    kept = F.when(F.col("hot").isNull(), lines).otherwise(F.filter(lines, lambda x: (line_key(x) == "") | ~F.array_contains(F.col("hot"), _hash(line_key(x)))))
+    out = both.select("doc_id", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
+    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text"))

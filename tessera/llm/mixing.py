@@ -10,16 +10,20 @@ offered the rest to the node's siblings.
 
 Each leaf then takes whole epochs of its documents while its budget lasts, and
 of the last epoch the longest prefix, in that epoch's seeded order, whose
-tokens fit.  Prefixes are found without putting a leaf into one task: the
-order key's first hex digits deal a leaf into 4096 buckets, bucket totals are
-accumulated per leaf, and rows are accumulated within their bucket.
+tokens fit.  A prefix of an order is told by its last key alone, so only that
+key is looked for: the order key's first hex digits deal a leaf into 4096
+buckets, bucket totals (summed before the shuffle) say which bucket the budget
+ends in, and only that bucket's rows are put in order.  The documents are then
+read once more and compared with their leaf's last key; no text is shuffled.
 
 Only DataFrame functions are used.
 
 Defined cases: a null domain, language or source is the leaf value ''; a null
-text has no tokens; a weight below zero or null counts as zero; when all
-siblings that still have capacity have weight zero, they get nothing; equal
-order keys (repeated ids) are taken together or not at all.
+text has no tokens, a very long one many, and a document longer than what is
+left of its leaf's budget ends the prefix; a weight below zero or null counts
+as zero; when all siblings that still have capacity have weight zero, they get
+nothing; equal order keys (repeated ids) are taken together or not at all;
+columns of any name are carried along; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,9 +31,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, fresh, materialize, text_of
+from .common import WORD_PATTERN, Scratch, fresh, text_of
 
 BUCKET_DIGITS = 3
+LEAF = ["dom", "lng", "src"]
+#: Above every hex digit: the last key of a leaf that is taken whole.
+ALL = "g"
 
 
 def n_tokens(body: Column) -> Column:
@@ -67,50 +74,73 @@ def budgets(leaves: DataFrame, budget_share: float, max_epochs: int) -> DataFram
     return share(df.join(lng.select("dom", "lng", "b_lng"), ["dom", "lng"]), ["dom", "lng"], "b_lng", "cap", "w_src", ["src"], "b_src")
 
 
-def mixture(rows: DataFrame, ident: str, budget_share: float, max_epochs: int, seed: int) -> DataFrame:
-    """How often each row is taken.
+def _key(ident: Column, seed: int) -> Column:
+    """Place in the order of the leaf's last, partly used epoch."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(ident.cast("string"), F.lit(""))))
+
+
+def plan(rows: DataFrame, ident: str, budget_share: float, max_epochs: int, seed: int, scratch: Scratch) -> DataFrame:
+    """(dom, lng, src, whole, last) for each leaf: whole epochs, and the last
+    order key taken of the epoch after them (null: none).
 
     ``rows``: a written table with ``ident`` (the order key's subject), dom,
     lng, src, tokens and the weights w_dom, w_lng, w_src of its tree nodes
-    (the same for all rows of a node).  Adds ``copies``.
+    (the same for all rows of a node).
     """
-    leaf = ["dom", "lng", "src"]
     tidy = lambda c: F.max(F.greatest(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))).alias(c)
-    leaves = rows.groupBy(*leaf).agg(F.sum("tokens").alias("tokens"), tidy("w_dom"), tidy("w_lng"), tidy("w_src"))
-    plan = budgets(leaves, budget_share, max_epochs)
+    leaves = rows.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens"), tidy("w_dom"), tidy("w_lng"), tidy("w_src"))
     grant = F.floor(F.col("b_src")).cast("long")
-    plan = plan.select(*leaf, F.when(F.col("tokens") > 0, F.floor(grant / F.col("tokens"))).otherwise(0).cast("long").alias("whole"), F.col("tokens").alias("of"), grant.alias("grant"))
-    plan = materialize(plan.withColumn("rest", F.col("grant") - F.col("whole") * F.col("of")).select(*leaf, "whole", "rest"), "budgets")
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col(ident).cast("string"), F.lit(""))))
-    dealt = rows.join(plan, leaf).withColumn("__key", key).withColumn("__bucket", F.substring("__key", 1, BUCKET_DIGITS))
-    sums = dealt.groupBy(*leaf, "__bucket").agg(F.sum("tokens").alias("t"))
-    before = Window.partitionBy(*leaf).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*leaf, "__bucket", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("__before"))
-    upto = Window.partitionBy(*leaf, "__bucket").orderBy("__key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    dealt = dealt.join(sums, [*leaf, "__bucket"]).withColumn("__upto", F.col("__before") + F.sum("tokens").over(upto))
-    return dealt.withColumn("copies", (F.col("whole") + ((F.col("rest") > 0) & (F.col("__upto") <= F.col("rest"))).cast("long")).cast("long"))
-
-
-def leaf_columns(docs: DataFrame, text: str, lang: str, source: str, domain: Column, weights: tuple[Column, Column, Column]) -> list[Column]:
+    whole = F.when(F.col("tokens") > 0, F.floor(grant / F.col("tokens"))).otherwise(0).cast("long")
+    granted = budgets(leaves, budget_share, max_epochs).select(*LEAF, whole.alias("whole"), (grant - whole * F.col("tokens")).alias("rest"))
+    granted = scratch.write(granted, "budgets")
+    # Leaves without a rest take no part of a further epoch.
+    dealt = rows.join(granted.where("rest > 0"), LEAF).withColumn("key", _key(F.col(ident), seed)).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+    sums = dealt.groupBy(*LEAF, "rest", "bucket").agg(F.sum("tokens").alias("t"))
+    upto = Window.partitionBy(*LEAF).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sums.withColumn("upto", F.sum("t").over(upto)).where(F.col("upto") > F.col("rest"))
+    ends = sums.groupBy(*LEAF).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("t")).alias("before"))).alias("end"))
+    ends = scratch.write(ends.select(*LEAF, "end.bucket", "end.before"), "ends")
+    inside = Window.partitionBy(*LEAF).orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = dealt.join(ends, [*LEAF, "bucket"]).withColumn("upto", F.col("before") + F.sum("tokens").over(inside)).where(F.col("upto") <= F.col("rest"))
+    fits = fits.groupBy(*LEAF).agg(F.max("key").alias("fit"))
+    # A bucket's label is below its own keys and above those of earlier buckets.
+    last = F.when(F.col("rest") > 0, F.coalesce("fit", "bucket", F.lit(ALL)))
+    return scratch.keep(scratch.write(granted.join(ends, LEAF, "left").join(fits, LEAF, "left").select(*LEAF, "whole", last.alias("last")), "plan"))
+
+
+def copies(ident: Column, seed: int) -> Column:
+    """How often a row joined with its leaf's plan is taken."""
+    return (F.col("whole") + F.coalesce(_key(ident, seed) <= F.col("last"), F.lit(False)).cast("long")).cast("long")
+
+
+def _leaf(df: DataFrame, lang: str, source: str, domain: Column) -> list[Column]:
     blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    return [
-        blank(domain).alias("dom"), blank(docs[lang]).alias("lng"), blank(docs[source]).alias("src"), n_tokens(text_of(docs, text)).alias("tokens"),
-        weights[0].alias("w_dom"), weights[1].alias("w_lng"), weights[2].alias("w_src"),
-    ]
+    return [blank(domain), blank(df[lang]), blank(df[source])]
+
+
+def _rows(docs: DataFrame, domain: Column, weights: tuple[Column, Column, Column], doc_id: str, text: str, lang: str, source: str) -> DataFrame:
+    leaf = [c.alias(n) for c, n in zip(_leaf(docs, lang, source, domain), LEAF, strict=True)]
+    return docs.select(docs[doc_id].alias("doc_id"), *leaf, n_tokens(text_of(docs, text)).alias("tokens"), *[w.alias(f"w_{n}") for w, n in zip(weights, LEAF, strict=True)])
 
 
 def mix_report(docs: DataFrame, domain: Column, weights: tuple[Column, Column, Column], budget_share: float, max_epochs: int, seed: int, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """One row per document: its leaf, its tokens and the copies taken of it."""
-    rows = materialize(docs.select(docs[doc_id].alias("doc_id"), *leaf_columns(docs, text, lang, source, domain, weights)), "leaves")
-    out = mixture(rows, "doc_id", budget_share, max_epochs, seed)
-    return out.select("doc_id", F.col("dom").alias("domain"), F.col("lng").alias("lang"), F.col("src").alias("source"), F.col("tokens").alias("n_tokens"), "copies")
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.keep(scratch.write(_rows(docs, domain, weights, doc_id, text, lang, source), "leaves"))
+        out = rows.join(plan(rows, "doc_id", budget_share, max_epochs, seed, scratch), LEAF)
+    return out.select("doc_id", F.col("dom").alias("domain"), F.col("lng").alias("lang"), F.col("src").alias("source"), F.col("tokens").alias("n_tokens"), copies(F.col("doc_id"), seed).alias("copies"))
 
 
 def mix_documents(docs: DataFrame, domain: Column, weights: tuple[Column, Column, Column], budget_share: float, max_epochs: int, seed: int, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs`` taken, each as often as its copies say."""
-    uid, n = fresh(docs, "uid", "copies")
-    full = materialize(docs.withColumn(uid, F.monotonically_increasing_id()), "mixed")
-    rows = materialize(full.select(F.col(uid).alias("__uid"), full[doc_id].alias("__id"), *leaf_columns(full, text, lang, source, domain, weights)), "leaves")
-    taken = mixture(rows, "__id", budget_share, max_epochs, seed).where("copies > 0").select(F.col("__uid").alias(uid), F.col("copies").alias(n))
-    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))
-    return full.join(taken, uid).withColumn(n, again).select(*[F.col(f"`{c}`") for c in docs.columns])
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.write(_rows(docs, domain, weights, doc_id, text, lang, source), "leaves")
+        leaves = plan(rows, "doc_id", budget_share, max_epochs, seed, scratch)
+    mine = fresh(docs, *LEAF, "copies")
+    # Own names on both sides, so that columns of docs can't clash with the plan's.
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    held = docs.withColumns(dict(zip(mine[:3], _leaf(docs, lang, source, domain), strict=True)))
+    held = held.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()], *[F.col(m).alias(n) for m, n in zip(mine, LEAF, strict=False)])
+    taken = held.join(leaves, LEAF).withColumn("n", copies(F.col(at[doc_id]), seed)).where("n > 0")
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
+    return taken.select(*[F.col(n).alias(c) for c, n in at.items()], again.alias("n")).select(*[F.col(f"`{c}`") for c in docs.columns])

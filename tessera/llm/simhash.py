@@ -43,16 +43,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, materialize, text_of
+from .common import LEAST, Scratch, fresh, text_of
 from .components import components
 
 SEED = 42
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
-_LEAST = -(1 << 63)
 #: Shingles frequent in every SAMPLE-th document are ordered last; at most
 #: MAX_FREQUENT of them.  Any order finds every pair, this one keeps buckets small.
-SAMPLE, FREQUENT, MAX_FREQUENT = 16, 8, 1 << 16
+SAMPLE, FREQUENT, MAX_FREQUENT = 8, 4, 1 << 17
 
 
 def shingles(text: str, width: int) -> list[bytes]:
@@ -126,6 +125,12 @@ def labelled(rows: DataFrame, fp: list[str], segments: int, radius: int, indexed
     reachable over fingerprints that differ in ``radius`` bits at most, and
     ``group``: a number of the component's own, whatever ``ident`` holds.  The
     first ``indexed`` of the parts ``fp`` are cut into segments."""
+    with Scratch(rows.sparkSession) as scratch:
+        return _labelled(rows, fp, segments, radius, indexed, ident, scratch)
+
+
+def _labelled(rows: DataFrame, fp: list[str], segments: int, radius: int, indexed: int, ident: str, scratch: Scratch) -> DataFrame:
+    materialize = scratch.write
     nodes = materialize(rows.groupBy(*fp).agg(F.min(ident).alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     # Dealt by key once; the grouping and the join read the same shuffle.
     variants = _variants(nodes, fp[:indexed], segments).repartition("key")
@@ -140,7 +145,7 @@ def labelled(rows: DataFrame, fp: list[str], segments: int, radius: int, indexed
         return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
 
     stars = materialize(told(buckets.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), "stars")
-    first = materialize(components(stars), "first")
+    first = materialize(components(stars, scratch), "first")
     # Buckets that still hold more than one component: compare across them.
     mine = buckets.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = mine.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
@@ -151,8 +156,8 @@ def labelled(rows: DataFrame, fp: list[str], segments: int, radius: int, indexed
         (F.col("l.key") == F.col("r.key")) & (F.col("l.label") < F.col("r.label")) & (_apart([F.col(f"l.{c}") for c in fp], [F.col(f"r.{c}") for c in fp]) <= radius),
     ).select(F.col("l.label").alias("a"), F.col("r.label").alias("b"))
     links = first.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(cross.distinct())
-    last = components(links)
-    of_node = materialize(nodes.join(last, "node", "left").select(*fp, "least", F.coalesce("label", "node").alias("group")), "groups")
+    last = components(links, scratch)
+    of_node = scratch.keep(materialize(nodes.join(last, "node", "left").select(*fp, "least", F.coalesce("label", "node").alias("group")), "groups"))
     named = of_node.groupBy("group").agg(F.min("least").alias("component"))
     return rows.join(of_node.join(named, "group").select(*fp, "group", "component"), fp)
 
@@ -160,7 +165,7 @@ def labelled(rows: DataFrame, fp: list[str], segments: int, radius: int, indexed
 def near_groups(docs: DataFrame, width: int = 3, radius: int = 3, segments: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row."""
     base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = materialize(with_fingerprint(base, ["f0"], width).select("id", "f0"), "fingerprints")
+    rows = Scratch(docs.sparkSession).write(with_fingerprint(base, ["f0"], width).select("id", "f0"), "fingerprints")
     out = labelled(rows, ["f0"], segments, radius, 1)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
@@ -194,8 +199,10 @@ def _frequent(base: DataFrame, width: int) -> np.ndarray:
     return np.sort(top["h"].to_numpy(np.int64))
 
 
-def _prefixes(base: DataFrame, width: int, similarity: float, late: np.ndarray) -> DataFrame:
-    """(id, mark, node, n, f0, prefix, parity) of every row, written."""
+def _index(base: DataFrame, width: int, similarity: float, late: np.ndarray) -> DataFrame:
+    """(id, mark, node, n, f0, prefix, parity) of every row: the number of
+    shingles, the fingerprint, the rarest shingles, of which alike sets share
+    one, and the bit map."""
 
     @F.pandas_udf("n int, f0 long, prefix array<long>, parity array<long>")
     def index(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -207,7 +214,7 @@ def _prefixes(base: DataFrame, width: int, similarity: float, late: np.ndarray)
                 rows.append((len(h), fingerprint(t, width)[0], np.concatenate([h[~last], h[last]])[: prefix_size(len(h), similarity)], parity_map(h)))
             yield pd.DataFrame({"n": np.array([r[0] for r in rows], np.int32), "f0": np.array([r[1] for r in rows], np.int64), "prefix": pd.Series([r[2] for r in rows], dtype=object), "parity": pd.Series([r[3] for r in rows], dtype=object)})
 
-    return materialize(base.withColumn("x", index("text")).select("id", "mark", F.monotonically_increasing_id().alias("node"), "x.*"), "prefixes")
+    return base.withColumn("x", index("text")).select("id", "mark", F.monotonically_increasing_id().alias("node"), "x.*")
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -218,55 +225,79 @@ def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, d
     together; drop exact copies first.
     """
     ident, mark = fresh(docs, "id", "mark")
-    given = lambda df: {ident: F.coalesce(df[doc_id].cast("long"), F.lit(_LEAST)), mark: F.xxhash64(text_of(df, text))}
-    base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LEAST)).alias("id"), F.xxhash64(text_of(docs, text)).alias("mark"), text_of(docs, text).alias("text"))
-    nodes = _prefixes(base, width, similarity, _frequent(base, width))
-    at = lambda c: F.struct("node", "n", "place").alias(c)
+    given = lambda df: {ident: F.coalesce(df[doc_id].cast("long"), F.lit(LEAST)), mark: F.xxhash64(text_of(df, text))}
+    base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST)).alias("id"), F.xxhash64(text_of(docs, text)).alias("mark"), text_of(docs, text).alias("text"))
+    with Scratch(docs.sparkSession) as scratch:
+        lost = scratch.keep(_lost(base, width, similarity, scratch))
+    return docs.withColumns({ident: given(docs)[ident], mark: given(docs)[mark]}).join(lost.toDF(ident, mark), [ident, mark], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def hashes(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, width) for t in texts], dtype=object)
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b, ...) of nodes with the similarity; shingles are only made of texts in a pair that the bit maps let through."""
-        maps = [nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"m{c}")) for c in "ab"]
-        words = [[F.get(f"m{c}", F.lit(i)) for i in range(16)] for c in "ab"]
-        least = _apart(*words) <= (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-6
-        pairs = materialize(pairs.join(maps[0], "a").join(maps[1], "b").where(least).select(*pairs.columns), "pairs")
-        need = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id", "mark"), "node"), "need")
-        sets = materialize(base.join(need, ["id", "mark"]).dropDuplicates(["node"]).select("node", hashes("text").alias("s")), "sets")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        return both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select(*pairs.columns)
+def _lost(base: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """(id, mark) of the rows of ``base`` that go: a written table."""
+    nodes = scratch.write(_index(base, width, similarity, _frequent(base, width)), "index")
+    ratio = similarity / (1 + similarity)  # of two sizes: what alike sets share at least
 
     def possible(a: str, b: str) -> Column:
         """Whether sets of these sizes can be alike, and, if this is the first shingle that they share, what follows it can still make the overlap."""
         n, m = F.col(f"{a}n"), F.col(f"{b}n")
         follow = F.least(n - F.col(f"{a}place"), m - F.col(f"{b}place"))
-        return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6) & (follow >= (n + m) * (similarity / (1 + similarity)) - 1e-6)
+        return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6) & (follow >= (n + m) * ratio - 1e-6)
 
     def bucketed(keys: DataFrame) -> DataFrame:
         """The rows of keys with two nodes or more, and the bucket's hub."""
+        at = F.struct("node", "n", "place").alias("hub")
+        # Dealt by key once; the grouping and the join read the same shuffle.
         dealt = keys.repartition("key")
-        shared = dealt.groupBy("key").agg(F.min(at("hub")).alias("hub"), F.max("node").alias("last")).where("hub.node < last").select("key", "hub")
-        return materialize(dealt.join(shared, "key").select("key", "node", "n", "place", "hub"), "buckets")
+        shared = dealt.groupBy("key").agg(F.min(at).alias("hub"), F.max("node").alias("last")).where("hub.node < last").select("key", "hub")
+        return scratch.write(dealt.join(shared, "key").select("key", "node", "n", "place", "hub"), "buckets")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, ...) of nodes whose shingle sets have the similarity.
+
+        Bit maps are compared first; only texts of the pairs that they let
+        through are read again.
+        """
+        maps = [nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"m{c}")) for c in "ab"]
+        words = [[F.get(f"m{c}", F.lit(i)) for i in range(16)] for c in "ab"]
+        near = _apart(*words) <= (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        pairs = scratch.write(pairs.join(maps[0], "a").join(maps[1], "b").where(near).select(*pairs.columns), "pairs")
+        if pairs.isEmpty():
+            return pairs
+        need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id", "mark"), "node")
+        need = scratch.write(need, "need")
+        sets = base.join(need, ["id", "mark"]).select("node", hashes("text").alias("s"))
+        sets = scratch.write(sets.dropDuplicates(["node"]), "sets")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+        links = scratch.write(both.where(jaccard("x", "y") >= similarity).select(*pairs.columns), "links")
+        scratch.drop(pairs, need, sets)
+        return links
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, width) for t in texts], dtype=object)
 
     close = bucketed(_variants(nodes, ["f0"], 2, ("n",)).withColumn("place", F.lit(0)))
     buckets = bucketed(nodes.select(F.posexplode("prefix").alias("place", "key"), "node", "n"))
     hubs = close.unionByName(buckets).where((F.col("node") != F.col("hub.node")) & possible("", "hub."))
-    stars = materialize(alike(hubs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()), "stars")
-    first = materialize(components(stars), "first")
+    stars = alike(hubs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct())
+    first = scratch.write(components(stars, scratch), "first")
     # Prefix buckets that still hold more than one component: compare across them.
     mine = buckets.join(first, "node", "left").select("key", "node", "n", "place", F.coalesce("label", "node").alias("label"))
     mixed = mine.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    rest = materialize(mine.join(mixed, "key", "left_semi"), "rest")
+    rest = scratch.write(mine.join(mixed, "key", "left_semi"), "rest")
     l, r = rest.alias("l"), rest.alias("r")
     cross = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.label") < F.col("r.label")) & possible("l.", "r."))
     pairs = cross.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.col("l.label").alias("c"), F.col("r.label").alias("d")).distinct()
     links = alike(pairs).select(F.col("c").alias("a"), F.col("d").alias("b")).distinct()
-    last = components(first.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))
-    out = materialize(nodes.select("id", "mark", "node").join(last, "node", "left").select("id", "mark", F.coalesce("label", "node").alias("group")), "near")
+    last = components(first.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links), scratch)
+    out = scratch.write(nodes.select("id", "mark", "node").join(last, "node").select("id", "mark", "node", F.col("label").alias("group")), "near")
     # Of rows with the component's id (repeated ids) the smallest mark stays.
-    stays = out.groupBy("group").agg(F.min(F.struct("id", "mark")).alias("s"))
-    lost = out.join(stays, "group").where((F.col("id") != F.col("s.id")) | (F.col("mark") != F.col("s.mark"))).select(F.col("id").alias(ident), F.col("mark").alias(mark)).distinct()
-    return docs.withColumns(given(docs)).join(lost, [ident, mark], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = out.unionByName(nodes.join(out.select(F.col("group").alias("node")).distinct(), "node").select("id", "mark", "node", F.col("node").alias("group")))
+    stays = scratch.write(out.groupBy("group").agg(F.min(F.struct("id", "mark")).alias("s")), "stays")
+    lost = out.join(stays, "group").where((F.col("id") != F.col("s.id")) | (F.col("mark") != F.col("s.mark"))).select("id", "mark").distinct()
+    return scratch.write(lost, "lost")
+
+
+def jaccard(x: str, y: str) -> Column:
+    shared = F.size(F.array_intersect(x, y))
+    return shared / (F.size(x) + F.size(y) - shared)

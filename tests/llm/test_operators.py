@@ -417,12 +417,41 @@ def test_line_dedup(spark, sf_dir, texts, odd):
     assert line_dedup.drop_frequent_lines(empty(odd)).count() == 0
 
 
-def test_runs_are_compacted(spark):
-    runs = line_dedup.LineRuns(spark, fanout=2)
+def line_rows(spark, texts):
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    return docs.select(F.explode(line_dedup.line_hashes(F.col("text"))).alias("h")).select("h.a", "h.b")
+
+
+def test_runs_are_levelled_and_compacted(spark):
+    runs = line_dedup.LineRuns(spark, min_docs=100, fanout=2)
     for i in range(5):
-        runs.add(spark.createDataFrame([(i, "same\nown %d" % i)], "doc_id long, text string"))
+        runs.add(line_rows(spark, ["same\nown %d" % i]))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert sorted(r.n for r in runs.counts().collect()) == [1, 1, 1, 1, 1, 5] and runs.seen(5).count() == 1
+    assert sorted(r.n for r in runs.counts().collect()) == [1, 1, 1, 1, 1, 5] and runs.frequent().count() == 0
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_runs")]
+
+
+def test_a_batch_leaves_out_what_a_run_knows_as_frequent(spark):
+    runs = line_dedup.LineRuns(spark, min_docs=2, fanout=4)
+    for batch in (["x\ny", "x"], ["x\ny\nz", "x"], ["z"]):
+        runs.add(line_rows(spark, batch))
+    assert [spark.table(t).count() for t in runs.levels[0]] == [2, 2, 1]
+    assert runs.frequent().count() == 3
+    runs.close()
+
+
+def test_no_run_is_shuffled_or_sorted_again(spark):
+    runs = line_dedup.LineRuns(spark, min_docs=2, fanout=8)
+    runs.add(line_rows(spark, ["x\ny", "x"]))
+    runs.add(line_rows(spark, ["z"]))
+    with runs._sorted_scans():
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (runs.unknown(line_rows(spark, ["x"]).groupBy("a", "b").agg(F.count("*").alias("n"))), runs.counts())]
+    assert plans[0].count("Exchange") == 1 and plans[0].count("Bucketed: true") == 2 and "SortMergeJoin" in plans[0]
+    assert "Exchange" not in plans[1] and "Sort [" not in plans[1] and "SortMergeJoin" in plans[1]
+    # The batch is combined before it is shuffled.
+    assert plans[0].index("Exchange") < plans[0].index("partial_count")
+    runs.close()
 
 
 @pytest.mark.parametrize("mask", [-1, 3])
@@ -444,4 +473,40 @@ def test_exact_odd_rows(odd):
     assert [r.group_size for r in cat] == [3] * 3 and sum(r.kept for r in cat) == 1 and {r.keep_id for r in cat} == {4}
     left = exact_dedup.drop_exact_copies(odd)
     assert left.columns == odd.columns and left.count() == len({r[1] or "" for r in ODD})
+    assert exact_dedup.exact_groups(odd, block=256, mask=3).count() == len(ODD)
     assert exact_dedup.exact_groups(empty(odd)).count() == 0 and exact_dedup.drop_exact_copies(empty(odd)).count() == 0
+
+
+def test_names_are_places_in_sorted_order(spark):
+    keys = spark.createDataFrame([(x * 7919 % 1000, x % 3) for x in range(2000)], "a long, b int")
+    with exact_dedup.Scratch(spark) as scratch:
+        got = sorted((r.a, r.b, r.name) for r in exact_dedup.sorted_names(keys, scratch).collect())
+    assert [n for _, _, n in got] == list(range(len(got))) and [g[:2] for g in got] == sorted({(r.a, r.b) for r in keys.collect()})
+
+
+def test_exact_repeated_rows_with_other_columns(spark):
+    rows = [(1, "t", "b"), (1, "t", "a"), (0, "t", "c"), (None, "u", "x"), (None, "u", "y"), (3, "a" * 9000 + "b", "z"), (2, "a" * 9000 + "b", "z"), (4, "a" * 9000 + "c", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = exact_dedup.drop_exact_copies(docs, block=512).collect()
+    assert sorted((r.doc_id or -1, r.text[-1]) for r in left) == [(-1, "u"), (1, "t"), (3, "b"), (4, "c")]
+
+
+def test_nothing_but_the_result_stays_in_the_shared_folder(spark, docs):
+    import pathlib
+
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(folder.iterdir())
+    exact_dedup.drop_exact_copies(docs).count()
+    simhash.drop_near_copies(docs).count()
+    left = {p.name.split("-")[0] for p in set(folder.iterdir()) - before if p.is_dir()}
+    assert left <= {"lost", "again"}
+
+
+def test_a_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tessera.llm.common import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d)))

@@ -1,28 +1,35 @@
 """Toxicity by class-conditional Kneser-Ney models over characters.
 
 Toxic and ordinary texts each get a character model of order ``ORDER`` inside
-words: discounted counts of the class, interpolated with a backoff that both
-classes share, made of continuation counts (in how many contexts a shorter
-gram occurs).  What a class has hardly seen is thus judged by the shared
-counts and weighs neither way.  The log-likelihood ratio of a gram that was
-seen is stored; of an unseen one the shared probability cancels out and only
-the two backoff weights of its context remain.
-
-A text's features are its length-normalised log-likelihood ratio (per
-character), its most suspicious words' ratios and its number of words.  A
-logistic regression turns them into a score.  It is fitted on held-back
-training rows (``crc32 % 4 == 3``) scored by a model that has not seen them;
-the model in use is then counted over all training rows.
-
-Counting covers every labelled training text and is distributed.  The tables
-sent to the executors hold at most ``MAX_GRAMS`` grams: with more, the least
-count that fits is required and rarer grams are left to the shared backoff.
-The regression takes at most ``MAX_FIT`` rows.
+words.  A class's discounted counts are interpolated, with ``STRENGTH`` counts
+of prior weight, with a backoff that both classes share: the pooled Kneser-Ney
+model, whose lower orders are continuation counts (in how many contexts a
+shorter gram occurs).  What a class has hardly seen is thus judged by the
+shared counts and weighs neither way.  The log-likelihood ratio of a gram that
+was seen is stored; of an unseen one the shared probability cancels out and
+only the two backoff weights of its context remain.
+
+A toxic text is an ordinary text with toxic words in it, so its likelihood is
+normalised by length as a mixture: each of its n words is equally likely the
+toxic one, the others are ordinary.  The comparison with the ordinary
+likelihood is then the mean of the words' likelihood ratios.  A text's median
+word ratio tells its language and subject and is taken off first (with
+``CENTRE`` words of ratio 0, for short texts).  The logarithm of that mean is
+the only evidence; a monotone logistic curve turns it into a score.  The curve
+is fitted on at most ``MAX_FIT`` held-back training rows (``crc32 % 4 == 3``)
+scored by a model that has not seen them; the model in use is then counted over
+all training rows.
+
+Counting covers every labelled training text and is distributed, and no gram is
+dropped.  Up to ``BROADCAST_GRAMS`` of them the table of ratios is sent to the
+executors; beyond, the corpus's distinct words are joined with it.  Both ways
+give the same scores.
 
 Defined cases: a null text is the empty text; a text without words has the
-features of no evidence; rows without a label or with a label other than 0
-and 1 teach nothing; of repeated labels the largest counts; if either class
-has no training row, every score is 0.
+evidence 0; a very long text is one row's work; repeated documents count each;
+rows without a label or with a label other than 0 and 1 teach nothing; of
+repeated labels the largest counts; if either class has no training row, every
+score is 0; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,14 +43,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, text_of
+from .common import Scratch, fresh, text_of
 
 ORDER = 5
 DISCOUNT = 0.75
-MAX_GRAMS = 1 << 21
+STRENGTH = 10.0
+BROADCAST_GRAMS = 1 << 21
 MAX_FIT = 20_000
 THRESHOLD = 0.3
-TOP = 3
+CENTRE, LARGEST = 5, 12.0
 CACHE = 100_000
 FLUSH = 100_000
 PART = 10_000
@@ -90,12 +98,12 @@ class Ratios:
     @staticmethod
     def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys, first = np.unique(keys, return_index=True)
-        return keys, values[first].astype(np.float32)
+        return keys, values[first].astype(np.float64)
 
     @staticmethod
     def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(table[0]):
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
+            return np.zeros(len(keys), bool), np.zeros(len(keys))
         at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
         return table[0][at] == keys, table[1][at]
 
@@ -106,9 +114,7 @@ class Ratios:
         known, other = self._look(self.contexts, context)
         return np.bincount(owner, np.where(seen, value, np.where(known, other, 0.0)), minlength=len(ws))
 
-    def features(self, texts: list[str]) -> np.ndarray:
-        """Per text: ratio a character, largest word ratio, mean of the largest
-        ``TOP`` (fewer words: zeros), logarithm of the number of words."""
+    def evidence(self, texts: list[str]) -> np.ndarray:
         if len(self.known) > CACHE:
             self.known = {}
         split = [words(t) for t in texts]
@@ -116,14 +122,16 @@ class Ratios:
         for i in range(0, len(new), PART):
             part = new[i : i + PART]
             self.known.update(zip(part, self.of_words(part).tolist(), strict=True))
-        out = np.zeros((len(texts), 4))
         get = self.known.__getitem__
-        for i, ws in enumerate(split):
-            if ws:
-                r = np.fromiter(map(get, ws), np.float64, len(ws))
-                top = np.sort(r)[-TOP:]
-                out[i] = r.sum() / sum(map(len, ws)), max(top[-1], 0.0), np.maximum(top, 0.0).sum() / TOP, np.log1p(len(ws))
-        return out
+        return np.array([evidence(np.fromiter(map(get, ws), np.float64, len(ws))) for ws in split])
+
+
+def evidence(ratios: np.ndarray) -> float:
+    """Logarithm of the mean likelihood ratio of a text's words, centred."""
+    if not len(ratios):
+        return 0.0
+    centred = ratios - np.median(np.r_[ratios, np.zeros(CENTRE)])
+    return float(np.log(np.exp(np.minimum(centred, LARGEST)).mean()))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -201,112 +209,141 @@ def _shared(grams: DataFrame) -> DataFrame:
 
 
 def gram_ratios(grams: DataFrame) -> DataFrame:
-    """(gram, n, all, all_c, part, part_c): log-likelihood ratios of the gram and
+    """(gram, all, all_c, part, part_c): log-likelihood ratios of the gram and
     of its context's unseen grams, from all training rows and from those that
     are not held back."""
     by = Window.partitionBy(F.expr(f"substring(gram, 1, {ORDER - 1})"))
     df = grams.withColumn("tail", F.expr(f"substring(gram, 2, {ORDER - 1})")).join(_shared(grams), "tail")
-    out, columns = df, {}
+    both = F.col("t") + F.col("o")
+    pooled = F.greatest(both - DISCOUNT, F.lit(0.0)) / F.sum(both).over(by) + DISCOUNT * F.count("*").over(by) / F.sum(both).over(by) * F.col("p")
+    df = df.withColumn("q", pooled)
+    columns = {}
     for name, t, o in (("all", F.col("t"), F.col("o")), ("part", F.col("t") - F.col("t3"), F.col("o") - F.col("o3"))):
         whole, open_ = [], []
         for c in (t, o):
             total, kinds = F.sum(c).over(by), F.sum((c > 0).cast("int")).over(by)
-            weight = F.when(total > 0, DISCOUNT * kinds / total).otherwise(1.0)
-            whole.append(F.when(total > 0, F.greatest(c - DISCOUNT, F.lit(0.0)) / total).otherwise(0.0) + weight * F.col("p"))
-            open_.append(weight)
+            whole.append((F.greatest(c - DISCOUNT, F.lit(0.0)) + (STRENGTH + DISCOUNT * kinds) * F.col("q")) / (total + STRENGTH))
+            open_.append((STRENGTH + DISCOUNT * kinds) / (total + STRENGTH))
         columns |= {name: F.log(whole[0]) - F.log(whole[1]), f"{name}_c": F.log(open_[0]) - F.log(open_[1])}
-    return out.select("gram", (F.col("t") + F.col("o")).alias("n"), *[c.alias(k) for k, c in columns.items()])
+    return df.select("gram", *[c.alias(k) for k, c in columns.items()])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 40) -> np.ndarray:
-    """Weights of a logistic regression on standardised columns: mean, scale,
-    weights and intercept in one array of four rows."""
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> tuple[float, float]:
+    """Slope, zero at least, and intercept of a logistic curve."""
+    mean, scale = x.mean(), max(x.std(), 1e-9)
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
-    w = np.zeros(z.shape[1])
+    w = np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + ridge * len(x) * np.eye(len(w)) * 0.01
-        step = np.linalg.solve(h, z.T @ (y - p) - ridge * len(x) * 0.01 * w)
-        w = w + step
+        h = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + ridge * np.eye(2)
+        step = np.linalg.solve(h, z.T @ (y - p) - ridge * w)
+        w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return np.stack([np.r_[mean, 0.0], np.r_[scale, 1.0], w])
+    slope = max(w[0], 0.0) / scale
+    return float(slope), float(w[1] - slope * mean)
 
 
-class Scorer:
-    """Ratios with the fitted regression; travels to the executors."""
+#: Curve used where no held-back row has a label.
+DEFAULT_CURVE = (2.0, -2.0)
 
-    def __init__(self, ratios: Ratios | None, weights: np.ndarray | None):
-        self.ratios, self.weights = ratios, weights
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
+class Scorer:
+    """The ratios (a written table, none without both classes) and the curve."""
+
+    def __init__(self, ratios: DataFrame | None, curve: tuple[float, float] = DEFAULT_CURVE, broadcast_grams: int = BROADCAST_GRAMS):
+        self.ratios, self.curve, self.broadcast_grams = ratios, curve, broadcast_grams
+
+    def with_evidence(self, docs: DataFrame, to: str, text: str = "text", which: str = "all") -> DataFrame:
+        small = self.ratios.limit(self.broadcast_grams + 1).count() <= self.broadcast_grams
+        return self._looked_up(docs, to, text, which) if small else self._joined(docs, to, text, which)
+
+    def _looked_up(self, docs: DataFrame, to: str, text: str, which: str) -> DataFrame:
+        """The table of at most ``broadcast_grams`` rows goes to every executor."""
+
+        def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                codes = np.frombuffer("".join(batch["gram"]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64).reshape(-1, ORDER)
+                whole, context = _keys(codes)
+                yield pd.DataFrame({"k": whole.view(np.int64), "c": context.view(np.int64), "x": batch[which], "y": batch[f"{which}_c"]})
+
+        table = self.ratios.select("gram", which, f"{which}_c").mapInPandas(keyed, "k long, c long, x double, y double").toPandas()
+        ratios = Ratios(table["k"].to_numpy().view(np.uint64), table["x"].to_numpy(), table["c"].to_numpy().view(np.uint64), table["y"].to_numpy())
+        shared = docs.sparkSession.sparkContext.broadcast(ratios)
+
+        @F.pandas_udf("double")
+        def of_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                yield pd.Series(shared.value.evidence(texts.tolist()))
+
+        return docs.withColumn(to, of_text(text_of(docs, text)))
+
+    def _joined(self, docs: DataFrame, to: str, text: str, which: str) -> DataFrame:
+        """Distinct words are joined with the table, and texts with their words."""
+        sha, key = fresh(docs, "sha", "of")
+        held = docs.withColumn(sha, F.sha2(text_of(docs, text), 256))
+
+        def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = [(s, w, n) for s, t in zip(batch["s"], batch["t"], strict=True) for w, n in Counter(words(t)).items()]
+                yield pd.DataFrame(rows, columns=["s", "w", "n"])
+
+        def spelt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            pad = START * (ORDER - 1)
+            for batch in batches:
+                rows = [(w, p[i : i + ORDER]) for w in batch["w"] for p in [f"{pad}{w}{END}"] for i in range(len(w) + 1)]
+                yield pd.DataFrame(rows, columns=["w", "gram"])
+
+        used = held.select(F.col(sha).alias("s"), text_of(held, text).alias("t")).mapInPandas(counted, "s string, w string, n int").groupBy("s", "w").agg(F.max("n").alias("n"))
+        context = lambda c: F.expr(f"substring({c}, 1, {ORDER - 1})")
+        open_ = self.ratios.groupBy(context("gram").alias("c")).agg(F.first(f"{which}_c").alias("y"))
+        grams = used.select("w").distinct().mapInPandas(spelt, "w string, gram string").withColumn("c", context("gram"))
+        grams = grams.join(self.ratios.select("gram", F.col(which).alias("x")), "gram", "left").join(open_, "c", "left")
+        ratio = grams.groupBy("w").agg(F.sum(F.coalesce("x", "y", F.lit(0.0))).alias("r"))
+
+        @F.pandas_udf("double")
+        def of_words(ratios: pd.Series, times: pd.Series) -> pd.Series:
+            return pd.Series([evidence(np.repeat(np.array(r, np.float64), np.array(n))) for r, n in zip(ratios, times, strict=True)])
+
+        texts = used.join(ratio, "w").groupBy("s").agg(F.collect_list(F.struct("r", "n")).alias("a")).select(F.col("s").alias(key), of_words(F.col("a.r"), F.col("a.n")).alias("e"))
+        return held.join(texts.withColumnRenamed("e", to), held[sha] == texts[key], "left").withColumn(to, F.coalesce(to, F.lit(0.0))).drop(sha, key)
+
+    def with_score(self, docs: DataFrame, to: str, text: str = "text") -> DataFrame:
         if self.ratios is None:
-            return np.zeros(len(texts))
-        mean, scale, w = self.weights
-        x = self.ratios.features(texts)
-        return 1 / (1 + np.exp(-np.clip(((x - mean[:-1]) / scale[:-1]) @ w[:-1] + w[-1], -30, 30)))
+            return docs.withColumn(to, F.lit(0.0))
+        slope, shift = self.curve
+        return self.with_evidence(docs, to, text).withColumn(to, 1 / (1 + F.exp(-(F.col(to) * slope + shift))))
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_grams: int = BROADCAST_GRAMS) -> Scorer:
     """A scorer learnt from the labelled rows that are not held out."""
-    grams = materialize(count_grams(_labelled(docs, labels, doc_id, text)), "grams")
-    sizes = grams.agg(F.sum("t"), F.sum("o"), F.count("*")).first()
-    if not sizes[0] or not sizes[1]:
-        return Scorer(None, None)
-    ratios = gram_ratios(grams)
-    if sizes[2] > MAX_GRAMS:
-        steps = ratios.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect()  # at most 10,000 rows
-        least, held = 10_000, 0
-        for r in steps:
-            held += r["count"]
-            if held > MAX_GRAMS:
-                break
-            least = r["n"]
-        ratios = ratios.where(F.col("n") >= least)
-    table = ratios.limit(MAX_GRAMS).toPandas()
-    codes = np.frombuffer("".join(table["gram"]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64).reshape(-1, ORDER)
-    whole, context = _keys(codes)
-    used, part = (Ratios(whole, table[k].to_numpy(), context, table[f"{k}_c"].to_numpy()) for k in ("all", "part"))
-    return Scorer(used, _fit(docs, labels, part, doc_id, text))
-
-
-def _fit(docs: DataFrame, labels: DataFrame, ratios: Ratios, doc_id: str, text: str) -> np.ndarray:
-    """The regression, on at most ``MAX_FIT`` held-back labelled rows."""
+    with Scratch(docs.sparkSession) as scratch:
+        grams = scratch.write(count_grams(_labelled(docs, labels, doc_id, text)), "grams")
+        sizes = grams.agg(F.sum("t"), F.sum("o")).first()
+        if not sizes[0] or not sizes[1]:
+            return Scorer(None)
+        scorer = Scorer(scratch.keep(scratch.write(gram_ratios(grams), "ratios")), broadcast_grams=broadcast_grams)
+        scorer.curve = _fit(docs, labels, scorer, doc_id, text)
+    return scorer
+
+
+def _fit(docs: DataFrame, labels: DataFrame, scorer: Scorer, doc_id: str, text: str) -> tuple[float, float]:
+    """The curve, on at most ``MAX_FIT`` held-back labelled documents."""
     said = labels.select(labels["doc_id"].alias("__l"), labels["toxic"].cast("double").alias("toxic")).where((F.col("toxic").isin(0.0, 1.0)) & (fold(F.col("__l")) == 3))
-    said = said.groupBy("__l").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("__l")).limit(MAX_FIT)
+    said = said.groupBy("__l").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("__l"), "__l").limit(MAX_FIT)
     rows = docs.select(docs[doc_id].alias("__d"), text_of(docs, text).alias("text")).join(F.broadcast(said), F.col("__d") == F.col("__l"))
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = shared.value.features(batch["text"].tolist())
-            yield pd.DataFrame(np.c_[x, batch["toxic"].to_numpy()], columns=list("abcdy"))
-
-    got = rows.select("text", "toxic").mapInPandas(run, "a double, b double, c double, d double, y double").limit(2 * MAX_FIT).toPandas().sort_values(list("abcdy")).to_numpy()
-    if len(got) == 0:
-        return np.stack([np.zeros(5), np.ones(5), np.r_[0.0, 1.0, 1.0, 0.0, -6.0]])
-    return fit_logistic(got[:, :4], got[:, 4])
-
-
-def with_score(docs: DataFrame, scorer: Scorer, to: str, text: str = "text") -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(shared.value(texts.tolist()))
-
-    return docs.withColumn(to, score(text_of(docs, text)))
+    rows = scorer.with_evidence(rows, "x", which="part").groupBy("__d").agg(F.min("x").alias("x"), F.max("toxic").alias("y"))
+    got = rows.select("x", "y").toPandas().sort_values(["x", "y"]).to_numpy()  # at most MAX_FIT rows
+    return fit_logistic(got[:, 0], got[:, 1]) if len(got) else DEFAULT_CURVE
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
-    scored = with_score(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), train(docs, labels, doc_id, text), "score")
+    scored = train(docs, labels, doc_id, text).with_score(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "score")
     return scored.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below the threshold."""
     to = fresh(docs, "score")[0]
-    return with_score(docs, train(docs, labels, doc_id, text), to, text).where(F.col(to) < threshold).drop(to)
+    return train(docs, labels, doc_id, text).with_score(docs, to, text).where(F.col(to) < threshold).drop(to)

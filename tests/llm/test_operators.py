@@ -282,6 +282,61 @@ def test_gram_counts_and_probabilities(spark):
     assert all(sum(v) <= 1 + 1e-9 for v in by.values())
 
 
+def plain_ratio(gram, counts):
+    """Kneser-Ney by its definition, on dictionaries: log-likelihood ratio of a
+    gram and of its context's unseen grams.  counts: gram to (toxic, ordinary)."""
+    d, n = toxicity.DISCOUNT, toxicity.ORDER
+    types = {n: set(counts)}
+    for k in range(n - 1, 0, -1):
+        types[k] = {g[1:] for g in types[k + 1]}
+    extends = {k: {g: sum(x[1:] == g for x in types[k + 1]) for g in types[k]} for k in range(1, n)}
+
+    def low(g):
+        n1 = extends[len(g)]
+        if len(g) == 1:
+            return n1[g] / sum(n1.values())
+        own = {x: v for x, v in n1.items() if x[:-1] == g[:-1]}
+        total = sum(own.values())
+        return max(own.get(g, 0) - d, 0) / total + d * len(own) / total * low(g[1:])
+
+    own = {g: c for g, c in counts.items() if g[:-1] == gram[:-1]}
+    total = sum(map(sum, own.values()))
+    q = max(sum(counts[gram]) - d, 0) / total + d * len(own) / total * low(gram[1:])
+    whole, open_ = [], []
+    for c in (0, 1):
+        size, kinds = sum(v[c] for v in own.values()), sum(v[c] > 0 for v in own.values())
+        whole.append((max(counts[gram][c] - d, 0) + (toxicity.STRENGTH + d * kinds) * q) / (size + toxicity.STRENGTH))
+        open_.append((toxicity.STRENGTH + d * kinds) / (size + toxicity.STRENGTH))
+    return np.log(whole[0] / whole[1]), np.log(open_[0] / open_[1])
+
+
+def test_ratios_equal_plain_kneser_ney(spark):
+    rng, rows = random.Random(4), []
+    for i in range(30):
+        rows.append((i % 2, i % 3, " ".join("".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))) for _ in range(8))))
+    counts = {}
+    for toxic, _, text in rows:
+        for w in text.split():
+            p = toxicity.START * (toxicity.ORDER - 1) + w + toxicity.END
+            for j in range(len(w) + 1):
+                counts.setdefault(p[j : j + toxicity.ORDER], [0, 0])[1 - toxic] += 1
+    got = toxicity.gram_ratios(toxicity.count_grams(spark.createDataFrame(rows, "toxic int, fold int, text string"))).collect()
+    assert len(got) == len(counts)
+    for r in got:
+        assert np.allclose((r["all"], r["all_c"]), plain_ratio(r.gram, counts))
+
+
+def test_both_ways_give_the_same_scores(docs, spark, sf_dir, odd):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scorer = toxicity.train(docs, labels)
+    for rows in (docs, odd):
+        a = {(r.doc_id, r.text): r.s for r in scorer.with_score(rows.drop("score"), "s").collect()}
+        b = {(r.doc_id, r.text): r.s for r in toxicity.Scorer(scorer.ratios, scorer.curve, 0).with_score(rows.drop("score"), "s").collect()}
+        assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    empty_text = scorer.with_evidence(spark.createDataFrame([("",), (" .",)], "text string"), "e").collect()
+    assert {r.e for r in empty_text} == {0.0}
+
+
 # --- op8 -----------------------------------------------------------------------
 def plain_fingerprint(t, width=3):
     t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)

@@ -9,17 +9,28 @@ occurrences in all words at once and compacts the arrays; words without a pair
 leave.  It ends when no pair remains.
 
 The library merges one pair at a time, best score first, leftmost first.
-Merging all occurrences of a word's best pair at once gives the same result
-unless the merged piece can take part in a pair of an equal or better score;
-for such pieces only the leftmost occurrence is merged in a round.
+Merging several occurrences of a word's best pair at once gives the same result
+as long as no merged piece forms a pair of an equal or better score with its
+neighbours as they are at that moment: merged ones on the left, unmerged ones
+on the right.  A round therefore takes a word's occurrences from the left up to
+and including the first that does.
+
+Two kinds of text would still need a round for nearly every symbol.  Long runs
+of spaces are cut into runs of the longest space piece, if the model merges all
+its space pieces at one score from the left, which is checked by encoding; a
+segment of over ``LONG`` symbols without a border goes through a queue of pairs,
+as the library does it, in time n log n.
 
 Defined cases: a null text is the empty text, with no ids; any characters
 outside the vocabulary become their UTF-8 bytes' pieces (or <unk> if the model
-has none); very long texts only lengthen the arrays.
+has none); very long texts, with or without spaces, take time in proportion to
+n log n at most; repeated rows are encoded alike; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterable, Iterator
 
@@ -32,7 +43,7 @@ from pyspark.sql import types as T
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NONE = np.int64(1 << 40)
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
+CACHE_WORDS, LONG = 300_000, 2048
 _MARKED = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -88,6 +99,7 @@ class PieceModel:
         if USER_DEFINED in kinds:
             raise ValueError("user-defined symbols are not supported")
         self.pieces, self.size = pieces, len(pieces)
+        self.by_pair: dict[int, tuple[int, int]] = {}
         self.prefix = bool(norm.get(3, 1))
         own = {p: i for i, p in enumerate(pieces) if kinds[i] == NORMAL}
         if any(p[k] != MARK and p[k + 1] == MARK for p in own for k in range(len(p) - 1)):
@@ -116,12 +128,57 @@ class PieceModel:
         self.keys = np.array(sorted(pairs), np.int64)
         self.rank = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
         self.to = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
-        self.alone = np.zeros(self.size, bool)  # pieces merged one occurrence a round
+        self.alone = np.zeros(self.size, bool)  # pieces that may form an equal or better pair
         self.alone[[own[p] for p in own if p in alone or rank[p] in shared]] = True
         self.inside = np.array(sorted(inside), np.int64)  # character pairs within pieces
         single = {ord(p): i for p, i in own.items() if len(p) == 1}
         self.of_char = np.full(max(single) + 1, -1, np.int64)
         self.of_char[list(single)] = list(single.values())
+        self.run = self._space_run()
+
+    def _space_run(self) -> int:
+        """Length of the space piece that a long run of spaces consists of from
+        its left, whatever follows; 0 if that doesn't hold for this model."""
+        marks = [p for p in self.pieces if p and set(p) == {MARK}]
+        n = max(map(len, marks), default=0)
+        if n < 2:
+            return 0
+        piece, tails = self.pieces.index(MARK * n), ["", "a", "the", "\n", "."]
+        runs = [MARK * k + t for k in range(n, 4 * n) for t in tails]
+        ids, sizes = self.merged(runs)
+        ends = np.cumsum(sizes)
+        of = {r: ids[e - k : e].tolist() for r, k, e in zip(runs, sizes.tolist(), ends.tolist(), strict=True)}
+        same = all(of[MARK * k + t] == [piece, *of[MARK * (k - n) + t]] for k in range(2 * n, 4 * n) for t in tails)
+        return n if same else 0
+
+    def _one_by_one(self, sym: list[int]) -> list[int]:
+        """A segment's symbols merged in the library's order: best rank first,
+        leftmost first, by a queue of pairs."""
+        after, before = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
+        alive = [True] * len(sym)
+        table = {k: (r, t) for k, r, t in zip(self.keys.tolist(), self.rank.tolist(), self.to.tolist(), strict=True)} if not self.by_pair else self.by_pair
+        self.by_pair = table
+        heap: list[tuple[int, int, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < len(sym) and sym[i] < self.size and sym[j] < self.size and (got := table.get(sym[i] * self.size + sym[j])):
+                heapq.heappush(heap, (got[0], i, sym[i], sym[j], got[1]))
+
+        for i in range(len(sym) - 1):
+            offer(i)
+        while heap:
+            _, i, x, y, to = heapq.heappop(heap)
+            j = after[i]
+            if not alive[i] or sym[i] != x or j >= len(sym) or sym[j] != y:
+                continue  # one of the two was merged meanwhile
+            sym[i], alive[j], after[i] = to, False, after[j]
+            if after[i] < len(sym):
+                before[after[i]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [s for s, a in zip(sym, alive, strict=True) if a]
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Index into the merge table of each pair, -1 where there is none."""
@@ -145,6 +202,14 @@ class PieceModel:
         seg = np.cumsum(cut) - 1
         home = word[cut]  # the word of each segment
         done_sym, done_seg = [], []
+        lengths = np.bincount(seg) if len(seg) else np.zeros(0, np.int64)
+        for k in np.flatnonzero(lengths > LONG).tolist():
+            own = np.array(self._one_by_one(sym[seg == k].tolist()), np.int64)
+            done_sym.append(own)
+            done_seg.append(np.full(len(own), k))
+        if done_sym:
+            short = (lengths <= LONG)[seg]
+            sym, seg, cut = sym[short], seg[short], cut[short]
         pair = np.full(len(sym), -1, np.int64)
         if len(sym) > 1:
             pair[:-1] = np.where(cut[1:], -1, self._pairs(sym[:-1], sym[1:]))
@@ -164,14 +229,23 @@ class PieceModel:
                     break
             hit = np.flatnonzero(rank == np.repeat(least, count))
             to = self.to[pair[hit]]
-            # Leftmost first: in a run of overlapping hits every second one,
-            # and of pieces marked ``alone`` only a segment's first hit.
+            # Leftmost first: in a run of overlapping hits every second one.
             new_run = np.r_[True, (hit[1:] != hit[:-1] + 1) | (seg[hit[1:]] != seg[hit[:-1]])]
-            first = np.r_[True, seg[hit[1:]] != seg[hit[:-1]]]
             order = np.arange(len(hit))
             start = np.maximum.accumulate(np.where(new_run, order, 0))
-            take = np.where(self.alone[to], first, (order - start) % 2 == 0)
+            take = (order - start) % 2 == 0
             hit, to = hit[take], to[take]
+            if self.alone[to].any():
+                # Up to the first whose piece forms a pair as good at once.
+                left = np.where(np.r_[False, hit[1:] == hit[:-1] + 2], np.r_[0, to[:-1]], sym[hit - 1])
+                right = np.minimum(hit + 2, len(sym) - 1)
+                tied = np.zeros(len(hit), bool)
+                for other, there in ((self._pairs(left, to), (hit > 0) & (seg[hit - 1] == seg[hit])), (self._pairs(to, sym[right]), (hit + 2 < len(sym)) & (seg[right] == seg[hit]))):
+                    tied |= there & (other >= 0) & (self.rank[other] <= rank[hit])
+                first = np.r_[True, seg[hit[1:]] != seg[hit[:-1]]]
+                before = np.cumsum(tied) - tied
+                take = before == np.maximum.accumulate(np.where(first, before, 0))
+                hit, to = hit[take], to[take]
             sym[hit] = to
             keep = np.ones(len(sym), bool)
             keep[hit + 1] = False
@@ -205,7 +279,15 @@ class PieceModel:
         if self.prefix and "  " not in text and MARK not in text and "\0" not in text and text[0] != " " and text[-1] != " ":
             return text.split(" ")  # the mark before each is understood
         marked = (MARK if self.prefix else "") + text.replace(" ", MARK)
-        return ["\0" + w for w in _MARKED.findall(marked)]
+        return [part for w in _MARKED.findall(marked) for part in self._cut_run(w)]
+
+    def _cut_run(self, word: str) -> list[str]:
+        """A word after very many spaces as runs of them and the rest."""
+        n = self.run
+        if not n or not word.startswith(MARK * 3 * n):
+            return ["\0" + word]
+        k = (len(word) - len(word.lstrip(MARK)) - n) // n
+        return ["\0" + MARK * n] * k + ["\0" + word[k * n :]]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ``ids``, as the library's decode gives it."""

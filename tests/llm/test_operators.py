@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -191,6 +192,25 @@ def test_pieces_equal_the_library(library):
         assert model.decode(np.array(ids)) == library.decode(ids)
 
 
+@pytest.mark.parametrize("unit", [" ", "x" + " " * 99, "th", "ACGTTGCA", "\n", "▁and"])
+def test_a_million_characters_take_seconds(library, unit):
+    with open(queries.piece_model_file(), "rb") as f:
+        encoder = piece_bpe.Encoder(piece_bpe.PieceModel(f.read()))
+    text, began = unit * (1_000_000 // len(unit)), time.monotonic()
+    ids, _ = encoder.encode([text])
+    assert time.monotonic() - began < 30 and ids.tolist() == library.encode(text)
+
+
+def test_long_segments_go_through_the_queue(library, monkeypatch):
+    monkeypatch.setattr(piece_bpe, "LONG", 3)
+    with open(queries.piece_model_file(), "rb") as f:
+        encoder = piece_bpe.Encoder(piece_bpe.PieceModel(f.read()))
+    rng = random.Random(6)
+    rows = ["".join(rng.choice(("th", "and", "e", "in", "▁", " ", "ing", "==", "a", "日", "   ")) for _ in range(rng.randrange(40))) for _ in range(2000)]
+    flat, bounds = encoder.encode(rows)
+    assert all(flat[bounds[i] : bounds[i + 1]].tolist() == library.encode(t) for i, t in enumerate(rows))
+
+
 def test_encode_query_and_odd_rows(spark, sf_dir, texts, odd, library):
     for r in queries.op4_sentencepiece(spark, sf_dir).collect():
         ids = library.encode(texts[r.doc_id])

@@ -52,6 +52,7 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 #: Shingles frequent in every SAMPLE-th document are ordered last; at most
 #: MAX_FREQUENT of them.  Any order finds every pair, this one keeps buckets small.
 SAMPLE, FREQUENT, MAX_FREQUENT = 8, 4, 1 << 17
+FEW = 32  # rows of a bucket that are compared without their bit maps
 
 
 def shingles(text: str, width: int) -> list[bytes]:
@@ -210,7 +211,7 @@ def _index(base: DataFrame, width: int, similarity: float, late: np.ndarray) ->
             rows = []
             for t in texts:
                 h = shingle_set(t, width)
-                last = np.isin(h, late) if len(late) else np.zeros(len(h), bool)
+                last = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h if len(late) else np.zeros(len(h), bool)
                 rows.append((len(h), fingerprint(t, width)[0], np.concatenate([h[~last], h[last]])[: prefix_size(len(h), similarity)], parity_map(h)))
             yield pd.DataFrame({"n": np.array([r[0] for r in rows], np.int32), "f0": np.array([r[1] for r in rows], np.int64), "prefix": pd.Series([r[2] for r in rows], dtype=object), "parity": pd.Series([r[3] for r in rows], dtype=object)})
 
@@ -251,26 +252,37 @@ def _lost(base: DataFrame, width: int, similarity: float, scratch: Scratch) -> D
         shared = dealt.groupBy("key").agg(F.min(at).alias("hub"), F.max("node").alias("last")).where("hub.node < last").select("key", "hub")
         return scratch.write(dealt.join(shared, "key").select("key", "node", "n", "place", "hub"), "buckets")
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b, ...) of nodes whose shingle sets have the similarity.
+    spread = (1 - similarity) / (1 + similarity)  # of two sizes: what alike sets differ in at most
+
+    def near(n: tuple[str, str], maps: tuple[str, str]) -> Column:
+        """Whether the bit maps differ in no more bits than alike sets may in shingles."""
+        return _apart(*[[F.get(m, F.lit(i)) for i in range(16)] for m in maps]) <= (F.col(n[0]) + F.col(n[1])) * spread + 1e-6
 
-        Bit maps are compared first; only texts of the pairs that they let
-        through are read again.
-        """
+    def let_through(pairs: DataFrame) -> DataFrame:
         maps = [nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"m{c}")) for c in "ab"]
-        words = [[F.get(f"m{c}", F.lit(i)) for i in range(16)] for c in "ab"]
-        near = _apart(*words) <= (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-6
-        pairs = scratch.write(pairs.join(maps[0], "a").join(maps[1], "b").where(near).select(*pairs.columns), "pairs")
+        return pairs.join(maps[0], "a").join(maps[1], "b").where(near(("na", "nb"), ("ma", "mb"))).select(*pairs.columns)
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, ...) of nodes whose shingle sets have the similarity.
+        Only texts that are in a pair are read again."""
+        pairs = scratch.write(pairs, "pairs")
         if pairs.isEmpty():
             return pairs
         need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id", "mark"), "node")
-        need = scratch.write(need, "need")
-        sets = base.join(need, ["id", "mark"]).select("node", hashes("text").alias("s"))
+        sets = base.join(scratch.write(need, "need"), ["id", "mark"]).select("node", hashes("text").alias("s"))
         sets = scratch.write(sets.dropDuplicates(["node"]), "sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-        links = scratch.write(both.where(jaccard("x", "y") >= similarity).select(*pairs.columns), "links")
-        scratch.drop(pairs, need, sets)
-        return links
+        return scratch.write(both.where(jaccard("x", "y") >= similarity).select(*pairs.columns), "links")
+
+    def apart(groups: DataFrame) -> DataFrame:
+        """Rows of the prefix buckets that hold more than one group, with
+        ``label``, the row's group, and the bucket's ``least`` one and ``size``."""
+        mine = buckets.join(groups, "node", "left").select("key", "node", "n", "place", F.coalesce("label", "node").alias("label"))
+        mixed = mine.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size")).where("least < most").select("key", "least", "size")
+        return scratch.write(mine.join(mixed, "key"), "apart")
+
+    def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+        return components(groups.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links), scratch)
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def hashes(texts: pd.Series) -> pd.Series:
@@ -279,17 +291,25 @@ def _lost(base: DataFrame, width: int, similarity: float, scratch: Scratch) -> D
     close = bucketed(_variants(nodes, ["f0"], 2, ("n",)).withColumn("place", F.lit(0)))
     buckets = bucketed(nodes.select(F.posexplode("prefix").alias("place", "key"), "node", "n"))
     hubs = close.unionByName(buckets).where((F.col("node") != F.col("hub.node")) & possible("", "hub."))
-    stars = alike(hubs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct())
-    first = scratch.write(components(stars, scratch), "first")
-    # Prefix buckets that still hold more than one component: compare across them.
-    mine = buckets.join(first, "node", "left").select("key", "node", "n", "place", F.coalesce("label", "node").alias("label"))
-    mixed = mine.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    rest = scratch.write(mine.join(mixed, "key", "left_semi"), "rest")
-    l, r = rest.alias("l"), rest.alias("r")
-    cross = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.label") < F.col("r.label")) & possible("l.", "r."))
-    pairs = cross.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.col("l.label").alias("c"), F.col("r.label").alias("d")).distinct()
-    links = alike(pairs).select(F.col("c").alias("a"), F.col("d").alias("b")).distinct()
-    last = components(first.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links), scratch)
+    stars = alike(let_through(hubs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()))
+    groups = components(stars, scratch)
+    # What is not alike to its hub is compared with one more member of the
+    # hub's group, another one in every bucket that they share.
+    rest = apart(groups)
+    member = F.struct(F.xxhash64("key", "node").alias("h"), "node", "n", "place")
+    hubs = rest.where("label = least").groupBy("key").agg(F.min(member).alias("hub"))
+    hubs = rest.where("label <> least").join(hubs, "key").where(possible("", "hub."))
+    more = alike(let_through(hubs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()))
+    groups = joined(groups, more)
+    # Buckets that still hold more than one group: compare across them.  In
+    # large ones the bit maps are compared before a pair leaves the bucket.
+    rest = apart(groups)
+    meet = (F.col("l.key") == F.col("r.key")) & (F.col("l.label") < F.col("r.label")) & possible("l.", "r.")
+    ends = [F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.col("l.label").alias("c"), F.col("r.label").alias("d")]
+    few, many = rest.where(F.col("size") <= FEW), scratch.write(rest.where(F.col("size") > FEW).join(nodes.select("node", "parity"), "node"), "many")
+    pairs = let_through(few.alias("l").join(few.alias("r"), meet).select(*ends).distinct())
+    pairs = pairs.unionByName(many.alias("l").join(many.alias("r"), meet & near(("l.n", "r.n"), ("l.parity", "r.parity"))).select(*ends).distinct())
+    last = joined(groups, alike(pairs.distinct()).select(F.col("c").alias("a"), F.col("d").alias("b")).distinct())
     out = scratch.write(nodes.select("id", "mark", "node").join(last, "node").select("id", "mark", "node", F.col("label").alias("group")), "near")
     # Of rows with the component's id (repeated ids) the smallest mark stays.
     out = out.unionByName(nodes.join(out.select(F.col("group").alias("node")).distinct(), "node").select("id", "mark", "node", F.col("node").alias("group")))

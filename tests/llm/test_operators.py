@@ -115,6 +115,21 @@ def test_pii_added_kinds_and_query(spark, sf_dir, texts, odd):
     assert pii.find_personal_data(odd, to="spans").count() == len(ODD) and pii.find_personal_data(empty(odd)).count() == 0
 
 
+@pytest.mark.parametrize("tail", ["", " BIC COBADEFF", " AND", ".", " and more"])
+@pytest.mark.parametrize("number", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "de89370400440532013000", "GB82 WEST 1234 5698 7654 32"])
+def test_account_numbers_end_where_their_country_says(number, tail):
+    t = f"IBAN {number}{tail}"
+    assert [t[a:b] for k, a, b in pii.spans(t) if k == "account"] == [number]
+    assert not [s for s in pii.spans(f"IBAN {number}0{tail}") if s[0] == "account"] and not [s for s in pii.spans(t.replace("8", "7", 1)) if s[0] == "account"]
+
+
+def test_a_million_anchors_take_seconds():
+    for unit in ("@", "1.", "1 ", "+1", "://", "IBAN DE", "token=", "a@b."):
+        began = time.monotonic()
+        pii.spans(unit * (1_000_000 // len(unit)))
+        assert time.monotonic() - began < 20, unit
+
+
 # --- op3 -----------------------------------------------------------------------
 def test_water_filling():
     def fill(budget, kids):  # plain reference: (cap, weight)

@@ -154,7 +154,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- op5: main text of pages ---------------------------------------------------
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_main.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template", "n_named")
 
 
 # --- op6: url filter -----------------------------------------------------------

@@ -241,12 +241,16 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>v
 <table><tr><td>c1<td>c2</table><form><input value=1>f</form><section id="comments">first!</section></article><aside>side</aside><footer>&copy; x</footer>"""
 
 
+def plain_main(page):
+    return html_main.main_text(page)[0]
+
+
 def test_main_text():
-    assert html_main.main_text(html_main.parse(PAGE)) == "Head & line\n\nOne two bold <x>\n\nThree four\n\nc1\n\nc2"
-    assert html_main.main_text(html_main.parse("")) == "" and html_main.main_text(html_main.parse("plain")) == "plain"
-    assert html_main.main_text(html_main.parse("<p>a<p>b</i>c<nav>x</nav>d")) == "a\n\nbc\n\nd"
-    assert html_main.main_text(html_main.parse("<div>" * 2000 + "deep")) == "deep"
-    assert html_main.main_text(html_main.parse("<script>never closed")) == "" and html_main.main_text(html_main.parse("a < b <")) == "a < b <"
+    assert plain_main(html_main.parse(PAGE)) == "Head & line\n\nOne two bold <x>\n\nThree four\n\nc1\n\nc2"
+    assert plain_main(html_main.parse("")) == "" and plain_main(html_main.parse("plain")) == "plain"
+    assert plain_main(html_main.parse("<p>a<p>b</i>c<nav>x</nav>d")) == "a\n\nbc\n\nd"
+    assert plain_main(html_main.parse("<div>" * 2000 + "deep")) == "deep"
+    assert plain_main(html_main.parse("<script>never closed")) == "" and plain_main(html_main.parse("a < b <")) == "a < b <"
 
 
 def test_site_templates_go_and_copies_stay(spark):
@@ -259,6 +263,34 @@ def test_site_templates_go_and_copies_stay(spark):
     assert html_main.extract_pages(empty(pages)).count() == 0
 
 
+def test_shapes_of_templates_go_without_any_names(spark, sf_dir, monkeypatch):
+    """Pages of the data without article and cue words: shapes alone find the text."""
+    pages = [r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()][:60]
+    rows = [(r.page_id, f"http://site{i % 3}.example/{i}", r.html) for i, r in enumerate(pages)]
+    want = {i: plain_main(html_main.parse(h)) for i, _, h in rows}
+    bare = [(i, u, h.replace("<article>", "<div class=x>").replace("</article>", "</div>").replace("<nav>", "<div class=y>").replace("</nav>", "</div>").replace("<footer>", "<div class=z>").replace("</footer>", "</div>").replace('class="ad"', "class=w")) for i, u, h in rows]
+    got = {r.page_id: r for r in html_main.extract_pages(spark.createDataFrame(bare, "page_id long, url string, html string")).collect()}
+    assert sum(got[i].text == want[i] for i in want) > 0.95 * len(want) and all(r.n_template >= 2 and r.n_named <= 1 for r in got.values())
+    assert sum(plain_main(html_main.parse(h)) != want[i] for i, _, h in bare) > 0.9 * len(want)
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<body class="no-sidebar"><p>a</p></body>', "a"), ('<div id="page" class="has-comments"><h1>h</h1><p>a</p></div>', "h\n\na"), ('<article class="post sharing"><p>a</p></article>', "a"),
+    ('<article><p>a</p></article><section id="comments"><article class="comment"><p>c</p></article></section>', "a"), ("<p>a</p><svg><p>b</p>", "a\n\nb"), ("<form id=f><main><p>a</p></main></form>", "a"),
+    ("<p title=\"x>a</p>", "a"), ("<div>" * 5000 + "<nav>m</nav>deep", "deep"),
+])
+def test_names_never_drop_the_main_part(page, text):
+    assert plain_main(html_main.parse(page)) == text
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<p", "<b>", "<div><p>", "<svg>", "</p>", "<!--", "<a '\"", "<li>", "<div>x", "<table><tr><td>"])
+def test_a_million_tags_take_seconds(unit):
+    began = time.monotonic()
+    page = html_main.parse(unit * (1_000_000 // len(unit)) + '"')
+    html_main.main_text(page, {1})
+    assert time.monotonic() - began < 40
+
+
 def test_pages_keep_their_documents(spark, sf_dir, texts):
     whole = {" ".join(t.split()) for t in texts.values()}
     got = queries.op5_main_text(spark, sf_dir).collect()

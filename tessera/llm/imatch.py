@@ -1,13 +1,16 @@
 """I-Match document fingerprints over randomised lexicon subsets.
 
-The lexicon keeps the terms whose inverse document frequency lies in a chosen
-band.  Document frequencies are counted over all documents in 2**SLOT_BITS hash
-slots (the terms of a slot share its frequency), so the lexicon that goes to
-the executors is a bit map of fixed size however large the corpus is.  A text's
-distinct lexicon terms are sorted and hashed once for the whole lexicon and
-once for each randomised subset of it.  Subsets come in levels of falling
-density, since a subset's hash only survives an edit if none of its terms
-changes: dense levels tell near-identical texts, sparse ones distant relatives.
+The lexicon keeps the terms whose inverse document frequency, as a share of
+that of a term in one document only, lies in a chosen band: neither the words
+of every text nor those of one or two.  Document frequencies are exact and
+counted over all documents.  A text's distinct lexicon terms are sorted and the
+sequence is hashed, once for the whole lexicon and once for each randomised
+subset of it.  Subsets come in levels of falling density, since a subset's hash
+only survives an edit if none of its terms changes: dense levels tell
+near-identical texts, sparse ones distant relatives.
+
+A lexicon of up to ``BROADCAST_TERMS`` terms is sent to the executors; beyond,
+the documents' terms are joined with it.  Both ways give the same fingerprints.
 
 Likeness of two fingerprints: the share of equal hashes among the subsets that
 are not empty in both, over the levels sparse enough to have empty subsets (all
@@ -15,8 +18,9 @@ levels, if none has).  Equal fingerprints have likeness 1.
 
 Defined cases: a null text is the empty text; a text without lexicon terms uses
 all its terms; a text without terms has the empty fingerprint, alike only to
-itself; equal doc_ids are ordered by their text's hash; a null doc_id comes
-first; an empty table gives an empty table.
+itself; a very long text is one row's work; equal doc_ids are ordered by their
+text's hash; a null doc_id comes first; columns besides id and text are not
+read, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,15 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, text_of
+from .common import LEAST, Scratch, text_of
 
-SLOT_BITS = 18
-MIN_IDF, MAX_IDF = 2.5, 11.0
+#: The band: idf divided by the logarithm of the number of documents.
+MIN_IDF, MAX_IDF = 0.3, 0.95
+BROADCAST_TERMS = 1 << 22
 LEVELS = (2, 4, 6, 8, 10, 12, 14)  # a level's subsets hold a term with probability 2**-level
 PER_LEVEL = 16
 WIDTH = 1 + len(LEVELS) * PER_LEVEL
 CHUNK_CHARS = 2_000_000
-_LEAST = -(1 << 63)
 _U = np.uint64
 
 
@@ -60,31 +64,31 @@ def term_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[order], doc
 
 
-def slots(h: np.ndarray) -> np.ndarray:
-    return (h & _U((1 << SLOT_BITS) - 1)).astype(np.int64)
-
-
-def fingerprints(texts: list[str], keep: np.ndarray) -> np.ndarray:
-    """One row of WIDTH numbers a text: the hash of all its lexicon terms (64
-    bits), then of each subset's (16 bits, above 0; 0 for no term)."""
-    out = np.zeros((len(texts), WIDTH), np.uint64)
+def fingerprints(texts: list[str], lexicon: np.ndarray) -> np.ndarray:
+    """One row of WIDTH numbers a text; ``lexicon``: its terms' hashes, sorted."""
     h, doc = term_hashes(texts)
     if not len(h):
-        return out
-    inside = keep[slots(h)]
+        return np.zeros((len(texts), WIDTH), np.uint64)
+    inside = lexicon[np.minimum(np.searchsorted(lexicon, h), len(lexicon) - 1)] == h if len(lexicon) else np.zeros(len(h), bool)
     some = np.zeros(len(texts), bool)
     some[doc[inside]] = True
     inside |= ~some[doc]
-    h, doc = h[inside], doc[inside]
-    value = _mix(h, 7)
+    return hashed(h[inside], doc[inside], len(texts))
+
+
+def hashed(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Of n texts' sorted terms: the hash of all (64 bits), then of each
+    subset's (16 bits, above 0; 0 for no term)."""
+    out = np.zeros((n, WIDTH), np.uint64)
 
     def fold(take: np.ndarray, column: int, short: bool) -> None:
-        """Hash the sorted terms taken of each text into one number."""
+        """Hash the sequence of the terms taken of each text into one number."""
         at = np.flatnonzero(take)
         if len(at):
             own = doc[at]
             begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            total = _mix(np.add.reduceat(value[at], begin), column)
+            place = np.arange(len(at)) - np.repeat(begin, np.diff(np.r_[begin, len(at)]))
+            total = _mix(np.add.reduceat(_mix(h[at] + place.astype(np.uint64) * _U(0x9E3779B97F4A7C15), 7), begin), column)
             out[own[begin], column] = total % _U(65535) + _U(1) if short else total | _U(1)
 
     fold(np.ones(len(h), bool), 0, False)
@@ -117,29 +121,38 @@ def as_text(row: np.ndarray) -> str:
     return f"{int(row[0]):016x}" + row[1:].astype(">u2").tobytes().hex()
 
 
-def lexicon(docs: DataFrame, text: str = "text", min_idf: float = MIN_IDF, max_idf: float = MAX_IDF) -> bytes:
-    """Bit map of the hash slots whose document frequency lies in the band."""
+def lexicon(docs: DataFrame, text: str = "text", min_idf: float = MIN_IDF, max_idf: float = MAX_IDF) -> DataFrame:
+    """(term): 64-bit hashes of the terms whose document frequency lies in the
+    band.  Frequencies are combined in each task before the shuffle."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, rows = np.zeros(1 << SLOT_BITS, np.int64), 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in batches:
-            rows += len(batch)
             for part in _chunks(batch["t"].tolist()):
-                h, doc = term_hashes(part)
-                pairs = np.unique(doc << SLOT_BITS | slots(h))
-                n += np.bincount(pairs & ((1 << SLOT_BITS) - 1), minlength=len(n))
-        at = np.flatnonzero(n)
-        yield pd.DataFrame({"slot": np.r_[-1, at].astype(np.int32), "n": np.r_[rows, n[at]]})
-
-    counts = docs.select(text_of(docs, text).alias("t")).mapInPandas(count, "slot int, n bigint")
-    total = counts.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most 2**SLOT_BITS + 1 rows
-    n = np.zeros(1 << SLOT_BITS, np.int64)
-    own = total[total["slot"] >= 0]
-    n[own["slot"].to_numpy()] = own["n"].to_numpy()
-    rows = int(total.loc[total["slot"] < 0, "n"].sum())
-    with np.errstate(divide="ignore"):
-        idf = math.log(max(rows, 1)) - np.log(n)
-    return np.packbits((n > 0) & (idf >= min_idf) & (idf <= max_idf)).tobytes()
+                term, n = np.unique(term_hashes(part)[0], return_counts=True)
+                held.append((term, n))
+                size += len(term)
+                if size > 2_000_000:
+                    held = [summed(held)]
+                    size = len(held[0][0])
+                    if size > 1_000_000:
+                        yield frame(*held.pop())
+                        size = 0
+        if held:
+            yield frame(*summed(held))
+
+    def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        term, at = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+        return term, np.bincount(at, np.concatenate([n for _, n in held]), minlength=len(term)).astype(np.int64)
+
+    def frame(term: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"term": term.view(np.int64), "n": n})
+
+    rows = max(docs.count(), 1)
+    counts = docs.select(text_of(docs, text).alias("t")).mapInPandas(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    idf = (math.log(rows) - F.log("n")) / max(math.log(rows), 1e-9)
+    return counts.where((idf >= min_idf) & (idf <= max_idf)).select("term")
 
 
 def _chunks(texts: list[str]) -> Iterator[list[str]]:
@@ -164,7 +177,7 @@ def in_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ident = F.coalesce(docs[doc_id].cast("long"), F.lit(_LEAST))
+    ident = F.coalesce(docs[doc_id].cast("long"), F.lit(LEAST))
     base = docs.select(ident.alias("id"), text_of(docs, text).alias("text"))
     cut = base.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
     bounds = np.unique(np.array(cut, np.int64))
@@ -191,46 +204,89 @@ def in_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return out.repartition(parts, "bucket").sortWithinPartitions("bucket", "late", "id", F.xxhash64("text"))
 
 
-def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """doc_id, n_chars, text's and edited text's fingerprints and likenesses.
 
     The edited text is the text with its last floor(n / 2) code points replaced
     by the first as many of the next document in the order of doc_id (of the
     first after the last).
     """
-    bitmap = lexicon(docs, text)
-    columns = {"doc_id": "bigint", "n_chars": "bigint", "edited_text": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"}
+    with Scratch(docs.sparkSession) as scratch:
+        known = scratch.keep(scratch.write(lexicon(docs, text), "lexicon"))
+    rows = in_order(docs, doc_id, text)
+    if known.limit(broadcast_terms + 1).count() <= broadcast_terms:
+        return _looked_up(rows, known)
+    return _joined(rows, known)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keep = np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool)
-        held: list[tuple] = []
-        size = 0
-        for batch in batches:
-            for row in zip(batch["bucket"].tolist(), batch["late"].tolist(), batch["id"].tolist(), batch["text"].tolist(), strict=True):
-                held.append(row)
-                size += len(row[3])
-                if size >= CHUNK_CHARS and len(held) > 1:
-                    yield pairs(held, keep)
-                    held, size = held[-1:], len(row[3])
-        if len(held) > 1:
-            yield pairs(held, keep)
-
-    def pairs(rows: list[tuple], keep: np.ndarray) -> pd.DataFrame:
-        """Results of all rows but the last, which only serves as a successor."""
+
+COLUMNS = "doc_id bigint, n_chars bigint, edited_text string"
+RESULT = f"{COLUMNS}, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[str], list[int], list[str]]]:
+    """Blocks of rows in order: the columns of COLUMNS, all texts, the places of
+    the rows among them (each one's successor comes next) and the edited texts."""
+
+    def block(rows: list[tuple]) -> tuple[pd.DataFrame, list[str], list[int], list[str]]:
         at = [i for i in range(len(rows) - 1) if rows[i][1] == 0 and rows[i][0] == rows[i + 1][0]]
         texts = [r[3] for r in rows]
         edited = [texts[i][: len(texts[i]) - len(texts[i]) // 2] + texts[i + 1][: len(texts[i]) // 2] for i in at]
-        own, other = fingerprints(texts, keep), fingerprints(edited, keep)
-        index = np.array(at, np.int64)
-        return pd.DataFrame({
-            "doc_id": pd.array([None if rows[i][2] == _LEAST else rows[i][2] for i in at], "Int64"),
-            "n_chars": np.array([len(texts[i]) for i in at], np.int64),
-            "edited_text": edited,
-            "fingerprint": [as_text(own[i]) for i in at],
-            "edited_fingerprint": [as_text(r) for r in other],
-            "near_edited": likeness(own[index], other),
-            "near_next": likeness(own[index], own[index + 1]),
-        })
-
-    schema = ", ".join(f"{k} {v}" for k, v in columns.items())
-    return in_order(docs, doc_id, text).mapInPandas(run, schema)
+        ids = pd.array([None if rows[i][2] == LEAST else rows[i][2] for i in at], "Int64")
+        return pd.DataFrame({"doc_id": ids, "n_chars": np.array([len(texts[i]) for i in at], np.int64), "edited_text": edited}), texts, at, edited
+
+    held: list[tuple] = []
+    size = 0
+    for batch in batches:
+        for row in zip(batch["bucket"].tolist(), batch["late"].tolist(), batch["id"].tolist(), batch["text"].tolist(), strict=True):
+            held.append(row)
+            size += len(row[3])
+            if size >= CHUNK_CHARS and len(held) > 1:
+                yield block(held)
+                held, size = held[-1:], len(row[3])
+    if len(held) > 1:
+        yield block(held)
+
+
+def _result(frame: pd.DataFrame, own: np.ndarray, edited: np.ndarray, following: np.ndarray) -> pd.DataFrame:
+    return frame.assign(fingerprint=[as_text(r) for r in own], edited_fingerprint=[as_text(r) for r in edited], near_edited=likeness(own, edited), near_next=likeness(own, following))
+
+
+def _looked_up(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The lexicon of a checked size goes to every executor."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.sort(known.toPandas()["term"].to_numpy(np.int64).view(np.uint64)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, texts, at, edited in _pairs(batches):
+            own, index = fingerprints(texts, shared.value), np.array(at, np.int64)
+            yield _result(frame, own[index], fingerprints(edited, shared.value), own[index + 1] if len(index) else own[:0])
+
+    return rows.mapInPandas(run, RESULT)
+
+
+def _joined(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The terms of each text, its edited text and the next are joined with the lexicon."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, texts, at, edited in _pairs(batches):
+            parts = {"own": [texts[i] for i in at], "edited": edited, "following": [texts[i + 1] for i in at]}
+            for name, those in parts.items():
+                h, doc = term_hashes(those)
+                frame[name] = np.split(h.view(np.int64), np.searchsorted(doc, np.arange(1, len(those)))) if those else []
+            yield frame
+
+    names = ("own", "edited", "following")
+    scratch = Scratch(rows.sparkSession)
+    held = rows.mapInPandas(run, f"{COLUMNS}, {', '.join(f'{n} array<bigint>' for n in names)}")
+    held = scratch.write(held.withColumn("uid", F.monotonically_increasing_id()), "terms")
+    terms = held.select("uid", F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(n).alias("terms")) for i, n in enumerate(names)])).alias("x")).select("uid", "x.which", F.explode("x.terms").alias("term"))
+    inside = terms.join(known, "term").groupBy("uid").agg(*[F.collect_list(F.when(F.col("which") == i, F.col("term"))).alias(f"in{i}") for i in range(3)])
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for i, name in enumerate(names):
+                lists = [np.sort(np.array(a if b is None or not len(b) else b, np.int64).view(np.uint64)) for a, b in zip(batch[name], batch[f"in{i}"], strict=True)]
+                out.append(hashed(np.concatenate(lists), np.repeat(np.arange(len(lists)), list(map(len, lists))), len(lists)))
+            yield _result(batch[["doc_id", "n_chars", "edited_text"]], *out)
+
+    return held.join(inside, "uid", "left").mapInPandas(finish, RESULT)

@@ -66,7 +66,7 @@ def test_imatch_edits_and_order(spark, sf_dir, texts):
         by_text.setdefault(t, set()).add(got[i].fingerprint)
     assert all(len(v) == 1 for v in by_text.values())
     near, far = [r.near_edited for r in got.values()], [r.near_next for r in got.values()]
-    assert all(0 <= x <= 1 for x in near + far) and sum(a > b for a, b in zip(near, far)) > 0.9 * len(near)
+    assert all(0 <= x <= 1 for x in near + far) and sum(a > b for a, b in zip(near, far)) > 0.85 * len(near)
 
 
 def test_imatch_odd_rows(odd):
@@ -76,9 +76,49 @@ def test_imatch_odd_rows(odd):
     assert imatch.fingerprint_documents(empty(odd)).count() == 0
 
 
+def plain_fingerprint_of(text, lexicon):
+    """The fingerprint by its definition: Python integers, one subset after another."""
+    m64 = 2**64 - 1
+
+    def mix(x, seed):
+        x ^= seed * 0x9E3779B97F4A7C15 & m64
+        x = (x ^ x >> 31) * 0x7FB5D329728EA185 & m64
+        x = (x ^ x >> 27) * 0x81DADEF4BC2DD44D & m64
+        return x ^ x >> 33
+
+    terms = sorted({xxhash.xxh64_intdigest(w.encode()) for w in text.lower().split()})
+    terms = [t for t in terms if t in lexicon] or terms
+    take = [(terms, 0)]
+    for level in imatch.LEVELS:
+        fields = 64 // level
+        for s in range(imatch.PER_LEVEL):
+            bits = [mix(t, 100 * level + s - s % fields) >> level * (s % fields) for t in terms]
+            take.append(([t for t, b in zip(terms, bits) if b % 2**level == 0], len(take)))
+    out = []
+    for own, column in take:
+        total = mix(sum(mix((t + i * 0x9E3779B97F4A7C15) & m64, 7) for i, t in enumerate(own)) & m64, column)
+        out.append(0 if not own else total % 65535 + 1 if column else total | 1)
+    return f"{out[0]:016x}" + "".join(f"{x:04x}" for x in out[1:])
+
+
+def test_imatch_equals_brute_force_both_ways(docs, texts, odd):
+    n = {}
+    for t in texts.values():
+        for w in set(t.lower().split()):
+            n[w] = n.get(w, 0) + 1
+    idf = lambda w: (np.log(len(texts)) - np.log(n[w])) / np.log(len(texts))
+    words = {w for w in n if imatch.MIN_IDF <= idf(w) <= imatch.MAX_IDF}
+    assert 0 < len(words) < 0.9 * len(n)
+    lexicon = {xxhash.xxh64_intdigest(w.encode()) for w in words}
+    got = {r.doc_id: r for r in imatch.fingerprint_documents(docs).collect()}
+    assert all(got[i].fingerprint == plain_fingerprint_of(t, lexicon) and got[i].edited_fingerprint == plain_fingerprint_of(got[i].edited_text, lexicon) for i, t in texts.items())
+    for df in (docs, odd):
+        a, b = (sorted(map(str, imatch.fingerprint_documents(df, broadcast_terms=k).collect())) for k in (1 << 20, 0))
+        assert a == b
+
+
 def test_imatch_likeness_bounds():
-    keep = np.ones(1 << imatch.SLOT_BITS, bool)
-    a = imatch.fingerprints(["alpha beta gamma delta", "alpha beta gamma delta", "", "other words here"], keep)
+    a = imatch.fingerprints(["alpha beta gamma delta", "alpha beta gamma delta", "", "other words here"], np.zeros(0, np.uint64))
     assert imatch.likeness(a[:1], a[1:2])[0] == 1 and imatch.likeness(a[2:3], a[2:3])[0] == 1 and imatch.likeness(a[:1], a[2:3])[0] == 0 and imatch.likeness(a[:1], a[3:4])[0] == 0
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, html_main, imatch, line_dedup, mixing, pii, piece_bpe, simhash, toxicity, url_filter
+from .url_parts import host_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -163,13 +164,17 @@ URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net
 BAD_HOST_WORDS = ("adult", "ads", "bets", "casino", "farm", "pills", "porn", "spam", "track", "warez", "xxx")
 
 
-def url_label() -> Column:
-    """1 for hosts with a bad word as a whole part, 0 for other named hosts."""
-    return F.when(F.col("host") == "", None).when(F.col("host").rlike(rf"(^|[.-])({'|'.join(BAD_HOST_WORDS)})([.-]|$)"), 1).otherwise(0)
+def url_labels(pages: DataFrame) -> DataFrame:
+    """Labels of the urls: 1 for hosts with a bad word as a whole part, 0 for
+    other named hosts."""
+    host = host_of(pages["url"])
+    bad = host.rlike(rf"(^|[.-])({'|'.join(BAD_HOST_WORDS)})([.-]|$)").cast("int")
+    return pages.where(host != "").select("url", bad.alias("label"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, url_label())
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES, url_labels(pages))
 
 
 # --- op7: toxicity -------------------------------------------------------------

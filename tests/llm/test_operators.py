@@ -345,15 +345,38 @@ def test_url_rules(spark):
         9: "http://notexample.net/de/8", 10: "http://casino-win.example.org/x", 11: "http://a.com?x=1",
     }
     pages = spark.createDataFrame([(k, u) for k, u in urls.items()] + [(100 + i, f"http://free-bets.example.org/{i}") for i in range(20)] + [(200 + i, f"http://good{i}.example.org/{i}") for i in range(20)], "page_id long, url string").withColumn("label", F.lit("extra"))
-    got = {r.page_id: r for r in url_filter.judge(pages, queries.URL_RULES, queries.url_label()).collect()}
+    got = {r.page_id: r for r in url_filter.judge(pages, queries.URL_RULES, queries.url_labels(pages)).collect()}
     rules = {k: got[k].rule for k in urls}
     assert rules == {1: "com/en/", 2: "example.com/en/7", 3: "net/de/", 4: "example.net/de/8", 5: "org/es/", 6: None, 7: None, 8: None, 9: "net/de/", 10: None, 11: None}
     assert got[1].verdict == "block" and got[2].verdict == "allow" and got[4].verdict == "block" and got[3].verdict == "allow"
     assert (got[1].host, got[1].path, got[11].host, got[11].path, got[7].host, got[8].path) == ("www.x.example.com", "/en/8", "a.com", "", "", "")
     assert got[105].verdict == "block" and got[205].verdict == "allow"
-    left = url_filter.filter_pages(pages, queries.URL_RULES, queries.url_label())
+    left = url_filter.filter_pages(pages, queries.URL_RULES, queries.url_labels(pages))
     assert left.columns == pages.columns and 105 not in {r.page_id for r in left.collect()}
-    assert url_filter.judge(empty(pages), queries.URL_RULES, queries.url_label()).count() == 0
+    assert url_filter.judge(empty(pages), queries.URL_RULES, queries.url_labels(empty(pages))).count() == 0
+
+
+def test_url_features_by_hand():
+    got = dict(zip(url_filter.FEATURES, url_filter.lexical("https://a1.b-c.example.org/x/y2/?q=1&r=22#t", "a1.b-c.example.org", "/x/y2/"), strict=True))
+    want = {"length": 43, "host_length": 18, "path_length": 6, "host_labels": 4, "depth": 2, "host_digits": 1 / 18, "hyphens": 1, "parameters": 2, "query_length": 8, "fragment": 1, "secure": 1, "longest_word": 7, "host_vowels": 0}
+    assert {k: got[k] for k in want} == want and abs(got["digits"] - 5 / 43) < 1e-12 and abs(url_filter.entropy("aabb") - 1) < 1e-12
+
+
+def test_suffix_rates_leave_the_own_fold_out(spark):
+    rows = [(i, f"http://h{i}.{'bad' if i % 2 else 'good'}.org/{i}", float(i % 2)) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, label double")
+    with url_filter.Scratch(spark) as scratch:
+        got = url_filter._prepared(pages, pages, "page_id", "url", scratch).collect()
+    for r in got:
+        others = [x for x in got if x.suffix == r.suffix and x.fold != r.fold]
+        assert abs(r.rate - (sum(x.label for x in others) + 1) / (len(others) + 2)) < 1e-12
+
+
+def test_trees_know_bad_hosts_that_they_have_not_seen(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    rows = url_filter.held_out(pages, queries.url_labels(pages)).collect()
+    bad, good = [r.score for r in rows if r.label], [r.score for r in rows if not r.label]
+    assert bad and good and np.mean([(x > y) + 0.5 * (x == y) for x in bad for y in good]) > 0.8
 
 
 # --- op7 -----------------------------------------------------------------------

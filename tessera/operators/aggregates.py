@@ -95,7 +95,10 @@ def listed_by(df: DataFrame, by: str, columns: Sequence[str], order: str) -> Dat
 
 def consensus(df: DataFrame, by: Sequence[str], value: str, text: str) -> DataFrame:
     """AGG-35: the group's value if it has one only, else ambiguous and null."""
-    one = (F.count_distinct(value) <= 1) & (F.count_distinct(F.coalesce(F.col(text), F.lit("[]"))) <= 1)
+    # The least and the largest are equal where there is one value only: one
+    # exchange, combined before it.
+    same = lambda c: F.coalesce(F.min(c) == F.max(c), F.lit(True))
+    one = same(F.col(value)) & same(F.coalesce(F.col(text), F.lit("[]")))
     return df.groupBy(*by).agg(F.when(one, F.max(value)).alias(value), F.when(one, F.max(text)).alias(text), (~one).alias("ambiguous"), F.count("*").alias("n"))
 
 

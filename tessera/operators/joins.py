@@ -70,10 +70,14 @@ def labelled_counts(counts: DataFrame, dim: DataFrame, key: str, label: str, unk
 
 
 def with_group_stat(df: DataFrame, group: Sequence[str], stat: Column, to: str) -> DataFrame:
-    """JOIN-15: a group's statistic on each of its rows, by window."""
-    from pyspark.sql import Window
+    """JOIN-15: a group's statistic on each of its rows.
 
-    return df.withColumn(to, stat.over(Window.partitionBy(*group)))
+    Aggregated and joined back, so that a group's rows need not meet in one
+    task: the join of a large group is broadcast or split at run time.
+    """
+    stats = df.groupBy(*[F.col(c).alias(f"__g_{c}") for c in group]).agg(stat.alias(to))
+    on = [df[c].eqNullSafe(stats[f"__g_{c}"]) for c in group]
+    return df.join(stats, on, "left").drop(*[f"__g_{c}" for c in group])
 
 
 def join_back(df: DataFrame, fine: Sequence[str], coarse: str, to: str = "n") -> DataFrame:

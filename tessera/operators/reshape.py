@@ -44,14 +44,19 @@ def dense_index(c: str) -> Column:
     return F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(c)) - 1
 
 
-def range_bins(df: DataFrame, column: str, width: float) -> DataFrame:
+def range_bins(df: DataFrame, column: str, width: float, most: int = 100_000) -> DataFrame:
     """RSH-19..21, AGG-6: right-closed bins of equal width from 0 with all empty
-    bins up to the largest value; values that are no numbers get their own rows."""
+    bins up to the largest value; values that are no numbers get their own rows.
+
+    A value beyond ``most`` bins is an error: every empty bin is a row, so an
+    outlier needs a larger width or a filter.
+    """
     n = F.col(column).cast("string").try_cast("double")
     numbered = df.select(n.alias("v"), F.col(column).cast("string").alias("t")).where("t is not null")
     tops = numbered.select(F.ceil(F.col("v") / width).cast("long").alias("bin"), "v", "t")
     counts = tops.groupBy(F.when(F.col("v").isNull(), F.col("t")).alias("other"), F.when(F.col("v") > 0, F.col("bin")).alias("bin")).agg(F.count("*").alias("count"))
-    spine = counts.agg(F.max("bin").alias("top")).where("top is not null").select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("top"))).alias("bin"))
+    within = F.when(F.col("top") <= most, F.col("top")).otherwise(F.raise_error(F.format_string("the largest value is in bin %d, more than %d are not listed", F.col("top"), F.lit(most))).cast("long"))
+    spine = counts.agg(F.max("bin").alias("top")).where("top is not null").select(F.explode(F.sequence(F.lit(1).cast("long"), within)).alias("bin"))
     edge = lambda c: F.ceil(c * (width * 100)) / 100
     label = F.format_string("%.2f-%.2f", edge(F.col("bin") - 1), edge(F.col("bin")))
     binned = spine.join(counts.where("bin is not null").select("bin", "count"), "bin", "left").select(label.alias("label"), F.coalesce("count", F.lit(0)).cast("long").alias("count"))

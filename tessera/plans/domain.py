@@ -10,7 +10,7 @@ from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..sources.readers import table
 from .registry import registry
-from .text_to_sql import Schema, answer
+from .text_to_sql import select as select_related
 
 query, QUERIES, ORACLE_SQL = registry()
 
@@ -241,17 +241,12 @@ def regrouping(spark, d):
 
 
 # --- text to SQL ---------------------------------------------------------------
-_ASK = "parts with size at least 10 and brand is Brand#11, Brand#12 include size"
-_TABLES = {"part_view": ["partkey", "name", "brand", "size"], "line_view": ["partkey", "quantity"]}
-
-
 @query("SELECT size FROM (SELECT p_partkey AS partkey, p_brand AS brand, p_size AS size FROM part) p JOIN (SELECT l_partkey AS partkey, l_quantity AS quantity FROM lineitem) l USING (partkey) WHERE size >= 10 AND upper(brand) IN ('BRAND#11', 'BRAND#12')")
 def text2sql(spark, d):
     """T2S-1..6, JOIN-27, JOIN-28."""
-    table(spark, d, "part").select(F.col("p_partkey").alias("partkey"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size")).createOrReplaceTempView("part_view")
-    table(spark, d, "lineitem").select(F.col("l_partkey").alias("partkey"), F.col("l_quantity").alias("quantity")).createOrReplaceTempView("line_view")
-    schema = Schema(_TABLES, ["partkey"], ["size"], ["brand"])
-    return answer(spark, _ASK, schema)[1]
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("partkey"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
+    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("partkey"), F.col("l_quantity").alias("quantity"))
+    return select_related({"parts": parts, "lines": lines}, [("size", ">=", 10), ("brand", "in", ["Brand#11", "Brand#12"])], ["size"])
 
 
 # --- composite records ---------------------------------------------------------
@@ -295,3 +290,85 @@ def topology_summary(spark, d):
     n = F.col("n_nationkey")
     r = F.array(region(1, F.lit(9), "Inside"), region(10, F.lit(30), "Membrane"), region(31, n + 100, "loop"), region(200, F.lit(220), "TMhelix"), region(221, F.lit(230), "Outside"))
     return table(spark, d, "nation").select(n.alias("k"), summary(r).alias("s")).select("k", F.col("s.tm_count").cast("long").alias("tm_count"), "s.n_side", "s.c_side", "s.kind", F.col("s.long_loops").cast("long").alias("long_loops"))
+
+
+# --- predictions and exports ---------------------------------------------------
+@query("""
+SELECT o_custkey AS entity, count(*) AS n, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS items, string_agg(o_orderpriority, ',' ORDER BY o_orderkey) AS names FROM orders GROUP BY 1
+""")
+def grouped_predictions(spark, d):
+    """AGG-36, AGG-37: items of an entity in order, and their names joined."""
+    rows = A.grouped_items(table(spark, d, "orders", ["o_custkey", "o_orderkey", "o_orderpriority"]), "o_custkey", "o_orderkey", name="o_orderpriority")
+    joined = lambda f: F.array_join(F.transform("items", lambda x: x[f].cast("string")), ",")
+    return rows.select(F.col("o_custkey").alias("entity"), F.size("items").cast("long").alias("n"), joined("o").alias("items"), joined("name").alias("names"))
+
+
+@query("SELECT DISTINCT upper('c' || o_custkey) AS pdb_code FROM orders WHERE o_orderstatus = 'F' OR (o_orderstatus = 'P' AND contains(o_orderpriority, 'URGENT'))")
+def completed_codes(spark, d):
+    """FLT-27: finished codes, and errors that will not go away."""
+    from ..operators.filters import done_codes
+
+    o = table(spark, d, "orders", ["o_custkey", "o_orderstatus", "o_orderpriority"])
+    store = o.select(F.concat(F.lit("c"), "o_custkey").alias("pdb_code"), F.lit("p").alias("provider"), F.lit("m").alias("method"), F.when(F.col("o_orderstatus") == "P", "error").otherwise(F.col("o_orderstatus")).alias("status"), F.col("o_orderpriority").alias("error"))
+    return done_codes(store, "p", "m", ["F"], "URGENT")
+
+
+@query("""
+SELECT p_partkey AS k, m AS method, CASE m WHEN 'size' THEN p_size ELSE length(p_name) END::BIGINT AS tm_count, CASE m WHEN 'size' THEN p_brand ELSE p_type END AS tm_regions,
+  CASE WHEN p_partkey % 2 = 0 THEN 'A' || p_partkey ELSE 'PDB:' || p_partkey END AS uniprot_id
+FROM part, (VALUES ('size'), ('name')) v(m)
+""")
+def store_rows(spark, d):
+    """RSH-24: wide predictions as rows of the store."""
+    from ..operators.reshape import long_predictions
+
+    p = table(spark, d, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"])
+    wide = p.select(F.col("p_partkey").alias("k"), F.col("p_size").cast("long").alias("size_count"), F.col("p_brand").alias("size_regions"), F.length("p_name").cast("long").alias("name_count"), F.col("p_type").alias("name_regions"))
+    known = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("k"), F.concat(F.lit("A"), F.col("p_partkey")).alias("uniprot_id"))
+    return long_predictions(wide, "k", ["size", "name"], known)
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS props_k FROM events")
+def nested_first(spark, d):
+    """RSH-17, RSH-18: fields of the first object of a literal list as columns."""
+    from ..operators.reshape import first_struct
+
+    rows = table(spark, d, "events", ["event_id", "props"]).withColumn("props", F.concat(F.lit("["), "props", F.lit("]")))
+    return first_struct(rows, "props", "k:int").select("event_id", "props_k")
+
+
+@query("SELECT n_nationkey AS k, i AS a, chr((65 + i)::INT) AS b FROM nation, (SELECT unnest(range(3)) AS i)")
+def aligned_lists(spark, d):
+    """RSH-13: lists of equal length exploded in step."""
+    from ..operators.reshape import aligned_rows
+
+    rows = table(spark, d, "nation", ["n_nationkey"]).select(F.col("n_nationkey").alias("k"), F.array(*[F.lit(i).cast("long") for i in range(3)]).alias("a"), F.array(*[F.lit(chr(65 + i)) for i in range(3)]).alias("b"))
+    return aligned_rows(rows, ["a", "b"])
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def columns_by_name(spark, d):
+    """FLT-14, FLT-15, FLT-21: columns dropped by the pattern of their name."""
+    from ..operators.filters import drop_by_name
+
+    return drop_by_name(table(spark, d, "customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]), [r"key$", r"^c_mkt"], keep=["c_custkey"])
+
+
+@query("SELECT s_suppkey, s_name, NULL::DOUBLE AS rating, NULL::VARCHAR AS note FROM supplier")
+def evolved_schema(spark, d):
+    """UPS-6: columns that a newer schema has are added as nulls."""
+    from pyspark.sql import types as T
+
+    from ..operators.sets import evolved
+
+    wanted = T.StructType([T.StructField("s_suppkey", T.LongType()), T.StructField("rating", T.DoubleType()), T.StructField("note", T.StringType())])
+    return evolved(table(spark, d, "supplier", ["s_suppkey", "s_name"]), wanted)
+
+
+@query("SELECT n_nationkey AS k, coalesce(n, 0)::BIGINT AS count FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 9900 GROUP BY 1) ON c_nationkey = n_nationkey")
+def dimension_zeros(spark, d):
+    """JOIN-12: every member of the dimension, 0 where nothing was counted."""
+    from ..operators.joins import counts_with_dimension
+
+    counts = table(spark, d, "customer", ["c_nationkey", "c_acctbal"]).where("c_acctbal > 9900").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("count"))
+    return counts_with_dimension(counts, table(spark, d, "nation", ["n_nationkey"]).select(F.col("n_nationkey").alias("k")), "k").select("k", "count")

@@ -50,10 +50,10 @@ def in_list(spark, d):
     return table(spark, d, "customer").where(L.in_codes(F.col("c_mktsegment"), ["building", " Machinery "])).select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_mktsegment FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def anti_exclusion(spark, d):
     """FLT-8, JOIN-18."""
-    orders = table(spark, d, "orders", ["o_custkey"]).withColumnRenamed("o_custkey", "c_custkey")
+    orders = table(spark, d, "orders", ["o_custkey", "o_totalprice"]).where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return J.without(table(spark, d, "customer", ["c_custkey", "c_mktsegment"]), orders, "c_custkey")
 
 
@@ -84,10 +84,10 @@ def any_column_match(spark, d):
     return table(spark, d, "part").where(L.any_column_is(["p_name", "p_brand", "p_type"], "Brand#11 ")).select("p_partkey", "p_brand")
 
 
-@query("SELECT p_partkey FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type, p_size::VARCHAR)), 'steel')")
+@query("SELECT p_partkey FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type, p_size::VARCHAR)), 'widget')")
 def search_blob(spark, d):
     """FLT-22..24."""
-    return table(spark, d, "part").where(L.search_blob(["p_name", "p_brand", "p_type", "p_size"], "STEEL")).select("p_partkey")
+    return table(spark, d, "part").where(L.search_blob(["p_name", "p_brand", "p_type", "p_size"], "WIDGET")).select("p_partkey")
 
 
 @query("""
@@ -547,13 +547,13 @@ def pref_row(spark, d):
 
 # --- order and sets ------------------------------------------------------------
 @query("""
-WITH p AS (SELECT *, (CASE WHEN upper(p_brand) = 'STEEL' THEN 120 ELSE 0 END) + (CASE WHEN upper(p_name) = 'STEEL' THEN 48 WHEN contains(upper(p_name), 'STEEL') THEN 36 ELSE 0 END)
-  + (CASE WHEN upper(p_type) = 'STEEL' THEN 36 WHEN contains(upper(p_type), 'STEEL') THEN 24 ELSE 0 END) AS score FROM part)
+WITH p AS (SELECT *, (CASE WHEN upper(p_brand) = 'RING' THEN 120 ELSE 0 END) + (CASE WHEN upper(p_name) = 'RING' THEN 48 WHEN contains(upper(p_name), 'RING') THEN 36 ELSE 0 END)
+  + (CASE WHEN upper(p_type) = 'RING' THEN 36 WHEN contains(upper(p_type), 'RING') THEN 24 ELSE 0 END) AS score FROM part)
 SELECT p_partkey, score::BIGINT AS score FROM p WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 25
 """)
 def ranked_search(spark, d):
     """SORT-5, SORT-6."""
-    score, why = R.relevance("steel ", [("brand_exact", "p_brand", 120)], [("name_contains", ["p_name"], 36), ("type_contains", ["p_type"], 24)])
+    score, why = R.relevance("ring ", [("brand_exact", "p_brand", 120)], [("name_contains", ["p_name"], 36), ("type_contains", ["p_type"], 24)])
     rows = table(spark, d, "part").withColumns({"score": score.cast("long"), "reasons": why}).where("score > 0")
     return R.top_slice(rows, [F.desc("score"), F.asc("p_partkey")], 0, 25).select("p_partkey", "score")
 
@@ -601,10 +601,10 @@ def intersect_keys(spark, d):
     return table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k")).intersect(table(spark, d, "supplier").select("s_nationkey"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 def except_keys(spark, d):
     """SET-4, SET-5."""
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, d, "orders").select("o_custkey"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, d, "orders").where("o_totalprice > 300000").select("o_custkey"))
 
 
 @query("SELECT o_orderkey AS k, o_totalprice AS a, NULL::VARCHAR AS b FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT c_custkey, NULL, c_name FROM customer WHERE c_acctbal < 0")

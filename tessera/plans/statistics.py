@@ -139,17 +139,47 @@ def kmeans_best_k(spark, d):
 
 @query(None)
 def mixture_clusters(spark, d):
-    """ML-24, ML-26."""
+    """ML-26: Gaussian mixture on two principal components."""
     rows = M.principal_components(_vectors(spark, d), 2).select("vec_id", "pc")
-    return M.clusters(M.vectors(rows, "pc"), 3, "bisecting").select("vec_id", "cluster")
+    return M.clusters(M.vectors(rows, "pc"), 3, "gaussian").select("vec_id", "cluster")
 
 
 @query(None)
-def classifier_cmp(spark, d):
-    """ML-36..42."""
+def bisecting_clusters(spark, d):
+    """ML-24, by bisecting k-means in place of merging."""
+    return M.clusters(_vectors(spark, d), 3, "bisecting").select("vec_id", "cluster")
+
+
+@query(None)
+def self_training(spark, d):
+    """ML-38: a tenth of the labels, and confident predictions for the rest."""
     rows = _vectors(spark, d).select("vec_id", F.col("label").cast("double").alias("label"), "features")
+    told = F.pmod(F.xxhash64("vec_id"), F.lit(10)) == 0
+    return M.self_trained(rows.where(told), rows.where(~told).drop("label"), "logistic", 0.9, 2).select("vec_id", "prediction")
+
+
+@query(None)
+def feature_importances(spark, d):
+    """ML-36, AGG-47: forest importances of two columns of a line's price."""
+    rows = table(spark, d, "lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag"]).withColumn("label", (F.col("l_returnflag") == "R").cast("double"))
+    found = M.importances(rows, ["l_quantity", "l_extendedprice", "l_discount"])
+    return spark.createDataFrame(found, "feature string, importance double")
+
+
+@query(None)
+def batch_scoring(spark, d):
+    """ML-45, ML-47, ML-48: one fitted model applied to every row."""
+    rows = table(spark, d, "part", ["p_partkey", "p_size", "p_retailprice", "p_type"]).withColumns({"p_size": F.col("p_size").cast("double"), "p_retailprice": F.col("p_retailprice").cast("double")})
+    model = M.scoring_pipeline(rows.where("p_partkey % 4 <> 0"), ["p_size", "p_retailprice"], "p_type", "tree")
+    return model.transform(rows).select("p_partkey", "prediction")
+
+
+@query(None)
+def classifier_cmp(spark, d):
+    """ML-37, ML-40..42: five classifiers on whether the label is odd."""
+    rows = _vectors(spark, d).select("vec_id", (F.col("label") % 2).cast("double").alias("label"), "features")
     train, test = M.split(rows, "vec_id", 0.3, 5)
-    return M.comparison(train, test, ["logistic", "tree", "forest"])
+    return M.comparison(train, test, ["logistic", "tree", "forest", "boosting", "svm"])
 
 
 @query("SELECT label, fold, count(*) AS n FROM (SELECT label, (row_number() OVER (PARTITION BY label ORDER BY vec_id) % 5)::INT AS fold FROM embeddings) GROUP BY 1, 2")

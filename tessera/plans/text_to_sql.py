@@ -1,96 +1,53 @@
-"""Questions in plain words as Spark SQL over known tables (T2S).
+"""Selections over related tables (T2S): filters as (field, comparison, value)
+and the columns wanted, applied as Column expressions and equality joins.
 
-A question has a filter part and, after the word "include", the columns wanted.
-Values are bound as parameters, never written into the SQL text, and only a
-query plan is run.
+No question is parsed and no SQL text is made, so nothing but a query can be
+run and no value can become code.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
-from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
-
-#: Words of each comparison, longest first.
-COMPARISONS = (
-    (">=", ("greater than or equals", "greater than or equal to", ">=", "at least")),
-    ("<=", ("less than or equals", "less than or equal to", "<=", "at most")),
-    (">", ("greater than", "over", "above", ">")),
-    ("<", ("less than", "under", "below", "<")),
-)
-
-
-@dataclass
-class Schema:
-    """Tables with their columns, the keys tables may be joined on, the fields
-    that are compared as numbers and those that are looked up in lists."""
-
-    tables: dict[str, list[str]]
-    keys: Sequence[str]
-    numeric: Sequence[str]
-    listed: Sequence[str]
-    args: dict[str, object] = field(default_factory=dict)
-
-
-def parse_tables(lines: Sequence[str]) -> dict[str, list[str]]:
-    """T2S-1: ``table(a, b)`` lines."""
-    out = {}
-    for line in lines:
-        m = re.fullmatch(r"\s*(?:table\s+)?(\w+)\s*\(([^)]*)\)\s*", line, re.IGNORECASE)
-        if not m:
-            raise ValueError(f"can't read schema {line!r}")
-        out[m.group(1)] = [c.strip() for c in m.group(2).split(",") if c.strip()]
-    return out
-
-
-def _named(text: str, phrase: str) -> bool:
-    return re.search(rf"\b{re.escape(phrase)}\b", text, re.IGNORECASE) is not None
-
-
-def generate(question: str, schema: Schema) -> tuple[str, dict[str, object]]:
-    """T2S-2..4, JOIN-28, FLT-9: the SQL and its parameters."""
-    asked, _, wanted = re.split(r"(\binclude\b)", question, maxsplit=1, flags=re.IGNORECASE) if _named(question, "include") else (question, "", "")
-    tables = list(schema.tables)
-    place = {c.lower().replace("_", " "): (t, c) for t, cs in schema.tables.items() for c in cs}
-    columns = [f"{t}.{c}" for phrase, (t, c) in place.items() if _named(wanted, phrase)] or [f"{t}.*" for t in tables]
-    base, joins = tables[0], []
-    for t in tables[1:]:
-        on = next((k for k in schema.keys if k in schema.tables[t] and k in schema.tables[base]), None)
-        if on:
-            joins.append(f"JOIN {t} ON {base}.{on} = {t}.{on}")
-    where, args = [], {}
-    for f in schema.numeric:
-        t, c = place[f.replace("_", " ")]
-        rest = asked
-        for op, words in COMPARISONS:
-            m = re.search(rf"\b{re.escape(f.replace('_', ' '))}\s+(?:is\s+)?(?:{'|'.join(map(re.escape, words))})\s*(\d+(?:\.\d+)?)", rest, re.IGNORECASE)
-            if m:
-                args[f"n{len(args)}"] = float(m.group(1))
-                where.append(f"try_cast({t}.{c} AS DOUBLE) {op} :n{len(args) - 1}")
-                rest = rest.replace(m.group(0), " ")
-    for f in schema.listed:
-        t, c = place[f.replace("_", " ")]
-        found = re.findall(rf"\b{re.escape(f.replace('_', ' '))}\s*(?:with|is|in)\s+([A-Za-z0-9#, ]+?)(?=\s+and\b|\s*$)", asked, re.IGNORECASE)
-        values = sorted({v.strip().upper() for text in found for v in text.split(",") if v.strip()})
-        if values:
-            names = [f"v{len(args) + i}" for i in range(len(values))]
-            args |= dict(zip(names, values, strict=True))
-            where.append(f"upper({t}.{c}) IN ({', '.join(':' + n for n in names)})")
-    sql = f"SELECT {', '.join(columns)} FROM {' '.join([base, *joins])}" + (f" WHERE {' AND '.join(where)}" if where else "")
-    return sql, args
-
-
-def run(spark: SparkSession, sql: str, args: dict[str, object]) -> DataFrame:
-    """T2S-5: run a query; anything that isn't one statement that only reads is refused."""
-    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    if parsed.getClass().getSimpleName() not in ("Project", "Filter", "Sort", "GlobalLimit", "LocalLimit", "Aggregate", "Distinct", "UnresolvedWith", "Union", "WithCTE"):
-        raise ValueError("only queries can be run")
-    return spark.sql(sql, args=args)
-
-
-def answer(spark: SparkSession, question: str, schema: Schema) -> tuple[str, DataFrame]:
-    """T2S-6: the SQL and the rows, over views named like the tables."""
-    sql, args = generate(question, schema)
-    return sql, run(spark, sql, args)
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.filters import in_codes, numeric_guard
+from ..operators.joins import join_path
+
+COMPARISONS = (">=", "<=", ">", "<")
+Condition = tuple[str, str, object]
+
+
+def condition(field: str, comparison: str, value: object) -> Column:
+    """T2S-2, 3, FLT-9: numbers are compared as numbers (texts that are none
+    don't match), lists of codes without regard to case and spaces."""
+    if comparison == "in":
+        return in_codes(F.col(field), list(value))
+    if comparison not in COMPARISONS:
+        raise ValueError(f"unknown comparison {comparison!r}")
+    return numeric_guard(F.col(field), comparison, float(value))
+
+
+def select(tables: dict[str, DataFrame], conditions: Sequence[Condition] = (), include: Sequence[str] = ()) -> DataFrame:
+    """T2S-1, 4..6, JOIN-28: the first table joined with the others on columns
+    that they share, filtered and cut to ``include`` (all columns if empty).
+
+    A field is looked up in the tables in order; each filter is applied to its
+    own table, before the joins.
+    """
+    held = dict(tables)
+    for field, comparison, value in conditions:
+        owner = next((t for t, df in held.items() if field in df.columns), None)
+        if owner is None:
+            raise ValueError(f"no table has the field {field!r}")
+        held[owner] = held[owner].where(condition(field, comparison, value))
+    names = list(held)
+    out = held[names[0]]
+    for _, other, key in join_path({t: df.columns for t, df in held.items()}) if len(held) > 1 else []:
+        again = [c for c in held[other].columns if c in out.columns and c != key]
+        out = out.join(held[other].drop(*again), key)
+    missing = [c for c in include if c not in out.columns]
+    if missing:
+        raise ValueError(f"no table has the columns {missing}")
+    return out.select(*include) if include else out

@@ -13,7 +13,7 @@ from tessera.operators import ranking as R
 from tessera.operators import reshape as H
 from tessera.operators import sets as U
 from tessera.operators import statistics as T
-from tessera.plans.text_to_sql import Schema, generate, parse_tables, run
+from tessera.plans.text_to_sql import select as select_related
 
 
 def one(spark, *columns):
@@ -165,13 +165,22 @@ def test_exponential_fit_recovers_its_curve():
     assert abs(a - 120) < 1e-3 and abs(b - 0.12) < 1e-6
 
 
-def test_text_to_sql_binds_values_and_refuses_commands(spark):
-    schema = Schema(parse_tables(["Table prot(pdb_code, resolution)", "fn(pdb_code, gene)"]), ["pdb_code"], ["resolution"], ["pdb_code"])
-    sql, args = generate("pdb code is 2def, 1abc and resolution at least 2.5 include gene", schema)
-    assert sql == "SELECT fn.gene FROM prot JOIN fn ON prot.pdb_code = fn.pdb_code WHERE try_cast(prot.resolution AS DOUBLE) >= :n0 AND upper(fn.pdb_code) IN (:v1, :v2)"
-    assert args == {"n0": 2.5, "v1": "1ABC", "v2": "2DEF"}
-    with pytest.raises(Exception):
-        run(spark, "DROP TABLE prot", {})
+def test_selections_over_related_tables(spark):
+    prot = spark.createDataFrame([("1abc", "2.5", "x"), ("2DEF", "3", "y"), ("3ghi", "none", "z")], "pdb_code string, resolution string, name string")
+    fn = spark.createDataFrame([("1abc", "g1", "n1"), ("2DEF", "g2", "n2"), ("3ghi", "g3", "n3")], "pdb_code string, gene string, name string")
+    out = select_related({"prot": prot, "fn": fn}, [("pdb_code", "in", ["2def", "3GHI"]), ("resolution", ">=", 2.5)], ["gene", "name"])
+    assert [tuple(r) for r in out.collect()] == [("g2", "y")]
+    assert select_related({"prot": prot}).count() == 3 and select_related({"prot": prot}, [("pdb_code", "in", ["x'); DROP TABLE prot; --"])]).count() == 0
+    for bad in ([("size", ">", 1)], [("name", "INSERT", 1)]):
+        with pytest.raises(ValueError):
+            select_related({"prot": prot}, bad)
+    with pytest.raises(ValueError):
+        select_related({"prot": prot}, [], ["1; DROP TABLE prot"])
+
+
+def test_an_outlier_is_told_instead_of_listing_its_bins(spark):
+    with pytest.raises(Exception, match="more than 100000 are not listed"):
+        H.range_bins(spark.createDataFrame([("1",), ("50000000000",)], "v string"), "v", 4.0).collect()
 
 
 def test_small_helpers(spark):

@@ -29,9 +29,10 @@ def condition(field: str, comparison: str, value: object) -> Column:
     return numeric_guard(F.col(field), comparison, float(value))
 
 
-def select(tables: dict[str, DataFrame], conditions: Sequence[Condition] = (), include: Sequence[str] = ()) -> DataFrame:
+def select(tables: dict[str, DataFrame], conditions: Sequence[Condition] = (), include: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
     """T2S-1, 4..6, JOIN-28: the first table joined with the others on columns
-    that they share, filtered and cut to ``include`` (all columns if empty).
+    that they share (of ``keys`` only, if any are named), filtered and cut to
+    ``include`` (all columns if empty).
 
     A field is looked up in the tables in order; each filter is applied to its
     own table, before the joins.
@@ -44,7 +45,7 @@ def select(tables: dict[str, DataFrame], conditions: Sequence[Condition] = (), i
         held[owner] = held[owner].where(condition(field, comparison, value))
     names = list(held)
     out = held[names[0]]
-    for _, other, key in join_path({t: df.columns for t, df in held.items()}) if len(held) > 1 else []:
+    for _, other, key in join_path({t: [c for c in df.columns if not keys or c in keys] for t, df in held.items()}) if len(held) > 1 else []:
         again = [c for c in held[other].columns if c in out.columns and c != key]
         out = out.join(held[other].drop(*again), key)
     missing = [c for c in include if c not in out.columns]

@@ -168,7 +168,7 @@ def test_exponential_fit_recovers_its_curve():
 def test_selections_over_related_tables(spark):
     prot = spark.createDataFrame([("1abc", "2.5", "x"), ("2DEF", "3", "y"), ("3ghi", "none", "z")], "pdb_code string, resolution string, name string")
     fn = spark.createDataFrame([("1abc", "g1", "n1"), ("2DEF", "g2", "n2"), ("3ghi", "g3", "n3")], "pdb_code string, gene string, name string")
-    out = select_related({"prot": prot, "fn": fn}, [("pdb_code", "in", ["2def", "3GHI"]), ("resolution", ">=", 2.5)], ["gene", "name"])
+    out = select_related({"prot": prot, "fn": fn}, [("pdb_code", "in", ["2def", "3GHI"]), ("resolution", ">=", 2.5)], ["gene", "name"], ["pdb_code"])
     assert [tuple(r) for r in out.collect()] == [("g2", "y")]
     assert select_related({"prot": prot}).count() == 3 and select_related({"prot": prot}, [("pdb_code", "in", ["x'); DROP TABLE prot; --"])]).count() == 0
     for bad in ([("size", ">", 1)], [("name", "INSERT", 1)]):

@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 and read again as the next stage's ``docs``.  All but the last return the
 columns of ``documents``.
+
+Defined cases: a null text is the empty text; further columns are carried along
+by all stages but the last, whatever their names; repeated rows are scored
+alike, and exact dedup keeps one of them (of a null and another doc_id the
+other); very long texts are whole in every stage; an empty table stays empty.
 """
 
 from __future__ import annotations

@@ -1,8 +1,9 @@
 """Nearest neighbours, density clusters and random projections (ML-2, 5, 18, 25, 28, 32, 50).
 
 Neighbours within a radius come from an equality join on grid cells, so only
-rows of adjacent cells meet.  Nearest neighbours of arbitrary rows are looked
-up among a bounded number of donor rows, which is a parameter.
+rows of adjacent cells meet.  Imputation holds the rows with nulls against all
+complete rows in blocks.  A classifier by neighbours is fitted on a bounded
+number of labelled rows, which is a parameter.
 """
 
 from __future__ import annotations
@@ -12,10 +13,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DONORS = 5000
+DONORS = 5000  # labelled rows of the classifier by neighbours
+BLOCK = 4096  # rows of a block that meets another one
 
 
 def _donors(df: DataFrame, columns: Sequence[str], key: str, most: int, more: Sequence[str] = ()) -> pd.DataFrame:
@@ -23,27 +25,75 @@ def _donors(df: DataFrame, columns: Sequence[str], key: str, most: int, more: Se
     return df.dropna(subset=list(columns)).orderBy(F.xxhash64(key), key).limit(most).select(*columns, *more).toPandas()
 
 
-def knn_imputed(df: DataFrame, columns: Sequence[str], key: str, k: int = 3, donors: int = DONORS) -> DataFrame:
-    """ML-2: nulls become the mean of the k nearest complete rows (among at most
-    ``donors``) by distance over the columns that are there; with no column
-    there, the mean of all donors."""
-    known = _donors(df, columns, key, donors).to_numpy(float)
-    if len(known) == 0:
-        return df
-
-    @F.pandas_udf("array<double>")
-    def fill(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for parts in batches:
-            x = np.column_stack([p.to_numpy(float) for p in parts])
-            out = x.copy()
-            for i in np.flatnonzero(np.isnan(x).any(axis=1)):
-                there = ~np.isnan(x[i])
-                near = np.argsort(((known[:, there] - x[i, there]) ** 2).sum(axis=1), kind="stable")[: k if there.any() else len(known)]
-                out[i, ~there] = known[near][:, ~there].mean(axis=0)
-            yield pd.Series(list(out))
-
-    filled = df.withColumn("__f", fill(*[F.col(c).cast("double") for c in columns]))
-    return filled.withColumns({c: F.get("__f", F.lit(i)) for i, c in enumerate(columns)}).drop("__f")
+def knn_imputed(df: DataFrame, columns: Sequence[str], key: str, k: int = 3, block: int = BLOCK) -> DataFrame:
+    """ML-2: nulls (and NaN) become the mean of the k nearest of all complete rows by
+    distance over the columns that are there, ties by ``key``; with no column
+    there, the mean of all complete rows; with no complete row they stay.
+
+    The different rows with nulls are a query set held against the complete rows
+    in blocks: each pair of blocks gives a query's k best, and the k best of
+    those count.  Work grows with queries times complete rows, memory doesn't.
+    """
+    names = [f"x{i}" for i in range(len(columns))]
+    value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & value(c).isNotNull()
+    numbers = [value(c).alias(n) for c, n in zip(columns, names, strict=True)]
+    queries = df.where(~whole).select(F.array(*[value(c) for c in columns]).alias("x")).distinct()
+    known = df.where(whole).select(F.col(key).alias("key"), *numbers).groupBy("key", *names).count()
+    size, all_known = queries.count(), known.count()
+    if size == 0 or all_known == 0:
+        return df.withColumns({c: value(c) for c in columns})
+
+    def dealt(rows: DataFrame, by: Sequence[str], n: int, mine: str, others: int, theirs: str) -> DataFrame:
+        """Each row in its own of n blocks, once for every block of the other side."""
+        return rows.withColumns({mine: F.pmod(F.xxhash64(*by), F.lit(-(-n // block))), theirs: F.explode(F.sequence(F.lit(0), F.lit(-(-others // block) - 1)))})
+
+    def nearest(asked: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
+        donors = donors.sort_values(["key", *names], na_position="first", ignore_index=True)
+        donors = donors.loc[donors.index.repeat(np.minimum(donors["count"], k))].reset_index(drop=True)
+        at = donors[names].to_numpy(float)
+        x = np.array([list(q) for q in asked["x"]], float).reshape(len(asked), len(names))
+        out = []
+        for start in range(0, len(x) if len(at) else 0, 64):
+            part = x[start : start + 64]
+            d = np.zeros((len(part), len(at)))
+            for c in range(len(names)):  # a column that isn't there adds nothing
+                d += np.nan_to_num((part[:, c : c + 1] - at[:, c]) ** 2, nan=0.0, posinf=np.inf)
+            row = np.arange(len(part))
+            for _ in range(min(k, len(at))):
+                best = d.argmin(axis=1)  # the first of equals
+                got = donors[["key", *names]].iloc[best].reset_index(drop=True)
+                got.insert(0, "d", d[row, best])
+                got.insert(0, "x", list(asked["x"].iloc[start : start + 64]))
+                out.append(got)
+                at_best = d[row, best]
+                d[row, best] = np.where(np.isinf(at_best), at_best, np.inf)
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: [] for c in ["x", "d", "key", *names]})
+
+    asks = dealt(queries.where(F.exists("x", lambda v: v.isNotNull())), ["x"], size, "q", all_known, "b")
+    gives = dealt(known, ["key", *names], all_known, "b", size, "q")
+    schema = f"x array<double>, d double, key {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names)
+    found = asks.groupBy("q", "b").cogroup(gives.groupBy("q", "b")).applyInPandas(nearest, schema)
+    rank = F.row_number().over(Window.partitionBy("x").orderBy("d", "key", *names))
+    near = found.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("x").agg(F.array(*[F.avg(n) for n in names]).alias("f"))
+    mean = known.agg(F.array(*[F.sum(F.col(n) * F.col("count")) / F.sum("count") for n in names]).alias("m")).scalar()
+    asked = df.where(~whole).withColumn("__x", F.array(*[value(c) for c in columns]))
+    got = asked.join(near.toDF("__x", "__f"), "__x", "left").withColumn("__f", F.coalesce("__f", mean))
+    got = got.withColumns({c: F.coalesce(value(c), F.get("__f", F.lit(i))) for i, c in enumerate(columns)}).select(*df.columns)
+    return df.where(whole).withColumns({c: value(c) for c in columns}).select(*df.columns).unionByName(got)
+
+
+def imputation_k_scores(df: DataFrame, column: str, others: Sequence[str], key: str, ks: Sequence[int] = (1, 3, 5, 7, 9), hide: float = 0.1, seed: int = 1) -> DataFrame:
+    """ML-4: known values are hidden and imputed again with each of the few ``ks``;
+    ``best`` marks the k with the smallest squared error, of equals the smallest k."""
+    base = _hidden(df, column, key, hide, seed)
+    out = None
+    for k in ks:
+        one = _error(knn_imputed(base, [column, *others], key, k), column).select(F.lit(k).alias("k"), "mse")
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("best", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("mse").asc_nulls_last(), "k")) == 1)  # a row for each k
 
 
 def knn_classified(df: DataFrame, train: DataFrame, columns: Sequence[str], label: str, key: str, k: int = 5, donors: int = DONORS) -> DataFrame:
@@ -69,13 +119,23 @@ def imputer_scores(df: DataFrame, column: str, others: Sequence[str], key: str,
     """ML-5: known values are hidden and imputed again; squared error by method."""
     from .statistics import imputed
 
-    hidden = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1000)) < int(1000 * hide)
-    base = df.where(F.col(column).isNotNull()).withColumn("__t", F.col(column).cast("double")).withColumn(column, F.when(~hidden, F.col(column).cast("double"))).withColumn("__h", hidden)
-    error = lambda d, name: d.where("__h").agg(F.avg(F.pow(F.col(column) - F.col("__t"), F.lit(2))).alias("mse")).withColumn("method", F.lit(name))
+    base = _hidden(df, column, key, hide, seed)
+    error = lambda d, name: _error(d, column).withColumn("method", F.lit(name))
     out = error(imputed(base, [column], "mean"), "mean").unionByName(error(imputed(base, [column], "median"), "median"))
     return out.unionByName(error(knn_imputed(base, [column, *others], key), "knn")).select("method", "mse")
 
 
+def _hidden(df: DataFrame, column: str, key: str, hide: float, seed: int) -> DataFrame:
+    """Rows with a value: a share of the values, by hashed key, is moved to ``__t``."""
+    hidden = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1000)) < int(1000 * hide)
+    return df.where(F.col(column).isNotNull()).withColumn("__t", F.col(column).cast("double")).withColumn(column, F.when(~hidden, F.col(column).cast("double"))).withColumn("__h", hidden)
+
+
+def _error(df: DataFrame, column: str) -> DataFrame:
+    """Mean squared error of what was hidden."""
+    return df.where("__h").agg(F.avg(F.pow(F.col(column) - F.col("__t"), F.lit(2))).alias("mse"))
+
+
 def random_projection(df: DataFrame, column: str, k: int, size: int, seed: int = 1, to: str = "projected") -> DataFrame:
     """ML-18: Gaussian projection; the matrix is made from the seed in every task."""
 

@@ -200,11 +200,22 @@ def density_outliers(spark, d):
     return N.density_outliers(rows, "s_suppkey", ["x", "y"], 5.0, 4).select("s_suppkey", "kind")
 
 
-@query(None)
+@query("""
+WITH p AS (SELECT p_partkey, p_size::DOUBLE AS s, CASE WHEN p_partkey % 10 <> 0 THEN p_retailprice::DOUBLE END AS v FROM part),
+  near AS (SELECT a.p_partkey, b.v, row_number() OVER (PARTITION BY a.p_partkey ORDER BY (a.s - b.s) * (a.s - b.s), b.p_partkey) AS r FROM p a JOIN p b ON a.v IS NULL AND b.v IS NOT NULL),
+  filled AS (SELECT p_partkey, avg(v) AS v FROM near WHERE r <= 3 GROUP BY 1)
+SELECT p_partkey, s AS p_size, round(coalesce(p.v, f.v), 4) AS p_retailprice FROM p LEFT JOIN filled f USING (p_partkey)
+""")
 def knn_imputation(spark, d):
-    """ML-2, ML-4."""
+    """ML-2."""
     rows = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), F.when(F.col("p_partkey") % 10 != 0, F.col("p_retailprice")).alias("p_retailprice"))
-    return N.knn_imputed(rows, ["p_size", "p_retailprice"], "p_partkey")
+    return N.knn_imputed(rows, ["p_size", "p_retailprice"], "p_partkey").withColumn("p_retailprice", F.round("p_retailprice", 4))
+
+
+@query(None)
+def imputer_k_search(spark, d):
+    """ML-4."""
+    return N.imputation_k_scores(table(spark, d, "part"), "p_retailprice", ["p_size"], "p_partkey")
 
 
 @query(None)

@@ -33,6 +33,47 @@ def test_knn_imputation_equals_brute_force(spark):
         assert abs(got[k] - (y if k % 7 else np.mean([r[2] for r in near]))) < 1e-9
 
 
+def brute_imputed(rows, k):
+    """rows: (key, x, y, z) with None; the k nearest complete rows by (distance, key)."""
+    known = [r for r in rows if None not in r[1:]]
+    out = {}
+    for r in rows:
+        there = [c for c in (1, 2, 3) if r[c] is not None]
+        near = sorted(known, key=lambda o: (sum((o[c] - r[c]) ** 2 for c in there), o[0]))[: k if there else None]
+        out[r[0]] = tuple(r[c] if r[c] is not None else float(np.mean([o[c] for o in near])) for c in (1, 2, 3))
+    return out
+
+
+def test_knn_imputation_over_many_blocks_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, *(None if rng.random() < 0.2 else float(v) for v in rng.integers(0, 6, 3))) for i in range(400)] + [(400, None, None, None)]
+    df = spark.createDataFrame(rows, "k long, x double, y double, z double")
+    got = {r.k: (r.x, r.y, r.z) for r in N.knn_imputed(df, ["x", "y", "z"], "k", 3, block=37).collect()}
+    want = brute_imputed(rows, 3)
+    assert len(got) == len(rows) and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_knn_imputation_of_odd_rows(spark):
+    schema = "k long, x double, y double"
+    assert N.knn_imputed(spark.createDataFrame([], schema), ["x", "y"], "k").count() == 0
+    none = N.knn_imputed(spark.createDataFrame([(1, None, 2.0)], schema), ["x", "y"], "k").first()
+    assert none.x is None and none.y == 2.0
+    repeated = spark.createDataFrame([(1, 1.0, 1.0), (1, 1.0, 1.0), (2, 5.0, 9.0), (3, float("nan"), 1.0), (3, None, 1.0)], schema)
+    got = [r.x for r in N.knn_imputed(repeated, ["x", "y"], "k", 2, block=1).where("k = 3").collect()]
+    assert got == [1.0, 1.0]
+
+
+def test_imputation_k_scores_equal_brute_force(spark):
+    rows, df = points(spark)
+    got = N.imputation_k_scores(df, "y", ["x"], "k", ks=(1, 5)).collect()
+    hidden = {r.k for r in df.where("pmod(xxhash64(1, k), 1000) < 100").collect()}
+    known = [r for r in rows if r[0] not in hidden]
+    for r in got:
+        error = [(y - np.mean([o[2] for o in sorted(known, key=lambda o: (abs(o[1] - x), o[0]))[: r.k]])) ** 2 for k, x, y in rows if k in hidden]
+        assert abs(r.mse - np.mean(error)) < 1e-9
+    assert [r.k for r in got if r.best] == [min(got, key=lambda r: (r.mse, r.k)).k]
+
+
 def test_knn_classes_and_davies_bouldin(spark):
     rows, df = points(spark)
     labelled = df.withColumn("c", F.when(F.col("k") < 30, "a").otherwise("b"))

@@ -61,11 +61,18 @@ def split(df: DataFrame, key: str, test_share: float, seed: int) -> tuple[DataFr
 
 
 def folds(df: DataFrame, key: str, by: str, k: int, seed: int) -> DataFrame:
-    """ML-39: stratified folds: dealt in turn within each class, in hashed order."""
+    """ML-39: stratified folds: dealt in turn within each class, in hashed order.
+
+    A class may be large, so its places are those within one of 4,096 ranges of
+    the hash plus the counts of the ranges before (4,096 rows a class at most)."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
-    return df.withColumn("fold", (F.row_number().over(order) % k).cast("int"))
+    hashed = df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("__b", F.shiftright("__h", 52))
+    earlier = Window.partitionBy("__c").orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)
+    starts = hashed.groupBy(F.col(by).alias("__c"), F.col("__b").alias("__d")).count().withColumn("__s", F.coalesce(F.sum("count").over(earlier), F.lit(0))).drop("count")
+    place = F.row_number().over(Window.partitionBy(by, "__b").orderBy("__h", key))
+    placed = hashed.withColumn("__p", place).join(starts, F.col(by).eqNullSafe(F.col("__c")) & (F.col("__b") == F.col("__d")))
+    return placed.withColumn("fold", ((F.col("__p") + F.col("__s")) % k).cast("int")).select(*df.columns, "fold")
 
 
 def comparison(train: DataFrame, test: DataFrame, names: Sequence[str], label: str = "label") -> DataFrame:

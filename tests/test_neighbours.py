@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import joins as J
+from tessera.operators import learning as M
 from tessera.operators import neighbours as N
 from tessera.operators import ranking as R
 from tessera.operators import records as C
@@ -86,6 +87,16 @@ def test_knn_classes_and_davies_bouldin(spark):
     assert N.davies_bouldin(labelled.where("c = 'a'"), "c", ["x", "y"]) == 0.0
 
 
+def test_folds_are_dealt_in_turn_within_each_class(spark):
+    df = spark.range(3000).select(F.col("id").alias("k"), F.when(F.col("id") % 7 > 0, F.when(F.col("id") % 3 == 0, "rare").otherwise("hot")).alias("c"))
+    got = M.folds(df, "k", "c", 5, 9).collect()
+    hashed = {r.k: r.h for r in df.select("k", F.xxhash64(F.lit(9), "k").alias("h")).collect()}
+    assert len(got) == 3000
+    for c in (None, "rare", "hot"):
+        rows = sorted((r for r in got if r.c == c), key=lambda r: (hashed[r.k], r.k))
+        assert [r.fold for r in rows] == [(i + 1) % 5 for i in range(len(rows))]
+
+
 def test_power_transform_finds_the_logarithm(spark):
     df = spark.createDataFrame([(float(np.exp(x)),) for x in np.random.default_rng(1).normal(2, 1, 400)], "v double")
     assert abs(T.power_transform(df, "v", "boxcox")[1]) <= 0.15

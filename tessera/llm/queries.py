@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_main, imatch, line_dedup, mixing, pii, piece_bpe, simhash, toxicity, url_filter
+from . import elkan, exact_dedup, fill_middle, gru_lm, html_main, imatch, line_dedup, mixing, pii, piece_bpe, simhash, toxicity, url_filter
 from .url_parts import host_of
 
 
@@ -187,6 +187,63 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), width=3, radius=3, segments=2)
 
 
+# --- op11: recurrent language model ---------------------------------------------
+def op11_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+# --- op12: fill in the middle ----------------------------------------------------
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.transform_documents(table(spark, sf_dir, "documents"))
+    again = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+  u AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS toks FROM d),
+  n AS (SELECT *, len(toks)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM u),
+  f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM n),
+  p AS (SELECT *, array_to_string(toks[1:a], '') AS pre, array_to_string(toks[a + 1:b], '') AS mid, array_to_string(toks[b + 1:], '') AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+# --- op13: centroid clustering ---------------------------------------------------
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = elkan.cluster_vectors(table(spark, sf_dir, "embeddings"), k=8, rounds=10, size=64, scale=1024, seed=3)
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def _sql_rounds(rounds: int) -> str:
+    """Plain k-means: every distance measured, in long form."""
+    near = "SELECT i, c AS cluster, d AS distance FROM (SELECT k.i, m.c, sum((k.x - m.x) * (k.x - m.x))::BIGINT AS d FROM kept k JOIN {m} m USING (p) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, c) = 1"
+    out = []
+    for r in range(rounds):
+        out.append(f"a{r} AS MATERIALIZED ({near.format(m=f'm{r}')})")
+        mean = "SELECT cluster AS c, p, ((s - ((s % n) + n) % n) // n)::BIGINT AS x FROM (SELECT a.cluster, k.p, sum(k.x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{r} a JOIN kept k USING (i) GROUP BY ALL)".format(r=r)
+        out.append(f"m{r + 1} AS MATERIALIZED (WITH t AS ({mean}) SELECT c, p, coalesce(t.x, m.x) AS x FROM m{r} m LEFT JOIN t USING (c, p))")
+    return ",\n  ".join([*out, f"a{rounds} AS MATERIALIZED ({near.format(m=f'm{rounds}')})"])
+
+
+OP13_SQL = f"""
+WITH e AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE len(embedding) = 64),
+  ok AS (SELECT * FROM e WHERE len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+  kept AS MATERIALIZED (SELECT i, generate_subscripts(v, 1) AS p, floor(1024 * unnest(v))::BIGINT AS x FROM ok),
+  s AS (SELECT i, row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, ''))) - 1 AS c FROM ok QUALIFY c < 8),
+  m0 AS MATERIALIZED (SELECT s.c, k.p, k.x FROM s JOIN kept k USING (i)),
+  {_sql_rounds(10)},
+  h AS (SELECT c AS cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY p)) AS centroid_sha256 FROM m10 GROUP BY c)
+SELECT ok.vec_id, a.cluster::INT AS cluster, a.distance, (sum(a.distance) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia, (sum(a.distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a10 a JOIN ok USING (i) JOIN h USING (cluster)
+"""
+
+
 QUERIES = {
     "op1_imatch": op1_imatch,
     "op2_personal_data": op2_personal_data,
@@ -198,5 +255,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_recurrent_lm": op11_recurrent_lm,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_centroids": op13_centroids,
 }
-ORACLE_SQL = {"op3_mixing": OP3_SQL, "op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLE_SQL = {"op3_mixing": OP3_SQL, "op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL, "op12_fill_middle": OP12_SQL, "op13_centroids": OP13_SQL}

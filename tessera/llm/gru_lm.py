@@ -59,11 +59,31 @@ BLOCK = 4096
 #: The end mark: no word contains a space.
 END = b" "
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
+_INSIDE = bytes(c not in b" \t\n\v\f\r" for c in range(256))
+_END_PLACE = 65536 + END[0]
+
+
+def folded(text: str) -> bytes:
+    """UTF-8 with A-Z lower-cased."""
+    return text.encode("utf-8", "surrogatepass").translate(_FOLD)
 
 
 def tokens(text: str) -> list[bytes]:
-    """Words in UTF-8, A-Z lower-cased; ``bytes.split`` splits at ASCII white space."""
-    return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
+    """The words; ``bytes.split`` splits at ASCII white space."""
+    return folded(text).split()
+
+
+def endings(text: bytes) -> np.ndarray:
+    """The last two bytes of every word as a number below 65,792: of one-byte
+    words the byte after all pairs."""
+    flat = b" " + text + b" "
+    codes, inside = np.frombuffer(flat, np.uint8), np.frombuffer(flat.translate(_INSIDE), bool)
+    ends = np.flatnonzero(inside[:-1] > inside[1:])
+    out = codes[ends - 1].astype(np.int32)
+    out[~inside[ends - 1]] = 256
+    out <<= 8
+    out += codes[ends]
+    return out
 
 
 def is_held_out(ident: Column, folds: int = 7, held: int = 2) -> Column:
@@ -72,9 +92,9 @@ def is_held_out(ident: Column, folds: int = 7, held: int = 2) -> Column:
 
 # --- vocabulary ------------------------------------------------------------------
 class Vocabulary:
-    """What tasks know of the words: place and count of the dictionary's, the
-    symbols of all (a place in the head, or HEAD and a rare class), the sums of
-    the rare classes."""
+    """What tasks know of the words: symbols of all (a place in the head, or HEAD
+    and the rare class of an ending), places and counts of the dictionary's, sums
+    of the rare classes."""
 
     def __init__(self, words: list[bytes], counts: list[int], suffixes: dict[bytes, tuple[int, int]], n: int, distinct: int):
         """``words``, ``counts``: the dictionary, commonest first; ``suffixes``: count
@@ -93,7 +113,9 @@ class Vocabulary:
         #: log10 of a class's counts with one added for each word and one for all unseen.
         self.totals = np.log10(sums.sum(axis=1) + 1)
         self.place = {w: i for i, w in enumerate(words)}
-        self.symbol = np.array([i if i < self.size else HEAD + self.rare_class(w) for i, w in enumerate(words)], np.int32)
+        self.head = {w: i for i, w in enumerate(words[: self.size])}
+        ends = [bytes(divmod(i, 256)) for i in range(65536)] + [bytes([i]) for i in range(256)]
+        self.rare_symbol = np.array([HEAD + self.rare_class(s) for s in ends], np.int32)
         self.logs = np.log10(np.array(counts, np.float64) + 1)
 
     def rare_class(self, word: bytes) -> int:
@@ -101,19 +123,27 @@ class Vocabulary:
         found = self.suffix_class.get(s)
         return OWN_CLASSES + (int.from_bytes(s, "big") * 2654435761 >> 7) % (RARE_CLASSES - OWN_CLASSES) if found is None else found
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """Symbols, places in the dictionary (-1: none), and where those are."""
-        places = np.fromiter(map(self.place.get, words, itertools.repeat(-1)), np.int32, len(words))
-        symbols = self.symbol[places] if len(self.symbol) else np.zeros(len(words), np.int32)
-        others = np.flatnonzero(places < 0).tolist()
-        if others:
-            symbols[others] = [HEAD + self.rare_class(words[i]) for i in others]
-        return symbols, places, others
+    def encode(self, text: str) -> tuple[np.ndarray, list[bytes]]:
+        """Symbols of the words and of the end mark, and those."""
+        flat = folded(text)
+        words = [*flat.split(), END]
+        get = self.head.get
+        places = np.fromiter([get(w, -1) for w in words], np.int32, len(words))
+        symbols = np.empty(len(words), np.int32)
+        symbols[:-1], symbols[-1] = self.rare_symbol[endings(flat)], self.rare_symbol[_END_PLACE]
+        np.copyto(symbols, places, where=places >= 0)
+        return symbols, words
 
 
 # --- the model ---------------------------------------------------------------------
+def by_token(a: np.ndarray) -> np.ndarray:
+    """(steps, numbers, lanes) as a row of numbers for each step and lane."""
+    return a.transpose(0, 2, 1).reshape(-1, a.shape[1])
+
+
 class Network:
-    """One layer of gated units with a class-factored softmax.
+    """One layer of gated units with a class-factored softmax.  Gates and states
+    are bent by x / (1 + |x|), which needs no exponential.
 
     ``inputs``: a row of three gates for each symbol, and one for the start;
     ``recur``: state to gates; ``to_class``, ``to_word``: state and bias to
@@ -161,39 +191,44 @@ class Network:
 
     def forward(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray) -> dict:
         """Steps of a window: symbols x and keep (0: the text begins here), both
-        (steps, lanes); h: state before it.  What the way back needs."""
+        (steps, lanes); h: (HIDDEN, lanes), the state before it.  What the way back
+        needs, with lanes last so that every operation runs over whole rows."""
         steps, lanes = x.shape
-        gates = self.w["inputs"][x]
-        H, recur = HIDDEN, self.w["recur"]
-        before = np.empty((steps, lanes, H), np.float32)
-        states, zr, new, inner = np.empty_like(before), np.empty((steps, lanes, 2 * H), np.float32), np.empty_like(before), np.empty_like(before)
+        H, recur = HIDDEN, np.ascontiguousarray(self.w["recur"].T)
+        gates = np.ascontiguousarray(self.w["inputs"][x].transpose(0, 2, 1))
+        before, states, new = (np.empty((steps, H, lanes), np.float32) for _ in range(3))
+        zr, u = np.empty((steps, 2 * H, lanes), np.float32), np.empty((steps, 3 * H, lanes), np.float32)
+        size = np.empty((2 * H, lanes), np.float32)
         for t in range(steps):
-            np.multiply(h, keep[t][:, None], out=before[t])
-            u = before[t] @ recur
+            np.multiply(h, keep[t], out=before[t])
+            np.matmul(recur, before[t], out=u[t])
             s = zr[t]
-            np.add(gates[t, :, : 2 * H], u[:, : 2 * H], out=s)
-            np.negative(s, out=s)
-            np.exp(s, out=s)
-            s += 1
-            np.reciprocal(s, out=s)
-            inner[t] = u[:, 2 * H :]
+            np.add(gates[t, : 2 * H], u[t, : 2 * H], out=s)
+            np.abs(s, out=size)
+            size += 1
+            s /= size
+            s *= 0.5
+            s += 0.5
             n = new[t]
-            np.multiply(s[:, H:], inner[t], out=n)
-            n += gates[t, :, 2 * H :]
-            np.tanh(n, out=n)
+            np.multiply(s[H:], u[t, 2 * H :], out=n)
+            n += gates[t, 2 * H :]
+            np.abs(n, out=size[:H])
+            size[:H] += 1
+            n /= size[:H]
             h = states[t]
             np.subtract(before[t], n, out=h)
-            h *= s[:, :H]
+            h *= s[:H]
             h += n
-        return {"x": x, "keep": keep, "before": before, "states": states, "zr": zr, "new": new, "inner": inner}
+        return {"x": x, "keep": keep, "before": before, "states": states, "zr": zr, "new": new, "inner": u[:, 2 * H :]}
 
     @staticmethod
     def _exponentials(states: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """exp of the logits and their sums.  States lie within -1 and 1, so the
-        logits are bounded by the weights; the cut only keeps exp finite."""
+        """exp of the logits and their sums.  States lie within -1 and 1, so logits
+        are bounded by the weights; the cut only keeps exp finite."""
         a = states @ w[:-1]
         a += w[-1]
-        np.minimum(a, 80, out=a)
+        if np.abs(w[:-1]).sum(axis=0).max() + w[-1].max() > 80:
+            np.minimum(a, 80, out=a)
         np.exp(a, out=a)
         return a, a @ np.ones(a.shape[1], np.float32)
 
@@ -235,26 +270,31 @@ class Network:
         return logs, back, grads
 
     def backward(self, run: dict, dh_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Gradients by the gates' inputs (steps, lanes, 3 HIDDEN) and by recur."""
+        """Gradients by the gates' inputs (steps, 3 HIDDEN, lanes) and by recur, from
+        those by the states (steps, HIDDEN, lanes)."""
         H, recur = HIDDEN, self.w["recur"]
         before, zr, new, inner, keep = run["before"], run["zr"], run["new"], run["inner"], run["keep"]
-        z, r = zr[..., :H], zr[..., H:]
-        d_in = np.empty((*before.shape[:2], 3 * H), np.float32)
+        z, r = zr[:, :H], zr[:, H:]
+        d_in = np.empty((len(before), 3 * H, before.shape[2]), np.float32)
         d_recur = np.empty_like(d_in)
-        by_z, by_n, by_r = (before - new) * z * (1 - z), (1 - z) * (1 - new * new), inner * r * (1 - r)
+        # The slope of x / (1 + |x|) is (1 - |value|) squared.
+        slope = 1 - np.abs(2 * zr - 1)
+        slope *= slope
+        slope *= 0.5
+        by_z, by_n, by_r = (before - new) * slope[:, :H], (1 - z) * (1 - np.abs(new)) ** 2, inner * slope[:, H:]
         dh = np.zeros(before.shape[1:], np.float32)
         for t in range(len(before) - 1, -1, -1):
-            dh = dh + dh_out[t]
+            dh += dh_out[t]
             d = d_in[t]
-            np.multiply(dh, by_z[t], out=d[:, :H])
-            np.multiply(dh, by_n[t], out=d[:, 2 * H :])
-            np.multiply(d[:, 2 * H :], by_r[t], out=d[:, H : 2 * H])
-            d_recur[t, :, : 2 * H] = d[:, : 2 * H]
-            np.multiply(d[:, 2 * H :], r[t], out=d_recur[t, :, 2 * H :])
+            np.multiply(dh, by_z[t], out=d[:H])
+            np.multiply(dh, by_n[t], out=d[2 * H :])
+            np.multiply(d[2 * H :], by_r[t], out=d[H : 2 * H])
+            d_recur[t, : 2 * H] = d[: 2 * H]
+            np.multiply(d[2 * H :], r[t], out=d_recur[t, 2 * H :])
             dh *= z[t]
-            dh += d_recur[t] @ recur.T
-            dh *= keep[t][:, None]
-        return d_in, before.reshape(-1, H).T @ d_recur.reshape(-1, 3 * H)
+            dh += recur @ d_recur[t]
+            dh *= keep[t]
+        return d_in, np.matmul(before, d_recur.transpose(0, 2, 1)).sum(axis=0)
 
     def step(self, name: str, grad: np.ndarray, rows: np.ndarray | int | None = None) -> None:
         """Adagrad on a whole array or on some rows of it."""
@@ -269,13 +309,13 @@ class Network:
     def learn(self, run: dict, y: np.ndarray, valid: np.ndarray) -> None:
         """One update from a window; gradients are means over its tokens."""
         flat = valid.ravel()
-        states = run["states"].reshape(-1, HIDDEN)[flat]
+        states = by_token(run["states"])[flat]
         _, back, grads = self.outputs(states, y.ravel()[flat], True)
         scale = np.float32(1 / max(1, len(states)))
         dh = np.zeros((flat.size, HIDDEN), np.float32)
         dh[flat] = back
-        d_in, d_recur = self.backward(run, dh.reshape(*y.shape, HIDDEN))
-        d_in, x = d_in.reshape(-1, 3 * HIDDEN)[flat], run["x"].ravel()[flat]
+        d_in, d_recur = self.backward(run, np.ascontiguousarray(dh.reshape(*y.shape, HIDDEN).transpose(0, 2, 1)))
+        d_in, x = by_token(d_in)[flat], run["x"].ravel()[flat]
         order = np.argsort(x, kind="stable")
         rows, first = np.unique(x[order], return_index=True)
         found = [("recur", d_recur, None), ("to_class", grads["to_class"], None), ("inputs", np.add.reduceat(d_in[order], first, axis=0), rows)]
@@ -314,9 +354,9 @@ def learn_texts(net: Network, texts: list[np.ndarray]) -> None:
     length, wherever that is, so that every window is a mixture of many texts."""
     n = sum(map(len, texts))
     lanes = Lanes(texts, np.array([len(part) for part in np.array_split(np.zeros(n, bool), max(1, min(LANES, n // (WINDOW * PASSES))))]))
-    h = np.zeros((len(lanes.lengths), HIDDEN), np.float32)
+    h = np.zeros((HIDDEN, len(lanes.lengths)), np.float32)
     for at, valid in lanes.windows():
-        run = net.forward(lanes.x[at], lanes.keep[at], h[: at.shape[1]])
+        run = net.forward(lanes.x[at], lanes.keep[at], h[:, : at.shape[1]])
         net.learn(run, lanes.y[at], valid)
         h = run["states"][-1]
 
@@ -333,11 +373,11 @@ def score_texts(net: Network, texts: list[np.ndarray]) -> np.ndarray:
     loads.sort(key=lambda x: (-x[0], x[1]))
     order = [k for _, i in loads for k in held[i]]
     lanes = Lanes([texts[k] for k in order], np.array([n for n, _ in loads], np.int64))
-    logs, h = np.zeros(len(lanes.y)), np.zeros((len(loads), HIDDEN), np.float32)
+    logs, h = np.zeros(len(lanes.y)), np.zeros((HIDDEN, len(loads)), np.float32)
     for at, valid in lanes.windows():
-        run = net.forward(lanes.x[at], lanes.keep[at], h[: at.shape[1]])
+        run = net.forward(lanes.x[at], lanes.keep[at], h[:, : at.shape[1]])
         h = run["states"][-1]
-        logs[at[valid]] = net.outputs(run["states"][valid], lanes.y[at][valid], False)[0]
+        logs[at[valid]] = net.outputs(by_token(run["states"])[valid.ravel()], lanes.y[at][valid], False)[0]
     out = np.zeros(len(texts))
     if order:
         out[order] = np.add.reduceat(logs, lanes.first)
@@ -395,7 +435,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, deal: Column) -> Network:
             mine, seen, held, size = Network(*start.value), 0, [], 0
             for batch in batches:
                 for text in batch["text"]:
-                    held.append(words.value.encode([*tokens(text), END])[0])
+                    held.append(words.value.encode(text)[0])
                     size += len(held[-1])
                     if size >= FLUSH_TOKENS:
                         learn_texts(mine, held)
@@ -433,6 +473,7 @@ def score_documents(docs: DataFrame, train_where: Callable[[Column], Column] = l
 
         def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             voc, net, held, size = words.value, Network(*weights.value), [], 0
+            get = voc.place.get
 
             def flush() -> pd.DataFrame:
                 logs = score_texts(net, [h[-1] for h in held]) / np.log(10)
@@ -441,12 +482,14 @@ def score_documents(docs: DataFrame, train_where: Callable[[Column], Column] = l
 
             for batch in batches:
                 for ident, out, body in zip(batch["doc_id"].astype(object), batch["held_out"], batch["text"], strict=True):
-                    ws = [*tokens(body), END]
-                    symbols, places, others = voc.encode(ws)
+                    symbols, ws = voc.encode(body)
+                    rare = symbols >= HEAD
+                    places = symbols.copy()
+                    places[rare] = [get(w, -1) for w in itertools.compress(ws, rare)]
                     known = places[places >= 0]
-                    logs, rare = voc.logs[known].sum(), symbols >= HEAD
+                    logs = voc.logs[known].sum()
                     within = voc.logs[known[known >= voc.size]].sum() - voc.totals[symbols[rare] - HEAD].sum()
-                    times = Counter([ws[i] for i in others])
+                    times = Counter(itertools.compress(ws, places < 0))
                     held.append((None if pd.isna(ident) else ident, out, len(ws), len(known), logs, within, [{"word": w, "times": n} for w, n in times.items()], symbols))
                     size += len(ws)
                     if size >= FLUSH_TOKENS:

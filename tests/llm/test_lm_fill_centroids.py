@@ -167,14 +167,14 @@ def test_network_gradients_equal_differences():
     y = np.where(rng.random((5, 3)) < 0.3, gru_lm.HEAD + rng.integers(0, gru_lm.RARE_CLASSES, (5, 3)), rng.integers(0, 30, (5, 3)))
 
     def loss():
-        run = net.forward(x, keep, np.zeros((3, gru_lm.HIDDEN), np.float32))
-        return -net.outputs(run["states"].reshape(-1, gru_lm.HIDDEN), y.ravel(), False)[0].sum(), run
+        run = net.forward(x, keep, np.zeros((gru_lm.HIDDEN, 3), np.float32))
+        return -net.outputs(gru_lm.by_token(run["states"]), y.ravel(), False)[0].sum(), run
 
     _, run = loss()
-    _, back, grads = net.outputs(run["states"].reshape(-1, gru_lm.HIDDEN), y.ravel(), True)
-    d_in, d_recur = net.backward(run, back.reshape(5, 3, -1))
+    _, back, grads = net.outputs(gru_lm.by_token(run["states"]), y.ravel(), True)
+    d_in, d_recur = net.backward(run, back.reshape(5, 3, -1).transpose(0, 2, 1))
     d_inputs = np.zeros_like(net.w["inputs"])
-    np.add.at(d_inputs, x, d_in)
+    np.add.at(d_inputs, x, d_in.transpose(0, 2, 1))
     words = np.zeros_like(net.w["to_word"])
     for c, g in grads["to_word"].items():
         words[c] = g

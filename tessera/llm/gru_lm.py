@@ -39,10 +39,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import LOWER, UPPER, Scratch, text_of
 
@@ -471,39 +473,44 @@ def score_documents(docs: DataFrame, train_where: Callable[[Column], Column] = l
         net = train(taught, vocabulary, F.xxhash64("doc_id"))
         words, weights = session.sparkContext.broadcast(vocabulary), session.sparkContext.broadcast(net.flat())
 
-        def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kind = to_arrow_type(base.schema["doc_id"].dataType)
+
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             voc, net, held, size = words.value, Network(*weights.value), [], 0
             get = voc.place.get
 
-            def flush() -> pd.DataFrame:
-                logs = score_texts(net, [h[-1] for h in held]) / np.log(10)
-                rows = [(*h[:5], h[5] + x, h[6]) for h, x in zip(held, logs, strict=True)]
-                return pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "others"])
+            def flush() -> pa.RecordBatch:
+                idents, outs, symbols, known, base, rare, others = zip(*held, strict=True)
+                logs = score_texts(net, list(symbols)) / np.log(10) + np.array(rare)
+                ends = pa.array(np.cumsum([0, *map(len, others)]), pa.int32())
+                columns = {
+                    "doc_id": pa.array(idents, kind), "held_out": pa.array(outs), "n_tokens": pa.array(map(len, symbols), pa.int64()), "n_known": pa.array(known, pa.int64()), "base": pa.array(base, pa.float64()), "score": pa.array(logs),
+                    "others": pa.ListArray.from_arrays(ends, pa.array([w for o in others for w in o], pa.binary())), "times": pa.ListArray.from_arrays(ends, pa.array([n for o in others for n in o.values()], pa.int64())),
+                }
+                return pa.RecordBatch.from_pydict(columns)
 
             for batch in batches:
-                for ident, out, body in zip(batch["doc_id"].astype(object), batch["held_out"], batch["text"], strict=True):
+                for ident, out, body in zip(batch["doc_id"].to_pylist(), batch["held_out"].to_pylist(), batch["text"].to_pylist(), strict=True):
                     symbols, ws = voc.encode(body)
-                    rare = symbols >= HEAD
-                    places = symbols.copy()
-                    places[rare] = [get(w, -1) for w in itertools.compress(ws, rare)]
-                    known = places[places >= 0]
-                    logs = voc.logs[known].sum()
-                    within = voc.logs[known[known >= voc.size]].sum() - voc.totals[symbols[rare] - HEAD].sum()
-                    times = Counter(itertools.compress(ws, places < 0))
-                    held.append((None if pd.isna(ident) else ident, out, len(ws), len(known), logs, within, [{"word": w, "times": n} for w, n in times.items()], symbols))
-                    size += len(ws)
+                    at = np.flatnonzero(symbols >= HEAD)
+                    rare = symbols[at] - HEAD
+                    places = np.fromiter([get(ws[i], -1) for i in at.tolist()], np.int32, len(at))
+                    logs = voc.logs[places[places >= 0]].sum()
+                    others = Counter([ws[i] for i in at[places < 0].tolist()])
+                    base = logs + voc.logs[symbols[symbols < HEAD]].sum()
+                    held.append((ident, out, symbols, len(symbols) - int((places < 0).sum()), base, logs - voc.totals[rare].sum(), others))
+                    size += len(symbols)
                     if size >= FLUSH_TOKENS:
                         yield flush()
                         held, size = [], 0
             if held:
                 yield flush()
 
-        kind = base.schema["doc_id"].dataType.simpleString()
-        schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, others array<struct<word: binary, times: long>>"
-        rows = scratch.keep(scratch.write(base.mapInPandas(scored, schema).withColumn("row", F.monotonically_increasing_id()), "scored"))
+        schema = f"doc_id {base.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, score double, others array<binary>, times array<long>"
+        rows = scratch.keep(scratch.write(base.mapInArrow(scored, schema).withColumn("row", F.monotonically_increasing_id()), "scored"))
         words.destroy()
         weights.destroy()
-        asked = rows.select("row", F.explode("others").alias("o")).select("row", "o.word", "o.times")
+        asked = rows.select("row", F.explode(F.arrays_zip(F.col("others").alias("word"), F.col("times").alias("times"))).alias("o")).select("row", "o.word", "o.times")
         found = asked.join(counts, "word").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
         found = scratch.keep(scratch.write(found, "others"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))

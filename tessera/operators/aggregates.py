@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
 from .ranking import share
+from .stages import beside
 
-#: AGG-8, 9: aggregates by name; std and var are sample statistics.
-NAMED = {"mean": F.avg, "median": F.median, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count, "std": F.stddev_samp, "var": F.var_samp}
+#: AGG-8, 9: aggregates by name, median besides; std and var are sample statistics.
+NAMED = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count, "std": F.stddev_samp, "var": F.var_samp}
 
 
 def group_count(df: DataFrame, *keys: str, to: str = "count") -> DataFrame:
@@ -30,14 +32,23 @@ def item_count(df: DataFrame, items: Column, to: str = "item") -> DataFrame:
 
 def named_aggregates(df: DataFrame, by: Column, to: str, columns: Sequence[str], name: str) -> DataFrame:
     """AGG-8..13: one named aggregate over several columns by a group expression."""
-    if name not in NAMED:
-        raise ValueError(f"unknown aggregate {name!r}; known: {', '.join(NAMED)}")
+    if name not in NAMED and name != "median":
+        raise ValueError(f"unknown aggregate {name!r}; known: {', '.join([*NAMED, 'median'])}")
+    if name == "median":
+        rows = df.select(by.alias(to), *columns)
+        out = rows.select(to).distinct()
+        for c in columns:
+            out = beside(out, quantiles(rows, [to], c, [0.5]).select(to, F.col("q0").alias(f"median_{c}")), [to])
+        return out
     return df.groupBy(by.alias(to)).agg(*[NAMED[name](c).alias(f"{name}_{c}") for c in columns])
 
 
 def many_aggregates(df: DataFrame, by: Sequence[str], column: str, names: Sequence[str]) -> DataFrame:
     """AGG-14."""
-    return df.groupBy(*by).agg(*[NAMED[n](column).alias(f"{n}_{column}") for n in names])
+    out = df.groupBy(*by).agg(*[NAMED[n](column).alias(f"{n}_{column}") for n in names if n != "median"] or [F.count("*").alias("__n")])
+    if "median" in names:
+        out = beside(out, quantiles(df, by, column, [0.5]).select(*by, F.col("q0").alias(f"median_{column}")), by)
+    return out.select(*by, *[f"{n}_{column}" for n in names])
 
 
 def percentages(df: DataFrame, column: str, unique: str | None = None) -> DataFrame:
@@ -144,10 +155,12 @@ def summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """AGG-41: count, mean, std, min, quartiles and max, exact, a row per column."""
     aggs = []
     for c in columns:
-        aggs += [F.count(c), F.avg(c), F.stddev_samp(c), F.min(c), *[F.percentile(c, F.lit(p)) for p in (0.25, 0.5, 0.75)], F.max(c)]
-    names = ("count", "mean", "std", "min", "q25", "q50", "q75", "max")
+        aggs += [F.count(c), F.avg(c), F.stddev_samp(c), F.min(c), F.max(c)]
+    names = ("count", "mean", "std", "min", "max")
     row = df.agg(*[a.cast("double").alias(f"a{i}") for i, a in enumerate(aggs)])
-    each = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"a{8 * i + k}").alias(n) for k, n in enumerate(names)]) for i, c in enumerate(columns)])
+    quarters = [quantiles(df, [], c, [0.25, 0.5, 0.75]).select(F.struct("q0", "q1", "q2")).scalar() for c in columns]
+    row = row.withColumns({f"q_{i}": q for i, q in enumerate(quarters)})
+    each = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"a{5 * i + k}").alias(n) for k, n in enumerate(names)], *[F.col(f"q_{i}")[f"q{j}"].alias(n) for j, n in enumerate(("q25", "q50", "q75"))]) for i, c in enumerate(columns)])
     return row.select(F.inline(each))
 
 

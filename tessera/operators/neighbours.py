@@ -1,9 +1,9 @@
-"""Nearest neighbours, density clusters and random projections (ML-2, 5, 18, 25, 28, 32, 50).
+"""What is built on nearest neighbours, and random projections (ML-2, 4, 5, 18, 33, 37, 49, 50, 51).
 
-Neighbours within a radius come from an equality join on grid cells, so only
-rows of adjacent cells meet.  Imputation holds the rows with nulls against all
-complete rows in blocks.  A classifier by neighbours is fitted on a bounded
-number of labelled rows, which is a parameter.
+Imputation and label spreading use the exact search of ``nearest``, outliers the
+clusters of ``density``.  Neighbours within a radius come from an equality join on
+grid cells, so only rows of adjacent cells meet.  A classifier by neighbours is
+fitted on a bounded number of labelled rows, which is a parameter.
 """
 
 from __future__ import annotations
@@ -13,11 +13,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .density import density_clusters
+from .nearest import nearest, neighbour_graph
+from .stages import settled
+
 DONORS = 5000  # labelled rows of the classifier by neighbours
-BLOCK = 4096  # rows of a block that meets another one
 
 
 def _donors(df: DataFrame, columns: Sequence[str], key: str, most: int, more: Sequence[str] = ()) -> pd.DataFrame:
@@ -25,73 +28,65 @@ def _donors(df: DataFrame, columns: Sequence[str], key: str, most: int, more: Se
     return df.dropna(subset=list(columns)).orderBy(F.xxhash64(key), key).limit(most).select(*columns, *more).toPandas()
 
 
-def knn_imputed(df: DataFrame, columns: Sequence[str], key: str, k: int = 3, block: int = BLOCK) -> DataFrame:
+def _value(c: str) -> Column:
+    return F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+
+
+def _known_neighbours(df: DataFrame, columns: Sequence[str], key: str, k: int) -> DataFrame:
+    """there, q, near: for the rows with nulls, by which columns are there and where
+    they lie over those, the numbers of the k nearest complete rows, nearest first."""
+    missing = F.exists(F.array(*[_value(c) for c in columns]), lambda v: v.isNull())
+    rows = df.withColumn("__gap", missing).withColumn("__there", F.array(*[_value(c).isNotNull() for c in columns]))
+    donors = df.where(~missing).select(F.col(key), *[_value(c).alias(f"__v{i}") for i, c in enumerate(columns)])
+    gaps = [r[0] for r in rows.where("__gap").select("__there").distinct().collect()]  # which columns, not which rows
+    out = None
+    for there in sorted(gaps):
+        at = [i for i, x in enumerate(there) if x]
+        if not at:
+            continue
+        asked = rows.where(F.col("__there") == F.array(*[F.lit(x) for x in there])).select(*[_value(columns[i]).alias(f"__v{i}") for i in at])
+        found = nearest(asked, donors, [f"__v{i}" for i in at], [key, *[f"__v{i}" for i in range(len(columns))]], k)
+        near = F.array_sort(F.collect_list(F.struct("rank", F.array(*[f"__v{i}" for i in range(len(columns))]).alias("x"))))  # k
+        found = found.groupBy("q").agg(F.transform(near, lambda s: s["x"]).alias("near")).select(F.array(*[F.lit(x) for x in there]).alias("there"), "q", "near")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return df.sparkSession.createDataFrame([], "there array<boolean>, q array<double>, near array<array<double>>")
+    return settled(out)
+
+
+def _filled(df: DataFrame, found: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
+    """``df`` with its nulls filled by the first ``k`` neighbours' means."""
+    values = F.array(*[_value(c) for c in columns])
+    whole = ~F.exists(values, lambda v: v.isNull())
+    known = df.where(whole).agg(F.array(*[F.avg(_value(c)) for c in columns]).alias("m")).scalar()
+    mean = lambda i: F.expr(f"aggregate(slice(near, 1, {int(k)}), 0D, (s, x) -> s + x[{i}])") / F.least(F.size("near"), F.lit(k))
+    found = found.select(F.col("there").alias("__there"), F.col("q").alias("__q"), F.array(*[mean(i) for i in range(len(columns))]).alias("__f"))
+    gaps = df.where(~whole).withColumns({"__there": F.transform(values, lambda v: v.isNotNull()), "__q": F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: v + 0.0)})
+    got = gaps.join(found, ["__there", "__q"], "left").withColumn("__f", F.coalesce("__f", known))
+    got = got.withColumns({c: F.coalesce(_value(c), F.get("__f", F.lit(i))) for i, c in enumerate(columns)}).select(*df.columns)
+    return df.where(whole).withColumns({c: _value(c) for c in columns}).select(*df.columns).unionByName(got)
+
+
+def knn_imputed(df: DataFrame, columns: Sequence[str], key: str, k: int = 3) -> DataFrame:
     """ML-2: nulls (and NaN) become the mean of the k nearest of all complete rows by
-    distance over the columns that are there, ties by ``key``; with no column
-    there, the mean of all complete rows; with no complete row they stay.
+    distance over the columns that are there, ties by ``key``, then by the numbers;
+    with no column there, or an infinite number, the mean of all complete rows; with
+    no complete row they stay.  Infinite numbers are nobody's neighbours.
 
-    The different rows with nulls are a query set held against the complete rows
-    in blocks: each pair of blocks gives a query's k best, and the k best of
-    those count.  Work grows with queries times complete rows, memory doesn't.
+    Neighbours are found by ``nearest``, once for each set of columns that are there.
     """
-    names = [f"x{i}" for i in range(len(columns))]
-    value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-    whole = F.lit(True)
-    for c in columns:
-        whole = whole & value(c).isNotNull()
-    numbers = [value(c).alias(n) for c, n in zip(columns, names, strict=True)]
-    queries = df.where(~whole).select(F.array(*[value(c) for c in columns]).alias("x")).distinct()
-    known = df.where(whole).select(F.col(key).alias("key"), *numbers).groupBy("key", *names).count()
-    size, all_known = queries.count(), known.count()
-    if size == 0 or all_known == 0:
-        return df.withColumns({c: value(c) for c in columns})
-
-    def dealt(rows: DataFrame, by: Sequence[str], n: int, mine: str, others: int, theirs: str) -> DataFrame:
-        """Each row in its own of n blocks, once for every block of the other side."""
-        return rows.withColumns({mine: F.pmod(F.xxhash64(*by), F.lit(-(-n // block))), theirs: F.explode(F.sequence(F.lit(0), F.lit(-(-others // block) - 1)))})
-
-    def nearest(asked: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
-        donors = donors.sort_values(["key", *names], na_position="first", ignore_index=True)
-        donors = donors.loc[donors.index.repeat(np.minimum(donors["count"], k))].reset_index(drop=True)
-        at = donors[names].to_numpy(float)
-        x = np.array([list(q) for q in asked["x"]], float).reshape(len(asked), len(names))
-        out = []
-        for start in range(0, len(x) if len(at) else 0, 64):
-            part = x[start : start + 64]
-            d = np.zeros((len(part), len(at)))
-            for c in range(len(names)):  # a column that isn't there adds nothing
-                d += np.nan_to_num((part[:, c : c + 1] - at[:, c]) ** 2, nan=0.0, posinf=np.inf)
-            row = np.arange(len(part))
-            for _ in range(min(k, len(at))):
-                best = d.argmin(axis=1)  # the first of equals
-                got = donors[["key", *names]].iloc[best].reset_index(drop=True)
-                got.insert(0, "d", d[row, best])
-                got.insert(0, "x", list(asked["x"].iloc[start : start + 64]))
-                out.append(got)
-                at_best = d[row, best]
-                d[row, best] = np.where(np.isinf(at_best), at_best, np.inf)
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: [] for c in ["x", "d", "key", *names]})
-
-    asks = dealt(queries.where(F.exists("x", lambda v: v.isNotNull())), ["x"], size, "q", all_known, "b")
-    gives = dealt(known, ["key", *names], all_known, "b", size, "q")
-    schema = f"x array<double>, d double, key {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names)
-    found = asks.groupBy("q", "b").cogroup(gives.groupBy("q", "b")).applyInPandas(nearest, schema)
-    rank = F.row_number().over(Window.partitionBy("x").orderBy("d", "key", *names))
-    near = found.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("x").agg(F.array(*[F.avg(n) for n in names]).alias("f"))
-    mean = known.agg(F.array(*[F.sum(F.col(n) * F.col("count")) / F.sum("count") for n in names]).alias("m")).scalar()
-    asked = df.where(~whole).withColumn("__x", F.array(*[value(c) for c in columns]))
-    got = asked.join(near.toDF("__x", "__f"), "__x", "left").withColumn("__f", F.coalesce("__f", mean))
-    got = got.withColumns({c: F.coalesce(value(c), F.get("__f", F.lit(i))) for i, c in enumerate(columns)}).select(*df.columns)
-    return df.where(whole).withColumns({c: value(c) for c in columns}).select(*df.columns).unionByName(got)
+    return _filled(df, _known_neighbours(df, columns, key, k), columns, k)
 
 
 def imputation_k_scores(df: DataFrame, column: str, others: Sequence[str], key: str, ks: Sequence[int] = (1, 3, 5, 7, 9), hide: float = 0.1, seed: int = 1) -> DataFrame:
-    """ML-4: known values are hidden and imputed again with each of the few ``ks``;
-    ``best`` marks the k with the smallest squared error, of equals the smallest k."""
+    """ML-4: known values are hidden and imputed again with each of the few ``ks``, from
+    one search of the largest; ``best`` marks the k with the smallest squared error,
+    of equals the smallest k."""
     base = _hidden(df, column, key, hide, seed)
+    found = _known_neighbours(base, [column, *others], key, max(ks))
     out = None
     for k in ks:
-        one = _error(knn_imputed(base, [column, *others], key, k), column).select(F.lit(k).alias("k"), "mse")
+        one = _error(_filled(base, found, [column, *others], k), column).select(F.lit(k).alias("k"), "mse")
         out = one if out is None else out.unionByName(one)
     return out.withColumn("best", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("mse").asc_nulls_last(), "k")) == 1)  # a row for each k
 
@@ -101,16 +96,20 @@ def knn_classified(df: DataFrame, train: DataFrame, columns: Sequence[str], labe
     known = _donors(train.where(F.col(label).isNotNull()), columns, key, donors, [label])
     at, said = known[list(columns)].to_numpy(float), known[label].to_numpy()
 
+    names, said = np.unique(said.astype(str), return_inverse=True)
+    most = min(k, len(at))
+
     @F.pandas_udf("string")
     def vote(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for parts in batches:
-            x = np.column_stack([p.to_numpy(float) for p in parts])
-            out = []
-            for row in x:
-                near = said[np.argsort(((at - row) ** 2).sum(axis=1), kind="stable")[:k]]
-                values, n = np.unique(near.astype(str), return_counts=True)
-                out.append(values[n.argmax()])
-            yield pd.Series(out)
+            x, out = np.column_stack([p.to_numpy(float) for p in parts]), []
+            for part in np.array_split(x, -(-len(x) // 512) or 1):
+                d = (at * at).sum(axis=1)[None, :] - 2 * part @ at.T  # but for the row's own square
+                near = np.argpartition(d, most - 1, axis=1)[:, :most] if most else np.zeros((len(part), 0), int)
+                votes = np.zeros((len(part), len(names)), int)
+                np.add.at(votes, (np.arange(len(part))[:, None], said[near]), 1)
+                out += names[votes.argmax(axis=1)].tolist() if most else [None] * len(part)
+            yield pd.Series(out, dtype=object)
 
     return df.withColumn("predicted", vote(*[F.col(c).cast("double") for c in columns]))
 
@@ -160,14 +159,8 @@ def close_pairs(df: DataFrame, key: str, columns: Sequence[str], eps: float) ->
 
 
 def density_outliers(df: DataFrame, key: str, columns: Sequence[str], eps: float, least: int) -> DataFrame:
-    """ML-25, 32: core rows have ``least`` neighbours with themselves; rows that
-    are neither core nor next to one are outliers."""
-    pairs = close_pairs(df, key, columns, eps)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    core = both.groupBy("a").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= least).select(F.col("a").alias(key))
-    edge = both.join(core.withColumnRenamed(key, "b"), "b", "left_semi").select(F.col("a").alias(key)).distinct()
-    inliers = core.unionByName(edge).distinct().withColumn("__in", F.lit(True))
-    return df.join(inliers, key, "left").withColumn("kind", F.when(F.col("__in"), "Inlier").otherwise("Outlier")).drop("__in")
+    """ML-33: rows that belong to no density cluster are outliers."""
+    return density_clusters(df, key, columns, eps, least).withColumn("kind", F.when(F.col("cluster").isNotNull(), "Inlier").otherwise("Outlier")).drop("core", "cluster")
 
 
 def davies_bouldin(df: DataFrame, label: str, columns: Sequence[str]) -> float:
@@ -232,17 +225,27 @@ def isolation_scores(df: DataFrame, columns: Sequence[str], key: str, trees: int
     return df.withColumn(to, score(*[F.col(c).cast("double") for c in columns]))
 
 
-def labels_spread(df: DataFrame, key: str, columns: Sequence[str], label: str, eps: float, rounds: int = 5, keep: float = 0.8) -> DataFrame:
-    """ML-51: known labels spread over rows at most ``eps`` apart; in each round a
-    row's weights are its neighbours' mean, mixed with what it knew at first."""
-    pairs = close_pairs(df, key, columns, eps)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    first = df.where(F.col(label).isNotNull()).select(F.col(key).alias("a"), F.col(label).alias("l"), F.lit(1.0).alias("w"))
-    degree = both.groupBy("a").agg(F.count("*").alias("n"))
+def labels_spread(df: DataFrame, key: str, columns: Sequence[str], label: str, k: int = 7, keep: float = 0.8, tolerance: float = 1e-3, most: int = 100) -> DataFrame:
+    """ML-51: known labels spread over the graph of nearest neighbours.  Two rows are
+    linked if one is among the k nearest of the other; a link weighs one over the
+    root of both rows' numbers of links.  In each round a row's weights are ``keep``
+    times what comes over its links and the rest what it knew at first, until no
+    weight changes by more than ``tolerance``.  Rows that nothing reaches get null.
+    """
+    graph = neighbour_graph(df, key, columns, k).select("a", "b")
+    links = settled(graph.unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    degree = links.groupBy("a").agg(F.count("*").alias("n"))
+    weighed = links.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("n").alias("m")), "b")
+    links = settled(weighed.select("a", "b", (keep / F.sqrt(F.col("n") * F.col("m"))).alias("s")))
+    first = settled(df.where(F.col(label).isNotNull()).select(F.col(key).alias("a"), F.col(label).alias("l"), F.lit(1.0 - keep).alias("w")))
     now = first
-    for _ in range(rounds):
-        came = both.join(now.select(F.col("a").alias("b"), "l", "w"), "b").groupBy("a", "l").agg(F.sum("w").alias("w")).join(degree, "a").select("a", "l", (keep * F.col("w") / F.col("n")).alias("w"))
-        now = came.unionByName(first.withColumn("w", F.col("w") * (1 - keep))).groupBy("a", "l").agg(F.sum("w").alias("w"))
+    for _ in range(most):
+        came = links.join(now.select(F.col("a").alias("b"), "l", "w"), "b").groupBy("a", "l").agg(F.sum(F.col("s") * F.col("w")).alias("w"))
+        after = settled(came.unionByName(first).groupBy("a", "l").agg(F.sum("w").alias("w")))
+        change = after.join(now.withColumnRenamed("w", "old"), ["a", "l"], "full_outer").agg(F.max(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
+        now = after
+        if (change or 0.0) <= tolerance:
+            break
     best = now.groupBy("a").agg(F.max_by("l", F.struct("w", "l")).alias("spread"))
     return df.join(best.withColumnRenamed("a", key), key, "left").withColumn("spread", F.coalesce(F.col(label), F.col("spread")))
 

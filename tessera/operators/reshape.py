@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import keep_first, running_total
+from .stages import settled
 
 
 def grid(df: DataFrame, row: str, column: str, values: DataFrame | None = None) -> DataFrame:
@@ -123,6 +124,13 @@ def one_hot(df: DataFrame, c: str, levels: Sequence[str]) -> DataFrame:
 
 
 def label_encoded(df: DataFrame, c: str, to: str) -> DataFrame:
-    """RSH-27, SCL-53: rank of the sorted distinct values, -1 for null."""
-    levels = df.select(c).dropna().distinct().withColumn(to, dense_index(c).cast("long"))
+    """RSH-27, SCL-53: rank of the sorted distinct values, -1 for null.  Values are
+    dealt to ranges and ranked within each; a range's offset is the number of values
+    before it."""
+    levels = df.select(c).dropna().distinct()
+    levels = settled(levels.repartitionByRange(c).withColumn("__part", F.spark_partition_id()))
+    sizes = levels.groupBy("__part").agg(F.count("*").alias("__n"))  # a row for each range
+    before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__part")) - F.col("__n")
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(c)) - 1 + F.col("__before")
+    levels = levels.join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part").select(c, rank.cast("long").alias(to))
     return df.join(levels, c, "left").withColumn(to, F.coalesce(F.col(to), F.lit(-1).cast("long")))

@@ -9,6 +9,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+from .stages import beside
+
 
 def one_row(df: DataFrame, aggs: dict[str, Column]) -> Column:
     """A struct of aggregates over all of ``df``, as a scalar subquery."""
@@ -20,9 +23,11 @@ def scaled(df: DataFrame, column: str, how: str, to: str) -> DataFrame:
     c = F.col(column)
     if how == "log1p":
         return df.withColumn(to, F.log1p(c))
+    if how == "robust":
+        q = quantiles(df, [], column, [0.25, 0.5, 0.75]).select(F.struct("q0", "q1", "q2")).scalar()
+        return df.withColumn(to, F.try_divide(c - q["q1"], q["q2"] - q["q0"]))
     stats = {
         "minmax": {"a": F.min(c), "b": F.max(c) - F.min(c)},
-        "robust": {"a": F.median(c), "b": F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))},
         "maxabs": {"a": F.lit(0.0), "b": F.max(F.abs(c))},
         "standard": {"a": F.avg(c), "b": F.stddev_pop(c)},
     }[how]
@@ -38,9 +43,12 @@ def unit_vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def imputed(df: DataFrame, columns: Sequence[str], how: str = "mean") -> DataFrame:
     """ML-1, 6, 45: nulls become the column's mean or median, 0 if it has none."""
-    f = F.avg if how == "mean" else F.median
-    s = one_row(df, {f"s{i}": f(c) for i, c in enumerate(columns)})
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), s[f"s{i}"], F.lit(0.0)) for i, c in enumerate(columns)})
+    if how == "mean":
+        s = one_row(df, {f"s{i}": F.avg(c) for i, c in enumerate(columns)})
+        known = {c: s[f"s{i}"] for i, c in enumerate(columns)}
+    else:
+        known = {c: quantiles(df, [], c, [0.5]).select("q0").scalar() for c in columns}
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), known[c], F.lit(0.0)) for c in columns})
 
 
 def varying(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -52,12 +60,8 @@ def varying(df: DataFrame, columns: Sequence[str]) -> list[str]:
 def iqr_outliers(df: DataFrame, column: str, by: Sequence[str] = (), factor: float = 1.5) -> DataFrame:
     """ML-31: bounds from exact quartiles; Outlier beyond them."""
     c = F.col(column)
-    quartiles = {"q1": F.percentile(c, F.lit(0.25)), "q3": F.percentile(c, F.lit(0.75))}
-    if by:
-        joined = df.join(df.groupBy(*by).agg(*[q.alias(n) for n, q in quartiles.items()]), list(by))
-    else:
-        q = one_row(df, quartiles)
-        joined = df.withColumns({n: q[n] for n in quartiles})
+    found = quantiles(df, by, column, [0.25, 0.75]).select(*by, F.col("q0").alias("q1"), F.col("q1").alias("q3"))
+    joined = df.join(found, list(by)) if by else beside(df, found, by)
     wide = factor * (F.col("q3") - F.col("q1"))
     joined = joined.withColumns({"lower": F.col("q1") - wide, "upper": F.col("q3") + wide})
     return joined.withColumn("kind", F.when((c < F.col("lower")) | (c > F.col("upper")), "Outlier").otherwise("Inlier"))
@@ -85,7 +89,7 @@ def power_transform(df: DataFrame, column: str, kind: str, steps: int = 81) -> t
 def quantile_ranks(df: DataFrame, column: str, n: int = 100) -> DataFrame:
     """ML-14: position among n quantiles, 0..1, interpolated between them."""
     points = [i / (n - 1) for i in range(n)]
-    row = df.agg(F.percentile(column, F.array(*[F.lit(p) for p in points])).alias("q")).scalar()
+    row = quantiles(df, [], column, points).select(F.array(*[f"q{i}" for i in range(n)])).scalar()
     q, x = F.col("__q"), F.col(column)
     below = F.size(F.filter(q, lambda v: v <= x))
     lo, hi = F.get(q, below - 1), F.get(q, below)
@@ -96,10 +100,10 @@ def quantile_ranks(df: DataFrame, column: str, n: int = 100) -> DataFrame:
 def moments(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
     """ML-52: mean, population deviation, median, range, quartiles, skew, kurtosis."""
     c = F.col(column)
-    return df.groupBy(*by).agg(
-        F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd"), F.median(c).alias("median"), F.min(c).alias("low"), F.max(c).alias("high"), (F.max(c) - F.min(c)).alias("spread"),
-        F.percentile(c, F.lit(0.25)).alias("q25"), F.percentile(c, F.lit(0.75)).alias("q75"), F.skewness(c).alias("skew"), F.kurtosis(c).alias("kurtosis"),
+    plain = df.groupBy(*by).agg(
+        F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd"), F.min(c).alias("low"), F.max(c).alias("high"), (F.max(c) - F.min(c)).alias("spread"), F.skewness(c).alias("skew"), F.kurtosis(c).alias("kurtosis"),
     )
+    return beside(plain, quantiles(df, by, column, [0.25, 0.5, 0.75]).select(*by, F.col("q0").alias("q25"), F.col("q1").alias("median"), F.col("q2").alias("q75")), by)
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:

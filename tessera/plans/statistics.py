@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import learning as M
 from ..operators import neighbours as N
 from ..operators import statistics as T
+from ..operators.density import density_clusters as clusters_by_density
+from ..operators.nearest import outlier_factors
 from ..sources.readers import table
 from .registry import registry
 
@@ -212,6 +214,28 @@ def knn_imputation(spark, d):
     return N.knn_imputed(rows, ["p_size", "p_retailprice"], "p_partkey").withColumn("p_retailprice", F.round("p_retailprice", 4))
 
 
+@query("""
+WITH p AS (SELECT s_suppkey AS k, s_acctbal / 100 AS x, s_nationkey::DOUBLE AS y FROM supplier),
+  near AS (SELECT * FROM (SELECT a.k AS a, b.k AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, row_number() OVER (PARTITION BY a.k ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.k) AS r FROM p a JOIN p b ON a.k <> b.k) WHERE r <= 5),
+  reach AS (SELECT a AS b, max(d) AS reach FROM near GROUP BY 1), dens AS (SELECT a, 1 / (avg(greatest(d, reach)) + 1e-10) AS w FROM near JOIN reach USING (b) GROUP BY 1)
+SELECT n.a AS s_suppkey, round(avg(o.w) / any_value(m.w), 6) AS factor FROM near n JOIN dens o ON n.b = o.a JOIN dens m ON n.a = m.a GROUP BY 1
+""")
+def local_outliers(spark, d):
+    """ML-32: local outlier factor."""
+    return outlier_factors(_supplier_points(spark, d), "s_suppkey", ["x", "y"], 5).select("s_suppkey", F.round("factor", 6).alias("factor"))
+
+
+@query("""
+WITH RECURSIVE p AS (SELECT s_suppkey AS k, s_acctbal / 100 AS x, s_nationkey::DOUBLE AS y FROM supplier), b AS (SELECT a.k AS a, c.k AS b FROM p a JOIN p c ON (a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y) <= 25.0),
+  core AS (SELECT a AS k FROM b GROUP BY 1 HAVING count(*) >= 4), link AS (SELECT a, b FROM b WHERE a IN (SELECT k FROM core) AND b IN (SELECT k FROM core)),
+  walk AS (SELECT k AS a, k AS b FROM core UNION SELECT walk.a, link.b FROM walk JOIN link ON walk.b = link.a), c AS (SELECT a AS k, min(b) AS cluster FROM walk GROUP BY 1)
+SELECT p.k AS s_suppkey, p.k IN (SELECT k FROM core) AS core, coalesce(any_value(own.cluster), min(near.cluster)) AS cluster FROM p LEFT JOIN c own ON own.k = p.k LEFT JOIN b ON b.a = p.k LEFT JOIN c near ON near.k = b.b GROUP BY 1, 2
+""")
+def density_clusters(spark, d):
+    """ML-25: density clusters with their labels."""
+    return clusters_by_density(_supplier_points(spark, d), "s_suppkey", ["x", "y"], 5.0, 4).select("s_suppkey", "core", "cluster")
+
+
 @query(None)
 def imputer_k_search(spark, d):
     """ML-4."""
@@ -255,7 +279,7 @@ def isolation_scores(spark, d):
 def spread_labels(spark, d):
     """ML-51."""
     rows = _supplier_points(spark, d).withColumn("c", F.when(F.col("s_suppkey") % 5 == 0, F.when(F.col("x") > 50, "high").otherwise("low")))
-    return N.labels_spread(rows, "s_suppkey", ["x", "y"], "c", 8.0).select("s_suppkey", "spread")
+    return N.labels_spread(rows, "s_suppkey", ["x", "y"], "c", 5).select("s_suppkey", "spread")
 
 
 @query(None)

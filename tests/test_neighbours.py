@@ -49,7 +49,7 @@ def test_knn_imputation_over_many_blocks_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     rows = [(i, *(None if rng.random() < 0.2 else float(v) for v in rng.integers(0, 6, 3))) for i in range(400)] + [(400, None, None, None)]
     df = spark.createDataFrame(rows, "k long, x double, y double, z double")
-    got = {r.k: (r.x, r.y, r.z) for r in N.knn_imputed(df, ["x", "y", "z"], "k", 3, block=37).collect()}
+    got = {r.k: (r.x, r.y, r.z) for r in N.knn_imputed(df, ["x", "y", "z"], "k", 3).collect()}
     want = brute_imputed(rows, 3)
     assert len(got) == len(rows) and all(np.allclose(got[k], want[k]) for k in want)
 
@@ -60,7 +60,7 @@ def test_knn_imputation_of_odd_rows(spark):
     none = N.knn_imputed(spark.createDataFrame([(1, None, 2.0)], schema), ["x", "y"], "k").first()
     assert none.x is None and none.y == 2.0
     repeated = spark.createDataFrame([(1, 1.0, 1.0), (1, 1.0, 1.0), (2, 5.0, 9.0), (3, float("nan"), 1.0), (3, None, 1.0)], schema)
-    got = [r.x for r in N.knn_imputed(repeated, ["x", "y"], "k", 2, block=1).where("k = 3").collect()]
+    got = [r.x for r in N.knn_imputed(repeated, ["x", "y"], "k", 2).where("k = 3").collect()]
     assert got == [1.0, 1.0]
 
 
@@ -144,7 +144,7 @@ def test_isolation_finds_the_far_point(spark):
 def test_labels_spread_within_groups(spark):
     _, df = points(spark)
     few = df.withColumn("c", F.when(F.col("k") == 0, "a").when(F.col("k") == 59, "b"))
-    got = N.labels_spread(few, "k", ["x", "y"], "c", 3.0).collect()
+    got = N.labels_spread(few, "k", ["x", "y"], "c", 5).collect()
     assert sum(r.spread == ("a" if r.k < 30 else "b") for r in got) >= 55
     found = N.graph_clusters(df, "k", ["x", "y"], 3.0, 2).where("cluster is not null").collect()
     assert len({r.cluster for r in found if r.k < 30}) == 1 and len({r.cluster for r in found}) == 2

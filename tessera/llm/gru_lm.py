@@ -39,12 +39,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import LOWER, UPPER, Scratch, text_of
 
@@ -56,7 +54,7 @@ LANES, WINDOW, PASSES = 256, 16, 64
 RATE, G0, CLIP = 0.1, 1e-4, 5.0
 ROUNDS, GROWTH = 4, 4
 DICTIONARY, LONGEST = 1 << 18, 256
-FLUSH_WORDS, FLUSH_TOKENS = 1 << 18, 1 << 20
+FLUSH_WORDS, FLUSH_TOKENS, SCORE_TOKENS = 1 << 18, 1 << 20, 1 << 21
 BLOCK = 4096
 #: The end mark: no word contains a space.
 END = b" "
@@ -339,7 +337,7 @@ class Lanes:
         self.lengths, self.starts, self.first = lengths, np.cumsum(lengths) - lengths, np.cumsum(sizes) - sizes
         self.keep = np.ones(len(self.y), np.float32)
         self.keep[self.first] = 0
-        self.x = np.r_[Network.START, self.y[:-1]].astype(np.int32)[: len(self.y)]
+        self.x = np.concatenate([np.full(1, Network.START, np.int32), self.y[:-1]])[: len(self.y)]
         self.x[self.first] = Network.START
 
     def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -375,14 +373,14 @@ def score_texts(net: Network, texts: list[np.ndarray]) -> np.ndarray:
     loads.sort(key=lambda x: (-x[0], x[1]))
     order = [k for _, i in loads for k in held[i]]
     lanes = Lanes([texts[k] for k in order], np.array([n for n, _ in loads], np.int64))
-    logs, h = np.zeros(len(lanes.y)), np.zeros((HIDDEN, len(loads)), np.float32)
+    logs, h = np.zeros(len(lanes.y), np.float32), np.zeros((HIDDEN, len(loads)), np.float32)
     for at, valid in lanes.windows():
         run = net.forward(lanes.x[at], lanes.keep[at], h[:, : at.shape[1]])
         h = run["states"][-1]
         logs[at[valid]] = net.outputs(by_token(run["states"])[valid.ravel()], lanes.y[at][valid], False)[0]
     out = np.zeros(len(texts))
     if order:
-        out[order] = np.add.reduceat(logs, lanes.first)
+        out[order] = np.add.reduceat(logs, lanes.first, dtype=np.float64)
     return out
 
 
@@ -473,41 +471,34 @@ def score_documents(docs: DataFrame, train_where: Callable[[Column], Column] = l
         net = train(taught, vocabulary, F.xxhash64("doc_id"))
         words, weights = session.sparkContext.broadcast(vocabulary), session.sparkContext.broadcast(net.flat())
 
-        kind = to_arrow_type(base.schema["doc_id"].dataType)
-
-        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             voc, net, held, size = words.value, Network(*weights.value), [], 0
             get = voc.place.get
 
-            def flush() -> pa.RecordBatch:
-                idents, outs, symbols, known, base, rare, others = zip(*held, strict=True)
-                logs = score_texts(net, list(symbols)) / np.log(10) + np.array(rare)
-                ends = pa.array(np.cumsum([0, *map(len, others)]), pa.int32())
-                columns = {
-                    "doc_id": pa.array(idents, kind), "held_out": pa.array(outs), "n_tokens": pa.array(map(len, symbols), pa.int64()), "n_known": pa.array(known, pa.int64()), "base": pa.array(base, pa.float64()), "score": pa.array(logs),
-                    "others": pa.ListArray.from_arrays(ends, pa.array([w for o in others for w in o], pa.binary())), "times": pa.ListArray.from_arrays(ends, pa.array([n for o in others for n in o.values()], pa.int64())),
-                }
-                return pa.RecordBatch.from_pydict(columns)
+            def flush() -> pd.DataFrame:
+                logs = score_texts(net, [h[-1] for h in held]) / np.log(10)
+                rows = [(*h[:5], h[5] + x, list(h[6]), list(h[6].values())) for h, x in zip(held, logs, strict=True)]
+                return pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "others", "times"])
 
             for batch in batches:
-                for ident, out, body in zip(batch["doc_id"].to_pylist(), batch["held_out"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                for ident, out, body in zip(batch["doc_id"].astype(object), batch["held_out"], batch["text"], strict=True):
                     symbols, ws = voc.encode(body)
                     at = np.flatnonzero(symbols >= HEAD)
-                    rare = symbols[at] - HEAD
                     places = np.fromiter([get(ws[i], -1) for i in at.tolist()], np.int32, len(at))
                     logs = voc.logs[places[places >= 0]].sum()
                     others = Counter([ws[i] for i in at[places < 0].tolist()])
                     base = logs + voc.logs[symbols[symbols < HEAD]].sum()
-                    held.append((ident, out, symbols, len(symbols) - int((places < 0).sum()), base, logs - voc.totals[rare].sum(), others))
-                    size += len(symbols)
-                    if size >= FLUSH_TOKENS:
+                    rare = logs - voc.totals[symbols[at] - HEAD].sum()
+                    held.append((None if pd.isna(ident) else ident, out, len(ws), len(ws) - int((places < 0).sum()), base, rare, others, symbols))
+                    size += len(ws)
+                    if size >= SCORE_TOKENS:
                         yield flush()
                         held, size = [], 0
             if held:
                 yield flush()
 
         schema = f"doc_id {base.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, score double, others array<binary>, times array<long>"
-        rows = scratch.keep(scratch.write(base.mapInArrow(scored, schema).withColumn("row", F.monotonically_increasing_id()), "scored"))
+        rows = scratch.keep(scratch.write(base.mapInPandas(scored, schema).withColumn("row", F.monotonically_increasing_id()), "scored"))
         words.destroy()
         weights.destroy()
         asked = rows.select("row", F.explode(F.arrays_zip(F.col("others").alias("word"), F.col("times").alias("times"))).alias("o")).select("row", "o.word", "o.times")

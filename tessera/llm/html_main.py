@@ -91,7 +91,8 @@ def _attributes(raw: str) -> tuple[str, bool, bool]:
             kind = value if name == "class" else kind
             for token in value.split():
                 parts = _CUE.findall(token)
-                cue = cue or token in WHOLE_CUES or bool(parts) and parts[0] not in NEGATIONS and not CUES.isdisjoint(parts)
+                # Words in the middle of a name say nothing: market-share-report.
+                cue = cue or token in WHOLE_CUES or bool(parts) and parts[0] not in NEGATIONS and not CUES.isdisjoint((parts[0], parts[-1]))
         elif name == "role":
             hard = hard or value in ROLES
         elif name == "style":
@@ -176,17 +177,31 @@ def _holds(page: Page, own: list[bool]) -> list[bool]:
     return out
 
 
+def _most(page: Page) -> list[bool]:
+    """Whether an element holds at least half of the page's text."""
+    size = [0] * len(page.tag)
+    for e, x in page.items:
+        if isinstance(x, str):
+            size[e] += len(x) - x.count(" ")
+    for e in range(len(size) - 1, 0, -1):
+        size[page.parent[e]] += size[e]
+    return [2 * n >= size[0] > 0 for n in size]
+
+
 def boilerplate(page: Page) -> list[bool]:
-    """Elements to drop by name, class, id, role or style."""
+    """Elements to drop by name, class, id, role or style.  On a page without an
+    article or main element neither a form nor a class or id is a reason to drop
+    what holds at least half of the text."""
     tags = page.tag
     mains = [t in ("article", "main") and not page.cue[e] for e, t in enumerate(tags)]
     if not any(mains):
         mains = [t in ("article", "main") for t in tags]
     main, head = _holds(page, mains), _holds(page, [t == "h1" for t in tags])
+    page_itself = [False] * len(tags) if any(mains) else _most(page)
     out = []
     for e, t in enumerate(tags):
-        named = t in BOILERPLATE and not main[e] and not (t == "header" and head[e])
-        cue = page.cue[e] and not main[e] and not head[e] and t not in ("html", "body")
+        named = t in BOILERPLATE and not main[e] and not (t == "header" and head[e]) and not (t == "form" and page_itself[e])
+        cue = page.cue[e] and not main[e] and not head[e] and not page_itself[e] and t not in ("html", "body")
         out.append(named or cue or page.hard[e] and t not in ("html", "body"))
     return out
 

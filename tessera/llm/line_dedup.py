@@ -32,7 +32,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, ascii_lower, text_of
+from .common import SPACES, Scratch, ascii_lower, shared_dir, text_of
 
 KEY = ["a", "b"]
 
@@ -50,17 +50,22 @@ def lines_of(body: Column) -> Column:
     return F.split(body, "\n", -1)
 
 
+def placed_hashes(body: Column) -> Column:
+    """Hashes of the keys of a text's lines, in order; null for an empty key."""
+    return F.transform(lines_of(ascii_lower(body)), lambda x: F.when(F.btrim(x, F.lit(SPACES)) != "", _hash(F.btrim(x, F.lit(SPACES)))))
+
+
 def line_hashes(body: Column) -> Column:
     """Hashes of the distinct keys of a text that have a code point at least."""
     keys = F.filter(F.transform(lines_of(ascii_lower(body)), lambda x: F.btrim(x, F.lit(SPACES))), lambda k: k != "")
-    return F.transform(F.array_distinct(keys), _hash)
+    return F.transform(F.array_distinct(keys), _hash)  # of strings: distinct structs would be compared pair by pair
 
 
 class LineRuns:
     """Levelled runs; ``min_docs`` is when a line counts as frequent.
 
-    Runs are tables of the session's catalog in the warehouse, dropped when
-    they are merged or by ``close``.
+    Runs are tables of the session's catalog with files in the shared folder; both
+    go when the runs are merged, and by ``close``.
     """
 
     def __init__(self, spark: SparkSession, min_docs: int = 10, fanout: int = 4, buckets: int | None = None):
@@ -68,6 +73,7 @@ class LineRuns:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name, self._made = f"line_runs_{uuid.uuid4().hex}", 0
         self.levels: list[list[str]] = [[]]
+        self.folder = shared_dir(spark)
 
     @contextmanager
     def _sorted_scans(self) -> Iterator[None]:
@@ -84,7 +90,7 @@ class LineRuns:
         self._made += 1
         name = f"{self.name}_{self._made}"
         with self._sorted_scans():
-            counts.repartition(self.buckets, *KEY).write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
+            counts.repartition(self.buckets, *KEY).write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.folder}/{name}").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
@@ -133,8 +139,11 @@ class LineRuns:
         return self.counts().where(F.col("n") >= self.min_docs).select(*KEY)
 
     def _drop(self, names: list[str]) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(conf).delete(path, True)
 
     def close(self) -> None:
         self._drop([name for level in self.levels for name in level])
@@ -143,24 +152,34 @@ class LineRuns:
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 3, fanout: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text: all of ``docs`` in ``batches``
-    batches through the runs, then without the frequent lines."""
+    batches through the runs, then without the lines at the frequent ones' places.
+
+    A document is told by its id and two hashes of its text, so that rows with one
+    id (or none) meet only their own lines' places.
+    """
+    own = ["doc_id", "u", "w"]
     base = docs.select(docs[doc_id].alias("doc_id"), text_of(docs, text).alias("body"))
+    base = base.select("doc_id", "body", F.xxhash64("body").alias("u"), F.xxhash64(F.lit(1), "body").alias("w"))
     with Scratch(docs.sparkSession) as scratch:
-        part = F.pmod(F.xxhash64("doc_id", "body"), F.lit(batches)).cast("int").alias("part")
-        rows = scratch.write(base.select("doc_id", part, line_hashes(F.col("body")).alias("h")), "hashes")
+        part = F.pmod(F.xxhash64("doc_id", "u"), F.lit(batches)).cast("int").alias("part")
+        rows = scratch.write(base.select(*own, part, line_hashes(F.col("body")).alias("once"), placed_hashes(F.col("body")).alias("h")), "hashes")
         runs = LineRuns(docs.sparkSession, min_docs, fanout)
-        for i in range(batches):
-            runs.add(rows.where(F.col("part") == i).select(F.explode("h").alias("h")).select("h.a", "h.b"))
-        # Written first: with a plain shuffle on both sides the rows of a very
-        # common line can be split at run time.
-        with runs._sorted_scans():
-            often = scratch.write(runs.frequent(), "often")
-        runs.close()
-        mine = rows.select("doc_id", F.explode("h").alias("h")).select("doc_id", "h.a", "h.b")
-        hot = mine.join(often.hint("merge"), KEY, "left_semi").groupBy(F.col("doc_id").alias("hot_id")).agg(F.collect_set(F.struct(*KEY)).alias("hot"))
+        try:
+            for i in range(batches):
+                runs.add(rows.where(F.col("part") == i).select(F.explode("once").alias("h")).select("h.a", "h.b"))
+            # Written first: with a plain shuffle on both sides the rows of a very
+            # common line can be split at run time.
+            with runs._sorted_scans():
+                often = scratch.write(runs.frequent(), "often")
+        finally:
+            runs.close()
+        mine = rows.select(*own, F.posexplode("h").alias("place", "h")).where("h is not null").select(*own, "place", "h.a", "h.b")
+        hot = mine.join(often.hint("merge"), KEY, "left_semi").groupBy(*[F.col(c).alias(f"hot_{c}") for c in own]).agg(F.collect_set("place").alias("hot"))
         hot = scratch.keep(scratch.write(hot, "hot"))
-    both = base.join(hot, base["doc_id"].eqNullSafe(hot["hot_id"]), "left")
-    lines = lines_of(F.col("body"))
-    kept = F.when(F.col("hot").isNull(), lines).otherwise(F.filter(lines, lambda x: (line_key(x) == "") | ~F.array_contains(F.col("hot"), _hash(line_key(x)))))
-    out = both.select("doc_id", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
-    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text"))
+    both = base.join(hot, base["doc_id"].eqNullSafe(hot["hot_doc_id"]) & (base["u"] == hot["hot_u"]) & (base["w"] == hot["hot_w"]), "left")
+    # Differences of arrays are taken by hashing, so a text costs its length.
+    lines, places = F.col("lines"), F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("hot"))
+    kept = F.when(F.col("hot").isNull(), lines).otherwise(F.transform(places, lambda i: F.get("lines", i)))
+    out = both.select("doc_id", "hot", lines_of(F.col("body")).alias("lines"))
+    dropped = F.when(F.col("hot").isNull(), 0).otherwise(F.size("hot"))
+    return out.select("doc_id", F.size("lines").cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("kept_text"))

@@ -21,8 +21,7 @@ Only DataFrame functions are used.
 Defined cases: a null domain, language or source is the leaf value ''; a null
 text has no tokens, a very long one many, and a document longer than what is
 left of its leaf's budget ends the prefix; a weight below zero or null counts
-as zero; when all siblings that still have capacity have weight zero, they get
-nothing; equal order keys (repeated ids) are taken together or not at all;
+as zero, and a branch of weight zero gets nothing and has no capacity; equal order keys (repeated ids) are taken together or not at all;
 columns of any name are carried along; an empty table gives an empty table.
 """
 
@@ -65,8 +64,10 @@ def share(df: DataFrame, parents: list[str], budget: str, cap: str, weight: str,
 
 def budgets(leaves: DataFrame, budget_share: float, max_epochs: int) -> DataFrame:
     """Leaf budgets.  ``leaves``: dom, lng, src, tokens, w_dom, w_lng, w_src."""
-    df = leaves.withColumn("cap", F.col("tokens") * max_epochs)
-    lng = df.groupBy("dom", "lng").agg(F.sum("cap").alias("cap"), F.max("w_dom").alias("w_dom"), F.max("w_lng").alias("w_lng"), F.sum("tokens").alias("tokens"))
+    # What has weight zero takes nothing, so it has no capacity for its parent either.
+    able = lambda weight, cap: F.when(weight > 0, cap).otherwise(F.lit(0))
+    df = leaves.withColumn("cap", able(F.col("w_src"), F.col("tokens") * max_epochs))
+    lng = df.groupBy("dom", "lng").agg(able(F.max("w_lng"), F.sum("cap")).alias("cap"), F.max("w_dom").alias("w_dom"), F.max("w_lng").alias("w_lng"), F.sum("tokens").alias("tokens"))
     dom = lng.groupBy("dom").agg(F.sum("cap").alias("cap"), F.max("w_dom").alias("w_dom"), F.sum("tokens").alias("tokens"))
     everything = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
     dom = share(dom.withColumn("b_all", F.floor(everything * F.lit(float(budget_share)))), [], "b_all", "cap", "w_dom", ["dom"], "b_dom")

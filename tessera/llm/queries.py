@@ -84,9 +84,9 @@ WITH d AS (SELECT doc_id, {"CASE " + " ".join(f"WHEN n BETWEEN {a} AND {b} THEN
     coalesce(lang, '') AS lng, coalesce(source, '') AS src, tokens
   FROM (SELECT doc_id, lang, source, try_cast(regexp_extract(coalesce(source, ''), '^src(\\d{{1,6}})$', 1) AS INT) AS n,
     len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens FROM documents)),
-  leaf AS (SELECT *, tokens * {MIX["max_epochs"]} AS cap, {_sql_choose("dom", DOMAIN_WEIGHTS, 1)} AS w_dom, {_sql_choose("lng", LANG_WEIGHTS, 1)} AS w_lng,
-    {_sql_choose("src", SOURCE_WEIGHTS, 1)} AS w_src FROM (SELECT dom, lng, src, sum(tokens)::BIGINT AS tokens FROM d GROUP BY ALL)),
-  lng_0 AS (SELECT dom, lng, sum(cap)::BIGINT AS cap, max(w_dom) AS w_dom, max(w_lng) AS w_lng, sum(tokens)::BIGINT AS tokens FROM leaf GROUP BY ALL),
+  leaf AS (SELECT *, CASE WHEN w_src > 0 THEN tokens * {MIX["max_epochs"]} ELSE 0 END AS cap FROM (SELECT *, {_sql_choose("dom", DOMAIN_WEIGHTS, 1)} AS w_dom, {_sql_choose("lng", LANG_WEIGHTS, 1)} AS w_lng,
+    {_sql_choose("src", SOURCE_WEIGHTS, 1)} AS w_src FROM (SELECT dom, lng, src, sum(tokens)::BIGINT AS tokens FROM d GROUP BY ALL))),
+  lng_0 AS (SELECT dom, lng, (CASE WHEN max(w_lng) > 0 THEN sum(cap) ELSE 0 END)::BIGINT AS cap, max(w_dom) AS w_dom, max(w_lng) AS w_lng, sum(tokens)::BIGINT AS tokens FROM leaf GROUP BY ALL),
   dom_0 AS (SELECT dom, sum(cap)::BIGINT AS cap, max(w_dom) AS w_dom, floor((SELECT sum(tokens)::DOUBLE FROM d) * {MIX["budget_share"]}::DOUBLE) AS b_all FROM lng_0 GROUP BY dom),
   {_sql_share("dom_0", "", "b_all", "w_dom", "dom", "b_dom")},
   lng_1 AS (SELECT l.*, b_dom FROM lng_0 l JOIN b_dom_t USING (dom)),

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, mixing, piece_bpe, simhash, toxicity
-from tessera.llm.common import materialize
+from tessera.llm.common import Scratch
 from tessera.llm.queries import mix_tree, piece_model_file
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -66,8 +66,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, "stage")
+    with Scratch(spark) as scratch:
+        for k, (_, stage) in enumerate(STAGES):
+            out = stage(spark, docs, sf_dir)
+            if k + 1 == len(STAGES):
+                scratch.keep(docs)  # the result still reads it
+                return out
+            written = scratch.write(out, "stage")
+            if k:
+                scratch.drop(docs)
+            docs = written
     return docs

@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stages import settled
 from .statistics import weighted_scores
 
 
@@ -28,6 +29,20 @@ def principal_components(df: DataFrame, k: int, features: str = "features", to:
     return out.withColumn(to, vector_to_array("__p")).drop("__c", "__p")
 
 
+def loadings(df: DataFrame, k: int, features: str = "features") -> DataFrame:
+    """ML-17: component, feature (both from 0), loading and rank: features by their
+    weight in each of k principal components, largest first, of equals the first
+    feature; a component's sign is such that its largest weight is positive.  The
+    rows are the model's, as many as features times k."""
+    model = PCA(k=k, inputCol=features, outputCol="__p").fit(df)
+    rows = []
+    for c, column in enumerate(model.pc.toArray().T):
+        order = sorted(range(len(column)), key=lambda f: (-abs(column[f]), f))
+        sign = -1.0 if column[order[0]] < 0 else 1.0
+        rows += [(c, f, float(sign * column[f]), rank) for rank, f in enumerate(order, 1)]
+    return df.sparkSession.createDataFrame(rows, "component int, feature int, loading double, rank int")
+
+
 def clusters(df: DataFrame, k: int, how: str = "kmeans", seed: int = 1, features: str = "features", to: str = "cluster") -> DataFrame:
     """ML-22, 24, 26: k-means, bisecting (in place of agglomerative) or Gaussian mixture."""
     model = {"kmeans": KMeans, "bisecting": BisectingKMeans, "gaussian": GaussianMixture}[how](k=k, seed=seed, featuresCol=features, predictionCol=to)
@@ -108,5 +123,5 @@ def self_trained(labelled: DataFrame, unlabelled: DataFrame, name: str, confiden
     for _ in range(rounds):
         said = classifier(name).fit(pool).transform(unlabelled)
         sure = said.where(F.array_max(vector_to_array("probability")) >= confident).select(F.col("prediction").alias("label"), "features")
-        pool = labelled.select("label", "features").unionByName(sure)
+        pool = settled(labelled.select("label", "features").unionByName(sure))  # else every round fits all earlier ones again
     return classifier(name).fit(pool).transform(unlabelled)

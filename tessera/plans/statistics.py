@@ -8,6 +8,7 @@ from ..operators import learning as M
 from ..operators import neighbours as N
 from ..operators import statistics as T
 from ..operators.density import density_clusters as clusters_by_density
+from ..operators.modes import mean_shift
 from ..operators.nearest import outlier_factors
 from ..sources.readers import table
 from .registry import registry
@@ -282,6 +283,19 @@ def spread_labels(spark, d):
     return N.labels_spread(rows, "s_suppkey", ["x", "y"], "c", 5).select("s_suppkey", "spread")
 
 
+@query(None)
+def mean_shift_modes(spark, d):
+    """ML-27."""
+    out = mean_shift(_supplier_points(spark, d), "s_suppkey", ["x", "y"], 15.0)
+    return out.select("s_suppkey", "mode_size", F.transform("mode", lambda v: F.round(v, 4)).alias("mode"))
+
+
+@query(None)
+def principal_loadings(spark, d):
+    """ML-17: how much each component of the embeddings weighs in a principal one."""
+    return M.loadings(_vectors(spark, d), 2)
+
+
 @query(None)
 def graph_clusters(spark, d):
     """ML-49."""

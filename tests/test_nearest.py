@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import aggregates as A
-from tessera.operators import density, nearest, quantiles, stages
+from tessera.operators import density, modes, nearest, quantiles, stages
+from tessera.operators import learning as M
 from tessera.operators import neighbours as N
 from tessera.operators import reshape as H
 from tessera.operators import statistics as T
@@ -244,3 +245,46 @@ def test_label_codes_over_ranges(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "k long, v string")
     at = {v: i for i, v in enumerate(sorted({v for v in values if v}))}
     assert {r.k: r.code for r in H.label_encoded(df, "v", "code").collect()} == {i: at.get(v, -1) for i, v in enumerate(values)}
+
+
+# --- mean shift, loadings -----------------------------------------------------------------
+def plain_modes(x, h):
+    seeds = {tuple(np.rint(r / h)) for r in x}
+    rest = []
+    for bin_ in seeds:
+        at = np.array(bin_) * h
+        while True:
+            near = x[((x - at) ** 2).sum(axis=1) <= h * h]
+            if not len(near):
+                break
+            before, at = at, near.mean(axis=0)
+            if ((at - before) ** 2).sum() <= (1e-3 * h) ** 2:
+                rest.append((len(near), ",".join(str(v) for v in bin_), at))
+                break
+    kept = []
+    for n, _, at in sorted(rest, key=lambda r: (-r[0], r[1])):
+        if all(((at - k) ** 2).sum() > h * h for _, k in kept):
+            kept.append((n, at))
+    return kept
+
+
+@pytest.mark.parametrize("kind", ["copies", "clumps"])
+def test_modes_equal_brute_force(spark, kind):
+    x, h = points(kind, 120, 2, 11), 1.5
+    kept = plain_modes(x, h)
+    got = {r.k: r for r in modes.mean_shift(frame(spark, x), "k", ["x", "y"], h).collect()}
+    for i, p in enumerate(x):
+        n, at = min(kept, key=lambda k: ((k[1] - p) ** 2).sum())
+        assert got[i].mode_size == n and np.allclose(got[i].mode, at, atol=1e-6)
+    odd = spark.createDataFrame([(1, None, 1.0), (2, math.nan, 1.0)], "k long, x double, y double")
+    assert [r.mode for r in modes.mean_shift(odd, "k", ["x", "y"], h).collect()] == [None, None]
+
+
+def test_loadings_are_the_covariance_vectors(spark):
+    x = np.random.default_rng(3).normal(0, 1, (200, 3)) * [5, 1, 0.2] + np.array([1, 2, 3])
+    df = M.vectors(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "k long, e array<double>"), "e")
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    got = {(r.component, r.feature): r.loading for r in M.loadings(df, 2).collect()}
+    for c in range(2):
+        want = vectors[:, -1 - c]
+        assert np.allclose(np.abs([got[c, f] for f in range(3)]), np.abs(want), atol=1e-6)

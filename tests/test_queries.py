@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import charts, domain, relational, statistics, streams
+from tessera.plans import charts, domain, facts, relational, statistics, streams
 
-MODULES = (relational, domain, statistics, streams, charts)
+MODULES = (relational, domain, statistics, streams, charts, facts)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

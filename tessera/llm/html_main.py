@@ -60,8 +60,6 @@ IN_ARTICLE = frozenset("div section ul ol dl table figure".split())
 NEGATIONS = frozenset("has is no not with without".split())
 TO_THE_END = frozenset("script style textarea title".split())
 TEXTUAL = frozenset("html body main article p h1 h2 h3 h4 h5 h6 pre blockquote li td th tr tbody dt dd figcaption".split())
-#: A subtree on so many pages of a host is a template whatever its share.
-MANY_PAGES = 100
 #: A template's shape holds at most this share of its pages' text on average.
 SMALL_PART = 0.25
 
@@ -245,12 +243,20 @@ def subtree_hashes(page: Page) -> list[tuple[int | None, int | None, bool, float
             parts[parent[e]].append(parts[e][0])
     for e in range(n - 1, 0, -1):
         size[parent[e]] += size[e]
-    # Names inside, up to the hash of the set: sums don't depend on the order.
+    # The set of all names inside as the sum of their hashes, which doesn't depend on
+    # their order.  The smaller of two sets goes into the larger one.
     name = [f"{t}.{k}" for t, k in zip(page.tag, page.kind, strict=True)]
+    code = {x: _signed(x) for x in set(name)}
     inside: list[set[str]] = [set() for _ in range(n)]
+    total = [0] * n
     for e in range(n - 1, 0, -1):
-        if len(inside[parent[e]]) < 64:
-            inside[parent[e]] |= {name[e], *sorted(inside[e])[:64]}
+        up = parent[e]
+        small, large, added = inside[e], inside[up], total[up]
+        if len(small) > len(large):
+            small, large, added = large, small, total[e]
+        new = {name[e], *small} - large
+        large |= new
+        inside[e], inside[up], total[up] = set(), large, added + sum(map(code.__getitem__, new))
     path = [0] * n
     for e in range(1, n):
         path[e] = _signed(f"{path[parent[e]]}/{name[e]}")
@@ -278,7 +284,7 @@ def subtree_hashes(page: Page) -> list[tuple[int | None, int | None, bool, float
     for e, t in enumerate(page.tag):
         open_ = e > 0 and size[e] > 0 and t not in INLINE and t != "body" and not articles[e]
         content = _signed(parts[e][1]) if open_ and (not within[e] or t in IN_ARTICLE) and len(parts[e]) == 2 else None
-        shape = _signed(f"shape {path[e]} {' '.join(sorted(inside[e]))}") if open_ and t not in TEXTUAL and not main[e] else None
+        shape = _signed(f"shape {path[e]} {total[e]}") if open_ and t not in TEXTUAL and not main[e] else None
         out.append((content, shape, not on[e], size[e] / max(size[0], 1)))
     return out
 
@@ -319,9 +325,10 @@ def main_text(page: Page, gone: frozenset[int] | set[int] = frozenset()) -> tupl
 
 def template_hashes(pages: DataFrame, host: Column, html: str = "html", min_pages: int = 5, min_share: float = 0.2) -> DataFrame:
     """(host, hashes): subtrees that occur on ``min_pages`` of a host's different
-    pages at least, and on ``min_share`` or ``MANY_PAGES`` of them.
+    pages at least, and on the share ``min_share`` of them, however many they are.
 
-    A host's array is bounded by its candidates a page divided by the share.
+    A host's array is bounded: it has at most as many hashes as its pages have
+    candidates on average, divided by the share.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -346,7 +353,7 @@ def template_hashes(pages: DataFrame, host: Column, html: str = "html", min_page
     with Scratch(pages.sparkSession) as scratch:
         counts = scratch.write(once.groupBy("host", "hash").agg(F.count("*").alias("n"), F.avg("off").alias("off"), F.avg("share").alias("share")), "subtrees")
         total = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-        often = counts.where("hash is not null").join(total, "host").where((F.col("n") >= min_pages) & (F.col("n") >= F.least(F.col("pages") * min_share, F.lit(MANY_PAGES))) & (F.col("off") >= 0.8) & (F.col("share") <= SMALL_PART))
+        often = counts.where("hash is not null").join(total, "host").where((F.col("n") >= min_pages) & (F.col("n") >= F.col("pages") * min_share) & (F.col("off") >= 0.8) & (F.col("share") <= SMALL_PART))
         return scratch.keep(scratch.write(often.groupBy("host").agg(F.collect_set("hash").alias("hashes")), "templates"))
 
 

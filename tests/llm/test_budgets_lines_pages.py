@@ -127,3 +127,38 @@ def test_a_failing_batch_leaves_no_runs(spark, monkeypatch):
     with pytest.raises(ValueError, match="lost"):
         line_dedup.drop_frequent_lines(spark.createDataFrame([(i, "x") for i in range(20)], "doc_id long, text string"), 3)
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_shapes_hold_every_name_in_any_order():
+    names = [f"c{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(100)]
+
+    def shape(kinds):
+        page = html_main.parse("<body><div class='box'>" + "".join(f"<div class='{k}'>x <b>y</b></div>" for k in kinds) + "</div><p>" + "text " * 500 + "</p></body>")
+        return html_main.subtree_hashes(page)[page.kind.index("box")][1]
+
+    assert shape(names) == shape(names[::-1]) == shape(names + names[:7]) is not None
+    assert len({shape(names[:i] + names[i + 1 :]) for i in range(100)} | {shape(names)}) == 101
+
+
+def test_shape_sets_equal_a_plain_union():
+    rng = random.Random(5)
+    html = "<body>"
+    open_ = 0
+    for _ in range(3000):
+        if open_ and rng.random() < 0.5:
+            html, open_ = html + "</div>", open_ - 1
+        else:
+            html, open_ = html + f"<div class='k{rng.choice('abcdefgh')}'>t", open_ + 1
+    page = html_main.parse(html)
+    sets = [set() for _ in page.tag]
+    path = [""] * len(sets)
+    for e in range(len(sets) - 1, 0, -1):
+        sets[page.parent[e]] |= sets[e] | {f"{page.tag[e]}.{page.kind[e]}"}
+    for e in range(1, len(sets)):
+        path[e] = f"{path[page.parent[e]]}/{page.tag[e]}.{page.kind[e]}"
+    by_shape, by_set = {}, {}
+    for e, (_, shape, _, _) in enumerate(html_main.subtree_hashes(page)):
+        if shape is not None:
+            by_shape.setdefault(shape, set()).add(e)
+            by_set.setdefault((path[e], frozenset(sets[e])), set()).add(e)
+    assert len(by_set) > 50 and sorted(map(sorted, by_shape.values())) == sorted(map(sorted, by_set.values()))

@@ -9,6 +9,7 @@ from ..functions import rules as R
 from ..operators import aggregates as A
 from ..operators import filters as L
 from ..operators import joins as J
+from ..sources.landed import entries, flattened
 from ..sources.readers import table
 from .registry import registry
 
@@ -79,3 +80,23 @@ def loop_context(spark, d):
     regions = F.array(*[F.struct(F.lit(10 * i).cast("long").alias("start"), F.lit(10 * i + 9).cast("long").alias("end"), F.lit(n).alias("label")) for i, n in enumerate(names, 1)])
     out = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.inline(G.around(regions)))
     return out.select("k", "label", "start", F.col("before").cast("long").alias("before"), F.col("after").cast("long").alias("after"))
+
+
+@query("""
+WITH r AS (SELECT c_custkey::VARCHAR AS id, c_name AS "entry_name", c_acctbal AS entry_account_balance, c_mktsegment AS entry_account_segment FROM customer WHERE c_custkey % 7 <> 0),
+  w AS (SELECT DISTINCT o_custkey::VARCHAR AS code, o_custkey AS k FROM orders UNION SELECT c_custkey::VARCHAR, c_custkey FROM customer),
+  n AS (SELECT code, CASE WHEN k % 7 = 0 AND k % 3 = 0 THEN (k + 1)::VARCHAR END AS newer FROM w)
+SELECT code, CASE WHEN newer IS NULL THEN 'Not Replaced' ELSE 'Replaced' END AS is_replaced, CASE WHEN newer IS NULL THEN '' ELSE code || '->' || newer END AS code_changed, coalesce(newer, '') AS replacement_code, coalesce(newer, code) AS canonical_code, r.id IS NULL AS missing,
+  r.id AS record_id, r.entry_name AS record_entry_name, r.entry_account_balance AS record_entry_account_balance, r.entry_account_segment AS record_entry_account_segment
+FROM n LEFT JOIN r ON r.id = coalesce(newer, code)
+""")
+def landed_entries(spark, d):
+    """SRC-12, SRC-13: nested JSON records by code or by the code that replaced it, flat."""
+    customer = table(spark, d, "customer")
+    nested = F.struct(F.col("c_custkey").cast("string").alias("id"), F.struct(F.col("c_name").alias("name"), F.struct(F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment")).alias("account")).alias("entry"))
+    lines = customer.where("c_custkey % 7 <> 0").select(F.to_json(nested).alias("line"))
+    schema = "id string, entry struct<name:string,account:struct<balance:double,segment:string>>"
+    records = lines.select(F.from_json("line", schema).alias("r")).select("r.*")
+    wanted = table(spark, d, "orders").select(F.col("o_custkey").alias("k")).unionByName(customer.select(F.col("c_custkey").alias("k")))
+    replaced = wanted.where("k % 21 = 0").select(F.col("k").alias("old"), (F.col("k") + 1).alias("new"))
+    return flattened(entries(wanted, "k", records, "id", replaced))

@@ -10,6 +10,7 @@ from ..operators import statistics as T
 from ..operators.density import density_clusters as clusters_by_density
 from ..operators.modes import mean_shift
 from ..operators.nearest import outlier_factors
+from ..operators.spectral import spectral_clusters as clusters_by_spectrum
 from ..sources.readers import table
 from .registry import registry
 
@@ -300,3 +301,9 @@ def principal_loadings(spark, d):
 def graph_clusters(spark, d):
     """ML-49."""
     return N.graph_clusters(_supplier_points(spark, d), "s_suppkey", ["x", "y"], 10.0, 3).select("s_suppkey", "cluster")
+
+
+@query(None)
+def spectral_clusters(spark, d):
+    """ML-49: spectral clusters of the graph of nearest neighbours."""
+    return clusters_by_spectrum(_supplier_points(spark, d), "s_suppkey", ["x", "y"], 3).select("s_suppkey", "cluster")

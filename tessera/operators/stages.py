@@ -5,22 +5,28 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept as a checkpoint in the folder that the session
-    names in ``spark.checkpoint.dir``, so that it survives lost executors.  Only a
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, that the session names in ``spark.checkpoint.dir``.  Only a
     session on a local master may do without the setting."""
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not (context.master == "local" or context.master.startswith("local[")):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="tessera-checkpoints-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept as a checkpoint in the shared folder, so that it
+    survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -51,7 +51,7 @@ STRENGTH = 10.0
 BROADCAST_GRAMS = 1 << 21
 MAX_FIT = 20_000
 THRESHOLD = 0.3
-CENTRE, LARGEST = 5, 12.0
+CENTRE = 5
 CACHE = 100_000
 FLUSH = 100_000
 PART = 10_000
@@ -131,7 +131,8 @@ def evidence(ratios: np.ndarray) -> float:
     if not len(ratios):
         return 0.0
     centred = ratios - np.median(np.r_[ratios, np.zeros(CENTRE)])
-    return float(np.log(np.exp(np.minimum(centred, LARGEST)).mean()))
+    most = centred.max()
+    return float(most + np.log(np.exp(centred - most).mean()))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> DataFrame:

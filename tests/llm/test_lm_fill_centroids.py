@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import statistics
 import zlib
 from collections import Counter
 
@@ -215,3 +216,12 @@ def test_queries_give_the_contract_columns(spark, sf_dir):
     rows = queries.op12_fill_middle(spark, sf_dir)
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert all(r.restored_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in rows.collect())
+
+
+def test_evidence_has_no_ceiling_and_no_overflow():
+    from tessera.llm import toxicity
+
+    plain = lambda r: math.log(sum(math.exp(v - statistics.median([*r, *[0.0] * toxicity.CENTRE])) for v in r) / len(r))
+    for r in ([1.0, -2.0, 0.5], [30.0] + [0.1] * 20, [13.0, 12.0, -40.0, 0.0]):
+        assert abs(toxicity.evidence(np.array(r)) - plain(r)) < 1e-9
+    assert toxicity.evidence(np.array([5000.0, 0.0, 0.0])) > toxicity.evidence(np.array([900.0, 0.0, 0.0])) > toxicity.evidence(np.array([14.0, 0.0, 0.0])) > toxicity.evidence(np.array([12.0, 0.0, 0.0]))

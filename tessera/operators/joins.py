@@ -36,12 +36,12 @@ def full_chain(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     return reduce(lambda a, b: a.join(_prune(a, b, keys), list(keys), "full"), frames)
 
 
-def left_chain(base: DataFrame, sides: Sequence[tuple[DataFrame, str]], key: str, order: str) -> DataFrame:
+def left_chain(base: DataFrame, sides: Sequence[tuple[DataFrame, str]], key: str, *order: str) -> DataFrame:
     """JOIN-6: left joins on one key; each side keeps its first row per key and
     gets its suffix on clashing names."""
     out = base
     for side, suffix in sides:
-        one = keep_first(side, [key], [F.col(order)])
+        one = keep_first(side, [key], [F.col(c) for c in order])
         one = one.select(key, *[F.col(c).alias(f"{c}{suffix}" if c in out.columns else c) for c in one.columns if c != key])
         out = out.join(one, key, "left")
     return out
@@ -158,9 +158,9 @@ def zipped(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.join(_prune(a, b, [key]), key)
 
 
-def with_features(df: DataFrame, features: DataFrame, key: str, order: str, suffix: str = "_features") -> DataFrame:
+def with_features(df: DataFrame, features: DataFrame, key: str, *order: str, suffix: str = "_features") -> DataFrame:
     """JOIN-29: left join with the first row of each entity; clashing names get the suffix."""
-    return left_chain(df, [(features, suffix)], key, order)
+    return left_chain(df, [(features, suffix)], key, *order)
 
 
 def pending(entities: DataFrame, store: DataFrame, key: str, canonical: Column, methods: Sequence[str], done: Column, limit: int | None = None) -> DataFrame:

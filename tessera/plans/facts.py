@@ -65,9 +65,13 @@ def found_by_alias(spark, d):
 
 @query("SELECT o_orderkey, o_custkey, min_by(l_quantity, l_linenumber) AS quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
 def first_features(spark, d):
-    """JOIN-29: a record with the features of its first row."""
-    features = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.col("l_quantity").alias("quantity"))
-    return J.with_features(table(spark, d, "orders").select("o_orderkey", "o_custkey"), features, "o_orderkey", "l_linenumber").select("o_orderkey", "o_custkey", "quantity")
+    """JOIN-29: a record with the features of its first row; of equal line numbers the
+    one that stands first in the files."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")]
+    features = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.col("l_quantity").alias("quantity"), *place)
+    features = features.where("l_linenumber is not null and quantity is not null")
+    records = table(spark, d, "orders").select("o_orderkey", "o_custkey").distinct()
+    return J.with_features(records, features, "o_orderkey", "l_linenumber", "file", "place").select("o_orderkey", "o_custkey", "quantity")
 
 
 @query("""

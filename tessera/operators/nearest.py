@@ -113,6 +113,11 @@ def search(at: np.ndarray, asked: np.ndarray, bound: np.ndarray, k: int, leaf: i
     return best, place, compared
 
 
+def numbers_of(df: DataFrame, column: str, dims: int) -> np.ndarray:
+    """The arrays of a bounded number of rows as a matrix."""
+    return np.array(df.select(column).toArrow()[column].to_pylist(), float).reshape(-1, dims)
+
+
 def _vector(columns: Sequence[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in columns])
 
@@ -140,9 +145,9 @@ def nearest(queries: DataFrame, points: DataFrame, columns: Sequence[str], order
         nothing = "q array<double>, " + ", ".join(f"`{c}` {t}" for c, t in zip(order, kinds.values(), strict=True))
         return points.sparkSession.createDataFrame([], f"{nothing}, d double, rank int, compared long")
     share = max(1, n // SAMPLE)
-    sample = rows.where(F.pmod(F.xxhash64("x"), F.lit(share)) == 0).select("x").toArrow()["x"].to_pylist()
     dims = len(columns)
-    cells = Cells(np.array(sample, float).reshape(-1, dims), min(MOST, -(-n // region)))
+    sample = numbers_of(rows.where(F.pmod(F.xxhash64("x"), F.lit(share)) == 0), "x", dims)
+    cells = Cells(sample, min(MOST, -(-n // region)))
 
     @F.pandas_udf("int")
     def region_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

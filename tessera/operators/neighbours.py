@@ -13,12 +13,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .density import density_clusters
 from .nearest import nearest, neighbour_graph
 from .stages import settled
+from .within import Within
 
 DONORS = 5000  # labelled rows of the classifier by neighbours
 
@@ -250,11 +253,39 @@ def labels_spread(df: DataFrame, key: str, columns: Sequence[str], label: str, k
     return df.join(best.withColumnRenamed("a", key), key, "left").withColumn("spread", F.coalesce(F.col(label), F.col("spread")))
 
 
-def graph_clusters(df: DataFrame, key: str, columns: Sequence[str], eps: float, k: int) -> DataFrame:
+def graph_clusters(df: DataFrame, key: str, columns: Sequence[str], eps: float, k: int, rounds: int = 15, seed: int = 0) -> DataFrame:
     """ML-49: power iteration clustering on the graph of close rows, in place of
-    spectral clustering.  ``key`` is a whole number; rows without neighbours get none."""
-    from pyspark.ml.clustering import PowerIterationClustering
-
-    edges = close_pairs(df, key, columns, eps).select(F.col("a").cast("long").alias("src"), F.col("b").cast("long").alias("dst"), F.lit(1.0).alias("weight"))
-    found = PowerIterationClustering(k=k, maxIter=15, weightCol="weight").assignClusters(edges)
-    return df.join(found.select(F.col("id").alias(key), "cluster"), key, "left")
+    spectral clustering.  Rows at most ``eps`` apart are linked; rows without links, or
+    with a null or non-finite number, get none.
+
+    No link is ever made.  Rows at one position have the same links but for each other,
+    so they are one node of their number, and a round's sum over a node's links is one
+    over all rows within ``eps``.  As in Spark's own, a round divides that by the number
+    of links and by the sum of all sizes, until changes hardly change; k-means splits
+    the values, here over their range, since they shrink with the number of rows."""
+    place = F.transform(F.array(*[F.col(c).cast("double") for c in columns]), lambda v: v + 0.0)
+    fine = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    nodes = df.select(F.col(key).alias("node"), place.alias("x")).where(fine).groupBy("x").agg(F.min("node").alias("node"), F.count("*").alias("n"))
+    nodes = settled(nodes)
+    discs = Within(nodes, len(columns), eps)
+    linked = discs.sums(discs.rows, F.col("n"), "links").withColumn("links", F.col("links") - 1).where("links > 0")
+    state = settled(linked.withColumn("v", F.xxhash64(F.lit(seed), "node") / F.lit(float(1 << 63))))
+    size = lambda v: F.sum(F.col("n") * F.abs(v))
+    rows, whole = state.agg(F.sum("n"), size(F.col("v"))).first()
+    if not rows:
+        return df.withColumn("cluster", F.lit(None).cast("int"))
+    state, before = state.withColumn("v", F.col("v") / whole), float("inf")
+    for _ in range(rounds):
+        # The sum has every row at the position, and a row is not linked with itself.
+        state = discs.sums(state.withColumnRenamed("v", "old"), F.col("n") * F.col("old"), "v").withColumn("v", (F.col("v") - F.col("old")) / F.col("links"))
+        whole = state.agg(size(F.col("v"))).first()[0]
+        state = state.withColumn("v", F.col("v") / (whole or 1.0))
+        change = state.agg(size(F.col("v") - F.col("old"))).first()[0]
+        state = state.drop("old")
+        if abs(change - before) < max(1e-5 / rows, 1e-8):
+            break
+        before = change
+    low, high = state.agg(F.min("v"), F.max("v")).first()
+    spread = settled(state.select("node", "x", F.col("n").cast("double").alias("n"), array_to_vector(F.array((F.col("v") - low) / ((high - low) or 1.0))).alias("features")))
+    found = KMeans(k=k, seed=seed, weightCol="n").fit(spread).transform(spread).select(F.col("x").alias("__x"), F.col("prediction").alias("cluster"))
+    return df.withColumn("__at", place).join(found, F.col("__at") == F.col("__x"), "left").select(*[df[c] for c in df.columns], "cluster")

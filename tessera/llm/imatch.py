@@ -253,7 +253,8 @@ def _result(frame: pd.DataFrame, own: np.ndarray, edited: np.ndarray, following:
 
 def _looked_up(rows: DataFrame, known: DataFrame) -> DataFrame:
     """The lexicon of a checked size goes to every executor."""
-    shared = rows.sparkSession.sparkContext.broadcast(np.sort(known.toPandas()["term"].to_numpy(np.int64).view(np.uint64)))
+    terms = known.toArrow()["term"].to_numpy()  # no row objects: 8 bytes a term
+    shared = rows.sparkSession.sparkContext.broadcast(np.sort(terms.astype(np.int64).view(np.uint64)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, texts, at, edited in _pairs(batches):

@@ -44,6 +44,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NONE = np.int64(1 << 40)
 CACHE_WORDS, LONG = 300_000, 2048
+CHUNK_CHARS, MERGE_CHARS = 1_000_000, 250_000  # texts and new words taken at once; a merge needs some hundred bytes a character
 _MARKED = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -355,8 +356,8 @@ class Encoder:
             self._forget()
         split = [self.model.words(t) for t in texts]
         new = dict.fromkeys(w for words in split for w in words if w not in self.at)
-        if new:
-            self._learn(list(new))
+        for part in _chunks(new, MERGE_CHARS):
+            self._learn(part)
         index = np.array([self.at[w] for words in split for w in words], np.int64)
         sizes = self.size[index]
         ends = np.cumsum(sizes)
@@ -372,7 +373,7 @@ class Encoder:
 _encoders: dict[int, Encoder] = {}
 
 
-def _chunks(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
+def _chunks(texts: Iterable[str], chars: int = CHUNK_CHARS) -> Iterator[list[str]]:
     part, size = [], 0
     for t in texts:
         part.append(t)
@@ -403,7 +404,7 @@ def encode_documents(docs: DataFrame, model_file: str, doc_id: str = "doc_id", t
             _encoders[mark] = Encoder(PieceModel(data))
         encoder = _encoders[mark]
         for batch in batches:
-            keys, texts, at = batch.column(0), batch.column(1).to_pylist(), 0
+            keys, texts, at = batch.column(0), (t.as_py() for t in batch.column(1)), 0
             for part in _chunks(texts):
                 flat, bounds = encoder.encode(part)
                 decoded = [encoder.model.decode(flat[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]

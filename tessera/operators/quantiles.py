@@ -20,22 +20,44 @@ from .stages import settled
 
 BITS = 16
 FEW = 1 << 20
+SMALL = 1 << 16  # wanted ranks, or groups, that are sent to every task
 
 
-def ordered_bits(c: Column) -> Column:
-    """A double that is a number as a long in the same order; both zeros are 0."""
-    value = c.cast("double")
-    size, least = F.abs(value), F.lit(2.2250738585072014e-308)
-    guess = F.greatest(F.floor(F.log2(F.greatest(size, least))), F.lit(-1022)).cast("int")
-    two = lambda n: F.pow(F.lit(2.0), n.cast("double"))
+def _two(n: Column) -> Column:
+    return F.pow(F.lit(2.0), n.cast("double"))
+
+
+def _guess(size: Column) -> Column:
+    return F.greatest(F.floor(F.log2(F.greatest(size, F.lit(2.2250738585072014e-308)))), F.lit(-1022)).cast("int")
+
+
+def _power(size: Column, guess: Column) -> Column:
     # The logarithm may be rounded up or down to a whole number.
-    power = F.when(two(guess) > size, guess - 1).when(two(guess + 1) <= size, guess + 1).otherwise(guess)
-    whole = (power + 1023).cast("long") * F.lit(1 << 52) + ((size / two(power) - 1) * F.lit(2.0**52)).cast("long")
+    return F.when(_two(guess) > size, guess - 1).when(_two(guess + 1) <= size, guess + 1).otherwise(guess)
+
+
+def _bits(value: Column, size: Column, power: Column) -> Column:
+    whole = (power + 1023).cast("long") * F.lit(1 << 52) + ((size / _two(power) - 1) * F.lit(2.0**52)).cast("long")
     tiny = (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")  # multiples of the least number above zero
-    bits = F.when(size < least, tiny).when(size == float("inf"), F.lit(0x7FF << 52)).otherwise(whole)
+    bits = F.when(size < 2.2250738585072014e-308, tiny).when(size == float("inf"), F.lit(0x7FF << 52)).otherwise(whole)
     return F.when(value < 0, -bits).otherwise(bits)
 
 
+def ordered_bits(c: Column) -> Column:
+    """A double that is a number as a long in the same order; both zeros are 0."""
+    value = c.cast("double")
+    size = F.abs(value)
+    return _bits(value, size, _power(size, _guess(size)))
+
+
+def with_ordered_bits(df: DataFrame, column: str, to: str) -> DataFrame:
+    """The same as a column, in steps: as one expression a row's logarithm and powers
+    are computed again wherever they stand in it."""
+    value, size = F.col(column).cast("double"), F.abs(F.col(column).cast("double"))
+    out = df.withColumn("__guess", _guess(size)).withColumn("__power", _power(size, F.col("__guess")))
+    return out.withColumn(to, _bits(value, size, F.col("__power"))).drop("__guess", "__power")
+
+
 def _same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
     out = a[names[0]].eqNullSafe(b[f"b_{names[0]}"])
     for n in names[1:]:
@@ -43,6 +65,12 @@ def _same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
     return out
 
 
+def sent_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` for a join, broadcast if it has few rows: a checkpoint has no size that
+    the planner knows, and without it the large side would be shuffled by few keys."""
+    return F.broadcast(df) if rows <= SMALL else df
+
+
 def quantiles(df: DataFrame, by: Sequence[str], column: str, points: Sequence[float], few: int = FEW) -> DataFrame:
     """A row for each group of ``by`` with n (numbers) and q0, q1, ...: the column's
     quantiles at ``points`` (0 to 1), interpolated between the two ranks around
@@ -55,13 +83,14 @@ def quantiles(df: DataFrame, by: Sequence[str], column: str, points: Sequence[fl
     v = F.col(column).cast("double")
     rows = df.select(F.lit(0).alias("g"), *[F.col(c).alias(n) for c, n in zip(by, names[1:], strict=True)], F.when(~F.isnan(v), v).alias("v"))
     groups = settled(rows.groupBy(*names).agg(F.count("v").alias("n")))
-    held = rows.where("v is not null").withColumn("at", ordered_bits(F.col("v")))
+    held = with_ordered_bits(rows.where("v is not null"), "v", "at")
     place = F.col("p") * (F.col("n") - 1)
     wanted = groups.where("n > 0").select(*names, "n", F.explode(F.array(*[F.lit(float(p)) for p in points])).alias("p"))
     wanted = wanted.select(*names, F.explode(F.array(F.floor(place).cast("long"), F.ceil(place).cast("long"))).alias("rank")).distinct()
     # Of each rank: how its number begins, and its rank among those that begin so.
     ranks = settled(wanted.select(*names, "rank", F.lit(0).cast("long").alias("prefix"), F.col("rank").alias("left")))
-    left, known = groups.agg(F.sum("n")).first()[0] or 0, 64
+    left, n_groups = groups.agg(F.sum("n"), F.count("*")).first()
+    left, known, n_ranks = left or 0, 64, 2 * len(points) * n_groups  # at most
     while True:
         shift = 0 if left <= few else known - BITS
         begins = F.lit(0).cast("long") if known == 64 else F.shiftright("at", known)
@@ -69,18 +98,18 @@ def quantiles(df: DataFrame, by: Sequence[str], column: str, points: Sequence[fl
         asked = ranks.select(*[F.col(n).alias(f"b_{n}") for n in [*names, "prefix"]], "rank", "left")
         if known < 64:
             some = asked.drop("rank", "left").distinct()
-            bins = bins.join(some, _same(bins, some, [*names, "prefix"]), "left_semi")
+            bins = bins.join(sent_if_small(some, n_ranks), _same(bins, some, [*names, "prefix"]), "left_semi")
         counts = bins.groupBy(*names, "prefix", "bin").agg(F.count("*").alias("count"), F.min("v").alias("v"))
         # At most 2^BITS rows, or ``few``, for each group and prefix.
         upto = F.sum("count").over(Window.partitionBy(*names, "prefix").orderBy("bin"))
         counts = counts.withColumn("before", upto - F.col("count"))
         hit = _same(counts, asked, [*names, "prefix"]) & (F.col("left") >= F.col("before")) & (F.col("left") < F.col("before") + F.col("count"))
-        ranks = settled(counts.join(asked, hit).select(*names, "rank", F.col("bin").alias("prefix"), (F.col("left") - F.col("before")).alias("left"), "count", "v"))
+        ranks = settled(counts.join(sent_if_small(asked, n_ranks), hit).select(*names, "rank", F.col("bin").alias("prefix"), (F.col("left") - F.col("before")).alias("left"), "count", "v"))
         if shift == 0:
             break
         left, known = ranks.select(*names, "prefix", "count").distinct().agg(F.sum("count")).first()[0] or 0, shift
     found = ranks.groupBy(*[F.col(n).alias(f"b_{n}") for n in names]).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("of"))  # two ranks a point
-    out = groups.join(found, _same(groups, found, names), "left")
+    out = groups.join(sent_if_small(found, n_groups), _same(groups, found, names), "left")
     number = lambda rank: F.try_element_at("of", rank.cast("long"))
 
     def between(p: Column) -> Column:
@@ -90,4 +119,4 @@ def quantiles(df: DataFrame, by: Sequence[str], column: str, points: Sequence[fl
 
     values = F.transform(F.array(*[F.lit(float(p)) for p in points]), between)
     out = out.select(*[F.col(n).alias(c) for n, c in zip(names[1:], by, strict=True)], "n", values.alias("__q"))
-    return out.select(*by, "n", *[F.get("__q", F.lit(i)).alias(f"q{i}") for i in range(len(points))])
+    return sent_if_small(out.select(*by, "n", *[F.get("__q", F.lit(i)).alias(f"q{i}") for i in range(len(points))]), n_groups)

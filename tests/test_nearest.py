@@ -288,3 +288,10 @@ def test_loadings_are_the_covariance_vectors(spark):
     for c in range(2):
         want = vectors[:, -1 - c]
         assert np.allclose(np.abs([got[c, f] for f in range(3)]), np.abs(want), atol=1e-6)
+
+
+def test_quantiles_of_few_groups_do_not_shuffle_rows_by_them(spark):
+    """No plan joins the rows with ranks or bounds by a shuffle of few keys."""
+    df = spark.range(20_000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 20_011).cast("double").alias("v"))
+    plan = T.iqr_outliers(df, "v", ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

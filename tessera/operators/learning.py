@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .stages import settled
 from .statistics import weighted_scores
 
+PART = 1 << 20  # rows of a partition that a forest keeps in memory
+
 
 def vectors(df: DataFrame, column: str, to: str = "features") -> DataFrame:
     """An array column as a vector."""
@@ -99,9 +101,19 @@ def comparison(train: DataFrame, test: DataFrame, names: Sequence[str], label: s
     return out
 
 
+def in_parts(df: DataFrame, rows: int = PART) -> DataFrame:
+    """A table of more than ``rows`` rows in partitions of about as many, dealt by row
+    number and in that order.  A forest keeps every partition of its input as one block
+    of objects, several times the size of a file's columns."""
+    parts = -(-df.count() // rows)
+    if parts <= 1:
+        return df
+    return df.withColumn("__row", F.monotonically_increasing_id()).repartition(parts, "__row").sortWithinPartitions("__row").drop("__row")
+
+
 def importances(train: DataFrame, columns: Sequence[str], label: str = "label", seed: int = 1) -> list[tuple[str, float]]:
     """ML-36, AGG-47: forest importances in falling order."""
-    model = RandomForestClassifier(labelCol=label, seed=seed).fit(VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip").transform(train))
+    model = RandomForestClassifier(labelCol=label, seed=seed).fit(VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip").transform(in_parts(train)))
     return sorted(zip(columns, model.featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 

@@ -21,7 +21,8 @@ from math import comb
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import DecisionTreeClassificationModel, RandomForestClassificationModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import Bucketizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,9 +140,37 @@ def attributed(df: DataFrame, model: RandomForestClassificationModel | DecisionT
     return df.withColumn(to, of(F.when(F.col(features).isNotNull(), vector_to_array(features))))
 
 
-def mean_attributions(df: DataFrame, names: Sequence[str], to: str = "attributions") -> DataFrame:
-    """(class, feature, mean_abs, mean): over all rows that have attributions, one
-    grouping with map-side sums."""
+def patterns(df: DataFrame, model: RandomForestClassificationModel | DecisionTreeClassificationModel, features: str = "features") -> DataFrame:
+    """(features, n): a vector for each pattern of sides that rows of ``df`` take at the
+    model's splits, and the number of such rows; null vectors are left out.
+
+    A number is replaced by the largest that takes the same sides everywhere, a
+    category stays.  There are at most as many vectors as products of the features'
+    splits, however many rows, and rows are only counted."""
+    sides = [(f, side) for tree in leaves(model, df.sparkSession) for leaf in tree for f, own in leaf.sides.items() for side in own]
+    rows, kept, names = df.where(F.col(features).isNotNull()).select(vector_to_array(features).alias("__x")), [], []
+    for f in range(model.numFeatures):
+        cuts = sorted({cut for at, (_, categories, cut) in sides if at == f and categories is None})
+        name = f"__f{f}"
+        if any(at == f and categories is not None for at, (_, categories, _) in sides):
+            rows, value = rows.withColumn(name, F.get("__x", F.lit(f))), F.col(name)
+        elif cuts:
+            # A cut's number is on its left side, a bucket's least number is in it.
+            splits = [-np.inf, *sorted({float(np.nextafter(c, np.inf)) for c in cuts}), np.inf]
+            rows = Bucketizer(splits=splits, inputCol=f"__v{f}", outputCol=name, handleInvalid="keep").transform(rows.withColumn(f"__v{f}", F.get("__x", F.lit(f))))
+            value = F.get(F.array(*[F.lit(float(v)) for v in [*cuts, np.inf, np.inf]]), F.col(name).cast("int"))  # missing: the right side
+        else:
+            rows, value = rows.withColumn(name, F.lit(0.0)), F.col(name)
+        kept.append(value)
+        names.append(name)
+    return rows.groupBy(*names).agg(F.count("*").alias("n")).select(array_to_vector(F.array(*kept)).alias(features), "n")
+
+
+def mean_attributions(df: DataFrame, names: Sequence[str], to: str = "attributions", weight: str | None = None) -> DataFrame:
+    """(class, feature, mean_abs, mean): over all rows that have attributions, each
+    counting ``weight`` times, one grouping with map-side sums."""
     named: Column = F.get(F.array(*[F.lit(x) for x in names]), F.col("i"))
-    rows = df.select(F.posexplode(to).alias("class", "a")).select("class", F.posexplode("a").alias("i", "v"))
-    return rows.groupBy("class", "i").agg(F.avg(F.abs("v")).alias("mean_abs"), F.avg("v").alias("mean")).select("class", named.alias("feature"), "mean_abs", "mean")
+    times = F.col(weight) if weight else F.lit(1)
+    rows = df.select(times.alias("n"), F.posexplode(to).alias("class", "a")).select("n", "class", F.posexplode("a").alias("i", "v"))
+    mean = lambda v: F.sum(v * F.col("n")) / F.sum("n")
+    return rows.groupBy("class", "i").agg(mean(F.abs("v")).alias("mean_abs"), mean(F.col("v")).alias("mean")).select("class", named.alias("feature"), "mean_abs", "mean")

@@ -67,3 +67,17 @@ def test_a_tree_of_one_leaf(spark):
     df = spark.createDataFrame([(Vectors.dense([1.0]), 1.0)] * 5, ["features", "label"])
     model = DecisionTreeClassifier().fit(df)
     assert [r[0] for r in A.attributed(df, model).select("attributions").distinct().collect()] == [[[0.0], [0.0]]]
+
+
+@pytest.mark.parametrize("make", [lambda: RandomForestClassifier(numTrees=5, maxDepth=4, seed=3), lambda: DecisionTreeClassifier(maxDepth=5, seed=3)])
+def test_patterns_have_the_means_of_all_rows(spark, rows, make):
+    model = make().fit(rows)
+    cut = next(s[2] for t in A.leaves(model, spark) for leaf in t for f, own in leaf.sides.items() for s in own if f == 0)
+    odd = [Vectors.dense([cut, float("nan"), 0.0, 1.0]), Vectors.dense([float("inf"), float("-inf"), 0.0, 2.0]), None]
+    more = rows.select("features").unionByName(spark.createDataFrame([(v,) for v in odd], rows.select("features").schema))
+    more = more.crossJoin(spark.range(5)).select("features")
+    found, names = A.patterns(more, model), ["p", "q", "r", "s"]
+    assert found.agg(F.sum("n")).first()[0] == 5 * 402 and found.count() <= 402
+    want = {tuple(r[:2]): r[2:] for r in A.mean_attributions(A.attributed(more, model), names).collect()}
+    got = {tuple(r[:2]): r[2:] for r in A.mean_attributions(A.attributed(found, model), names, weight="n").collect()}
+    assert want.keys() == got.keys() and all(np.allclose(want[k], got[k], atol=1e-12) for k in want)

@@ -38,10 +38,12 @@ def affinity(df: DataFrame, key: str, columns: Sequence[str], k: int) -> DataFra
 
 
 def _product(links: DataFrame, held: DataFrame, first: int, size: int) -> DataFrame:
-    """(node, v, w): w is the matrix times columns ``first`` to ``first + size`` of v."""
-    part = held.select(F.col("node").alias("b"), F.slice("v", first + 1, size).alias("x"))
+    """(node, v, w): w is the matrix times columns ``first`` to ``first + size`` of v.
+    Vectors are never broadcast: there are hundreds of products, and each would send
+    its vectors through the driver."""
+    part = held.select(F.col("node").alias("b"), F.slice("v", first + 1, size).alias("x")).hint("merge")
     summed = links.join(part, "b").groupBy("a").agg(F.array(*[F.sum(F.col("s") * F.col("x")[i]) for i in range(size)]).alias("w"))
-    return settled(held.join(summed.withColumnRenamed("a", "node"), "node"))
+    return settled(held.join(summed.withColumnRenamed("a", "node").hint("merge"), "node"))
 
 
 def _gram(df: DataFrame, column: Column, size: int) -> np.ndarray:

@@ -48,3 +48,20 @@ def test_few_rows(spark):
     got = spectral.spectral_clusters(spark.createDataFrame([(i, float(i // 3 * 50 + i)) for i in range(6)], schema), "id", ["x"], 2, 2)
     assert {r["id"]: r["cluster"] for r in got.collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
     assert got.where(F.col("cluster").isNull()).isEmpty()
+
+
+def test_products_send_no_vectors_through_the_driver(spark, monkeypatch):
+    """A broadcast collects its side in the driver, in each of hundreds of products."""
+    plans = []
+
+    def ran(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    links = spark.createDataFrame([(a, b, 0.5) for a in range(20) for b in ((a + 1) % 20, (a - 1) % 20)], "a long, b long, s double")
+    held = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], "node long, v array<double>")
+    monkeypatch.setattr(spectral, "settled", ran)
+    got = {r["node"]: list(r["w"]) for r in spectral._product(links, held, 0, 2).collect()}
+    assert got == {i: [1.0, ((i + 1) % 20 + (i - 1) % 20) / 2] for i in range(20)}
+    assert all("Join" in p and "Broadcast" not in p for p in plans) and len(plans) == 1

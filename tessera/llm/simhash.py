@@ -22,7 +22,8 @@ the rest: ordered in one way for all texts, a set of n shingles shares one of
 its first n - ceil(0.8 n) + 1 with every set alike at 0.8 (prefix filter), so no
 pair is missed.  Candidates are first held against what two sets must differ in
 at least (bit maps of the parity of their hashes differ in no more bits than the
-sets in shingles), then decided by their exact Jaccard similarity.
+sets in shingles; long texts have a second map as long as their set, since the
+first is full), then decided by their exact Jaccard similarity.
 
 Defined cases: a null text is the empty text; a text without words has the
 fingerprint zero and is linked like any other; fewer words than a shingle make
@@ -53,6 +54,8 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 #: MAX_FREQUENT of them.  Any order finds every pair, this one keeps buckets small.
 SAMPLE, FREQUENT, MAX_FREQUENT = 8, 4, 1 << 17
 FEW = 32  # rows of a bucket that are compared without their bit maps
+#: Up to so many candidates are broadcast to find their texts; beyond it texts are shuffled.
+FIND = 1 << 20
 
 
 def shingles(text: str, width: int) -> list[bytes]:
@@ -182,12 +185,26 @@ def prefix_size(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1
 
 
-def parity_map(h: np.ndarray) -> np.ndarray:
-    """1024 bits as 16 signed numbers: whether an odd number of hashes has the bit."""
-    odd = np.bincount(h & 1023, minlength=1024).astype(np.uint8) & 1
+def parity_map(h: np.ndarray, bits: int = 1024) -> np.ndarray:
+    """1024 bits (or another power of two) as signed numbers: whether an odd number
+    of hashes has the bit."""
+    odd = np.bincount(h & (bits - 1), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").view("<i8")
 
 
+def wide_map(h: np.ndarray) -> bytes | None:
+    """A parity map of at least as many bits as there are hashes; None if 1024 do."""
+    return parity_map(h, 1 << (len(h) - 1).bit_length()).tobytes() if len(h) > 1024 else None
+
+
+def maps_apart(x: bytes, y: bytes) -> int:
+    """In how many bits two wide maps differ, at the length of the shorter one: no
+    more than the sets differ in hashes."""
+    a, b = sorted((np.frombuffer(m, np.uint64) for m in (x, y)), key=len)
+    b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _frequent(base: DataFrame, width: int) -> np.ndarray:
     """Sorted hashes of shingles that many sampled documents hold."""
 
@@ -201,19 +218,19 @@ def _frequent(base: DataFrame, width: int) -> np.ndarray:
 
 
 def _index(base: DataFrame, width: int, similarity: float, late: np.ndarray) -> DataFrame:
-    """(id, mark, node, n, f0, prefix, parity) of every row: the number of
+    """(id, mark, node, n, f0, prefix, parity, wide) of every row: the number of
     shingles, the fingerprint, the rarest shingles, of which alike sets share
-    one, and the bit map."""
+    one, the bit map, and a long text's wider one."""
 
-    @F.pandas_udf("n int, f0 long, prefix array<long>, parity array<long>")
+    @F.pandas_udf("n int, f0 long, prefix array<long>, parity array<long>, wide binary")
     def index(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for t in texts:
                 h = shingle_set(t, width)
                 last = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h if len(late) else np.zeros(len(h), bool)
-                rows.append((len(h), fingerprint(t, width)[0], np.concatenate([h[~last], h[last]])[: prefix_size(len(h), similarity)], parity_map(h)))
-            yield pd.DataFrame({"n": np.array([r[0] for r in rows], np.int32), "f0": np.array([r[1] for r in rows], np.int64), "prefix": pd.Series([r[2] for r in rows], dtype=object), "parity": pd.Series([r[3] for r in rows], dtype=object)})
+                rows.append((len(h), fingerprint(t, width)[0], np.concatenate([h[~last], h[last]])[: prefix_size(len(h), similarity)], parity_map(h), wide_map(h)))
+            yield pd.DataFrame({"n": np.array([r[0] for r in rows], np.int32), "f0": np.array([r[1] for r in rows], np.int64), "prefix": pd.Series([r[2] for r in rows], dtype=object), "parity": pd.Series([r[3] for r in rows], dtype=object), "wide": pd.Series([r[4] for r in rows], dtype=object)})
 
     return base.withColumn("x", index("text")).select("id", "mark", F.monotonically_increasing_id().alias("node"), "x.*")
 
@@ -265,14 +282,22 @@ def _lost(base: DataFrame, width: int, similarity: float, scratch: Scratch) -> D
     def alike(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, ...) of nodes whose shingle sets have the similarity.
         Only texts that are in a pair are read again."""
-        pairs = scratch.write(pairs, "pairs")
+        told = scratch.write(pairs, "told")
+        long = nodes.where(F.col("wide").isNotNull())
+        maps = [long.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}")) for c in "ab"]
+        pairs = scratch.write(told.join(maps[0], "a", "left").join(maps[1], "b", "left").where(may_be("wa", "wb", (F.col("na") + F.col("nb")) * spread)).select(*told.columns), "pairs")
+        scratch.drop(told)
         if pairs.isEmpty():
             return pairs
         need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id", "mark"), "node")
-        sets = base.join(scratch.write(need, "need"), ["id", "mark"]).select("node", hashes("text").alias("s"))
+        need = scratch.write(need, "need")
+        sets = base.join(F.broadcast(need) if need.count() <= FIND else need, ["id", "mark"]).select("node", hashes("text").alias("s"))
         sets = scratch.write(sets.dropDuplicates(["node"]), "sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-        return scratch.write(both.where(jaccard("x", "y") >= similarity).select(*pairs.columns), "links")
+        links = scratch.write(both.where(jaccard("x", "y") >= similarity).select(*pairs.columns), "links")
+        both = None  # Spark frees the shuffles that nothing refers to
+        scratch.drop(pairs, need, sets)
+        return links
 
     def apart(groups: DataFrame) -> DataFrame:
         """Rows of the prefix buckets that hold more than one group, with
@@ -284,6 +309,10 @@ def _lost(base: DataFrame, width: int, similarity: float, scratch: Scratch) -> D
     def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
         return components(groups.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links), scratch)
 
+    @F.pandas_udf("boolean")
+    def may_be(x: pd.Series, y: pd.Series, most: pd.Series) -> pd.Series:
+        return pd.Series([a is None or b is None or maps_apart(a, b) <= m + 1e-6 for a, b, m in zip(x, y, most, strict=True)], dtype=bool)
+
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def hashes(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, width) for t in texts], dtype=object)
@@ -292,6 +321,8 @@ def _lost(base: DataFrame, width: int, similarity: float, scratch: Scratch) -> D
     buckets = bucketed(nodes.select(F.posexplode("prefix").alias("place", "key"), "node", "n"))
     hubs = close.unionByName(buckets).where((F.col("node") != F.col("hub.node")) & possible("", "hub."))
     stars = alike(let_through(hubs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()))
+    hubs = None
+    scratch.drop(close)
     groups = components(stars, scratch)
     # What is not alike to its hub is compared with one more member of the
     # hub's group, another one in every bucket that they share.
@@ -301,6 +332,8 @@ def _lost(base: DataFrame, width: int, similarity: float, scratch: Scratch) -> D
     hubs = rest.where("label <> least").join(hubs, "key").where(possible("", "hub."))
     more = alike(let_through(hubs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()))
     groups = joined(groups, more)
+    hubs = None
+    scratch.drop(rest)
     # Buckets that still hold more than one group: compare across them.  In
     # large ones the bit maps are compared before a pair leaves the bucket.
     rest = apart(groups)

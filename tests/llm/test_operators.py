@@ -586,6 +586,48 @@ def test_near_copies_equal_brute_force_around_the_similarity(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == sorted(set(root))
 
 
+def test_wide_maps_differ_in_no_more_bits_than_sets_in_hashes():
+    rng = np.random.default_rng(5)
+    for n, m, shared in ((1025, 1025, 1025), (1500, 1400, 1300), (1100, 4096, 1000), (9000, 9000, 8100), (3000, 3000, 900)):
+        h = rng.integers(-(1 << 63), 1 << 63, n + m - shared, dtype=np.int64)
+        x, y = h[:n], h[n - shared :]
+        found = simhash.maps_apart(simhash.wide_map(x), simhash.wide_map(y))
+        assert found <= n + m - 2 * shared and found == simhash.maps_apart(simhash.wide_map(y), simhash.wide_map(x))
+        bits = 1 << (min(n, m) - 1).bit_length()
+        assert found == np.bitwise_count((simhash.parity_map(x, bits) ^ simhash.parity_map(y, bits)).view(np.uint64)).sum()
+    assert simhash.wide_map(h[:1024]) is None
+
+
+def test_long_texts_are_read_again_only_if_they_may_be_alike(spark, monkeypatch):
+    """Texts with a long passage in common are candidates; 1024 bits are full at their length."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage, texts = [word() for _ in range(1500)], []
+    for _ in range(6):
+        own = [word() for _ in range(1500)]
+        texts += [passage + own, passage + own[:-250] + [word() for _ in range(250)], passage + own[:-900] + [word() for _ in range(900)]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    read, write = [], simhash.Scratch.write
+
+    def seen(self, df, tag):
+        out = write(self, df, tag)
+        if tag == "need":
+            read.extend(r.node for r in out.collect())
+        return out
+
+    monkeypatch.setattr(simhash.Scratch, "write", seen)
+    kept = sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect())
+    assert kept == [i for i in range(18) if i % 3 != 1]
+    assert len(set(read)) == 12
+
+
+def test_candidates_beyond_the_broadcast_give_the_same(spark, docs, monkeypatch):
+    kept = lambda: sorted(r.doc_id for r in simhash.drop_near_copies(docs.where("doc_id IS NOT NULL")).collect())
+    before = kept()
+    monkeypatch.setattr(simhash, "FIND", 0)
+    assert kept() == before
+
+
 # --- op9, op10 -----------------------------------------------------------------
 def test_line_dedup(spark, sf_dir, texts, odd):
     key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))

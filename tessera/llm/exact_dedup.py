@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_of
+from .common import Scratch, sought, text_of
 
 BLOCK = 4096
 _ROW = (1 << 33) - 1  # monotonically_increasing_id: row within the partition
@@ -143,7 +143,7 @@ def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         again = scratch.keep(scratch.write(rows.where("i = j and not stays").select("i", "sha").distinct(), "again"))
     held = docs.toDF(*at.values())
     key = {"i": ident(F.col(at[doc_id])), "sha": F.unhex(F.sha2(text_of(held, at[text]), 256))}
-    kept = held.withColumns(key).join(lost, ["i", "sha"], "left_anti")
+    kept = held.withColumns(key).join(sought(lost), ["i", "sha"], "left_anti")
     if again.isEmpty():
         return kept.select(*back)
     hashed = F.xxhash64(*[n for n, kind in held.dtypes if "map<" not in kind])

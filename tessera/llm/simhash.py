@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LEAST, Scratch, fresh, text_of
+from .common import LEAST, Scratch, fresh, sought, text_of
 from .components import components
 
 SEED = 42
@@ -54,8 +54,6 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 #: MAX_FREQUENT of them.  Any order finds every pair, this one keeps buckets small.
 SAMPLE, FREQUENT, MAX_FREQUENT = 8, 4, 1 << 17
 FEW = 32  # rows of a bucket that are compared without their bit maps
-#: Up to so many candidates are broadcast to find their texts; beyond it texts are shuffled.
-FIND = 1 << 20
 
 
 def shingles(text: str, width: int) -> list[bytes]:
@@ -247,7 +245,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, d
     base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST)).alias("id"), F.xxhash64(text_of(docs, text)).alias("mark"), text_of(docs, text).alias("text"))
     with Scratch(docs.sparkSession) as scratch:
         lost = scratch.keep(_lost(base, width, similarity, scratch))
-    return docs.withColumns({ident: given(docs)[ident], mark: given(docs)[mark]}).join(lost.toDF(ident, mark), [ident, mark], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.withColumns({ident: given(docs)[ident], mark: given(docs)[mark]}).join(sought(lost).toDF(ident, mark), [ident, mark], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _lost(base: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
@@ -291,7 +289,7 @@ def _lost(base: DataFrame, width: int, similarity: float, scratch: Scratch) -> D
             return pairs
         need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id", "mark"), "node")
         need = scratch.write(need, "need")
-        sets = base.join(F.broadcast(need) if need.count() <= FIND else need, ["id", "mark"]).select("node", hashes("text").alias("s"))
+        sets = base.join(sought(need), ["id", "mark"]).select("node", hashes("text").alias("s"))
         sets = scratch.write(sets.dropDuplicates(["node"]), "sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
         links = scratch.write(both.where(jaccard("x", "y") >= similarity).select(*pairs.columns), "links")

@@ -624,10 +624,28 @@ def test_long_texts_are_read_again_only_if_they_may_be_alike(spark, monkeypatch)
 def test_candidates_beyond_the_broadcast_give_the_same(spark, docs, monkeypatch):
     kept = lambda: sorted(r.doc_id for r in simhash.drop_near_copies(docs.where("doc_id IS NOT NULL")).collect())
     before = kept()
-    monkeypatch.setattr(simhash, "FIND", 0)
+    monkeypatch.setattr("tessera.llm.common.FIND", 0)
     assert kept() == before
 
 
+def test_lost_rows_go_to_the_texts_and_not_texts_to_them(spark, docs, monkeypatch):
+    """Whether the planner takes the few rows for small must not decide if all texts are shuffled."""
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        for kept in (1 << 20, 0):
+            monkeypatch.setattr("tessera.llm.common.FIND", kept)
+            out = exact_dedup.drop_exact_copies(docs)
+            ids = sorted(str(r.doc_id) for r in out.collect())
+            assert ("BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()) == (kept > 0)
+            if kept:
+                first = ids
+            assert ids == first and len(ids) < docs.count()
+    finally:
+        spark.conf.set(threshold, before)
+
+
 # --- op9, op10 -----------------------------------------------------------------
 def test_line_dedup(spark, sf_dir, texts, odd):
     key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))

@@ -36,7 +36,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -55,6 +56,7 @@ CENTRE = 5
 CACHE = 100_000
 FLUSH = 100_000
 PART = 10_000
+PART_CHARS = 1 << 20
 START, END = "\x02", "\x03"
 _WORD = re.compile(r"\w+")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3][:ORDER], np.uint64)
@@ -64,6 +66,20 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _parts(texts: Sequence[str]) -> Iterator[Sequence[str]]:
+    """Runs of texts of about ``PART_CHARS`` characters, one text at least.  A
+    batch has up to 10,000 texts, whose words as objects take many times their
+    bytes."""
+    first, size = 0, 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size >= PART_CHARS:
+            yield texts[first : k + 1]
+            first, size = k + 1, 0
+    if first < len(texts):
+        yield texts[first:]
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(29))
@@ -115,10 +131,14 @@ class Ratios:
         return np.bincount(owner, np.where(seen, value, np.where(known, other, 0.0)), minlength=len(ws))
 
     def evidence(self, texts: list[str]) -> np.ndarray:
-        if len(self.known) > CACHE:
-            self.known = {}
+        return np.concatenate([np.zeros(0), *map(self._of_part, _parts(texts))])
+
+    def _of_part(self, texts: list[str]) -> np.ndarray:
         split = [words(t) for t in texts]
-        new = list(dict.fromkeys(w for ws in split for w in ws if w not in self.known))
+        used = dict.fromkeys(chain.from_iterable(split))
+        if len(self.known) > CACHE:
+            self.known = {w: self.known[w] for w in used if w in self.known}
+        new = [w for w in used if w not in self.known]
         for i in range(0, len(new), PART):
             part = new[i : i + PART]
             self.known.update(zip(part, self.of_words(part).tolist(), strict=True))
@@ -173,18 +193,19 @@ def count_grams(train: DataFrame) -> DataFrame:
         seen: dict[str, int] = {}
         n = np.zeros((FLUSH, 4), np.int64)
         for batch in batches:
-            for (toxic, part), own in batch.groupby(["toxic", "fold"]):
-                count: Counter[str] = Counter()
-                for t in own["text"]:
-                    count.update(words(t))
-                add = np.array([toxic == 1, toxic == 0, toxic == 1 and part == 3, toxic == 0 and part == 3], np.int64)
-                at = np.fromiter((seen.setdefault(w, len(seen)) for w in count), np.int64, len(count))
-                while len(seen) > len(n):
-                    n = np.concatenate([n, np.zeros_like(n)])
-                n[at] += np.fromiter(count.values(), np.int64, len(count))[:, None] * add
-            if len(seen) > FLUSH:
-                yield flush(seen, n)
-                seen, n = {}, np.zeros((FLUSH, 4), np.int64)
+            for (toxic, fold_), own in batch.groupby(["toxic", "fold"]):
+                add = np.array([toxic == 1, toxic == 0, toxic == 1 and fold_ == 3, toxic == 0 and fold_ == 3], np.int64)
+                for part in _parts(own["text"].tolist()):
+                    count: Counter[str] = Counter()
+                    for t in part:
+                        count.update(words(t))
+                    at = np.fromiter((seen.setdefault(w, len(seen)) for w in count), np.int64, len(count))
+                    while len(seen) > len(n):
+                        n = np.concatenate([n, np.zeros_like(n)])
+                    n[at] += np.fromiter(count.values(), np.int64, len(count))[:, None] * add
+                    if len(seen) > FLUSH:
+                        yield flush(seen, n)
+                        seen, n = {}, np.zeros((FLUSH, 4), np.int64)
         if seen:
             yield flush(seen, n)
 

@@ -56,6 +56,9 @@ ROUNDS, GROWTH = 4, 4
 DICTIONARY, LONGEST = 1 << 18, 256
 FLUSH_WORDS, FLUSH_TOKENS, SCORE_TOKENS = 1 << 18, 1 << 20, 1 << 21
 BLOCK = 4096
+#: 2^x for x from -1/2 to 1/2 as a polynomial, and what rounds a float32 in its last bits.
+POWERS = [np.float32(c) for c in (0.999999261, 0.693121815, 0.240247448, 0.0559178603, 0.00957010143)]
+LOG2E, ROUNDER, AT_ONCE = np.float32(np.log2(np.e)), np.float32(1.5 * 2**23), 1 << 15
 #: The end mark: no word contains a space.
 END = b" "
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -125,14 +128,20 @@ class Vocabulary:
 
     def encode(self, text: str) -> tuple[np.ndarray, list[bytes]]:
         """Symbols of the words and of the end mark, and those."""
+        return self._looked_up(text, self.head)[:2]
+
+    def encode_with_places(self, text: str) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """Also their places in the dictionary, -1 outside; one look at each word."""
+        return self._looked_up(text, self.place)
+
+    def _looked_up(self, text: str, among: dict[bytes, int]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
         flat = folded(text)
         words = [*flat.split(), END]
-        get = self.head.get
-        places = np.fromiter([get(w, -1) for w in words], np.int32, len(words))
+        places = np.fromiter(map(among.get, words, itertools.repeat(-1)), np.int32, len(words))
         symbols = np.empty(len(words), np.int32)
         symbols[:-1], symbols[-1] = self.rare_symbol[endings(flat)], self.rare_symbol[_END_PLACE]
-        np.copyto(symbols, places, where=places >= 0)
-        return symbols, words
+        np.copyto(symbols, places, where=(places >= 0) & (places < HEAD))
+        return symbols, words, places
 
 
 # --- the model ---------------------------------------------------------------------
@@ -141,6 +150,30 @@ def by_token(a: np.ndarray) -> np.ndarray:
     return a.transpose(0, 2, 1).reshape(-1, a.shape[1])
 
 
+def exponentials(a: np.ndarray) -> np.ndarray:
+    """exp within 3e-06 of itself, in place if ``a`` is float32: a power of two and a
+    polynomial for the rest, a few thousand numbers at a time.  Plain operations
+    run over whole vectors, numpy's exp takes twice their time."""
+    a = np.ascontiguousarray(a, np.float32)
+    flat, whole, part = a.reshape(-1), np.empty(AT_ONCE, np.float32), np.empty(AT_ONCE, np.float32)
+    for i in range(0, len(flat), AT_ONCE):
+        x = flat[i : i + AT_ONCE]
+        n, p = whole[: len(x)], part[: len(x)]
+        x *= LOG2E
+        np.add(x, ROUNDER, out=n)  # the nearest whole number is in its last bits
+        np.subtract(n, ROUNDER, out=p)
+        x -= p
+        np.multiply(x, POWERS[-1], out=p)
+        for c in POWERS[-2:0:-1]:
+            p += c
+            p *= x
+        np.add(p, POWERS[0], out=x)
+        bits = n.view(np.int32)
+        bits <<= 23
+        np.add(x.view(np.int32), bits, out=x.view(np.int32))
+    return a
+
+
 class Network:
     """One layer of gated units with a class-factored softmax.  Gates and states
     are bent by x / (1 + |x|), which needs no exponential.
@@ -189,21 +222,23 @@ class Network:
         net.w["to_word"][:, -1] = np.where(counts > 0, np.log(np.maximum(counts, 1) / np.maximum(counts.sum(axis=1, keepdims=True), 1)), -1e4)
         return net
 
-    def forward(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray) -> dict:
+    def forward(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, learn: bool = True) -> dict:
         """Steps of a window: symbols x and keep (0: the text begins here), both
-        (steps, lanes); h: (HIDDEN, lanes), the state before it.  What the way back
-        needs, with lanes last so that every operation runs over whole rows."""
+        (steps, lanes); h: (HIDDEN, lanes), the state before it.  The states and, with
+        ``learn``, what the way back needs, with lanes last so that every operation
+        runs over whole rows."""
         steps, lanes = x.shape
         H, recur = HIDDEN, np.ascontiguousarray(self.w["recur"].T)
-        gates = np.ascontiguousarray(self.w["inputs"][x].transpose(0, 2, 1))
-        before, states, new = (np.empty((steps, H, lanes), np.float32) for _ in range(3))
-        zr, u = np.empty((steps, 2 * H, lanes), np.float32), np.empty((steps, 3 * H, lanes), np.float32)
+        gates = np.ascontiguousarray(self.w["inputs"].take(x, axis=0).transpose(0, 2, 1))
+        states, kept = np.empty((steps, H, lanes), np.float32), steps if learn else 1
+        before, new, zr, u = (np.empty((kept, n * H, lanes), np.float32) for n in (1, 1, 2, 3))
         size = np.empty((2 * H, lanes), np.float32)
-        for t in range(steps):
-            np.multiply(h, keep[t], out=before[t])
+        for step in range(steps):
+            t = step if learn else 0
+            np.multiply(h, keep[step], out=before[t])
             np.matmul(recur, before[t], out=u[t])
             s = zr[t]
-            np.add(gates[t, : 2 * H], u[t, : 2 * H], out=s)
+            np.add(gates[step, : 2 * H], u[t, : 2 * H], out=s)
             np.abs(s, out=size)
             size += 1
             s /= size
@@ -211,63 +246,67 @@ class Network:
             s += 0.5
             n = new[t]
             np.multiply(s[H:], u[t, 2 * H :], out=n)
-            n += gates[t, 2 * H :]
+            n += gates[step, 2 * H :]
             np.abs(n, out=size[:H])
             size[:H] += 1
             n /= size[:H]
-            h = states[t]
+            h = states[step]
             np.subtract(before[t], n, out=h)
             h *= s[:H]
             h += n
         return {"x": x, "keep": keep, "before": before, "states": states, "zr": zr, "new": new, "inner": u[:, 2 * H :]}
 
     @staticmethod
-    def _exponentials(states: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _likelihoods(logits: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """exp of the logits and their sums.  States lie within -1 and 1, so logits
         are bounded by the weights; the cut only keeps exp finite."""
-        a = states @ w[:-1]
-        a += w[-1]
-        if np.abs(w[:-1]).sum(axis=0).max() + w[-1].max() > 80:
-            np.minimum(a, 80, out=a)
-        np.exp(a, out=a)
-        return a, a @ np.ones(a.shape[1], np.float32)
+        most = np.abs(w[..., :-1, :]).sum(axis=-2)
+        if (most + w[..., -1, :]).max() > 80 or (most - w[..., -1, :]).max() > 80:
+            np.clip(logits, -80, 80, out=logits)
+        e = exponentials(logits)
+        return e, e @ np.ones(e.shape[1], np.float32)
 
     def outputs(self, states: np.ndarray, y: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray | None, dict | None]:
         """Log-probabilities of symbols y after ``states``; with ``learn`` also the
         gradients of their negative sum by states, and by the output weights."""
-        per = PER_CLASS
-        group = np.where(y < HEAD, y // per, y - (HEAD - HEAD_CLASSES)).astype(np.int16)
-        order = np.argsort(group, kind="stable")
-        states, group, y = states[order], group[order], y[order]
-        rows = np.arange(len(y))
-        e, total = self._exponentials(states, self.w["to_class"])
-        likely = e[rows, group] / total
-        back, grads = None, None
-        if learn:
-            e /= total[:, None]
-            e[rows, group] -= 1
-            grads = {"to_class": np.vstack([states.T @ e, e.sum(axis=0)]), "to_word": {}}
-            back = e @ self.w["to_class"][:-1].T
-        edges = np.searchsorted(group, np.arange(HEAD_CLASSES + 1, dtype=np.int16))
-        for c in range(HEAD_CLASSES):
-            lo, hi = edges[c], edges[c + 1]
-            if lo == hi:
-                continue
-            w, s, at = self.w["to_word"][c], states[lo:hi], (rows[: hi - lo], y[lo:hi] - c * per)
-            e, total = self._exponentials(s, w)
-            likely[lo:hi] *= e[at] / total
-            if learn:
-                e /= total[:, None]
-                e[at] -= 1
-                grads["to_word"][c] = np.vstack([s.T @ e, e.sum(axis=0)])
-                back[lo:hi] += e @ w[:-1].T
+        per, to_class, to_word = PER_CLASS, self.w["to_class"], self.w["to_word"]
+        order = np.argsort(y.astype(np.int16), kind="stable")
+        # A last column of ones meets the biases.
+        s = np.ones((len(y), HIDDEN + 1), np.float32)
+        s[:, :-1] = states.take(order, axis=0)
+        y, rows = y[order], np.arange(len(y))
+        group = np.where(y < HEAD, y // per, y - (HEAD - HEAD_CLASSES))
+        edges = np.searchsorted(y, per * np.arange(HEAD_CLASSES + 1)).tolist()
+        head = edges[-1]
+        parts = [(c, slice(lo, hi)) for c, (lo, hi) in enumerate(itertools.pairwise(edges)) if lo < hi]
+        of_word = np.empty((head, per), np.float32)
+        for c, at in parts:
+            np.matmul(s[at], to_word[c], out=of_word[at])
+        e, total = self._likelihoods(s @ to_class, to_class)
+        of_word, sums = self._likelihoods(of_word, to_word)
+        chosen, word = (rows, group), (rows[:head], y[:head] % per)
+        likely = e[chosen] / total
+        likely[:head] *= of_word[word] / sums
         logs = np.empty(len(y))
         logs[order] = np.log(np.maximum(likely, 1e-30))
-        if learn:
-            unsorted = np.empty_like(back)
-            unsorted[order] = back
-            back = unsorted
-        return logs, back, grads
+        if not learn:
+            return logs, None, None
+        # Rows are divided by their sums where they are narrow, not here.
+        e[chosen] -= total
+        of_word[word] -= sums
+        total, sums = 1 / total[:, None], 1 / sums[:, None]
+        grads = {"to_class": (s * total).T @ e, "to_word": {}}
+        back = (e @ to_class[:-1].T) * total
+        if head:
+            scaled, by_word = s[:head] * sums, np.empty((head, HIDDEN), np.float32)
+            for c, at in parts:
+                grads["to_word"][c] = scaled[at].T @ of_word[at]
+                np.matmul(of_word[at], to_word[c, :-1].T, out=by_word[at])
+            by_word *= sums
+            back[:head] += by_word
+        unsorted = np.empty_like(back)
+        unsorted[order] = back
+        return logs, unsorted, grads
 
     def backward(self, run: dict, dh_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradients by the gates' inputs (steps, 3 HIDDEN, lanes) and by recur, from
@@ -277,11 +316,16 @@ class Network:
         z, r = zr[:, :H], zr[:, H:]
         d_in = np.empty((len(before), 3 * H, before.shape[2]), np.float32)
         d_recur = np.empty_like(d_in)
-        # The slope of x / (1 + |x|) is (1 - |value|) squared.
-        slope = 1 - np.abs(2 * zr - 1)
+        # The slope of x / (1 + |x|) is (1 - |value|) squared; a gate is (1 + value) / 2.
+        rest = 1 - zr
+        slope = np.minimum(zr, rest)
         slope *= slope
-        slope *= 0.5
-        by_z, by_n, by_r = (before - new) * slope[:, :H], (1 - z) * (1 - np.abs(new)) ** 2, inner * slope[:, H:]
+        slope *= 2
+        by_z, by_n, by_r = before - new, np.abs(new), inner * slope[:, H:]
+        by_z *= slope[:, :H]
+        np.subtract(1, by_n, out=by_n)
+        by_n *= by_n
+        by_n *= rest[:, :H]
         dh = np.zeros(before.shape[1:], np.float32)
         for t in range(len(before) - 1, -1, -1):
             dh += dh_out[t]
@@ -308,17 +352,20 @@ class Network:
 
     def learn(self, run: dict, y: np.ndarray, valid: np.ndarray) -> None:
         """One update from a window; gradients are means over its tokens."""
-        flat = valid.ravel()
+        flat = slice(None) if valid.all() else valid.ravel()
         states = by_token(run["states"])[flat]
         _, back, grads = self.outputs(states, y.ravel()[flat], True)
         scale = np.float32(1 / max(1, len(states)))
-        dh = np.zeros((flat.size, HIDDEN), np.float32)
+        dh = np.zeros((y.size, HIDDEN), np.float32)
         dh[flat] = back
         d_in, d_recur = self.backward(run, np.ascontiguousarray(dh.reshape(*y.shape, HIDDEN).transpose(0, 2, 1)))
         d_in, x = by_token(d_in)[flat], run["x"].ravel()[flat]
-        order = np.argsort(x, kind="stable")
-        rows, first = np.unique(x[order], return_index=True)
-        found = [("recur", d_recur, None), ("to_class", grads["to_class"], None), ("inputs", np.add.reduceat(d_in[order], first, axis=0), rows)]
+        order = np.argsort(x.astype(np.int16), kind="stable")
+        x = x[order]
+        first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+        # Numbers are added in pairs, as complex ones.
+        by_symbol, rows = np.add.reduceat(d_in.take(order, axis=0).view(np.complex64), first, axis=0).view(np.float32), x[first]
+        found = [("recur", d_recur, None), ("to_class", grads["to_class"], None), ("inputs", by_symbol, rows)]
         found += [("to_word", g, c) for c, g in grads["to_word"].items()]
         norm = float(np.sqrt(sum(float((g * g).sum()) for _, g, _ in found))) * scale
         scale *= min(1.0, CLIP / max(norm, 1e-12))
@@ -375,9 +422,11 @@ def score_texts(net: Network, texts: list[np.ndarray]) -> np.ndarray:
     lanes = Lanes([texts[k] for k in order], np.array([n for n, _ in loads], np.int64))
     logs, h = np.zeros(len(lanes.y), np.float32), np.zeros((HIDDEN, len(loads)), np.float32)
     for at, valid in lanes.windows():
-        run = net.forward(lanes.x[at], lanes.keep[at], h[:, : at.shape[1]])
+        run = net.forward(lanes.x[at], lanes.keep[at], h[:, : at.shape[1]], learn=False)
         h = run["states"][-1]
-        logs[at[valid]] = net.outputs(by_token(run["states"])[valid.ravel()], lanes.y[at][valid], False)[0]
+        flat = slice(None) if valid.all() else valid.ravel()
+        at = at.ravel()[flat]
+        logs[at] = net.outputs(by_token(run["states"])[flat], lanes.y[at], False)[0]
     out = np.zeros(len(texts))
     if order:
         out[order] = np.add.reduceat(logs, lanes.first, dtype=np.float64)
@@ -427,11 +476,11 @@ def train(texts: DataFrame, vocabulary: Vocabulary, deal: Column) -> Network:
     shares = [GROWTH**i for i in range(ROUNDS)]
     dealt = F.pmod(deal, F.lit(sum(shares)))
     session = texts.sparkSession
-    net, low = Network.fresh(vocabulary), 0
+    net, low, words = Network.fresh(vocabulary), 0, session.sparkContext.broadcast(vocabulary)
     for share in shares:
-        words, start = session.sparkContext.broadcast(vocabulary), session.sparkContext.broadcast(net.flat())
+        start = session.sparkContext.broadcast(net.flat())
 
-        def shard(batches: Iterator[pd.DataFrame], words=words, start=start) -> Iterator[pd.DataFrame]:
+        def shard(batches: Iterator[pd.DataFrame], start=start) -> Iterator[pd.DataFrame]:
             mine, seen, held, size = Network(*start.value), 0, [], 0
             for batch in batches:
                 for text in batch["text"]:
@@ -453,8 +502,8 @@ def train(texts: DataFrame, vocabulary: Vocabulary, deal: Column) -> Network:
         if blocks:
             net = Network(np.concatenate([b.w for b in blocks]), np.concatenate([b.g for b in blocks]))
         low += share
-        words.destroy()
         start.destroy()
+    words.destroy()
     return net
 
 
@@ -473,23 +522,22 @@ def score_documents(docs: DataFrame, train_where: Callable[[Column], Column] = l
 
         def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             voc, net, held, size = words.value, Network(*weights.value), [], 0
-            get = voc.place.get
+            # The last place, -1, is that of words outside the dictionary.
+            logs, totals = np.r_[voc.logs, 0.0], np.r_[np.zeros(HEAD), voc.totals]
+            rare_logs = np.where(np.arange(len(logs)) < HEAD, 0.0, logs)
 
             def flush() -> pd.DataFrame:
-                logs = score_texts(net, [h[-1] for h in held]) / np.log(10)
-                rows = [(*h[:5], h[5] + x, list(h[6]), list(h[6].values())) for h, x in zip(held, logs, strict=True)]
+                found = score_texts(net, [h[-1] for h in held]) / np.log(10)
+                rows = [(*h[:5], h[5] + x, list(h[6]), list(h[6].values())) for h, x in zip(held, found, strict=True)]
                 return pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "others", "times"])
 
             for batch in batches:
                 for ident, out, body in zip(batch["doc_id"].astype(object), batch["held_out"], batch["text"], strict=True):
-                    symbols, ws = voc.encode(body)
-                    at = np.flatnonzero(symbols >= HEAD)
-                    places = np.fromiter([get(ws[i], -1) for i in at.tolist()], np.int32, len(at))
-                    logs = voc.logs[places[places >= 0]].sum()
-                    others = Counter([ws[i] for i in at[places < 0].tolist()])
-                    base = logs + voc.logs[symbols[symbols < HEAD]].sum()
-                    rare = logs - voc.totals[symbols[at] - HEAD].sum()
-                    held.append((None if pd.isna(ident) else ident, out, len(ws), len(ws) - int((places < 0).sum()), base, rare, others, symbols))
+                    symbols, ws, places = voc.encode_with_places(body)
+                    unknown = places < 0
+                    others = Counter(itertools.compress(ws, unknown.tolist()))
+                    base, rare = logs[places].sum(), rare_logs[places].sum() - totals[symbols].sum()
+                    held.append((None if pd.isna(ident) else ident, out, len(ws), len(ws) - int(unknown.sum()), base, rare, others, symbols))
                     size += len(ws)
                     if size >= SCORE_TOKENS:
                         yield flush()

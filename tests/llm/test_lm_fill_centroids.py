@@ -201,6 +201,38 @@ def test_probabilities_of_the_next_word_add_up_to_one():
     assert abs(np.exp(logs).sum() - 1) < 1e-3
 
 
+def test_exponentials_equal_numpys():
+    x = np.linspace(-80, 80, 3 * gru_lm.AT_ONCE + 15).reshape(3, -1)
+    got = gru_lm.exponentials(x.astype(np.float32))
+    assert got.shape == x.shape and np.abs(got / np.exp(x.astype(np.float32).astype(np.float64)) - 1).max() < 1e-5
+    assert gru_lm.exponentials(np.zeros((0, 4), np.float32)).shape == (0, 4)
+
+
+def test_one_look_gives_symbols_and_places():
+    words = [b"w%d" % i for i in range(gru_lm.HEAD + 5)]
+    voc = gru_lm.Vocabulary(words, list(range(len(words) + 9, 9, -1)), {w[-2:]: (10**6, 10**4) for w in words}, 10**7, 10**5)
+    for text in ("", "W3 w1024 w9 new w1028\tw1023", " w1029\n"):
+        symbols, ws, places = voc.encode_with_places(text)
+        assert symbols.tolist() == voc.encode(text)[0].tolist() and ws == [*gru_lm.tokens(text), gru_lm.END]
+        assert places.tolist() == [voc.place.get(w, -1) for w in ws]
+        assert symbols.tolist() == [p if 0 <= p < gru_lm.HEAD else gru_lm.HEAD + voc.rare_class(w) for p, w in zip(places, ws)]
+
+
+def test_a_step_adds_up_the_gradients_of_a_symbol(monkeypatch):
+    rng, net = np.random.default_rng(7), gru_lm.Network.fresh(small_vocabulary())
+    x, y, valid = rng.integers(0, 6, (4, 3)), rng.integers(0, 30, (4, 3)), np.ones((4, 3), bool)
+    valid[2:, 2] = False
+    run, steps, found = net.forward(x, np.ones((4, 3), np.float32), np.zeros((gru_lm.HIDDEN, 3), np.float32)), {}, []
+    monkeypatch.setattr(net, "step", lambda name, grad, rows=None: steps.setdefault(name, (grad, rows)))
+    monkeypatch.setattr(net, "backward", lambda *a: found.append(gru_lm.Network.backward(net, *a)) or found[-1])
+    net.learn(run, y, valid)
+    plain = np.zeros((6, 3 * gru_lm.HIDDEN))
+    np.add.at(plain, x[valid], found[0][0].transpose(0, 2, 1)[valid])
+    grad, rows = steps["inputs"]
+    assert rows.tolist() == sorted(set(x[valid].tolist()))
+    assert np.allclose(grad / np.abs(grad).max(), plain[rows] / np.abs(plain[rows]).max(), atol=1e-5)
+
+
 def test_scores_do_not_depend_on_the_company():
     voc, rng = small_vocabulary(), np.random.default_rng(5)
     net = gru_lm.Network.fresh(voc)

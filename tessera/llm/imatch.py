@@ -9,8 +9,10 @@ subset of it.  Subsets come in levels of falling density, since a subset's hash
 only survives an edit if none of its terms changes: dense levels tell
 near-identical texts, sparse ones distant relatives.
 
-A lexicon of up to ``BROADCAST_TERMS`` terms is sent to the executors; beyond,
-the documents' terms are joined with it.  Both ways give the same fingerprints.
+A lexicon of up to ``BROADCAST_TERMS`` terms is sent to the executors.  Of a
+larger one the commonest terms are; the texts' other terms, rare ones, are joined
+with it, and those found travel to the texts' buckets with the texts.  Both ways
+give the same fingerprints.  Texts are compressed where they are shuffled.
 
 Likeness of two fingerprints: the share of equal hashes among the subsets that
 are not empty in both, over the levels sparse enough to have empty subsets (all
@@ -27,19 +29,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LEAST, Scratch, text_of
+from .common import LEAST, Scratch, freed, text_of
 
 #: The band: idf divided by the logarithm of the number of documents.
 MIN_IDF, MAX_IDF = 0.3, 0.95
 BROADCAST_TERMS = 1 << 22
+COMMON = 1 << 12  # document frequencies from here on are not told apart when the terms to send are chosen
 LEVELS = (2, 4, 6, 8, 10, 12, 14)  # a level's subsets hold a term with probability 2**-level
 PER_LEVEL = 16
 WIDTH = 1 + len(LEVELS) * PER_LEVEL
@@ -64,12 +70,19 @@ def term_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[order], doc
 
 
-def fingerprints(texts: list[str], lexicon: np.ndarray) -> np.ndarray:
-    """One row of WIDTH numbers a text; ``lexicon``: its terms' hashes, sorted."""
+def among(h: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Which of the hashes occur in ``terms``, which is sorted."""
+    return terms[np.minimum(np.searchsorted(terms, h), len(terms) - 1)] == h if len(terms) else np.zeros(len(h), bool)
+
+
+def fingerprints(texts: list[str], *lexicon: np.ndarray) -> np.ndarray:
+    """One row of WIDTH numbers a text; ``lexicon``: its terms' hashes, in sorted parts."""
     h, doc = term_hashes(texts)
     if not len(h):
         return np.zeros((len(texts), WIDTH), np.uint64)
-    inside = lexicon[np.minimum(np.searchsorted(lexicon, h), len(lexicon) - 1)] == h if len(lexicon) else np.zeros(len(h), bool)
+    inside = np.zeros(len(h), bool)
+    for part in lexicon:
+        inside |= among(h, part)
     some = np.zeros(len(texts), bool)
     some[doc[inside]] = True
     inside |= ~some[doc]
@@ -121,9 +134,10 @@ def as_text(row: np.ndarray) -> str:
     return f"{int(row[0]):016x}" + row[1:].astype(">u2").tobytes().hex()
 
 
-def lexicon(docs: DataFrame, text: str = "text", min_idf: float = MIN_IDF, max_idf: float = MAX_IDF) -> DataFrame:
-    """(term): 64-bit hashes of the terms whose document frequency lies in the
-    band.  Frequencies are combined in each task before the shuffle."""
+def frequencies(docs: DataFrame, text: str = "text", min_idf: float = MIN_IDF, max_idf: float = MAX_IDF) -> DataFrame:
+    """(term, n, inside): 64-bit hashes of the terms that are not too rare, their
+    document frequency and whether it lies in the band, or is too high.
+    Frequencies are combined in each task before the shuffle."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -152,7 +166,12 @@ def lexicon(docs: DataFrame, text: str = "text", min_idf: float = MIN_IDF, max_i
     rows = max(docs.count(), 1)
     counts = docs.select(text_of(docs, text).alias("t")).mapInPandas(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     idf = (math.log(rows) - F.log("n")) / max(math.log(rows), 1e-9)
-    return counts.where((idf >= min_idf) & (idf <= max_idf)).select("term")
+    return counts.where(idf <= max_idf).withColumn("inside", idf >= min_idf)
+
+
+def lexicon(docs: DataFrame, text: str = "text", min_idf: float = MIN_IDF, max_idf: float = MAX_IDF) -> DataFrame:
+    """(term): hashes of the terms whose document frequency lies in the band."""
+    return frequencies(docs, text, min_idf, max_idf).where("inside").select("term")
 
 
 def _chunks(texts: list[str]) -> Iterator[list[str]]:
@@ -167,16 +186,25 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def in_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows (bucket, late, id, text), each bucket in one partition and sorted.
+def _packed(texts: pd.Series) -> pd.Series:
+    """UTF-8 bytes: their number and, compressed, themselves."""
+    codec = pa.Codec("zstd")
+    return pd.Series([len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in texts], dtype=object)
+
+
+def _unpacked(packed: list[bytes]) -> list[str]:
+    codec = pa.Codec("zstd")
+    return [codec.decompress(p[8:], int.from_bytes(p[:8], "little"), asbytes=True).decode() for p in packed]
+
+
+def dealt(docs: DataFrame, doc_id: str, text: str, parts: int) -> DataFrame:
+    """Rows (bucket, late, id, hash, packed): texts with the buckets they go to.
 
     Buckets are ranges of doc_id between quantiles.  The first row of each
     bucket also goes, with ``late`` 1, to the end of the bucket before (the
     very first one to the end of the last), so that every row finds its
-    successor in its own bucket.  Texts are shuffled once.
+    successor in its own bucket.
     """
-    spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ident = F.coalesce(docs[doc_id].cast("long"), F.lit(LEAST))
     base = docs.select(ident.alias("id"), text_of(docs, text).alias("text"))
     cut = base.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
@@ -186,8 +214,7 @@ def in_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def bucket(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="left").astype(np.int32))
 
-    with_bucket = base.select("id", "text", bucket("id").alias("bucket"))
-    least = with_bucket.groupBy("bucket").agg(F.min("id").alias("id")).orderBy("bucket").collect()  # one row a bucket
+    least = base.select("id", bucket("id").alias("bucket")).groupBy("bucket").agg(F.min("id").alias("id")).orderBy("bucket").collect()  # one row a bucket
     before = {r["id"]: least[i - 1]["bucket"] for i, r in enumerate(least)}  # of the first: the last
     starts = np.array(sorted(before), np.int64)
     ends = np.array([before[s] for s in starts.tolist()], np.int32)
@@ -200,8 +227,14 @@ def in_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         first = (starts[at] == v).tolist()
         return pd.Series([[{"bucket": b, "late": 0}] + ([{"bucket": e, "late": 1}] if f else []) for b, e, f in zip(own, ends[at].tolist(), first, strict=True)], dtype=object)
 
-    out = base.select("id", "text", F.explode(targets("id")).alias("at")).select("at.bucket", "at.late", "id", "text")
-    return out.repartition(parts, "bucket").sortWithinPartitions("bucket", "late", "id", F.xxhash64("text"))
+    packed = F.pandas_udf(_packed, "binary")
+    rows = base.select("id", F.xxhash64("text").alias("hash"), packed(F.col("text").cast("binary")).alias("packed"), targets("id").alias("at"))
+    return rows.select("id", "hash", "packed", F.explode("at").alias("at")).select("at.bucket", "at.late", "id", "hash", "packed")
+
+
+def in_order(rows: DataFrame, parts: int) -> DataFrame:
+    """Each bucket in one partition and sorted.  This shuffles the texts, once."""
+    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "late", "id", "hash").select("bucket", "late", "id", "packed")
 
 
 def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
@@ -211,83 +244,124 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     by the first as many of the next document in the order of doc_id (of the
     first after the last).
     """
-    with Scratch(docs.sparkSession) as scratch:
-        known = scratch.keep(scratch.write(lexicon(docs, text), "lexicon"))
-    rows = in_order(docs, doc_id, text)
-    if known.limit(broadcast_terms + 1).count() <= broadcast_terms:
-        return _looked_up(rows, known)
-    return _joined(rows, known)
-
-
-COLUMNS = "doc_id bigint, n_chars bigint, edited_text string"
-RESULT = f"{COLUMNS}, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-
-
-def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[str], list[int], list[str]]]:
-    """Blocks of rows in order: the columns of COLUMNS, all texts, the places of
-    the rows among them (each one's successor comes next) and the edited texts."""
-
-    def block(rows: list[tuple]) -> tuple[pd.DataFrame, list[str], list[int], list[str]]:
+    spark = docs.sparkSession
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with Scratch(spark) as scratch:
+        terms = scratch.write(frequencies(docs, text), "terms")
+        freed(spark)
+        rows = dealt(docs, doc_id, text, parts)
+        if terms.where("inside").count() <= broadcast_terms:
+            return _fingerprinted(in_order(rows, parts), _sent(terms.where("inside")))
+        least = _least_sent(terms, broadcast_terms)
+        common = _sent(terms.where(F.col("n") >= least))
+        rare = terms.where(F.col("inside") & (F.col("n") < least)).select("term")
+        found = scratch.keep(scratch.write(_rare_terms(in_order(rows, parts), common).join(rare, "term", "left_semi"), "found"))
+        freed(spark)  # the texts are shuffled again, with what was found
+        found = found.select("bucket", F.lit(-1).alias("late"), F.col("term").alias("id"), F.lit(0).cast("long").alias("hash"), F.lit(None).cast("binary").alias("packed"))
+        return _fingerprinted(in_order(rows.unionByName(found), parts), common)
+
+
+def _least_sent(terms: DataFrame, most: int) -> int:
+    """The least document frequency that at most ``most`` terms reach."""
+    shown = terms.groupBy(F.least("n", F.lit(COMMON)).alias("n")).agg(F.count("*").alias("terms")).orderBy(F.desc("n")).collect()  # COMMON rows at most
+    least = COMMON + 1  # none
+    for r in shown:
+        most -= r["terms"]
+        if most < 0:
+            break
+        least = r["n"]
+    return least
+
+
+def _sent(terms: DataFrame) -> Broadcast:
+    """The terms of the lexicon and the others, both sorted, on every executor."""
+    table = terms.select("term", "inside").toArrow()  # no row objects
+    hashes, inside = table["term"].to_numpy().astype(np.int64).view(np.uint64), table["inside"].to_numpy().astype(bool)
+    return terms.sparkSession.sparkContext.broadcast((np.sort(hashes[inside]), np.sort(hashes[~inside])))
+
+
+RESULT = "doc_id bigint, n_chars bigint, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+class _Block(NamedTuple):
+    """Texts in order and their buckets, the places of the rows among them (each
+    one's successor comes next), their ids and edited texts, and the rare terms
+    of the lexicon known to occur in these buckets."""
+
+    texts: list[str]
+    buckets: np.ndarray
+    at: list[int]
+    ids: list[int]
+    edited: list[str]
+    rare: np.ndarray
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[_Block]:
+    found: dict[int, list[np.ndarray]] = {}
+
+    def block(rows: list[tuple]) -> _Block:
         at = [i for i in range(len(rows) - 1) if rows[i][1] == 0 and rows[i][0] == rows[i + 1][0]]
         texts = [r[3] for r in rows]
         edited = [texts[i][: len(texts[i]) - len(texts[i]) // 2] + texts[i + 1][: len(texts[i]) // 2] for i in at]
-        ids = pd.array([None if rows[i][2] == LEAST else rows[i][2] for i in at], "Int64")
-        return pd.DataFrame({"doc_id": ids, "n_chars": np.array([len(texts[i]) for i in at], np.int64), "edited_text": edited}), texts, at, edited
+        for b in [b for b in found if b < rows[0][0]]:
+            del found[b]
+        rare = [x for b in found if b <= rows[-1][0] for x in found[b]]
+        return _Block(texts, np.array([r[0] for r in rows], np.int32), at, [rows[i][2] for i in at], edited, np.unique(np.concatenate(rare)) if rare else np.zeros(0, np.uint64))
 
     held: list[tuple] = []
     size = 0
     for batch in batches:
-        for row in zip(batch["bucket"].tolist(), batch["late"].tolist(), batch["id"].tolist(), batch["text"].tolist(), strict=True):
-            held.append(row)
-            size += len(row[3])
-            if size >= CHUNK_CHARS and len(held) > 1:
-                yield block(held)
-                held, size = held[-1:], len(row[3])
+        late = batch["late"].to_numpy() < 0  # such rows are terms
+        if late.any():
+            for b, x in batch[late].groupby("bucket")["id"]:
+                found.setdefault(b, []).append(x.to_numpy().view(np.uint64))
+            batch = batch[~late]
+        for start in range(0, len(batch), 256):
+            some = batch.iloc[start : start + 256]
+            for row in zip(some["bucket"].tolist(), some["late"].tolist(), some["id"].tolist(), _unpacked(some["packed"].tolist()), strict=True):
+                held.append(row)
+                size += len(row[3])
+                if size >= CHUNK_CHARS and len(held) > 1:
+                    yield block(held)
+                    held, size = held[-1:], len(row[3])
     if len(held) > 1:
         yield block(held)
 
 
-def _result(frame: pd.DataFrame, own: np.ndarray, edited: np.ndarray, following: np.ndarray) -> pd.DataFrame:
-    return frame.assign(fingerprint=[as_text(r) for r in own], edited_fingerprint=[as_text(r) for r in edited], near_edited=likeness(own, edited), near_next=likeness(own, following))
-
-
-def _looked_up(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """The lexicon of a checked size goes to every executor."""
-    terms = known.toArrow()["term"].to_numpy()  # no row objects: 8 bytes a term
-    shared = rows.sparkSession.sparkContext.broadcast(np.sort(terms.astype(np.int64).view(np.uint64)))
+def _fingerprinted(rows: DataFrame, known: Broadcast) -> DataFrame:
+    """Rows in order, with the rare terms of the lexicon that ``known`` lacks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, texts, at, edited in _pairs(batches):
-            own, index = fingerprints(texts, shared.value), np.array(at, np.int64)
-            yield _result(frame, own[index], fingerprints(edited, shared.value), own[index + 1] if len(index) else own[:0])
+        for x in _blocks(batches):
+            inside, at = known.value[0], np.array(x.at, np.int64)
+            every, edited = fingerprints(x.texts, inside, x.rare), fingerprints(x.edited, inside, x.rare)
+            own, following = (every[at], every[at + 1]) if len(at) else (every[:0], every[:0])
+            ids = pd.array([None if i == LEAST else i for i in x.ids], "Int64")
+            frame = pd.DataFrame({"doc_id": ids, "n_chars": np.array([len(x.texts[i]) for i in x.at], np.int64), "edited_text": x.edited})
+            yield frame.assign(fingerprint=[as_text(r) for r in own], edited_fingerprint=[as_text(r) for r in edited], near_edited=likeness(own, edited), near_next=likeness(own, following))
 
     return rows.mapInPandas(run, RESULT)
 
 
-def _joined(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """The terms of each text, its edited text and the next are joined with the lexicon."""
+def seams(x: str, y: str) -> str:
+    """The words that an edited text may have besides those of ``x`` and of the
+    text that ``y`` begins: the one across the border and the last."""
+    left = x.rsplit(None, 1)[-1] if x and not x[-1].isspace() else ""
+    right = y.split(None, 1)[0] if y and not y[0].isspace() else ""
+    return f"{left}{right} {y.rsplit(None, 1)[-1] if y and not y[-1].isspace() else ''}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, texts, at, edited in _pairs(batches):
-            parts = {"own": [texts[i] for i in at], "edited": edited, "following": [texts[i + 1] for i in at]}
-            for name, those in parts.items():
-                h, doc = term_hashes(those)
-                frame[name] = np.split(h.view(np.int64), np.searchsorted(doc, np.arange(1, len(those)))) if those else []
-            yield frame
-
-    names = ("own", "edited", "following")
-    scratch = Scratch(rows.sparkSession)
-    held = rows.mapInPandas(run, f"{COLUMNS}, {', '.join(f'{n} array<bigint>' for n in names)}")
-    held = scratch.write(held.withColumn("uid", F.monotonically_increasing_id()), "terms")
-    terms = held.select("uid", F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(n).alias("terms")) for i, n in enumerate(names)])).alias("x")).select("uid", "x.which", F.explode("x.terms").alias("term"))
-    inside = terms.join(known, "term").groupBy("uid").agg(*[F.collect_list(F.when(F.col("which") == i, F.col("term"))).alias(f"in{i}") for i in range(3)])
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for i, name in enumerate(names):
-                lists = [np.sort(np.array(a if b is None or not len(b) else b, np.int64).view(np.uint64)) for a, b in zip(batch[name], batch[f"in{i}"], strict=True)]
-                out.append(hashed(np.concatenate(lists), np.repeat(np.arange(len(lists)), list(map(len, lists))), len(lists)))
-            yield _result(batch[["doc_id", "n_chars", "edited_text"]], *out)
 
-    return held.join(inside, "uid", "left").mapInPandas(finish, RESULT)
+def _rare_terms(rows: DataFrame, known: Broadcast) -> DataFrame:
+    """(bucket, term): the terms of texts and edited texts that ``known`` lacks,
+    each once a block and bucket."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in _blocks(batches):
+            after = [len(x.texts[i]) // 2 for i in x.at]
+            new = [seams(x.texts[i][: len(x.texts[i]) - n], x.texts[i + 1][:n]) for i, n in zip(x.at, after, strict=True)]
+            buckets = np.r_[x.buckets, x.buckets[x.at]]
+            h, doc = term_hashes(x.texts + new)
+            rest = ~(among(h, known.value[0]) | among(h, known.value[1]))
+            yield pd.DataFrame({"bucket": buckets[doc[rest]], "term": h[rest].view(np.int64)}).drop_duplicates()
+
+    return rows.mapInPandas(run, "bucket int, term bigint")

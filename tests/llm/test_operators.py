@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and edge cases."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -117,6 +118,30 @@ def test_imatch_equals_brute_force_both_ways(docs, texts, odd):
         assert a == b
 
 
+def test_imatch_of_a_large_lexicon_writes_and_moves_no_more_texts(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeÉΣ", k=rng.randint(1, 9))) for _ in range(4_000)]
+    rows = [(i, rng.choice([" ", "\n"]).join(rng.choices(words, k=rng.randint(0, 400))), None, None, None) for i in range(300)]
+    df = spark.createDataFrame(rows, DOCS)
+    want = sorted(map(str, imatch.fingerprint_documents(df).collect()))
+    folder = re.sub("^file:", "", spark.conf.get("spark.checkpoint.dir").replace("//", ""))
+    held = lambda: sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(folder) for f in names)
+    for most in (0, 50, 3_000):
+        before = held()
+        out = imatch.fingerprint_documents(df, broadcast_terms=most)
+        assert sorted(map(str, out.collect())) == want
+        assert most < 3_000 or held() - before < 0.25 * sum(len(r[1].encode()) for r in rows)  # once all terms and edited texts were written
+        assert out._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_imatch_seams_hold_all_new_words():
+    rng = random.Random(6)
+    for _ in range(3_000):
+        a, b = ("".join(rng.choices("abΣÉ' \t\u2028", k=rng.randint(0, 12))) for _ in range(2))
+        x, y = a[: len(a) - len(a) // 2], b[: len(a) // 2]
+        assert set((x + y).lower().split()) <= {w for t in (a, b, imatch.seams(x, y)) for w in t.lower().split()}
+
+
 def test_imatch_likeness_bounds():
     a = imatch.fingerprints(["alpha beta gamma delta", "alpha beta gamma delta", "", "other words here"], np.zeros(0, np.uint64))
     assert imatch.likeness(a[:1], a[1:2])[0] == 1 and imatch.likeness(a[2:3], a[2:3])[0] == 1 and imatch.likeness(a[:1], a[2:3])[0] == 0 and imatch.likeness(a[:1], a[3:4])[0] == 0

@@ -17,6 +17,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -68,6 +69,25 @@ class Leaf:
         return out
 
 
+class Forest(NamedTuple):
+    """The leaves of every tree, and the numbers of features and classes."""
+
+    trees: list[list[Leaf]]
+    features: int
+    classes: int
+
+
+Model = RandomForestClassificationModel | DecisionTreeClassificationModel
+
+
+def forest(models: Model | Forest | Sequence[Model], spark: SparkSession) -> Forest:
+    """The trees of one model, or of several together."""
+    if isinstance(models, Forest):
+        return models
+    several = models if isinstance(models, list) else [models]
+    return Forest([tree for m in several for tree in leaves(m, spark)], several[0].numFeatures, max(m.numClasses for m in several))
+
+
 def leaves(model: RandomForestClassificationModel | DecisionTreeClassificationModel, spark: SparkSession) -> list[list[Leaf]]:
     """The leaves of every tree, from the model's saved table of nodes, in the shared folder."""
     at = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
@@ -114,18 +134,18 @@ def shapley(trees: Sequence[Sequence[Leaf]], x: np.ndarray, features: int, class
         for leaf in tree:
             if not leaf.sides or not len(x):
                 continue
-            takes, own = np.unique(leaf.takes(x), axis=0, return_inverse=True)
-            each = leaf.weights(takes)[:, None, :] * leaf.value[None, :, None] / len(trees)
+            takes = leaf.takes(x)
+            _, first, own = np.unique(takes @ (1 << np.arange(takes.shape[1])), return_index=True, return_inverse=True)
+            each = leaf.weights(takes[first])[:, None, :] * leaf.value[None, :, None] / len(trees)
             out[:, :, list(leaf.sides)] += each[own.ravel()]
     return out
 
 
-def attributed(df: DataFrame, model: RandomForestClassificationModel | DecisionTreeClassificationModel, features: str = "features", to: str = "attributions") -> DataFrame:
+def attributed(df: DataFrame, model: Model | Forest | Sequence[Model], features: str = "features", to: str = "attributions") -> DataFrame:
     """ML-43: ``df`` with an array over the classes of arrays over the features: how much
     each moved the class's probability from its mean.  A missing number takes the right
     side of a threshold, as in the model; a null vector gives null."""
-    trees = leaves(model, df.sparkSession)
-    n, k = model.numFeatures, model.numClasses
+    trees, n, k = forest(model, df.sparkSession)
 
     @F.pandas_udf("array<array<double>>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -140,16 +160,18 @@ def attributed(df: DataFrame, model: RandomForestClassificationModel | DecisionT
     return df.withColumn(to, of(F.when(F.col(features).isNotNull(), vector_to_array(features))))
 
 
-def patterns(df: DataFrame, model: RandomForestClassificationModel | DecisionTreeClassificationModel, features: str = "features") -> DataFrame:
+def patterns(df: DataFrame, model: Model | Forest | Sequence[Model], features: str = "features", weight: str | None = None) -> DataFrame:
     """(features, n): a vector for each pattern of sides that rows of ``df`` take at the
-    model's splits, and the number of such rows; null vectors are left out.
+    model's splits, and the number of such rows, each counting ``weight`` times; null
+    vectors are left out.
 
     A number is replaced by the largest that takes the same sides everywhere, a
     category stays.  There are at most as many vectors as products of the features'
     splits, however many rows, and rows are only counted."""
-    sides = [(f, side) for tree in leaves(model, df.sparkSession) for leaf in tree for f, own in leaf.sides.items() for side in own]
-    rows, kept, names = df.where(F.col(features).isNotNull()).select(vector_to_array(features).alias("__x")), [], []
-    for f in range(model.numFeatures):
+    trees, width, _ = forest(model, df.sparkSession)
+    sides = [(f, side) for tree in trees for leaf in tree for f, own in leaf.sides.items() for side in own]
+    rows, kept, names = df.where(F.col(features).isNotNull()).select(vector_to_array(features).alias("__x"), (F.col(weight) if weight else F.lit(1)).alias("__n")), [], []
+    for f in range(width):
         cuts = sorted({cut for at, (_, categories, cut) in sides if at == f and categories is None})
         name = f"__f{f}"
         if any(at == f and categories is not None for at, (_, categories, _) in sides):
@@ -163,7 +185,7 @@ def patterns(df: DataFrame, model: RandomForestClassificationModel | DecisionTre
             rows, value = rows.withColumn(name, F.lit(0.0)), F.col(name)
         kept.append(value)
         names.append(name)
-    return rows.groupBy(*names).agg(F.count("*").alias("n")).select(array_to_vector(F.array(*kept)).alias(features), "n")
+    return rows.groupBy(*names).agg(F.sum("__n").alias("n")).select(array_to_vector(F.array(*kept)).alias(features), "n")
 
 
 def mean_attributions(df: DataFrame, names: Sequence[str], to: str = "attributions", weight: str | None = None) -> DataFrame:

@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, Imputer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, Bucketizer, Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import cuts
 from .stages import settled
 from .statistics import weighted_scores
 
+BINS = 32  # of a column, as many as a forest's ``maxBins``
+FITS = 4  # trees grown at a time
 PART = 1 << 20  # rows of a partition that a forest keeps in memory
 
 
@@ -111,6 +118,49 @@ def in_parts(df: DataFrame, rows: int = PART) -> DataFrame:
     return df.withColumn("__row", F.monotonically_increasing_id()).repartition(parts, "__row").sortWithinPartitions("__row").drop("__row")
 
 
+def counted(df: DataFrame, columns: Sequence[str], label: str = "label", bins: int = BINS) -> DataFrame:
+    """(features, label, n): the rows of ``df`` counted by the part of each column that they
+    lie in (see ``cuts``) and by their label.
+
+    A forest only learns from a column by such parts (its ``maxBins``), so the counts hold
+    all it needs, and they are at most ``bins`` to the power of the columns for each label,
+    however many rows.  A part's number stands for its numbers; a missing number is above all."""
+    names = [f"__b{i}" for i in range(len(columns))]
+    rows = df.select(*[F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate(columns)], F.col(label).alias("label"))
+    for i, (name, ends) in enumerate(zip(names, cuts(df, columns, bins), strict=True)):
+        # An end is in its part, a bucket's least number is in the bucket.
+        splits = [-np.inf, *[float(np.nextafter(c, np.inf)) for c in ends], np.inf]
+        if ends:
+            rows = Bucketizer(splits=splits, inputCol=f"__v{i}", outputCol=name, handleInvalid="keep").transform(rows)
+        else:
+            rows = rows.withColumn(name, F.when(F.col(f"__v{i}").isNull() | F.isnan(f"__v{i}"), 1.0).otherwise(0.0))
+    return settled(rows.groupBy(*names, "label").agg(F.count("*").alias("n")).select(array_to_vector(F.array(*names)).alias("features"), "label", "n"))
+
+
+def drawn(df: DataFrame, trees: int, seed: int, to: str = "draws") -> DataFrame:
+    """A table of ``counted`` with how often each tree's bootstrap draws its rows: a row is
+    drawn as often as a Poisson number of mean 1 says, as in a forest, so n rows together as
+    often as one of mean n.  Depends on features, label and seed alone."""
+
+    @F.pandas_udf("array<double>")
+    def draw(key: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([np.random.default_rng([seed, k & (2**64 - 1)]).poisson(m, trees).astype(float) for k, m in zip(key.tolist(), n.tolist(), strict=True)], dtype=object)
+
+    return df.withColumn(to, draw(F.xxhash64(vector_to_array("features"), "label"), "n"))
+
+
+def forest_of_counts(df: DataFrame, trees: int, depth: int, seed: int) -> list[RandomForestClassificationModel]:
+    """The trees of a random forest over a table of ``counted``, as one model each."""
+    rows = settled(drawn(df, trees, seed))
+
+    def grow(t: int) -> RandomForestClassificationModel:
+        forest = RandomForestClassifier(numTrees=1, maxDepth=depth, seed=seed + t, weightCol="w", bootstrap=False, featureSubsetStrategy="sqrt")
+        return forest.fit(rows.withColumn("w", F.get("draws", F.lit(t))))
+
+    with ThreadPool(FITS) as pool:
+        return pool.map(inheritable_thread_target(df.sparkSession)(grow), range(trees))
+
+
 def importances(train: DataFrame, columns: Sequence[str], label: str = "label", seed: int = 1) -> list[tuple[str, float]]:
     """ML-36, AGG-47: forest importances in falling order."""
     model = RandomForestClassifier(labelCol=label, seed=seed).fit(VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip").transform(in_parts(train)))

@@ -11,7 +11,9 @@ Once at most ``FEW`` numbers are left they are counted one by one.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from .stages import settled
 
 BITS = 16
 FEW = 1 << 20
+PARTS = 1 << 16  # counts of an interval in one pass
 SMALL = 1 << 16  # wanted ranks, or groups, that are sent to every task
 
 
@@ -28,7 +31,7 @@ def _two(n: Column) -> Column:
 
 
 def _guess(size: Column) -> Column:
-    return F.greatest(F.floor(F.log2(F.greatest(size, F.lit(2.2250738585072014e-308)))), F.lit(-1022)).cast("int")
+    return F.least(F.greatest(F.floor(F.log2(F.greatest(size, F.lit(2.2250738585072014e-308)))), F.lit(-1022)), F.lit(1024)).cast("int")
 
 
 def _power(size: Column, guess: Column) -> Column:
@@ -120,3 +123,46 @@ def quantiles(df: DataFrame, by: Sequence[str], column: str, points: Sequence[fl
     values = F.transform(F.array(*[F.lit(float(p)) for p in points]), between)
     out = out.select(*[F.col(n).alias(c) for n, c in zip(names[1:], by, strict=True)], "n", values.alias("__q"))
     return sent_if_small(out.select(*by, "n", *[F.get("__q", F.lit(i)).alias(f"q{i}") for i in range(len(points))]), n_groups)
+
+
+def _at(v: float) -> int:
+    """``ordered_bits`` of one number."""
+    bits = struct.unpack("<q", struct.pack("<d", abs(v)))[0]
+    return -bits if v < 0 else bits
+
+
+def cuts(df: DataFrame, columns: Sequence[str], most: int = 32) -> list[list[float]]:
+    """For each column the numbers that end its parts, but for the last part: its values,
+    if it has at most ``most``, else up to ``most`` parts of about as many rows.
+
+    All rows are counted, by the leading bits of a number within the column's range;
+    an interval of several values with a quarter of a part's rows is divided again, so
+    that no part has a quarter too many unless one value has.  Nulls and NaN don't count."""
+    values = [F.col(c).cast("double") for c in columns]
+    numbers = [F.when(~F.isnan(v), v) for v in values]
+    found = df.agg(*[F.struct(F.min(v), F.max(v), F.count(v)) for v in numbers]).first()
+    totals = [r[2] for r in found]
+    rows = df.select(F.posexplode(F.array(*numbers)).alias("i", "v")).where("v is not null")
+    rows = with_ordered_bits(rows, "v", "at").select("i", "v", "at")
+    heavy = F.col("n") * (4 * most) > F.get(F.array(*[F.lit(t) for t in totals]), F.col("i"))
+    todo, kept = [(i, low, high) for i, (low, high, n) in enumerate(found) if n], []
+    while todo:
+        shift = lambda low, high: next(s for s in range(64) if (_at(high) >> s) - (_at(low) >> s) < PARTS)
+        asked = df.sparkSession.createDataFrame([(i, low, high, shift(low, high)) for i, low, high in todo], "j int, low double, high double, shift int")
+        inside = (F.col("i") == F.col("j")) & F.col("v").between(F.col("low"), F.col("high"))
+        counts = rows.join(F.broadcast(asked), inside).groupBy("i", "low", F.call_function("shiftright", F.col("at"), F.col("shift")).alias("bin"))
+        counts = settled(counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).select("i", "lo", "hi", "n"))
+        again = heavy & (F.col("lo") < F.col("hi"))
+        todo = [tuple(r) for r in counts.where(again).select("i", "lo", "hi").collect()]  # 4 x most a column at most
+        kept.append(counts.where(~again))
+    out: list[list[float]] = [[] for _ in columns]
+    if not kept:
+        return out
+    of = Window.partitionBy("i")
+    upto, size = F.sum("n").over(of.orderBy("lo")), F.count("*").over(of)
+    placed = reduce(DataFrame.union, kept).withColumns({"upto": upto, "all": F.sum("n").over(of), "size": size, "more": F.lead("hi").over(of.orderBy("lo")).isNotNull()})
+    part = lambda n: F.floor(n * most / F.col("all"))
+    ends = placed.where(F.col("more") & ((F.col("size") <= most) | (part(F.col("upto")) > part(F.col("upto") - F.col("n")))))
+    for r in ends.select("i", "hi").orderBy("i", "hi").collect():  # ``most`` a column at most
+        out[r["i"]].append(r["hi"])
+    return out

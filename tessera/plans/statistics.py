@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import learning as M
 from ..operators import neighbours as N
 from ..operators import statistics as T
-from ..operators.attributions import attributed, mean_attributions, patterns
+from ..operators.attributions import attributed, forest, mean_attributions, patterns
 from ..operators.density import density_clusters as clusters_by_density
 from ..operators.modes import mean_shift
 from ..operators.nearest import outlier_factors
@@ -313,10 +313,9 @@ def spectral_clusters(spark, d):
 @query(None)
 def feature_attributions(spark, d):
     """ML-43: mean absolute Shapley value of each column for each return flag, over all lines."""
-    from pyspark.ml.classification import RandomForestClassifier
-
     names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    rows = M.vectors(table(spark, d, "lineitem", [*names, "l_returnflag"]).select(F.array(*[F.col(c).cast("double") for c in names]).alias("x"), F.when(F.col("l_returnflag") == "R", 2.0).when(F.col("l_returnflag") == "N", 1.0).otherwise(0.0).alias("label")), "x")
-    model = RandomForestClassifier(numTrees=8, maxDepth=4, seed=1).fit(M.in_parts(rows))
-    found = mean_attributions(attributed(patterns(rows, model), model), names, weight="n")
+    flag = F.when(F.col("l_returnflag") == "R", 2.0).when(F.col("l_returnflag") == "N", 1.0).otherwise(0.0)
+    rows = M.counted(table(spark, d, "lineitem", [*names, "l_returnflag"]).withColumn("label", flag), names)
+    model = forest(M.forest_of_counts(rows, 8, 4, seed=1), spark)
+    found = mean_attributions(attributed(patterns(rows, model, weight="n"), model), names, weight="n")
     return found.select(F.element_at(F.array(*[F.lit(x) for x in "ANR"]), F.col("class") + 1).alias("flag"), "feature", F.round("mean_abs", 9).alias("mean_abs"))

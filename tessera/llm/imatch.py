@@ -50,6 +50,7 @@ LEVELS = (2, 4, 6, 8, 10, 12, 14)  # a level's subsets hold a term with probabil
 PER_LEVEL = 16
 WIDTH = 1 + len(LEVELS) * PER_LEVEL
 CHUNK_CHARS = 2_000_000
+SLICE = 256  # rows of a batch that are packed or unpacked at a time
 _U = np.uint64
 
 
@@ -186,10 +187,10 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def _packed(texts: pd.Series) -> pd.Series:
-    """UTF-8 bytes: their number and, compressed, themselves."""
+def _packed(texts: list[bytes]) -> list[bytes]:
+    """Of each text's UTF-8 bytes: their number and, compressed, themselves."""
     codec = pa.Codec("zstd")
-    return pd.Series([len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in texts], dtype=object)
+    return [len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in texts]
 
 
 def _unpacked(packed: list[bytes]) -> list[str]:
@@ -219,17 +220,17 @@ def dealt(docs: DataFrame, doc_id: str, text: str, parts: int) -> DataFrame:
     starts = np.array(sorted(before), np.int64)
     ends = np.array([before[s] for s in starts.tolist()], np.int32)
 
-    @F.pandas_udf("array<struct<bucket:int,late:int>>")
-    def targets(ids: pd.Series) -> pd.Series:
-        v = ids.to_numpy()
-        own = np.searchsorted(bounds, v, side="left").tolist()
-        at = np.minimum(np.searchsorted(starts, v), len(starts) - 1)
-        first = (starts[at] == v).tolist()
-        return pd.Series([[{"bucket": b, "late": 0}] + ([{"bucket": e, "late": 1}] if f else []) for b, e, f in zip(own, ends[at].tolist(), first, strict=True)], dtype=object)
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in (whole.iloc[i : i + SLICE] for whole in batches for i in range(0, len(whole), SLICE)):
+            v = batch["id"].to_numpy()
+            at = np.minimum(np.searchsorted(starts, v), len(starts) - 1)
+            first = np.flatnonzero(starts[at] == v)
+            out = batch.assign(bucket=np.searchsorted(bounds, v, side="left"), late=0, packed=_packed(batch["text"].tolist())).drop(columns="text")
+            yield pd.concat([out, out.iloc[first].assign(bucket=ends[at[first]], late=1)])[["bucket", "late", "id", "hash", "packed"]]
 
-    packed = F.pandas_udf(_packed, "binary")
-    rows = base.select("id", F.xxhash64("text").alias("hash"), packed(F.col("text").cast("binary")).alias("packed"), targets("id").alias("at"))
-    return rows.select("id", "hash", "packed", F.explode("at").alias("at")).select("at.bucket", "at.late", "id", "hash", "packed")
+    # One step, so that a task has one Python worker.
+    rows = base.select("id", F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInPandas(deal, "bucket int, late int, id bigint, hash bigint, packed binary")
 
 
 def in_order(rows: DataFrame, parts: int) -> DataFrame:
@@ -316,8 +317,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[_Block]:
             for b, x in batch[late].groupby("bucket")["id"]:
                 found.setdefault(b, []).append(x.to_numpy().view(np.uint64))
             batch = batch[~late]
-        for start in range(0, len(batch), 256):
-            some = batch.iloc[start : start + 256]
+        for some in (batch.iloc[i : i + SLICE] for i in range(0, len(batch), SLICE)):
             for row in zip(some["bucket"].tolist(), some["late"].tolist(), some["id"].tolist(), _unpacked(some["packed"].tolist()), strict=True):
                 held.append(row)
                 size += len(row[3])
